@@ -88,4 +88,4 @@ def placement_reason(health: Column, risk: Column, util: Column) -> Column:
 def id_list(text: Column) -> Column:
     """Semicolon-separated ids to an array; an empty or absent list is an empty array."""
     ids = F.split(F.coalesce(text, F.lit("")), ";")
-    return F.filter(F.transform(ids, F.trim), lambda i: i != "")
+    return F.filter(F.transform(ids, lambda i: F.trim(i)), lambda i: i != "")

@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import sys
 from dataclasses import dataclass
 from math import ceil
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+# Send the functions below to executors themselves: workers need not have this package installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 NODES = (
     "tree_id int, node_id int, feature int, threshold double, left int, right int, size int, depth int"
 )
@@ -49,6 +54,22 @@ def grow_tree(points: np.ndarray, max_depth: int, rng: np.random.Generator) -> l
     return nodes
 
 
+def raw_scores(points: np.ndarray, forest: dict) -> np.ndarray:
+    """2^(-mean path / average path of the sample): near 1 is anomalous."""
+    feature, threshold = forest["feature"], forest["threshold"]
+    left, right, path = forest["left"], forest["right"], forest["path"]
+    rows = np.arange(len(points))
+    depth = np.zeros(len(points))
+    for tree in range(feature.shape[0]):
+        node = np.zeros(len(points), dtype="int32")
+        for _ in range(max_depth(forest["sample_size"])):
+            goes_left = points[rows, feature[tree][node]] <= threshold[tree][node]
+            node = np.where(goes_left, left[tree][node], right[tree][node])
+        depth += path[tree][node]
+    mean = depth / feature.shape[0]
+    return np.power(2.0, -mean / max(float(average_path(forest["sample_size"])), 1e-12))
+
+
 @dataclass(frozen=True)
 class IsolationForest:
     """Node table as arrays [tree, node]; at most trees x (2 x sample - 1) nodes."""
@@ -83,29 +104,20 @@ class IsolationForest:
             cutoff,
         )
 
-    def raw_scores(self, points: np.ndarray) -> np.ndarray:
-        """2^(-mean path / average path of the sample): near 1 is anomalous."""
-        trees = np.arange(self.feature.shape[0])[None, :]
-        rows = np.arange(len(points))[:, None]
-        node = np.zeros((len(points), self.feature.shape[0]), dtype="int32")
-        for _ in range(max_depth(self.sample_size)):
-            goes_left = points[rows, self.feature[trees, node]] <= self.threshold[trees, node]
-            node = np.where(goes_left, self.left[trees, node], self.right[trees, node])
-        depth = self.path[trees, node].mean(axis=1)
-        return np.power(2.0, -depth / max(float(average_path(self.sample_size)), 1e-12))
+    def tables(self) -> dict:
+        names = ("feature", "threshold", "left", "right", "path", "sample_size")
+        return {name: getattr(self, name) for name in names}
 
     def score(self, spark: SparkSession, embedding: str | Column) -> Column:
         """Raw score of an array column; the model travels as one broadcast variable."""
-        model = spark.sparkContext.broadcast(self)
+        model = spark.sparkContext.broadcast(self.tables())
 
         @F.pandas_udf("double")
         def raw(points: pd.Series) -> pd.Series:
             out = np.full(len(points), np.nan)
             known = points.notna().to_numpy()
-            rows = np.flatnonzero(known)
-            for start in range(0, len(rows), 2_000):  # bounds the rows x trees work area
-                part = rows[start : start + 2_000]
-                out[part] = model.value.raw_scores(np.stack(points.iloc[part].to_numpy()))
+            if known.any():
+                out[known] = raw_scores(np.stack(points[known].to_numpy()), model.value)
             return pd.Series(out)
 
         return F.nanvl(raw(embedding), F.lit(None).cast("double"))

@@ -5,7 +5,6 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark import StorageLevel
 from pyspark.ml.feature import PCA, PCAModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
@@ -68,13 +67,12 @@ class PcaEmbedding:
 
 
 def fit_pca(df: DataFrame, values: str, k: int = 8) -> PcaEmbedding:
-    """Fit on an array column; the covariance is a distributed aggregate (columns x columns)."""
+    """Fit on an array column; the covariance is a distributed aggregate (columns x columns).
+
+    The input is read three times. Settle it first if it is dear to compute.
+    """
     vectors = df.select(array_to_vector(F.col(values).cast("array<double>")).alias(INPUT))
-    vectors = vectors.persist(StorageLevel.MEMORY_AND_DISK)  # the fit reads its input several times
-    try:
-        model = PCA(k=k, inputCol=INPUT, outputCol=OUTPUT).fit(vectors)
-        mean = vectors.select(Summarizer.mean(F.col(INPUT)).alias("m")).first()["m"].toArray()
-    finally:
-        vectors.unpersist()
+    model = PCA(k=k, inputCol=INPUT, outputCol=OUTPUT).fit(vectors)
+    mean = vectors.select(Summarizer.mean(F.col(INPUT)).alias("m")).first()["m"].toArray()
     shift = np.asarray(model.pc.toArray()).T @ mean
     return PcaEmbedding(model, mean.tolist(), shift.tolist())

@@ -22,7 +22,21 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return configured
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """Compute once and cut lineage through the shared folder, so that losing executors is harmless."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def settle(df: DataFrame, keep_distribution: bool = False) -> DataFrame:
+    """Compute once and cut lineage through the shared folder, so that losing executors is harmless.
+
+    With `keep_distribution` the result stays hash-distributed and sorted as `df` is, and later windows
+    and aggregations over the same keys need no shuffle. Spark only records that for plans that are
+    fixed in advance, so this one job runs without adaptive execution.
+    """
+    spark = df.sparkSession
+    checkpoint_dir(spark)
+    if not keep_distribution:
+        return df.checkpoint(eager=True)
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        # A new frame: one that was already planned would keep its adaptive plan.
+        return df.select("*").checkpoint(eager=True)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)

@@ -61,16 +61,20 @@ def telemetry_columns(raw: DataFrame) -> DataFrame:
     return raw.select(*[c for c in (SEQ, TIME, KEY, *METRICS) if c in raw.columns])
 
 
-def clean_windows(
-    raw: DataFrame,
-    spec: WindowSpec,
+def clean_samples(raw: DataFrame, layout: SeriesLayout) -> DataFrame:
+    """Cleaned, indexed samples, distributed the way windows need them."""
+    narrow = telemetry_columns(raw)
+    return clean_series(narrow, layout, seq=SEQ if SEQ in narrow.columns else None)
+
+
+def sample_windows(
+    samples: DataFrame,
     layout: SeriesLayout,
+    spec: WindowSpec,
     statistics: bool = True,
     scaler: WindowScaler | None = None,
 ) -> DataFrame:
-    """Windows of cleaned telemetry; with a scaler also the flat vector of scaled samples."""
-    narrow = telemetry_columns(raw)
-    samples = clean_series(narrow, layout, seq=SEQ if SEQ in narrow.columns else None)
+    """Windows of clean samples; with a scaler also the flat vector of scaled samples."""
     vector: dict[str, Column] | None = None
     if scaler is not None:
         vector = {m: scaler.scaled(m) for m in scaler.mean}
@@ -86,13 +90,28 @@ def fit_models(
     **forest_options,
 ) -> Models:
     """Fit scaler, embedding and forest on the windows of raw telemetry."""
+    layout = layout or measure(raw)
+    samples = settle(clean_samples(raw, layout), keep_distribution=True)
+    return fit_on_samples(samples, layout, spec, components, method, **forest_options)
+
+
+def fit_on_samples(
+    samples: DataFrame,
+    layout: SeriesLayout,
+    spec: WindowSpec = WindowSpec(),
+    components: int = 8,
+    method: str = FOREST,
+    **forest_options,
+) -> Models:
+    """Fit on clean samples. Several passes read them, so they should be settled with their distribution:
+    then no pass shuffles them again. Window vectors, six times as large, are never stored.
+    """
     if method not in METHODS:
         raise ValueError(f"method must be one of {METHODS}")
-    layout = layout or measure(raw)
-    scaler = fit_scaler(clean_windows(raw, spec, layout), spec)
+    scaler = fit_scaler(sample_windows(samples, layout, spec), spec)
     if method == DEVIATION:
         return Models(scaler)
-    vectors = clean_windows(raw, spec, layout, statistics=False, scaler=scaler)
+    vectors = sample_windows(samples, layout, spec, statistics=False, scaler=scaler)
     embedding = fit_pca(vectors, VECTOR, components)
     if method == RECONSTRUCTION:
         return Models(scaler, embedding)
@@ -127,11 +146,23 @@ def build_fingerprint(
     telemetry is read once for that: one slim row per window (its raw measure, and the statistics only
     for a device's last window) is settled, the limits come from it, the last windows are scored.
     """
+    layout = layout or measure(raw)
+    return fingerprint_of_samples(clean_samples(raw, layout), layout, models, method, weights, limits)
+
+
+def fingerprint_of_samples(
+    samples: DataFrame,
+    layout: SeriesLayout,
+    models: Models,
+    method: str = FOREST,
+    weights: RiskWeights = RiskWeights(),
+    limits: tuple[float, float] | None = None,
+) -> DataFrame:
+    """`build_fingerprint` from clean samples."""
     if method not in METHODS:
         raise ValueError(f"method must be one of {METHODS}")
-    layout = layout or measure(raw)
     scaler = None if method == DEVIATION else models.scaler
-    windows = clean_windows(raw, models.scaler.spec, layout, scaler=scaler)
+    windows = sample_windows(samples, layout, models.scaler.spec, scaler=scaler)
     scored = raw_anomaly(windows, models, method)
     if limits is None:
         current = F.when(F.col("is_latest"), F.struct(WINDOW_END, *STAT_COLUMNS))

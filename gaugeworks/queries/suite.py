@@ -20,7 +20,8 @@ from gaugeworks.operators.series import LENGTH, POSITION, index_series, measure
 from gaugeworks.operators.store import settle
 from gaugeworks.plans import report as reports
 from gaugeworks.plans.fingerprint import (
-    DEVIATION, FOREST, RECONSTRUCTION, build_fingerprint, clean_windows, fit_models, telemetry_columns,
+    DEVIATION, FOREST, RECONSTRUCTION, clean_samples, fingerprint_of_samples, fit_on_samples, sample_windows,
+    telemetry_columns,
 )
 from gaugeworks.queries import reference_sql as sql
 from gaugeworks.queries.reference_sql import each, query
@@ -29,6 +30,7 @@ from gaugeworks.schema import (
 )
 from gaugeworks.sources import files, metrics_json
 from gaugeworks.sources.events import read_telemetry
+from gaugeworks.tuning import tune
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -37,7 +39,7 @@ SPEC = WindowSpec()
 
 def register(name: str, oracle: str | None = None):
     def add(function):
-        QUERIES[name] = function
+        QUERIES[name] = lambda spark, sf_dir: function(tune(spark), sf_dir)
         if oracle is not None:
             ORACLES[name] = oracle
         return function
@@ -286,9 +288,16 @@ def canonical_sort(spark, sf_dir):
 # --- windows --------------------------------------------------------------------------------------
 
 
-def fleet_windows(spark, sf_dir, **options) -> DataFrame:
+def fleet_samples(spark, sf_dir):
+    """Clean samples and their layout."""
     raw = read_telemetry(spark, sf_dir)
-    return clean_windows(raw, SPEC, measure(raw), **options)
+    layout = measure(raw)
+    return clean_samples(raw, layout), layout
+
+
+def fleet_windows(spark, sf_dir) -> DataFrame:
+    samples, layout = fleet_samples(spark, sf_dir)
+    return sample_windows(samples, layout, SPEC)
 
 
 @register(
@@ -331,9 +340,7 @@ ENTRY = " + ".join(f"({i} + (pos - (p - 29)) * 13) * {m}" for i, m in enumerate(
     ),
 )
 def window_vectors(spark, sf_dir):
-    raw = telemetry_columns(read_telemetry(spark, sf_dir))
-    layout = measure(raw)
-    samples = cleaning.clean_series(raw, layout)
+    samples, layout = fleet_samples(spark, sf_dir)
     plain = {m: F.col(m) for m in METRICS}
     found = windows.window_table(samples, layout, SPEC, statistics=False, vector_of=plain)
     weighted = F.transform(windows.VECTOR, lambda x, i: x * (i + 1))
@@ -358,10 +365,7 @@ def latest_window(spark, sf_dir):
     return rounded(windows.latest_per_device(found), *STAT_COLUMNS)
 
 
-def fleet_sequences(spark, sf_dir, scaler=None) -> DataFrame:
-    raw = telemetry_columns(read_telemetry(spark, sf_dir))
-    layout = measure(raw)
-    samples = cleaning.clean_series(raw, layout)
+def sample_sequences(samples, layout, scaler=None) -> DataFrame:
     inputs = {m: scaler.scaled(m) if scaler else F.col(m) for m in METRICS}
     targets = {m: F.col(m) for m in ("gpu_util", "mem_util")}
     return windows.supervised_sequences(samples, layout, inputs, targets)
@@ -385,7 +389,7 @@ starts AS (SELECT gpu_id, p AS first FROM clean WHERE p % 6 = 0 AND p + 18 <= n)
     ),
 )
 def sequences(spark, sf_dir):
-    found = fleet_sequences(spark, sf_dir)
+    found = sample_sequences(*fleet_samples(spark, sf_dir))
     # y is (util, mem) step by step: entry i belongs to step i / 2.
     weighted = F.transform(
         "y", lambda v, i: v * (F.floor(i / 2) + 1) * F.when(i % 2 == 1, 100).otherwise(1)
@@ -624,10 +628,11 @@ def deviation_windows(spark, sf_dir) -> DataFrame:
 
 
 def fleet_latest(spark, sf_dir, method: str = DEVIATION) -> DataFrame:
-    raw = read_telemetry(spark, sf_dir)
-    layout = measure(raw)
-    models = fit_models(raw, SPEC, method=method, layout=layout)
-    return settle(build_fingerprint(raw, models, method, layout=layout))
+    """Models fitted on the fleet's own windows, then the scored latest window per device."""
+    samples, layout = fleet_samples(spark, sf_dir)
+    samples = settle(samples, keep_distribution=True)
+    models = fit_on_samples(samples, layout, SPEC, method=method)
+    return settle(fingerprint_of_samples(samples, layout, models, method))
 
 
 def fleet_report(spark, sf_dir, method: str = DEVIATION) -> reports.FleetReport:
@@ -666,11 +671,10 @@ def scaler_fit(spark, sf_dir):
     ),
 )
 def standardize(spark, sf_dir):
-    raw = telemetry_columns(read_telemetry(spark, sf_dir))
-    layout = measure(raw)
-    scaler = features.fit_scaler(clean_windows(raw, SPEC, layout), SPEC)
-    clean = cleaning.preprocess(raw, layout=layout).select(KEY, TIME, *METRICS)
-    return rounded(scaler.transform(clean), *METRICS)
+    samples, layout = fleet_samples(spark, sf_dir)
+    samples = settle(samples, keep_distribution=True)
+    scaler = features.fit_scaler(sample_windows(samples, layout, SPEC), SPEC)
+    return rounded(scaler.transform(samples.select(KEY, TIME, *METRICS)), *METRICS)
 
 
 @register(
@@ -982,10 +986,10 @@ def liveness(spark, sf_dir):
 
 def embedded_windows(spark, sf_dir):
     """Settled windows with statistics and 8-component embedding, plus the embedding model."""
-    raw = read_telemetry(spark, sf_dir)
-    layout = measure(raw)
-    models = fit_models(raw, SPEC, method=RECONSTRUCTION, layout=layout)
-    found = clean_windows(raw, SPEC, layout, scaler=models.scaler)
+    samples, layout = fleet_samples(spark, sf_dir)
+    samples = settle(samples, keep_distribution=True)
+    models = fit_on_samples(samples, layout, SPEC, method=RECONSTRUCTION)
+    found = sample_windows(samples, layout, SPEC, scaler=models.scaler)
     projected = models.embedding.transform(found, windows.VECTOR)
     error = models.embedding.reconstruction_error(windows.VECTOR)
     return settle(projected.withColumn("error", error).drop(windows.VECTOR)), models
@@ -1079,9 +1083,10 @@ def validation_accuracy(spark, sf_dir):
 
 @register("ml_09_demand_forecast")
 def demand_forecast(spark, sf_dir):
-    raw = read_telemetry(spark, sf_dir)
-    scaler = features.fit_scaler(clean_windows(raw, SPEC, measure(raw)), SPEC)
-    pairs = settle(fleet_sequences(spark, sf_dir, scaler))
+    samples, layout = fleet_samples(spark, sf_dir)
+    samples = settle(samples, keep_distribution=True)
+    scaler = features.fit_scaler(sample_windows(samples, layout, SPEC), SPEC)
+    pairs = settle(sample_sequences(samples, layout, scaler))
     held_out = features.is_validation([KEY])
     model = supervised.fit_forecaster(pairs.where(~held_out), outputs=12)
     return model.forecast(pairs).select(KEY, "sequence_index", "y", "forecast", held_out.alias("is_validation"))
