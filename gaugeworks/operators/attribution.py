@@ -53,30 +53,17 @@ def shapley_values(
         F.sequence(F.lit(0), F.lit(dimensions - 1)),
         lambda d: F.when(F.array_contains(taken, d), F.get("own", d)).otherwise(F.get("other", d)),
     )
-    scored = paths.select(
-        *keys,
-        "permutation",
-        "step",
-        F.get("order", F.col("step") - 1).alias("dimension"),
-        forest.score(spark, mixed).alias("raw"),
+    scored = paths.select(*keys, "order", "step", forest.score(spark, mixed).alias("raw"))
+    # A point counts for the dimension that led to it and against the one that leads away from it.
+    reached, left = F.get("order", F.col("step") - 1), F.get("order", F.col("step"))
+    signed = F.array(
+        F.struct(reached.alias("dimension"), F.col("raw").alias("part")),
+        F.struct(left.alias("dimension"), (-F.col("raw")).alias("part")),
     )
-    # One row per path again: steps are few, so the path fits an array.
-    walked = scored.groupBy(*keys, "permutation").agg(
-        F.sort_array(F.collect_list(F.struct("step", "dimension", "raw"))).alias("path")
+    parts = scored.select(*keys, F.explode(signed).alias("s")).where("s.dimension IS NOT NULL")
+    return parts.groupBy(*keys, F.col("s.dimension").alias("dimension")).agg(
+        (F.sum("s.part") / permutations).alias("phi")
     )
-    steps = walked.select(
-        *keys,
-        F.explode(
-            F.transform(
-                F.sequence(F.lit(1), F.lit(dimensions)),
-                lambda i: F.struct(
-                    F.get("path", i)["dimension"].alias("dimension"),
-                    (F.get("path", i)["raw"] - F.get("path", i - 1)["raw"]).alias("phi"),
-                ),
-            )
-        ).alias("s"),
-    )
-    return steps.groupBy(*keys, F.col("s.dimension").alias("dimension")).agg(F.avg("s.phi").alias("phi"))
 
 
 def importance(values: DataFrame) -> DataFrame:
