@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,12 +14,15 @@ from gaugeworks.operators.series import (
     LENGTH,
     POSITION,
     SeriesLayout,
+    each_part,
     index_series,
     measure,
     over_earlier_spans,
+    parts,
     span_offsets,
 )
-from gaugeworks.schema import KEY, SEQ, TIME, metric_columns
+from gaugeworks.operators.store import settle
+from gaugeworks.schema import KEY, METRICS, SEQ, TIME, metric_columns
 
 
 def keep_last(
@@ -203,6 +210,35 @@ def preprocess(
     df: DataFrame, z_threshold: float = 5.0, seq: str | None = SEQ, layout: SeriesLayout | None = None
 ) -> DataFrame:
     """Raw to clean telemetry, same columns. Pass `seq=None` if samples are known to be unique."""
-    layout = layout or measure(df)
-    clean = clean_series(df, layout, z_threshold, seq)
-    return clean.select(*df.columns)
+    def clean(rows: DataFrame, own: SeriesLayout) -> DataFrame:
+        return clean_series(rows, own, z_threshold, seq).select(*df.columns)
+
+    return each_part(df, layout or measure(df), clean)
+
+
+@dataclass(frozen=True)
+class Samples:
+    """Clean, indexed samples, grouped the way windows need them: one table per part of the layout."""
+
+    tables: tuple[tuple[DataFrame, SeriesLayout], ...]
+
+    def each(self, operator: Callable[[DataFrame, SeriesLayout], DataFrame]) -> DataFrame:
+        """Rows that the operator gives for any part."""
+        results = [operator(rows, layout) for rows, layout in self.tables]
+        return reduce(lambda a, b: a.unionByName(b), results)
+
+    def settled(self) -> "Samples":
+        """Computed once; later passes over them need no shuffle by device."""
+        return Samples(tuple((settle(rows, True), layout) for rows, layout in self.tables))
+
+
+def clean_samples(raw: DataFrame, layout: SeriesLayout | None = None, z_threshold: float = 5.0) -> Samples:
+    """Clean telemetry for windows. The host is not used there, so it never enters the shuffle."""
+    names = [c for c in (SEQ, TIME, KEY, *METRICS) if c in raw.columns]
+    seq = SEQ if SEQ in names else None
+
+    def clean(rows: DataFrame, own: SeriesLayout) -> DataFrame:
+        return clean_series(rows, own, z_threshold, seq).drop(SEQ)
+
+    found = parts(raw.select(*names), layout or measure(raw))
+    return Samples(tuple((clean(rows, own), own) for rows, own in found))

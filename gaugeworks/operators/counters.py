@@ -5,15 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gaugeworks.operators.series import SPAN, SeriesLayout, measure
+from gaugeworks.operators.series import SPAN, SeriesLayout, each_part, measure
 from gaugeworks.schema import KEY, TIME
 
 
 def with_previous(df: DataFrame, layout: SeriesLayout, columns: list[str]) -> DataFrame:
-    """Add `_previous_<column>`: the value in the device's preceding sample, NULL in the first.
+    """Add `_previous_<column>`: the value in the device's preceding sample, NULL in the first."""
+    return each_part(df, layout, lambda rows, own: _with_previous(rows, own, columns))
 
-    The first sample of a span reads the last sample of the span before it.
-    """
+
+def _with_previous(df: DataFrame, layout: SeriesLayout, columns: list[str]) -> DataFrame:
+    """One part of the layout; the first sample of a span reads the last one of the span before it."""
     grouped = layout.attach(df.where(F.col(layout.key).isNotNull())).repartition(*layout.group)
     order = layout.ordered()
     result = grouped.select(

@@ -3,12 +3,15 @@
 Every cleaning and windowing operator works along the samples of one device. Devices are normally
 short enough to be one group each. A device that is much longer than the others (a shared id such as
 `unknown` can hold a third of all rows) would be a single huge task, so it is cut into spans of time;
-what crosses a span boundary travels in a table with one row per span.
+what crosses a span boundary travels in a table with one row per span. Long devices are processed apart
+from the others (`parts`), which keep the cheaper form.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -129,6 +132,29 @@ def over_earlier_spans(layout: SeriesLayout, later: bool = False) -> str:
     )
 
 
+def parts(df: DataFrame, layout: SeriesLayout) -> list[tuple[DataFrame, SeriesLayout]]:
+    """Rows of devices that are not cut, with the plain layout, and rows of cut devices.
+
+    Only long devices pay for the extra exchanges of the cut form. Costs a second scan of `df`.
+    """
+    if not layout.is_cut:
+        return [(df, layout)]
+    names = df.sparkSession.createDataFrame([(cut[0],) for cut in layout.cuts], f"`{layout.key}` string")
+    long = F.broadcast(names)
+    return [
+        (df.join(long, layout.key, "left_anti"), SeriesLayout(layout.key, layout.time)),
+        (df.join(long, layout.key, "left_semi"), layout),
+    ]
+
+
+def each_part(
+    df: DataFrame, layout: SeriesLayout, operator: Callable[[DataFrame, SeriesLayout], DataFrame]
+) -> DataFrame:
+    """The operator on each of `parts`, all rows together."""
+    results = [operator(rows, own) for rows, own in parts(df, layout)]
+    return reduce(lambda a, b: a.unionByName(b), results)
+
+
 def index_series(df: DataFrame, layout: SeriesLayout) -> DataFrame:
     """Add the 0-based position of each sample in its device's series and the series length.
 

@@ -8,17 +8,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gaugeworks.operators import anomaly
-from gaugeworks.operators.cleaning import clean_series
+from gaugeworks.operators.cleaning import Samples, clean_samples
 from gaugeworks.operators.features import WindowScaler, fit_scaler
 from gaugeworks.operators.forest import IsolationForest, fit_forest
 from gaugeworks.operators.pca import PcaEmbedding, fit_pca
 from gaugeworks.operators.scoring import SCORE_COLUMNS, health_score
-from gaugeworks.operators.series import SeriesLayout, measure
+from gaugeworks.operators.series import SeriesLayout
 from gaugeworks.operators.store import settle
 from gaugeworks.operators.windows import VECTOR, WINDOW_INDEX, window_table
-from gaugeworks.schema import (
-    KEY, METRICS, SEQ, STAT_COLUMNS, TIME, WINDOW_END, RiskWeights, WindowSpec,
-)
+from gaugeworks.schema import KEY, STAT_COLUMNS, WINDOW_END, RiskWeights, WindowSpec
 
 FOREST = "isolation_forest"
 RECONSTRUCTION = "reconstruction_error"
@@ -56,21 +54,9 @@ class Models:
         )
 
 
-def telemetry_columns(raw: DataFrame) -> DataFrame:
-    """Only what windows use; the host is not among it, so it never enters the shuffle."""
-    return raw.select(*[c for c in (SEQ, TIME, KEY, *METRICS) if c in raw.columns])
-
-
-def clean_samples(raw: DataFrame, layout: SeriesLayout) -> DataFrame:
-    """Cleaned, indexed samples, distributed the way windows need them."""
-    narrow = telemetry_columns(raw)
-    return clean_series(narrow, layout, seq=SEQ if SEQ in narrow.columns else None)
-
-
 def sample_windows(
-    samples: DataFrame,
-    layout: SeriesLayout,
-    spec: WindowSpec,
+    samples: Samples,
+    spec: WindowSpec = WindowSpec(),
     statistics: bool = True,
     scaler: WindowScaler | None = None,
 ) -> DataFrame:
@@ -78,7 +64,7 @@ def sample_windows(
     vector: dict[str, Column] | None = None
     if scaler is not None:
         vector = {m: scaler.scaled(m) for m in scaler.mean}
-    return window_table(samples, layout, spec, statistics, vector)
+    return samples.each(lambda rows, layout: window_table(rows, layout, spec, statistics, vector))
 
 
 def fit_models(
@@ -90,28 +76,26 @@ def fit_models(
     **forest_options,
 ) -> Models:
     """Fit scaler, embedding and forest on the windows of raw telemetry."""
-    layout = layout or measure(raw)
-    samples = settle(clean_samples(raw, layout), keep_distribution=True)
-    return fit_on_samples(samples, layout, spec, components, method, **forest_options)
+    samples = clean_samples(raw, layout).settled()
+    return fit_on_samples(samples, spec, components, method, **forest_options)
 
 
 def fit_on_samples(
-    samples: DataFrame,
-    layout: SeriesLayout,
+    samples: Samples,
     spec: WindowSpec = WindowSpec(),
     components: int = 8,
     method: str = FOREST,
     **forest_options,
 ) -> Models:
-    """Fit on clean samples. Several passes read them, so they should be settled with their distribution:
-    then no pass shuffles them again. Window vectors, six times as large, are never stored.
+    """Fit on clean samples. Several passes read them, so they should be settled: then no
+    pass shuffles them again. Window vectors, six times as large, are never stored.
     """
     if method not in METHODS:
         raise ValueError(f"method must be one of {METHODS}")
-    scaler = fit_scaler(sample_windows(samples, layout, spec), spec)
+    scaler = fit_scaler(sample_windows(samples, spec), spec)
     if method == DEVIATION:
         return Models(scaler)
-    vectors = sample_windows(samples, layout, spec, statistics=False, scaler=scaler)
+    vectors = sample_windows(samples, spec, statistics=False, scaler=scaler)
     embedding = fit_pca(vectors, VECTOR, components)
     if method == RECONSTRUCTION:
         return Models(scaler, embedding)
@@ -146,13 +130,11 @@ def build_fingerprint(
     telemetry is read once for that: one slim row per window (its raw measure, and the statistics only
     for a device's last window) is settled, the limits come from it, the last windows are scored.
     """
-    layout = layout or measure(raw)
-    return fingerprint_of_samples(clean_samples(raw, layout), layout, models, method, weights, limits)
+    return fingerprint_of_samples(clean_samples(raw, layout), models, method, weights, limits)
 
 
 def fingerprint_of_samples(
-    samples: DataFrame,
-    layout: SeriesLayout,
+    samples: Samples,
     models: Models,
     method: str = FOREST,
     weights: RiskWeights = RiskWeights(),
@@ -162,7 +144,7 @@ def fingerprint_of_samples(
     if method not in METHODS:
         raise ValueError(f"method must be one of {METHODS}")
     scaler = None if method == DEVIATION else models.scaler
-    windows = sample_windows(samples, layout, models.scaler.spec, scaler=scaler)
+    windows = sample_windows(samples, models.scaler.spec, scaler=scaler)
     scored = raw_anomaly(windows, models, method)
     if limits is None:
         current = F.when(F.col("is_latest"), F.struct(WINDOW_END, *STAT_COLUMNS))

@@ -16,12 +16,11 @@ from gaugeworks.operators import (
 )
 from gaugeworks.operators.forest import fit_forest, fit_forest_nodes
 from gaugeworks.operators.pca import fit_pca
-from gaugeworks.operators.series import LENGTH, POSITION, index_series, measure
+from gaugeworks.operators.series import each_part, index_series, measure
 from gaugeworks.operators.store import settle
 from gaugeworks.plans import report as reports
 from gaugeworks.plans.fingerprint import (
-    DEVIATION, FOREST, RECONSTRUCTION, clean_samples, fingerprint_of_samples, fit_on_samples, sample_windows,
-    telemetry_columns,
+    DEVIATION, FOREST, RECONSTRUCTION, fingerprint_of_samples, fit_on_samples, sample_windows,
 )
 from gaugeworks.queries import reference_sql as sql
 from gaugeworks.queries.reference_sql import each, query
@@ -204,9 +203,12 @@ def keep_last(spark, sf_dir):
     query(f'SELECT gpu_id, "timestamp", {ROUNDED_METRICS} FROM filled', sql.FILLED),
 )
 def gap_fill(spark, sf_dir):
-    raw = telemetry_columns(read_telemetry(spark, sf_dir))
-    layout = measure(raw)
-    filled = cleaning.fill_gaps(cleaning.group_samples(raw, layout), layout, list(METRICS))
+    raw = read_telemetry(spark, sf_dir).drop(HOST)
+
+    def fill(rows, layout):
+        return cleaning.fill_gaps(cleaning.group_samples(rows, layout), layout, list(METRICS)).select(KEY, TIME, *METRICS)
+
+    filled = each_part(raw, measure(raw), fill)
     return rounded(filled.select(KEY, TIME, *METRICS), *METRICS)
 
 
@@ -223,10 +225,12 @@ Z_CLIP = (
 )
 def z_clip(spark, sf_dir):
     raw = read_telemetry(spark, sf_dir)
-    layout = measure(raw)
-    grouped = cleaning.clip_bounds(cleaning.group_samples(raw, layout, seq=None))
-    clipped = cleaning.clip_outliers(grouped, layout, list(METRICS))
-    return rounded(clipped.select(SEQ, KEY, *METRICS), *METRICS)
+
+    def clip(rows, layout):
+        bounded = cleaning.clip_bounds(cleaning.group_samples(rows, layout, seq=None))
+        return cleaning.clip_outliers(bounded, layout, list(METRICS)).select(SEQ, KEY, *METRICS)
+
+    return rounded(each_part(raw, measure(raw), clip), *METRICS)
 
 
 @register(
@@ -288,16 +292,22 @@ def canonical_sort(spark, sf_dir):
 # --- windows --------------------------------------------------------------------------------------
 
 
-def fleet_samples(spark, sf_dir):
-    """Clean samples and their layout."""
-    raw = read_telemetry(spark, sf_dir)
-    layout = measure(raw)
-    return clean_samples(raw, layout), layout
+def fleet_samples(spark, sf_dir) -> cleaning.Samples:
+    return cleaning.clean_samples(read_telemetry(spark, sf_dir))
 
 
 def fleet_windows(spark, sf_dir) -> DataFrame:
-    samples, layout = fleet_samples(spark, sf_dir)
-    return sample_windows(samples, layout, SPEC)
+    return sample_windows(fleet_samples(spark, sf_dir), SPEC)
+
+
+def window_ends(raw: DataFrame, spec: WindowSpec) -> DataFrame:
+    """Windows without statistics, from keys and times alone."""
+
+    def cut(rows, layout):
+        samples = index_series(cleaning.group_samples(rows, layout), layout)
+        return windows.window_table(samples, layout, spec, statistics=False)
+
+    return each_part(raw.select(SEQ, TIME, KEY), measure(raw), cut)
 
 
 @register(
@@ -308,10 +318,7 @@ def fleet_windows(spark, sf_dir) -> DataFrame:
     ),
 )
 def strided_windows(spark, sf_dir):
-    raw = read_telemetry(spark, sf_dir).select(SEQ, TIME, KEY)
-    layout = measure(raw)
-    samples = index_series(cleaning.group_samples(raw, layout), layout)
-    found = windows.window_table(samples, layout, SPEC, statistics=False)
+    found = window_ends(read_telemetry(spark, sf_dir), SPEC)
     return found.select(KEY, WINDOW_END, windows.WINDOW_INDEX)
 
 
@@ -340,9 +347,12 @@ ENTRY = " + ".join(f"({i} + (pos - (p - 29)) * 13) * {m}" for i, m in enumerate(
     ),
 )
 def window_vectors(spark, sf_dir):
-    samples, layout = fleet_samples(spark, sf_dir)
     plain = {m: F.col(m) for m in METRICS}
-    found = windows.window_table(samples, layout, SPEC, statistics=False, vector_of=plain)
+
+    def flatten(rows, layout):
+        return windows.window_table(rows, layout, SPEC, statistics=False, vector_of=plain)
+
+    found = fleet_samples(spark, sf_dir).each(flatten)
     weighted = F.transform(windows.VECTOR, lambda x, i: x * (i + 1))
     return found.select(
         KEY,
@@ -365,10 +375,12 @@ def latest_window(spark, sf_dir):
     return rounded(windows.latest_per_device(found), *STAT_COLUMNS)
 
 
-def sample_sequences(samples, layout, scaler=None) -> DataFrame:
+def sample_sequences(samples: cleaning.Samples, scaler=None) -> DataFrame:
     inputs = {m: scaler.scaled(m) if scaler else F.col(m) for m in METRICS}
     targets = {m: F.col(m) for m in ("gpu_util", "mem_util")}
-    return windows.supervised_sequences(samples, layout, inputs, targets)
+    return samples.each(
+        lambda rows, layout: windows.supervised_sequences(rows, layout, inputs, targets)
+    )
 
 
 SEQUENCES = """
@@ -389,7 +401,7 @@ starts AS (SELECT gpu_id, p AS first FROM clean WHERE p % 6 = 0 AND p + 18 <= n)
     ),
 )
 def sequences(spark, sf_dir):
-    found = sample_sequences(*fleet_samples(spark, sf_dir))
+    found = sample_sequences(fleet_samples(spark, sf_dir))
     # y is (util, mem) step by step: entry i belongs to step i / 2.
     weighted = F.transform(
         "y", lambda v, i: v * (F.floor(i / 2) + 1) * F.when(i % 2 == 1, 100).otherwise(1)
@@ -413,10 +425,8 @@ def sequences(spark, sf_dir):
 )
 def short_series(spark, sf_dir):
     """Windows of 60 samples: many devices are shorter and have none."""
-    raw = read_telemetry(spark, sf_dir).select(SEQ, TIME, KEY)
-    layout = measure(raw)
-    samples = index_series(cleaning.group_samples(raw, layout), layout)
-    found = windows.window_table(samples, layout, WindowSpec(60, 5), statistics=False)
+    raw = read_telemetry(spark, sf_dir)
+    found = window_ends(raw, WindowSpec(60, 5))
     counts = found.groupBy(KEY).agg(F.count(F.lit(1)).alias("n_windows"))
     all_devices = raw.groupBy(KEY).agg(F.count(F.lit(1)).alias("n_samples"))
     return all_devices.join(counts, KEY, "left").na.fill(0, ["n_windows"])
@@ -629,10 +639,9 @@ def deviation_windows(spark, sf_dir) -> DataFrame:
 
 def fleet_latest(spark, sf_dir, method: str = DEVIATION) -> DataFrame:
     """Models fitted on the fleet's own windows, then the scored latest window per device."""
-    samples, layout = fleet_samples(spark, sf_dir)
-    samples = settle(samples, keep_distribution=True)
-    models = fit_on_samples(samples, layout, SPEC, method=method)
-    return settle(fingerprint_of_samples(samples, layout, models, method))
+    samples = fleet_samples(spark, sf_dir).settled()
+    models = fit_on_samples(samples, SPEC, method=method)
+    return settle(fingerprint_of_samples(samples, models, method))
 
 
 def fleet_report(spark, sf_dir, method: str = DEVIATION) -> reports.FleetReport:
@@ -671,10 +680,10 @@ def scaler_fit(spark, sf_dir):
     ),
 )
 def standardize(spark, sf_dir):
-    samples, layout = fleet_samples(spark, sf_dir)
-    samples = settle(samples, keep_distribution=True)
-    scaler = features.fit_scaler(sample_windows(samples, layout, SPEC), SPEC)
-    return rounded(scaler.transform(samples.select(KEY, TIME, *METRICS)), *METRICS)
+    samples = fleet_samples(spark, sf_dir).settled()
+    scaler = features.fit_scaler(sample_windows(samples, SPEC), SPEC)
+    clean = samples.each(lambda rows, layout: rows.select(KEY, TIME, *METRICS))
+    return rounded(scaler.transform(clean), *METRICS)
 
 
 @register(
@@ -986,10 +995,9 @@ def liveness(spark, sf_dir):
 
 def embedded_windows(spark, sf_dir):
     """Settled windows with statistics and 8-component embedding, plus the embedding model."""
-    samples, layout = fleet_samples(spark, sf_dir)
-    samples = settle(samples, keep_distribution=True)
-    models = fit_on_samples(samples, layout, SPEC, method=RECONSTRUCTION)
-    found = sample_windows(samples, layout, SPEC, scaler=models.scaler)
+    samples = fleet_samples(spark, sf_dir).settled()
+    models = fit_on_samples(samples, SPEC, method=RECONSTRUCTION)
+    found = sample_windows(samples, SPEC, scaler=models.scaler)
     projected = models.embedding.transform(found, windows.VECTOR)
     error = models.embedding.reconstruction_error(windows.VECTOR)
     return settle(projected.withColumn("error", error).drop(windows.VECTOR)), models
@@ -1083,10 +1091,9 @@ def validation_accuracy(spark, sf_dir):
 
 @register("ml_09_demand_forecast")
 def demand_forecast(spark, sf_dir):
-    samples, layout = fleet_samples(spark, sf_dir)
-    samples = settle(samples, keep_distribution=True)
-    scaler = features.fit_scaler(sample_windows(samples, layout, SPEC), SPEC)
-    pairs = settle(sample_sequences(samples, layout, scaler))
+    samples = fleet_samples(spark, sf_dir).settled()
+    scaler = features.fit_scaler(sample_windows(samples, SPEC), SPEC)
+    pairs = settle(sample_sequences(samples, scaler))
     held_out = features.is_validation([KEY])
     model = supervised.fit_forecaster(pairs.where(~held_out), outputs=12)
     return model.forecast(pairs).select(KEY, "sequence_index", "y", "forecast", held_out.alias("is_validation"))

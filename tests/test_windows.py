@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from fixtures import cleaned, frame, random_rows, rows_of
 from gaugeworks.operators import cleaning, features, windows
 from gaugeworks.operators.series import LENGTH, POSITION, SeriesLayout, index_series, measure
-from gaugeworks.plans.fingerprint import clean_samples
+from gaugeworks.operators.cleaning import clean_samples
 from gaugeworks.schema import METRICS, STAT_COLUMNS, WINDOW_END, WindowSpec
 
 PLAIN = SeriesLayout()
@@ -44,11 +44,13 @@ def test_only_the_last_window_is_latest(spark):
 def test_windows_equal_brute_force(spark, size, stride, cut):
     rows = random_rows(5, {"hot": 170, "a": 41, "b": 6})
     df = frame(spark, rows)
-    layout = measure(df, long_rows=30 if cut else 10**9, span_rows=20)
+    layout = measure(df, long_rows=45 if cut else 10**9, span_rows=20)
     spec = WindowSpec(size, stride)
     samples = clean_samples(df, layout)
     plain = {m: F.col(m) for m in METRICS}
-    found = windows.window_table(samples, layout, spec, vector_of=plain, block_rows=25).collect()
+    found = samples.each(
+        lambda rows, own: windows.window_table(rows, own, spec, vector_of=plain, block_rows=25)
+    ).collect()
     expected = brute(cleaned(rows, 5.0), size, stride)
     assert {(r["gpu_id"], r["window_index"]) for r in found} == set(expected)
     assert len(found) == len(expected)
@@ -82,11 +84,12 @@ def test_latest_per_device(spark):
 def test_sequences_equal_brute_force(spark, cut, lookback, horizon):
     rows = random_rows(8, {"hot": 130, "a": 18, "b": 17, "c": 4})
     df = frame(spark, rows)
-    layout = measure(df, long_rows=30 if cut else 10**9, span_rows=20)
+    layout = measure(df, long_rows=45 if cut else 10**9, span_rows=20)
     samples = clean_samples(df, layout)
     targets = {m: F.col(m) for m in ("gpu_util", "mem_util")}
-    found = windows.supervised_sequences(
-        samples, layout, {m: F.col(m) for m in METRICS}, targets, lookback, horizon, block_rows=25
+    inputs = {m: F.col(m) for m in METRICS}
+    found = samples.each(
+        lambda rows, own: windows.supervised_sequences(rows, own, inputs, targets, lookback, horizon, 25)
     ).collect()
     step = max(1, lookback // 2)
     expected = {}
@@ -117,24 +120,22 @@ def test_scaler_fit_equals_all_window_elements(spark):
     rows = random_rows(6, {"a": 80, "b": 45})
     df = frame(spark, rows)
     samples = clean_samples(df, PLAIN)
-    scaler = features.fit_scaler(windows.window_table(samples, PLAIN))
+    scaler = features.fit_scaler(samples.each(windows.window_table))
     stacked = np.vstack([x for _, x in brute(cleaned(rows, 5.0), 30, 5).values()])
     np.testing.assert_allclose([scaler.mean[m] for m in METRICS], stacked.mean(axis=0), rtol=1e-9)
     np.testing.assert_allclose([scaler.std[m] for m in METRICS], stacked.std(axis=0), rtol=1e-9)
 
 
 def test_one_exchange_from_raw_to_windows(spark, telemetry):
-    table = windows.window_table(clean_samples(telemetry, PLAIN), PLAIN)
+    table = clean_samples(telemetry, PLAIN).each(windows.window_table)
     plan = table._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1
     assert "node_id" not in plan.split("Exchange")[0]
 
 
 def test_no_exchange_after_settling(spark, telemetry):
-    from gaugeworks.operators.store import settle
-
-    samples = settle(clean_samples(telemetry, PLAIN), keep_distribution=True)
-    plan = windows.window_table(samples, PLAIN)._jdf.queryExecution().executedPlan().toString()
+    samples = clean_samples(telemetry, PLAIN).settled()
+    plan = samples.each(windows.window_table)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan
     assert spark.conf.get("spark.sql.adaptive.enabled") == "true"
 
