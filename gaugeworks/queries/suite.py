@@ -16,7 +16,7 @@ from gaugeworks.operators import (
 )
 from gaugeworks.operators.forest import fit_forest, fit_forest_nodes
 from gaugeworks.operators.pca import fit_pca
-from gaugeworks.operators.series import each_part, index_series, measure
+from gaugeworks.operators.series import LENGTH, POSITION, each_part, index_series, measure
 from gaugeworks.operators.store import settle
 from gaugeworks.plans import report as reports
 from gaugeworks.plans.fingerprint import (
@@ -670,6 +670,22 @@ def scaler_fit(spark, sf_dir):
     return rounded(moments, *moments.columns)
 
 
+@register(
+    "agg_10_window_memberships",
+    query("SELECT gpu_id, 30 * count(*) AS n_elements FROM stats GROUP BY gpu_id", sql.STATS),
+)
+def window_memberships(spark, sf_dir):
+    """Over a device's samples, the windows that contain each add up to all window elements."""
+    raw = read_telemetry(spark, sf_dir).select(SEQ, TIME, KEY)
+    weight = features.window_memberships(F.col(POSITION), F.col(LENGTH), SPEC)
+
+    def weigh(rows, layout):
+        samples = index_series(cleaning.group_samples(rows, layout), layout)
+        return samples.groupBy(KEY).agg(F.sum(weight).alias("n_elements"))
+
+    return each_part(raw, measure(raw), weigh).where("n_elements > 0")
+
+
 @register(
     "ml_01_standardize",
     query(
@@ -1099,6 +1115,12 @@ def demand_forecast(spark, sf_dir):
     return model.forecast(pairs).select(KEY, "sequence_index", "y", "forecast", held_out.alias("is_validation"))
 
 
+@register("agg_13_forecast_error")
+def forecast_error(spark, sf_dir):
+    held_out = demand_forecast(spark, sf_dir).where("is_validation")
+    return evaluation.mean_squared_error(held_out, "y", "forecast")
+
+
 @register("ml_10_anomaly_attribution")
 def anomaly_attribution(spark, sf_dir):
     found = embedded_vectors(spark, sf_dir)

@@ -39,7 +39,15 @@ def test_query_equals_its_sql(spark, duck, name):
     pd.testing.assert_frame_equal(mine, theirs, check_dtype=False)
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
+# The others without SQL share their code with these and with test_models.
+WITHOUT_SQL = (
+    "agg_13_validation_accuracy", "agg_13_forecast_error", "agg_14_explained_variance", "cmp_08_result_document",
+    "flt_06_anomaly_flag", "ml_04_forest_fit", "ml_07_reconstruction_score", "ml_11_validation_split",
+    "srt_03_importance_ranking",
+)
+
+
+@pytest.mark.parametrize("name", WITHOUT_SQL)
 def test_query_without_sql_runs(spark, name):
     assert QUERIES[name](spark, SMALL).count() > 0
 

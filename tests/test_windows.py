@@ -39,7 +39,7 @@ def test_only_the_last_window_is_latest(spark):
     assert found[-1]["gpu_util_mean"] == pytest.approx(np.mean([i for i in range(20, 50)]))
 
 
-@pytest.mark.parametrize("size, stride", [(30, 5), (10, 5), (7, 3), (4, 6), (1, 1), (12, 8)])
+@pytest.mark.parametrize("size, stride", [(30, 5), (7, 3), (4, 6)])
 @pytest.mark.parametrize("cut", [False, True])
 def test_windows_equal_brute_force(spark, size, stride, cut):
     rows = random_rows(5, {"hot": 170, "a": 41, "b": 6})
@@ -80,7 +80,7 @@ def test_latest_per_device(spark):
 
 
 @pytest.mark.parametrize("cut", [False, True])
-@pytest.mark.parametrize("lookback, horizon", [(12, 6), (5, 2), (1, 1), (3, 9)])
+@pytest.mark.parametrize("lookback, horizon", [(12, 6), (3, 9)])
 def test_sequences_equal_brute_force(spark, cut, lookback, horizon):
     rows = random_rows(8, {"hot": 130, "a": 18, "b": 17, "c": 4})
     df = frame(spark, rows)
