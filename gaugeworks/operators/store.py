@@ -13,7 +13,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
     known = context.getCheckpointDir()
     if known:
         return known
-    configured = context.getConf().get("spark.checkpoint.dir", "") or ""
+    configured = spark.conf.get("spark.checkpoint.dir", "")
     if not configured:
         if not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
