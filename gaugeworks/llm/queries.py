@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gaugeworks.llm import ngram_join
+from gaugeworks.llm import language, ngram_join, packing, token_files
+from gaugeworks.llm.common import new_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -54,3 +55,22 @@ FROM documents LEFT JOIN sizes USING (doc_id) JOIN low ON low.a = documents.doc_
 @register("op7_ngram_jaccard_join", JACCARD_SQL)
 def op7_ngram_jaccard_join(spark, sf_dir):
     return ngram_join.jaccard_components(table(spark, sf_dir, "documents"))
+
+
+@register("op5_best_fit_packing")
+def op5_best_fit_packing(spark, sf_dir):
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+@register("op6_token_orc")
+def op6_token_orc(spark, sf_dir):
+    folder = new_folder(spark, "tokens")
+    token_files.write_tokens(table(spark, sf_dir, "documents"), folder)
+    return token_files.digests(token_files.read_tokens(spark, folder))
+
+
+@register("op9_cross_parsing_language")
+def op9_cross_parsing_language(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    found = language.identify(docs, language.language_model(docs))
+    return found.select("doc_id", language.held_out("doc_id").alias("held_out"), "lang_pred", "score")
