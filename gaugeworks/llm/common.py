@@ -139,6 +139,16 @@ def shingle_hashes(words: np.ndarray, size: int) -> np.ndarray:
     return mixed(total)
 
 
+def rolling_hashes(words: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of every `size` words in a row, from running sums; for long runs."""
+    if len(words) < size:
+        return np.zeros(0, np.uint64)
+    up, down = _powers(len(words) + 1)
+    total = np.zeros(len(words) + 1, np.uint64)
+    np.cumsum(words * up[: len(words)], out=total[1:])
+    return mixed((total[size:] - total[:-size]) * down[: len(words) - size + 1])
+
+
 def signed(values: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(values).view(np.int64))
 

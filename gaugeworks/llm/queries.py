@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from gaugeworks.llm import language, ngram_join, packing, token_files
+from gaugeworks.llm import decontaminate, language, ngram_join, packing, suffix_dedup, token_files
 from gaugeworks.llm.common import new_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -74,3 +75,47 @@ def op9_cross_parsing_language(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     found = language.identify(docs, language.language_model(docs))
     return found.select("doc_id", language.held_out("doc_id").alias("held_out"), "lang_pred", "score")
+
+
+@register("op10_sparse_suffix_array")
+def op10_sparse_suffix_array(spark, sf_dir):
+    return suffix_dedup.repeated_passages(table(spark, sf_dir, "documents"))
+
+
+#: Windows proposed by shared shingles, compared by shingle counts; fingerprints are not needed for the result.
+LEAK_SQL = r"""
+WITH words AS (
+  SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents WHERE text IS NOT NULL
+), runs AS (
+  SELECT doc_id, list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) AS s FROM words WHERE len(w) >= 5
+), item_words AS (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM benchmark
+), items AS (
+  SELECT DISTINCT item_id, list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) AS own
+  FROM item_words WHERE len(w) >= 5
+), places AS (SELECT item_id, len(own) AS n, unnest(own) AS h, unnest(range(len(own))) AS place FROM items
+), numbered AS (SELECT doc_id, unnest(s) AS h, unnest(range(len(s))) AS pos FROM runs
+), starts AS (SELECT DISTINCT doc_id, n, pos - place AS start FROM numbered JOIN places USING (h)
+), windows AS (
+  SELECT DISTINCT doc_id, n, greatest(0, least(start, len(s) - n)) AS start,
+    s[greatest(0, least(start, len(s) - n)) + 1:greatest(0, least(start, len(s) - n)) + n] AS own
+  FROM starts JOIN runs USING (doc_id)
+), window_counts AS (
+  SELECT doc_id, n, start, len(own) AS size, h, count(*) AS c
+  FROM (SELECT doc_id, n, start, own, unnest(own) AS h FROM windows) GROUP BY ALL
+), item_counts AS (SELECT item_id, n, h, count(*) AS c FROM places GROUP BY ALL
+), smaller AS (
+  SELECT doc_id, item_id, w.n AS n, start, any_value(size) AS size, sum(least(w.c, i.c)) AS m
+  FROM window_counts w JOIN item_counts i ON w.n = i.n AND w.h = i.h GROUP BY ALL
+), scored AS (
+  SELECT doc_id, item_id, start, size, CAST(m AS double) / CAST(size + n - m AS double) AS similarity FROM smaller
+)
+SELECT doc_id, item_id, max(similarity) AS similarity,
+  CAST(arg_min(start, (-similarity, start)) AS bigint) AS first_word, CAST(arg_min(size + 4, (-similarity, start)) AS bigint) AS n_words
+FROM scored WHERE similarity >= 0.8 GROUP BY doc_id, item_id
+"""
+
+
+@register("op8_simhash_decontamination", LEAK_SQL)
+def op8_simhash_decontamination(spark, sf_dir):
+    found = decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "similarity", F.col("first_word").cast("long"), F.col("n_words").cast("long"))
