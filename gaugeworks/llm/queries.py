@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugeworks.llm import decontaminate, language, ngram_join, packing, suffix_dedup, token_files
+from gaugeworks.llm import decontaminate, language, ngram_join, packing, personal_data, suffix_dedup, token_files
 from gaugeworks.llm.common import new_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -119,3 +119,8 @@ FROM scored WHERE similarity >= 0.8 GROUP BY doc_id, item_id
 def op8_simhash_decontamination(spark, sf_dir):
     found = decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "item_id", "similarity", F.col("first_word").cast("long"), F.col("n_words").cast("long"))
+
+
+@register("op4_bootstrapped_pii")
+def op4_bootstrapped_pii(spark, sf_dir):
+    return personal_data.span_digest(personal_data.personal_spans(table(spark, sf_dir, "documents")))
