@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugeworks.llm import decontaminate, language, ngram_join, packing, personal_data, suffix_dedup, token_files
+from gaugeworks.llm import (
+    chat_rotation, decontaminate, language, ngram_join, packing, personal_data, quality_rules, quality_sites, suffix_dedup, token_files,
+)
 from gaugeworks.llm.common import new_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -124,3 +126,43 @@ def op8_simhash_decontamination(spark, sf_dir):
 @register("op4_bootstrapped_pii")
 def op4_bootstrapped_pii(spark, sf_dir):
     return personal_data.span_digest(personal_data.personal_spans(table(spark, sf_dir, "documents")))
+
+
+@register("op1_site_quality")
+def op1_site_quality(spark, sf_dir):
+    """A document's source is its host; its language's section of the source is the path."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    found = quality_sites.quality_posteriors(docs, labels, F.col("source"), F.concat_ws("/", "source", "lang"))
+    numbers = ["evidence", "host_quality", "path_quality", "quality"]
+    return found.select("doc_id", "host", "path", *[F.round(c, 9).alias(c) for c in numbers], "kept")
+
+
+ROTATION_SQL = r"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, 'unknown') AS speaker, replace(coalesce(text, ''), '<|', '< |') AS text FROM conversations
+), people AS (SELECT DISTINCT conv_id, speaker AS perspective FROM turns WHERE speaker <> 'system'
+), headed AS (
+  SELECT conv_id, perspective, turn, speaker, text, CASE WHEN speaker = 'system' THEN '<|system|>' || chr(10)
+    WHEN speaker = perspective THEN '<|assistant|>' || chr(10) ELSE '<|user name=' || speaker || '|>' || chr(10) END AS head
+  FROM turns JOIN people USING (conv_id)
+), placed AS (
+  SELECT *, head || text || chr(10) AS rendered, row_number() OVER w - 1 AS position,
+    sum(length(head || text || chr(10))) OVER (w ROWS UNBOUNDED PRECEDING) AS e
+  FROM headed WINDOW w AS (PARTITION BY conv_id, perspective ORDER BY turn, speaker)
+)
+SELECT conv_id, perspective, position, turn, speaker, rendered, CAST(e - length(rendered) AS bigint) AS start, CAST(e AS bigint) AS "end",
+  CAST(CASE WHEN speaker = perspective THEN e - length(rendered) + length(head) ELSE e END AS bigint) AS loss_start, CAST(e AS bigint) AS loss_end
+FROM placed
+"""
+
+
+@register("op2_perspective_rotation", ROTATION_SQL)
+def op2_perspective_rotation(spark, sf_dir):
+    return chat_rotation.rotations(table(spark, sf_dir, "conversations"))
+
+
+@register("op3_ngram_quality")
+def op3_ngram_quality(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    found = quality_rules.judged(docs, quality_rules.fit(docs, table(spark, sf_dir, "labels")))
+    return found.withColumn("p_good", F.round("p_good", 9))
