@@ -229,6 +229,31 @@ def identify(docs: DataFrame, model: dict, id_column: str = "doc_id", text_colum
     return source.mapInArrow(run, "id long, lang_pred string, score double, bits double").withColumnRenamed("id", id_column)
 
 
+def accepted(docs: DataFrame, model: dict, text_column: str = "text") -> DataFrame:
+    """The rows of `docs`, all columns, whose language is known: texts with a letter that the parse against some
+    language describes in fewer bits per symbol than letters drawn evenly would take. Texts under 100 characters are
+    too short for that test and only need a letter."""
+    names = docs.columns
+    at = names.index(text_column)
+    evenly = float(np.log2(max(2, int(model["symbols"].max()))))
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        for batch in batches:
+            texts = [t or "" for t in batch.column(at).to_pylist()]
+            keep, pool, size = [], [], 0
+            for i, text in enumerate(texts):
+                pool.append(text)
+                size += len(text) + 2
+                if size > CHUNK or i == len(texts) - 1:
+                    labels, _, bits = predicted(pool, shared.value)
+                    keep += [x != UNKNOWN and (len(t) < 100 or b < evenly) for x, b, t in zip(labels, bits, pool, strict=True)]
+                    pool, size = [], 0
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def language_model(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang", **bounds) -> dict:
     """Learn from the rows of `docs` that are not held out. Rows without id, text or label are not learned from."""
     rows = docs.where(~held_out(id_column)).select(

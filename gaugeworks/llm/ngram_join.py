@@ -51,8 +51,9 @@ def set_hash(found: np.ndarray) -> int:
 
 
 def sizes_and_frequent(docs: DataFrame, size: int) -> DataFrame:
-    """Two kinds of rows: documents (id, n, key = hash of the set) and shingles seen in several sets of a task
-    (key, n = how many)."""
+    """Two kinds of rows: documents (id, text_key, n, key = hash of the set) and shingles seen in several sets of a
+    task (key, n = how many)."""
+    names = ["id", "text_key", "n", "key", "document"]
 
     def run(batches):
         seen: set[int] = set()
@@ -62,10 +63,8 @@ def sizes_and_frequent(docs: DataFrame, size: int) -> DataFrame:
         def counted():
             values, counts = np.unique(np.concatenate(pool), return_counts=True)
             values, counts = values[counts > 1], counts[counts > 1]
-            return pa.record_batch(
-                [pa.nulls(len(values), pa.int64()), pa.array(counts, pa.int64()), signed(values), pa.array(np.zeros(len(values), bool))],
-                names=["id", "n", "key", "document"],
-            )
+            none = pa.nulls(len(values), pa.int64())
+            return pa.record_batch([none, none, pa.array(counts, pa.int64()), signed(values), pa.array(np.zeros(len(values), bool))], names=names)
 
         for batch in batches:
             counts, keys = np.zeros(len(batch), np.int64), np.zeros(len(batch), np.int64)
@@ -78,14 +77,11 @@ def sizes_and_frequent(docs: DataFrame, size: int) -> DataFrame:
                     if pooled > COUNTED:
                         yield counted()
                         pool, pooled, seen = [], 0, set()
-            yield pa.record_batch(
-                [batch.column(0), pa.array(counts), pa.array(keys), pa.array(np.ones(len(batch), bool))],
-                names=["id", "n", "key", "document"],
-            )
+            yield pa.record_batch([batch.column(0), batch.column(2), pa.array(counts), pa.array(keys), pa.array(np.ones(len(batch), bool))], names=names)
         if pool:
             yield counted()
 
-    return docs.mapInArrow(run, "id long, n long, key long, document boolean")
+    return docs.mapInArrow(run, "id long, text_key long, n long, key long, document boolean")
 
 
 def frequent_order(counts: DataFrame, least: int, most: int) -> tuple[np.ndarray, np.ndarray]:
@@ -322,23 +318,14 @@ def verified(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> Data
 # --- the join ------------------------------------------------------------------------------------------
 
 
-def jaccard_components(
-    docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", size: int = 5, percent: int = 80,
-    least: int = 16, frequent: int = 1_000_000, short: int = 16,
-) -> DataFrame:
-    """(id, n_shingles, component_id) for every row of `docs`: the size of its set of `size`-word shingles and the
-    smallest id that links reach; two rows link when their sets' Jaccard similarity is at least `percent` / 100.
-
-    Null or blank texts have an empty set, linked with nothing: their component is their own id. A text with fewer
-    words is one shingle. Equal rows, also with equal ids, all come back; a null id takes part in links, and a
-    component of null ids only has a null component_id. Other columns are ignored. `least`, `frequent` and
-    `short` steer the work, not the result: sightings from which a shingle counts as frequent, the most shingles
-    held in that order, and the length above which a list has a centre.
-    """
-    source = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text"))
+def linked_classes(
+    docs: DataFrame, id_column: str, text_column: str, size: int, percent: int, least: int, frequent: int, short: int,
+) -> tuple[DataFrame, DataFrame]:
+    """(id, text_key, n, key) of every row, and (key, root) of every set that is linked with another one."""
+    source = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text"), F.xxhash64(text_column).alias("text_key"))
     context = docs.sparkSession.sparkContext
     found = written(sizes_and_frequent(source, size), "sizes")
-    rows = found.where("document").select("id", "n", "key")
+    rows = found.where("document").select("id", "text_key", "n", "key")
     order = context.broadcast(frequent_order(found.where("NOT document"), least, frequent))
 
     entries = written(shared_entries(index_entries(source, size, percent, order), short), "entries")
@@ -362,8 +349,23 @@ def jaccard_components(
         .select("a", "b")
     )
     links = near.unionByName(verified(source, written(candidates, "candidates"), size, percent))
-    roots = components(links).toDF("key", "root")
+    return rows, components(links).toDF("key", "root")
+
+
+def jaccard_components(
+    docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", size: int = 5, percent: int = 80,
+    least: int = 16, frequent: int = 1_000_000, short: int = 16,
+) -> DataFrame:
+    """(id, n_shingles, component_id) for every row of `docs`: the size of its set of `size`-word shingles and the
+    smallest id that links reach; two rows link when their sets' Jaccard similarity is at least `percent` / 100.
 
+    Null or blank texts have an empty set, linked with nothing: their component is their own id. A text with fewer
+    words is one shingle. Equal rows, also with equal ids, all come back; a null id takes part in links, and a
+    component of null ids only has a null component_id. Other columns are ignored. `least`, `frequent` and
+    `short` steer the work, not the result: sightings from which a shingle counts as frequent, the most shingles
+    held in that order, and the length above which a list has a centre.
+    """
+    rows, roots = linked_classes(docs, id_column, text_column, size, percent, least, frequent, short)
     classes = rows.where("n > 0").groupBy("key").agg(F.min("id").alias("low"))
     labelled = classes.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
     lowest = labelled.groupBy("root").agg(F.min("low").alias("component_id"))
@@ -374,3 +376,31 @@ def jaccard_components(
         F.col("n").alias("n_shingles"),
         F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"),
     )
+
+
+def one_of_each(
+    docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", size: int = 5, percent: int = 80,
+    least: int = 16, frequent: int = 1_000_000, short: int = 16,
+) -> DataFrame:
+    """`docs` with one row of each component: that of the smallest id (null last), then of the smallest text hash.
+
+    Rows without words all stay, as they are linked with nothing. Of rows with equal id and text one stays.
+    """
+    rows, roots = linked_classes(docs, id_column, text_column, size, percent, least, frequent, short)
+    rank = F.struct(F.col("id").isNull().alias("unnamed"), "id", "text_key")
+    classes = written(rows.where("n > 0").groupBy("key").agg(F.min(rank).alias("low"), F.count(F.lit(1)).alias("rows")), "classes")
+    labelled = classes.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
+    first = labelled.groupBy("root").agg(F.min("low").alias("first"))
+    of_class = labelled.join(first, "root").select(F.col("key").alias("class"), "first")
+    ranked = rows.where("n > 0").join(of_class, F.col("key") == F.col("class")).select("id", "text_key", (rank == F.col("first")).alias("stays"))
+    gone = written(ranked.where("NOT stays").select(F.col("id").alias("gone_id"), F.col("text_key").alias("gone_key")).distinct(), "gone")
+    again = written(
+        ranked.where("stays").groupBy("id", "text_key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+        .select(F.col("id").alias("gone_id"), F.col("text_key").alias("gone_key")), "again",
+    )
+    equal = F.col(id_column).eqNullSafe(F.col("gone_id")) & (F.xxhash64(text_column) == F.col("gone_key"))
+    kept = docs.join(gone, equal, "left_anti")
+    if again.isEmpty():
+        return kept
+    # Rows with equal id and text: one of each, apart from the others.
+    return kept.join(again, equal, "left_anti").unionByName(kept.join(again, equal, "left_semi").dropDuplicates([id_column, text_column]))
