@@ -12,7 +12,8 @@ size and its component. The steps:
    shingles is the list's centre. Classes verified as similar to a centre take over its answer: they are in one
    component, and no pair within a component is looked at again.
 5. Block skipping: the lists' entries are sorted by size and cut into blocks; a pair of blocks whose sizes and
-   positions cannot reach the threshold is skipped as a whole, the rest entry by entry. Only pairs of different
+   positions cannot reach the threshold is skipped as a whole, the rest entry by entry. In long lists, sketches
+   (parities of the shingles in SKETCH_BITS cells) bound how much two sets differ. Only pairs of different
    components come out, and pairs that share too few prefix shingles go before any set is fetched.
 6. Sets of the remaining pairs are fetched through a Bloom filter of fixed size and compared exactly.
 
@@ -32,6 +33,23 @@ from gaugeworks.llm.common import components, hashed_words, mixed, shingle_hashe
 
 #: Tokens counted at once for the frequent list.
 COUNTED = 1 << 21
+#: Two sets differ in at least as many shingles as their sketches in bits.
+SKETCH_BITS = 1024
+KNOWN = ("token", "key", "n", "pos", "part", "sketch")
+
+
+def sketch(found: np.ndarray) -> bytes:
+    cells = np.bincount((found & np.uint64(SKETCH_BITS - 1)).astype(np.int64), minlength=SKETCH_BITS)
+    return np.packbits((cells & 1).astype(np.uint8)).tobytes()
+
+
+def unpacked(column: pa.Array) -> np.ndarray:
+    """Sketches as rows of 64-bit words."""
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(len(column), SKETCH_BITS // 64)
+
+
+def differ(one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(one ^ two).sum(axis=1).astype(np.int64)
 
 
 def row_sets(batch: pa.RecordBatch, size: int) -> Iterator[tuple[int, np.ndarray, int]]:
@@ -51,9 +69,9 @@ def set_hash(found: np.ndarray) -> int:
 
 
 def sizes_and_frequent(docs: DataFrame, size: int) -> DataFrame:
-    """Two kinds of rows: documents (id, text_key, n, key = hash of the set) and shingles seen in several sets of a
-    task (key, n = how many)."""
-    names = ["id", "text_key", "n", "key", "document"]
+    """Two kinds of rows: documents (id, text_key, n, key = hash of the set, sketch where the task meets the set first)
+    and shingles seen in several sets of a task (key, n = how many)."""
+    names = ["id", "text_key", "n", "key", "document", "sketch"]
 
     def run(batches):
         seen: set[int] = set()
@@ -64,24 +82,26 @@ def sizes_and_frequent(docs: DataFrame, size: int) -> DataFrame:
             values, counts = np.unique(np.concatenate(pool), return_counts=True)
             values, counts = values[counts > 1], counts[counts > 1]
             none = pa.nulls(len(values), pa.int64())
-            return pa.record_batch([none, none, pa.array(counts, pa.int64()), signed(values), pa.array(np.zeros(len(values), bool))], names=names)
+            columns = [none, none, pa.array(counts, pa.int64()), signed(values), pa.array(np.zeros(len(values), bool)), pa.nulls(len(values), pa.binary())]
+            return pa.record_batch(columns, names=names)
 
         for batch in batches:
-            counts, keys = np.zeros(len(batch), np.int64), np.zeros(len(batch), np.int64)
+            counts, keys, sketches = np.zeros(len(batch), np.int64), np.zeros(len(batch), np.int64), [None] * len(batch)
             for row, found, key in row_sets(batch, size):
                 counts[row], keys[row] = len(found), key
                 if len(found) and key not in seen:
                     seen.add(key)
+                    sketches[row] = sketch(found)
                     pool.append(found)
                     pooled += len(found)
                     if pooled > COUNTED:
                         yield counted()
                         pool, pooled, seen = [], 0, set()
-            yield pa.record_batch([batch.column(0), batch.column(2), pa.array(counts), pa.array(keys), pa.array(np.ones(len(batch), bool))], names=names)
+            yield pa.record_batch([batch.column(0), batch.column(2), pa.array(counts), pa.array(keys), pa.array(np.ones(len(batch), bool)), pa.array(sketches, pa.binary())], names=names)
         if pool:
             yield counted()
 
-    return docs.mapInArrow(run, "id long, text_key long, n long, key long, document boolean")
+    return docs.mapInArrow(run, "id long, text_key long, n long, key long, document boolean, sketch binary")
 
 
 def frequent_order(counts: DataFrame, least: int, most: int) -> tuple[np.ndarray, np.ndarray]:
@@ -174,69 +194,78 @@ def shared_entries(entries: DataFrame, short: int) -> DataFrame:
 
 
 def listed_pairs(entries: DataFrame, percent: int, block: int = 64) -> DataFrame:
-    """(a, b, na, nb) for each token's pairs of different components that its positions allow; a < b."""
-
-    def pairs(key, n, pos, part):
-        """Pairs of one list, by blocks of entries in the order of size."""
+    """(a, b, na, nb) for each token's pairs of different components that its positions, and in long lists the
+    sketches, allow; a < b."""
+
+    def reach(n, pos, x, y):
+        overlap = np.minimum(pos[x], pos[y]) + 1 + np.minimum(n[x] - pos[x], n[y] - pos[y]) - 1
+        good = (100 + percent) * overlap >= percent * (n[x] + n[y])
+        return good & (100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y]))
+
+    def ordered(key, n, x, y):
+        flip = key[x] > key[y]
+        x, y = np.where(flip, y, x), np.where(flip, x, y)
+        return key[x], key[y], n[x], n[y]
+
+    def pairs(key, n, pos, part, sketches):
+        """Pairs of one list, by blocks of entries in the order of size: those of the largest component only with
+        entries of others."""
         order = np.argsort(n, kind="stable")
-        key, n, pos, part = key[order], n[order].astype(np.int64), pos[order].astype(np.int64), part[order]
-        rest = n - pos - 1
-        cuts = [(i, min(i + block, len(n))) for i in range(0, len(n), block)]
-        for i, (a, b) in enumerate(cuts):
-            for c, d in cuts[i:]:
-                if 100 * n[b - 1] < percent * n[c]:
-                    break  # all later blocks hold larger sets still
-                most = min(pos[a:b].max(), pos[c:d].max()) + 1 + min(rest[a:b].max(), rest[c:d].max())
-                if (100 + percent) * most < percent * (n[a] + n[c]):
+        key, n, pos, part = key[order], n[order], pos[order], part[order]
+        sketches = sketches[order] if sketches is not None else None
+        values, counts = np.unique(part, return_counts=True)
+        large = part == values[counts.argmax()]
+        rows, rest = np.flatnonzero(~large), n - pos - 1
+        for at in range(0, len(rows), block):
+            own = rows[at : at + block]
+            low = np.searchsorted(n, -(-percent * n[own[0]] // 100))
+            high = np.searchsorted(n, 100 * n[own[-1]] // percent, "right")
+            for start in range(low, high, block):
+                end = min(start + block, high)
+                most = min(pos[own].max(), pos[start:end].max()) + 1 + min(rest[own].max(), rest[start:end].max())
+                if (100 + percent) * most < percent * (n[own[0]] + n[start]):
                     continue  # no pair of these blocks can reach the threshold
-                if part[a] == part[c] and (part[a:b] == part[a]).all() and (part[c:d] == part[c]).all():
-                    continue  # the answer is known from the component
-                overlap = np.minimum.outer(pos[a:b], pos[c:d]) + 1 + np.minimum.outer(rest[a:b], rest[c:d])
-                good = (100 + percent) * overlap >= percent * np.add.outer(n[a:b], n[c:d])
-                good &= 100 * np.minimum.outer(n[a:b], n[c:d]) >= percent * np.maximum.outer(n[a:b], n[c:d])
-                good &= part[a:b][:, None] != part[c:d][None, :]
-                if a == c:
-                    good &= np.tri(b - a, k=-1, dtype=bool).T
-                x, y = np.nonzero(good)
+                x, y = np.meshgrid(own, np.arange(start, end), indexing="ij")
+                x, y = x.ravel(), y.ravel()
+                good = (part[x] != part[y]) & (large[y] | (x < y)) & reach(n, pos, x, y)
+                x, y = x[good], y[good]
+                if sketches is not None and len(x):
+                    good = (100 + percent) * (n[x] + n[y] - differ(sketches[x], sketches[y])) >= 2 * percent * (n[x] + n[y])
+                    x, y = x[good], y[good]
                 if len(x):
-                    x, y = x + a, y + c
-                    flip = key[x] > key[y]
-                    x, y = np.where(flip, y, x), np.where(flip, x, y)
-                    yield key[x], key[y], n[x], n[y]
+                    yield ordered(key, n, x, y)
 
     def run(batches):
         batches = list(batches)
         if not batches:
             return
         arrays, bounds = _groups(batches, ["token", "key", "n", "pos", "part"])
-        del batches
         if not arrays:
             return
+        table = pa.Table.from_batches([b.select(["token", "sketch"]) for b in batches])
+        sketches = table.column("sketch").combine_chunks().take(pa.array(np.argsort(table.column("token").to_numpy(), kind="stable")))
+        del batches, table
         out, held = [], 0
 
         def flush():
             a, b, x, y = (np.concatenate([o[i] for o in out]) for i in range(4))
             return pa.record_batch([pa.array(a), pa.array(b), pa.array(x), pa.array(y)], names=["a", "b", "na", "nb"])
 
-        lengths = np.diff(bounds)
-        # Most lists have two entries; these go in one vectorised step.
-        two = bounds[:-1][lengths == 2]
         _, key, n, pos, part = arrays
         n, pos = n.astype(np.int64), pos.astype(np.int64)
-        if len(two):
-            x, y = two, two + 1
-            overlap = np.minimum(pos[x], pos[y]) + 1 + np.minimum(n[x] - pos[x], n[y] - pos[y]) - 1
-            good = ((100 + percent) * overlap >= percent * (n[x] + n[y])) & (part[x] != part[y])
-            good &= 100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y])
-            x, y = x[good], y[good]
-            flip = key[x] > key[y]
-            x, y = np.where(flip, y, x), np.where(flip, x, y)
-            out.append((key[x], key[y], n[x], n[y]))
-            held = len(x)
+        lengths = np.diff(bounds)
+        # Most lists have two entries; these go in one step.
+        x = bounds[:-1][lengths == 2]
+        y = x + 1
+        good = (part[x] != part[y]) & reach(n, pos, x, y)
+        if good.any():
+            out.append(ordered(key, n, x[good], y[good]))
         for start, end in zip(bounds[:-1][lengths > 2], bounds[1:][lengths > 2], strict=True):
             if (part[start:end] == part[start]).all():
-                continue
-            for found in pairs(key[start:end], n[start:end], pos[start:end], part[start:end]):
+                continue  # the answer is known from the component
+            own = sketches.slice(start, end - start)
+            own = unpacked(own) if own.null_count == 0 else None
+            for found in pairs(key[start:end], n[start:end], pos[start:end], part[start:end], own):
                 out.append(found)
                 held += len(found[0])
                 if held > 200_000:
@@ -254,14 +283,12 @@ def listed_pairs(entries: DataFrame, percent: int, block: int = 64) -> DataFrame
 BLOOM_BITS = 1 << 26
 
 
-def bloom_of(keys: DataFrame) -> np.ndarray:
-    """A bit map of fixed size with two bits set for every set hash, taken from the hash itself."""
-    low = F.col("key").bitwiseAND(F.lit(BLOOM_BITS - 1))
-    high = F.shiftrightunsigned("key", 38).bitwiseAND(F.lit(BLOOM_BITS - 1))
-    bits = keys.select(F.explode(F.array(low, high)).alias("bit"))
-    words = bits.groupBy(F.shiftright("bit", 5).alias("word")).agg(
-        F.expr("bit_or(shiftleft(1L, cast(bit & 31 AS int)))").alias("mask")
-    )
+def bloom_of(rows: DataFrame) -> np.ndarray:
+    """A bit map of fixed size with two bits set for every (id, key)."""
+    low = F.col("key").bitwiseXOR(F.col("id")).bitwiseAND(F.lit(BLOOM_BITS - 1))
+    high = F.shiftrightunsigned("key", 38).bitwiseXOR(F.col("id")).bitwiseAND(F.lit(BLOOM_BITS - 1))
+    bits = rows.select(F.explode(F.array(low, high)).alias("bit"))
+    words = bits.groupBy(F.shiftright("bit", 5).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(bit & 31 AS int)))").alias("mask"))
     rows = words.toPandas()
     out = np.zeros(BLOOM_BITS >> 5, np.uint32)
     out[rows["word"].to_numpy(np.int64)] = rows["mask"].to_numpy(np.int64).astype(np.uint32)
@@ -269,34 +296,49 @@ def bloom_of(keys: DataFrame) -> np.ndarray:
 
 
 def fetched_sets(docs: DataFrame, size: int, wanted) -> DataFrame:
-    """(key, items): the sorted sets, 8 bytes each, whose key may be wanted; once for each task at least."""
+    """(key, items): the sorted sets, 8 bytes each, of the documents (id, text) whose (id, key) may be wanted."""
 
     def run(batches):
         bits = wanted.value
-        seen: set[int] = set()
+        last = BLOOM_BITS - 1
         for batch in batches:
+            ids = batch.column(0).to_pylist()
             keys, blobs = [], []
-            for _, found, key in row_sets(batch, size):
-                if not len(found) or key in seen:
+            for row, found, key in row_sets(batch, size):
+                if not len(found):
                     continue
-                low, high = key & (BLOOM_BITS - 1), ((key & (1 << 64) - 1) >> 38) & (BLOOM_BITS - 1)
+                own = ids[row] or 0
+                low, high = (key ^ own) & last, (((key & (1 << 64) - 1) >> 38) ^ own) & last
                 if bits[low >> 5] >> np.uint32(low & 31) & 1 and bits[high >> 5] >> np.uint32(high & 31) & 1:
-                    seen.add(key)
                     keys.append(key)
                     blobs.append(found.tobytes())
             if keys:
                 yield pa.record_batch([pa.array(keys, pa.int64()), pa.array(blobs, pa.binary())], names=["key", "items"])
 
-    return docs.mapInArrow(run, "key long, items binary")
+    return docs.select("id", "text").mapInArrow(run, "key long, items binary")
+
 
+def sketched(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose sketches allow the threshold; `classes` has key, n and sketch."""
 
-def verified(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets reach the threshold."""
+    def run(batches):
+        for batch in batches:
+            n = batch.column("na").to_numpy() + batch.column("nb").to_numpy()
+            away = differ(unpacked(batch.column("sa")), unpacked(batch.column("sb")))
+            good = pa.array((100 + percent) * (n - away) >= 2 * percent * n)
+            yield pa.record_batch([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(good)
+
+    one, two = (classes.select("key", "n", "sketch").toDF(x, f"n{x}", f"s{x}") for x in "ab")
+    return pairs.join(one, "a").join(two, "b").mapInArrow(run, "a long, b long")
+
+
+def verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame, size: int, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sets reach the threshold. Each set comes from its class's first document."""
     context = docs.sparkSession.sparkContext
-    keys = pairs.select(F.explode(F.array("a", "b")).alias("key"))
-    wanted = context.broadcast(bloom_of(keys))
-    found = fetched_sets(docs, size, wanted).join(keys.distinct(), "key", "left_semi")
-    sets = written(found.dropDuplicates(["key"]), "sets")
+    pairs = written(sketched(pairs, classes, percent), "pairs")
+    keys = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+    wanted = context.broadcast(bloom_of(classes.select("key", F.coalesce("id", F.lit(0)).alias("id")).join(keys, "key")))
+    sets = fetched_sets(docs, size, wanted)
     one, two = sets.toDF("a", "xa"), sets.toDF("b", "xb")
 
     def run(batches):
@@ -311,7 +353,7 @@ def verified(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> Data
                 good.append(100 * both >= percent * (len(x) + len(y) - both))
             yield pa.record_batch([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    joined = pairs.select("a", "b").join(two, "b").join(one, "a").select("a", "b", "xa", "xb")
+    joined = pairs.join(two, "b").join(one, "a").select("a", "b", "xa", "xb")
     return joined.mapInArrow(run, "a long, b long")
 
 
@@ -326,6 +368,8 @@ def linked_classes(
     context = docs.sparkSession.sparkContext
     found = written(sizes_and_frequent(source, size), "sizes")
     rows = found.where("document").select("id", "text_key", "n", "key")
+    sets = found.where("document AND n > 0").groupBy("key").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("sketch", True).alias("sketch"))
+    classes = written(sets, "classes")
     order = context.broadcast(frequent_order(found.where("NOT document"), least, frequent))
 
     entries = written(shared_entries(index_entries(source, size, percent, order), short), "entries")
@@ -335,12 +379,13 @@ def linked_classes(
         .groupBy("key").agg(F.max_by("centre", F.struct("times", "centre")).alias("centre"))
         .select(F.col("centre").alias("a"), F.col("key").alias("b"))
     )
-    near = written(verified(source, written(to_centre, "centres"), size, percent), "near")
+    near = written(verified(source, to_centre, classes, size, percent), "near")
     parts = written(components(near), "parts")
 
-    known = entries.join(parts.toDF("key", "root"), "key", "left").select(
-        "token", "key", "n", "pos", F.coalesce("root", "key").alias("part")
-    )
+    known = entries.join(parts.toDF("key", "root"), "key", "left").withColumn("part", F.coalesce("root", "key"))
+    long = known.where("centre IS NOT NULL").join(classes.select("key", "sketch"), "key")
+    short_ones = known.where("centre IS NULL").withColumn("sketch", F.lit(None).cast("binary"))
+    known = short_ones.select(*KNOWN).unionByName(long.select(*KNOWN))
     rest = "greatest({0}, {1})".format(*(f"(ceil({percent} * {n} / 100) - 1)" for n in ("na", "nb")))
     candidates = (
         listed_pairs(known, percent)
@@ -348,7 +393,7 @@ def linked_classes(
         .where(f"{100 + percent} * (shared + {rest}) >= {percent} * (na + nb)")
         .select("a", "b")
     )
-    links = near.unionByName(verified(source, written(candidates, "candidates"), size, percent))
+    links = near.unionByName(verified(source, candidates, classes, size, percent))
     return rows, components(links).toDF("key", "root")
 
 
