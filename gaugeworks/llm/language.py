@@ -122,12 +122,15 @@ def parse_table(texts: list[str], table: np.ndarray) -> tuple[np.ndarray, float]
     for a, b in zip(offsets[:-1], offsets[1:], strict=True):
         sequence += [*found[a:b].tolist(), width - 1]
     moves = suffix_automaton(sequence)
-    flat = np.full((len(moves), width), -1, np.int32)
+    flat = np.full((len(moves) + 1, width), -1, np.int32)
     for state, own in enumerate(moves):
         for c, to in own.items():
             flat[state, c] = to * width
-    start = np.where(flat[0] < 0, 0, flat[0])
-    return np.where(flat < 0, ~start, flat).astype(np.int32).ravel(), float(np.log2(max(2, len(sequence))))
+    # The last state is reached by a symbol that the sample lacks: a phrase of its own, which any symbol ends.
+    start = np.where(flat[0] < 0, len(moves) * width, flat[0])
+    flat = np.where(flat < 0, ~start, flat)
+    flat[0] = start
+    return flat.astype(np.int32).ravel(), float(np.log2(max(2, len(sequence))))
 
 
 def learn(labelled: DataFrame, per_language: int = 96, chars: int = 256, languages: int = 64) -> dict:
