@@ -32,51 +32,75 @@ def min_max_score(
 
 
 def quantiles(df: DataFrame, column: str, shares: list[float], sort_rows: int = 100_000) -> list[float]:
-    """Exact quantiles with linear interpolation between neighbours, for any number of rows.
+    """Exact quantiles with linear interpolation between neighbours, for any number of rows. NaN counts as missing.
 
-    Up to `sort_rows` values one aggregate sorts them. Beyond that the range around each wanted rank
-    is narrowed by counting values in 1,000 bins per pass, until it holds few enough values (or one
-    repeated value); only that range is then sorted. No task or driver sees more than `sort_rows`.
+    The ranges around all wanted ranks are narrowed together: two values that enclose a rank come from a sketch, the
+    values below, at and between them are counted. A range holds a fixed small part of the range before, whatever the
+    distribution, until at most `sort_rows` values are left to be sorted. Infinite values are ranks at the ends.
     """
-    values = df.select(F.col(column).alias("v")).where(F.col("v").isNotNull())
-    count, low, high = values.agg(F.count("v"), F.min("v"), F.max("v")).first()
+    v = F.col("v")
+    values = df.select(F.col(column).cast("double").alias("v")).where(v.isNotNull() & ~F.isnan("v"))
+    endless = F.lit(float("inf"))
+    count, low, high = values.agg(F.count("v"), F.count_if(v == -endless), F.count_if(v == endless)).first()
     if count == 0:
         raise ValueError(f"no values in {column}")
-    if count <= sort_rows:
-        return values.agg(F.percentile("v", F.array(*[F.lit(s) for s in shares]))).first()[0]
-    result = []
-    for share in shares:
+    ranks = {min(int(s * (count - 1)) + i, count - 1) for s in shares for i in (0, 1)}
+    found = {r: float("-inf") for r in ranks if r < low} | {r: float("inf") for r in ranks if r >= count - high}
+    inside = [r for r in sorted(ranks) if r not in found]
+    found |= _ranked(values, {r: r - low for r in inside}, count - low - high, sort_rows)
+
+    def between(share: float) -> float:
         at = share * (count - 1)
         below = int(at)
-        a = _ranked(values, below, count, low, high, sort_rows)
-        b = _ranked(values, min(below + 1, count - 1), count, low, high, sort_rows) if at > below else a
-        result.append(a + (b - a) * (at - below))
-    return result
-
-
-def _ranked(values: DataFrame, rank: int, count: int, low: float, high: float, sort_rows: int) -> float:
-    """The value at a 0-based rank among `count` values, all within [low, high]."""
-    bins = 1_000
-    while low < high and count > sort_rows:
-        width = (high - low) / bins or 1.0
-        inside = values.where((F.col("v") >= low) & (F.col("v") <= high))
-        step = F.least(F.floor((F.col("v") - low) / width) + 1, F.lit(bins))
-        table = (
-            # The lowest value has a bin of its own, so every pass splits the range.
-            inside.groupBy(F.when(F.col("v") == low, F.lit(0)).otherwise(step).alias("bin"))
-            .agg(F.count("v").alias("n"), F.min("v").alias("low"), F.max("v").alias("high"))
-            .orderBy("bin")
-            .collect()
-        )
-        for row in table:
-            if rank < row["n"]:
-                count, low, high = row["n"], row["low"], row["high"]
-                break
-            rank -= row["n"]
-    if low == high:
-        return low
-    inside = values.where((F.col("v") >= low) & (F.col("v") <= high))
-    return inside.orderBy("v").limit(rank + 1).agg(F.max("v")).first()[0]
+        a, b = found[below], found[min(below + 1, count - 1)]
+        return a if at == below or a == b else a + (b - a) * (at - below)
+
+    return [between(s) for s in shares]
+
+
+def _ranked(values: DataFrame, places: dict[int, int], count: int, sort_rows: int, accuracy: int = 10_000) -> dict[int, float]:
+    """The finite values at 0-based places; keys of `places` name them."""
+    found: dict[int, float] = {}
+    # name -> (place within the open range, values in it, its ends)
+    ranges = {name: (place, count, float("-inf"), float("inf")) for name, place in places.items()}
+    v = F.col("v")
+    while wide := [name for name, (_, n, _, _) in ranges.items() if n > sort_rows]:
+        sketches = []
+        for name in wide:
+            place, n, low, high = ranges[name]
+            around = [min(max(place / n + d / accuracy, 0.0), 1.0) for d in (-2, 2)]
+            own = F.when((v > low) & (v < high), v)
+            sketches.append(F.percentile_approx(own, around, accuracy))
+        ends = dict(zip(wide, values.agg(*sketches).first(), strict=True))
+        counts = []
+        for name in wide:
+            low, high = ranges[name][2:]
+            a, b = ends[name]
+            counts += [F.count_if((v > low) & (v < a)), F.count_if(v == a), F.count_if((v > a) & (v < b)), F.count_if((v == b) & F.lit(a < b))]
+        table = list(values.agg(*counts).first())
+        for i, name in enumerate(wide):
+            place, _, low, high = ranges.pop(name)
+            a, b = ends[name]
+            below, at_a, middle, at_b = table[4 * i : 4 * i + 4]
+            if place < below:
+                ranges[name] = (place, below, low, a)
+            elif place < below + at_a:
+                found[name] = a
+            elif place < below + at_a + middle:
+                ranges[name] = (place - below - at_a, middle, a, b)
+            elif place < below + at_a + middle + at_b:
+                found[name] = b
+            else:
+                rest = ranges_count(values, b, high)
+                ranges[name] = (place - below - at_a - middle - at_b, rest, b, high)
+    if ranges:
+        sorted_values = [F.get(F.array_sort(F.collect_list(F.when((v > low) & (v < high), v))), place) for place, _, low, high in ranges.values()]
+        found |= dict(zip(ranges, values.agg(*sorted_values).first(), strict=True))
+    return found
+
+
+def ranges_count(values: DataFrame, low: float, high: float) -> int:
+    return values.where((F.col("v") > low) & (F.col("v") < high)).count()
 
 
 def error_score(

@@ -21,7 +21,7 @@ from gaugeworks.operators.series import (
     parts,
     span_offsets,
 )
-from gaugeworks.operators.store import settle
+from gaugeworks.operators.store import settle_grouped
 from gaugeworks.schema import KEY, METRICS, SEQ, TIME, metric_columns
 
 
@@ -47,7 +47,7 @@ def group_samples(df: DataFrame, layout: SeriesLayout, seq: str | None = SEQ) ->
     """Distribute samples by device (by device and span when cut) and drop earlier copies.
 
     Uncut: one exchange serves the deduplication and everything after it. Cut: copies are reduced
-    before and after a first exchange, then samples move to their span.
+    before and after a first exchange, then samples are dealt to spans.
     """
     df = df.where(F.col(layout.key).isNotNull())
     if not layout.is_cut:
@@ -55,7 +55,7 @@ def group_samples(df: DataFrame, layout: SeriesLayout, seq: str | None = SEQ) ->
         return df if seq is None else keep_last(df, seq, layout, layout.key, layout.time)
     if seq is not None:
         df = keep_last(df, seq, None, layout.key, layout.time)
-    return layout.attach(df).repartition(*layout.group)
+    return layout.attach(df)
 
 
 def count_missing(df: DataFrame, key: str = KEY) -> DataFrame:
@@ -177,13 +177,17 @@ def device_moments(df: DataFrame, layout: SeriesLayout, metrics: list[str]) -> D
 def clip_outliers(
     df: DataFrame, layout: SeriesLayout, metrics: list[str], z_threshold: float = 5.0
 ) -> DataFrame:
-    """Clamp values further than `z_threshold` population deviations from the device's mean."""
+    """Clamp values further than `z_threshold` population deviations from the device's mean.
+
+    A metric with an infinite value on a device has no deviation there (NaN, which Spark puts above all numbers) and
+    stays as it is.
+    """
     chosen = set(metrics)
 
     def clamped(m: str) -> str:
         reach = f"{z_threshold}D * _std_{m}"
         return (
-            f"CASE WHEN _std_{m} > 0 AND abs(({m} - _mean_{m}) / _std_{m}) > {z_threshold}D"
+            f"CASE WHEN _std_{m} > 0 AND NOT isnan(_std_{m}) AND abs(({m} - _mean_{m}) / _std_{m}) > {z_threshold}D"
             f" THEN least(greatest({m}, _mean_{m} - {reach}), _mean_{m} + {reach}) ELSE {m} END AS {m}"
         )
 
@@ -229,7 +233,7 @@ class Samples:
 
     def settled(self) -> "Samples":
         """Computed once; later passes over them need no shuffle by device."""
-        return Samples(tuple((settle(rows, True), layout) for rows, layout in self.tables))
+        return Samples(tuple((settle_grouped(rows, layout.group, layout.time), layout) for rows, layout in self.tables))
 
 
 def clean_samples(raw: DataFrame, layout: SeriesLayout | None = None, z_threshold: float = 5.0) -> Samples:

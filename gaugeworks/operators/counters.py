@@ -16,7 +16,7 @@ def with_previous(df: DataFrame, layout: SeriesLayout, columns: list[str]) -> Da
 
 def _with_previous(df: DataFrame, layout: SeriesLayout, columns: list[str]) -> DataFrame:
     """One part of the layout; the first sample of a span reads the last one of the span before it."""
-    grouped = layout.attach(df.where(F.col(layout.key).isNotNull())).repartition(*layout.group)
+    grouped = layout.attach(df.where(F.col(layout.key).isNotNull()))
     order = layout.ordered()
     result = grouped.select(
         "*", *[F.lag(c).over(order).alias(f"_previous_{c}") for c in columns]

@@ -2,8 +2,8 @@
 
 Every cleaning and windowing operator works along the samples of one device. Devices are normally
 short enough to be one group each. A device that is much longer than the others (a shared id such as
-`unknown` can hold a third of all rows) would be a single huge task, so it is cut into spans of time;
-what crosses a span boundary travels in a table with one row per span. Long devices are processed apart
+`unknown` can hold a third of all rows) would be a single huge task, so its samples are cut into spans by
+rank; what crosses a span boundary travels in a table with one row per span. Long devices are processed apart
 from the others (`parts`), which keep the cheaper form.
 """
 
@@ -13,10 +13,10 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import TimestampNTZType
 
+from gaugeworks.operators.store import settle
 from gaugeworks.schema import KEY, TIME
 
 SPAN = "_span"
@@ -24,33 +24,18 @@ POSITION = "_position"
 LENGTH = "_length"
 
 
-def _micros(df: DataFrame, name: str) -> Column:
-    """A monotonic clock in microseconds; zone-free timestamps never go through the session zone."""
-    ts = F.col(name)
-    if not isinstance(df.schema[name].dataType, TimestampNTZType):
-        return F.unix_micros(ts.cast("timestamp"))
-    days = F.datediff(ts.cast("date"), F.lit("1970-01-01").cast("date")).cast("bigint")
-    minutes = (days * 24 + F.hour(ts)) * 60 + F.minute(ts)
-    seconds = F.extract(F.lit("SECOND"), ts)
-    return minutes * 60_000_000 + (seconds * 1_000_000).cast("bigint")
-
-
 @dataclass(frozen=True)
 class SeriesLayout:
-    """Which devices are cut into spans: (device, first microsecond, span width in microseconds).
-
-    `cuts` is at most `measure`'s `max_cuts` long, which bounds what is collected and broadcast.
-    A device outside it has no more than `long_rows` rows, or, when the table is full, no more than
-    any listed device, i.e. less than all rows / max_cuts.
-    """
+    """Which devices are cut into spans: a settled table of their names, and into how many spans in all."""
 
     key: str = KEY
     time: str = TIME
-    cuts: tuple[tuple[str, int, int], ...] = field(default=(), repr=False)
+    long: DataFrame | None = field(default=None, repr=False, compare=False)
+    spans: int = 0
 
     @property
     def is_cut(self) -> bool:
-        return bool(self.cuts)
+        return self.long is not None
 
     @property
     def group(self) -> list[str]:
@@ -73,23 +58,16 @@ class SeriesLayout:
         )
 
     def attach(self, df: DataFrame) -> DataFrame:
-        """Add the span number; 0 for devices that are not cut, one past the last for NULL times."""
+        """Distribute rows by group and add the span number, which grows with time within a device.
+
+        Uncut: by device, without a number. Cut: ranges of (device, time) with about equal numbers of rows, whatever
+        the times are; the ranges are settled, as they are drawn anew whenever Spark computes them. Rows of equal
+        device and time are in one span, so copies should be dropped before.
+        """
         if not self.is_cut:
-            return df
-        cuts = df.sparkSession.createDataFrame(
-            list(self.cuts), f"`{self.key}` string, _origin bigint, _width bigint"
-        )
-        number = F.floor((_micros(df, self.time) - F.col("_origin")) / F.col("_width"))
-        span = (
-            F.when(F.col("_width").isNull(), F.lit(0))
-            .otherwise(F.coalesce(number, F.lit(2**62)))
-            .cast("bigint")
-        )
-        return (
-            df.join(F.broadcast(cuts), self.key, "left")
-            .withColumn(SPAN, span)
-            .drop("_origin", "_width")
-        )
+            return df.repartition(self.key)
+        ordered = df.repartitionByRange(self.spans, F.col(self.key), F.col(self.time).asc_nulls_last())
+        return settle(ordered.withColumn(SPAN, F.spark_partition_id().cast("bigint"))).repartition(*self.group)
 
 
 def measure(
@@ -98,29 +76,18 @@ def measure(
     time: str = TIME,
     long_rows: int = 2_000_000,
     span_rows: int = 250_000,
-    max_cuts: int = 100_000,
 ) -> SeriesLayout:
-    """Count rows per device (reads two columns) and decide which devices to cut.
+    """Count rows per device (reads one column) and decide which devices to cut: those above `long_rows`.
 
-    Spans of one device have equal duration, about `span_rows` rows on average.
+    Their names are settled as a table; the driver gets how many there are and their rows, about `span_rows` for each
+    span.
     """
-    counts = (
-        df.where(F.col(key).isNotNull())
-        .groupBy(key)
-        .agg(
-            F.count(F.lit(1)).alias("n"),
-            F.min(_micros(df, time)).alias("first"),
-            F.max(_micros(df, time)).alias("last"),
-        )
-        .where((F.col("n") > long_rows) & (F.col("last") > F.col("first")))
-        .orderBy(F.desc("n"), key)
-        .limit(max_cuts)
-    )
-    cuts = []
-    for device, n, first, last in counts.collect():
-        spans = -(-n // span_rows)
-        cuts.append((device, first, max(1, -(-(last - first + 1) // spans))))
-    return SeriesLayout(key, time, tuple(cuts))
+    counts = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_rows"))
+    long = settle(counts.where(F.col("_rows") > long_rows))
+    devices, rows = long.agg(F.count(F.lit(1)), F.sum("_rows")).first()
+    if not devices:
+        return SeriesLayout(key, time)
+    return SeriesLayout(key, time, long.select(key), max(1, -(-rows // span_rows)))
 
 
 def over_earlier_spans(layout: SeriesLayout, later: bool = False) -> str:
@@ -135,15 +102,14 @@ def over_earlier_spans(layout: SeriesLayout, later: bool = False) -> str:
 def parts(df: DataFrame, layout: SeriesLayout) -> list[tuple[DataFrame, SeriesLayout]]:
     """Rows of devices that are not cut, with the plain layout, and rows of cut devices.
 
-    Only long devices pay for the extra exchanges of the cut form. Costs a second scan of `df`.
+    Only long devices pay for the extra exchanges of the cut form. Costs a second scan of `df`. The table of long
+    devices is a settled one, so Spark knows its size and broadcasts it only if it is small.
     """
     if not layout.is_cut:
         return [(df, layout)]
-    names = df.sparkSession.createDataFrame([(cut[0],) for cut in layout.cuts], f"`{layout.key}` string")
-    long = F.broadcast(names)
     return [
-        (df.join(long, layout.key, "left_anti"), SeriesLayout(layout.key, layout.time)),
-        (df.join(long, layout.key, "left_semi"), layout),
+        (df.join(layout.long, layout.key, "left_anti"), SeriesLayout(layout.key, layout.time)),
+        (df.join(layout.long, layout.key, "left_semi"), layout),
     ]
 
 

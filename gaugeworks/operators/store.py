@@ -2,41 +2,59 @@
 
 from __future__ import annotations
 
-import tempfile
+import atexit
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Bytes of a settled table that one bucket should hold, by Spark's own estimate of the plan.
+BUCKET_BYTES = 128 << 20
+MOST_BUCKETS = 20_000
+_FOLDERS: dict[str, str] = {}
+
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; a temporary one only for local sessions without any."""
-    context = spark.sparkContext
-    known = context.getCheckpointDir()
-    if known:
-        return known
-    configured = spark.conf.get("spark.checkpoint.dir", "")
-    if not configured:
-        if not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        configured = tempfile.mkdtemp(prefix="checkpoint-")
-    context.setCheckpointDir(configured)
-    return configured
-
-
-def settle(df: DataFrame, keep_distribution: bool = False) -> DataFrame:
-    """Compute once and cut lineage through the shared folder, so that losing executors is harmless.
-
-    With `keep_distribution` the result stays hash-distributed and sorted as `df` is, and later windows
-    and aggregations over the same keys need no shuffle. Spark only records that for plans that are
-    fixed in advance, so this one job runs without adaptive execution.
-    """
+    """The cluster's shared checkpoint folder, or the session's warehouse where none is set; all executors see both."""
+    return spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", "") or spark.conf.get("spark.sql.warehouse.dir")
+
+
+def own_folder(spark: SparkSession) -> str:
+    """A folder of this application in the shared one, deleted when the driver ends."""
+    application = spark.sparkContext.applicationId
+    if application not in _FOLDERS:
+        folder = _FOLDERS[application] = f"{checkpoint_dir(spark).rstrip('/')}/settled-{uuid.uuid4().hex}"
+
+        def clean(context=spark.sparkContext):
+            if context._jsc is not None:
+                path = context._jvm.org.apache.hadoop.fs.Path(folder)
+                path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+        atexit.register(clean)
+    return _FOLDERS[application]
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """Compute once and cut lineage: a Parquet table in the shared folder, so that losing executors is harmless and
+    later passes read only the columns they need."""
     spark = df.sparkSession
-    checkpoint_dir(spark)
-    if not keep_distribution:
-        return df.checkpoint(eager=True)
-    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
-    spark.conf.set("spark.sql.adaptive.enabled", "false")
-    try:
-        # A new frame: one that was already planned would keep its adaptive plan.
-        return df.select("*").checkpoint(eager=True)
-    finally:
-        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    folder = f"{own_folder(spark)}/{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    return spark.read.schema(df.schema).parquet(folder)
+
+
+def buckets(df: DataFrame) -> int:
+    """Enough for BUCKET_BYTES each, at least one for every core."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return min(MOST_BUCKETS, max(df.sparkSession.sparkContext.defaultParallelism, -(-size // BUCKET_BYTES)))
+
+
+def settle_grouped(df: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """`settle`, as a table bucketed by `keys`: windows and aggregates over them need no shuffle any more."""
+    spark, number = df.sparkSession, buckets(df)
+    name = f"settled_{uuid.uuid4().hex}"
+    (
+        df.repartition(number, *keys)
+        .write.bucketBy(number, *keys).sortBy(*keys, order)
+        .option("path", f"{own_folder(spark)}/{name}").format("parquet").saveAsTable(name)
+    )
+    return spark.table(name)

@@ -1,4 +1,4 @@
-from datetime import timedelta
+from datetime import datetime, timedelta
 
 import pandas as pd
 import pytest
@@ -99,8 +99,49 @@ def test_positions_and_lengths_of_a_cut_series(spark):
     out = index_series(cleaning.group_samples(df, layout), layout).orderBy("gpu_id", "timestamp").collect()
     assert [r[POSITION] for r in out] == [*range(57), *range(4)]
     assert {r[LENGTH] for r in out if r["gpu_id"] == "a"} == {57}
-    spans = {r["_span"] for r in out if r["gpu_id"] == "a"}
-    assert len(spans) >= 5 and {r["_span"] for r in out if r["gpu_id"] == "b"} == {0}
+    assert len({r["_span"] for r in out if r["gpu_id"] == "a"}) >= 5
+
+
+def clocks():
+    """Times that equal durations would not cut: even ones, one reset clock, a burst, copies, missing times."""
+    even = [START + timedelta(seconds=i) for i in range(2000)]
+    return {
+        "even": even,
+        "reset": [datetime(1970, 1, 1), *even[1:]],
+        "burst": even[:20] + [even[20] + timedelta(microseconds=i) for i in range(1980)],
+        "missing": even[:1999] + [None],
+    }
+
+
+@pytest.mark.parametrize("name", sorted(clocks()))
+def test_spans_have_about_equal_numbers_of_rows(spark, name):
+    rows = rows_of("a", [1.0] * 2000)
+    for row, time in zip(rows, clocks()[name], strict=True):
+        row["timestamp"] = time
+    df = frame(spark, rows)
+    layout = measure(df, long_rows=100, span_rows=250)
+    spans = cleaning.group_samples(df, layout).groupBy("_span").count().collect()
+    assert max(r["count"] for r in spans) <= 500
+
+
+def test_equal_times_are_one_sample_in_the_cut_form(spark):
+    rows = rows_of("a", [1.0] * 300, step_seconds=0)
+    for row in rows[150:]:
+        row["timestamp"] = None
+    df = frame(spark, rows)
+    layout = measure(df, long_rows=100, span_rows=50)
+    assert layout.is_cut and cleaning.preprocess(df, layout=layout).count() == 2
+
+
+@pytest.mark.parametrize("cut", [False, True])
+def test_infinite_values_stay_and_do_not_spread(spark, cut):
+    rows = rows_of("a", [float(i) for i in range(1, 9)])
+    for row, value in zip(rows, [1, 2, 3, float("inf"), 5, 6, 7, 8], strict=True):
+        row["ecc_errors"] = float(value)
+    df = frame(spark, rows)
+    layout = measure(df, long_rows=3, span_rows=2) if cut else PLAIN
+    out = cleaning.preprocess(df, layout=layout).orderBy("timestamp").collect()
+    assert [r["ecc_errors"] for r in out] == [1, 2, 3, float("inf"), 5, 6, 7, 8]
 
 
 def test_missing_time_is_last_in_its_series(spark):
