@@ -99,6 +99,8 @@ def window_memberships(position: Column, length: Column, spec: WindowSpec) -> Co
 def is_validation(columns: list[str], percent: int = 15, seed: int = 42) -> Column:
     """Deterministic split: true for about `percent` % of the distinct values of `columns`.
 
-    Split by device to keep overlapping windows on one side.
+    By the first eight hex digits of an MD5 hash, which other engines have as well. Split by device to keep
+    overlapping windows on one side.
     """
-    return F.pmod(F.xxhash64(*[F.col(c) for c in columns], F.lit(seed)), F.lit(100)) < percent
+    text = F.concat_ws("|", *[F.col(c).cast("string") for c in columns], F.lit(str(seed)))
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("bigint") % 100 < percent

@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gaugeworks.functions import text
-from gaugeworks.functions.numeric import round_to
+from gaugeworks.functions.numeric import risk_tier, round_to
 from gaugeworks.operators.scoring import device_results, explain_failure_risk
 from gaugeworks.operators.services import (
+    DRAIN_RISK,
     HOURLY_COST_USD,
+    IDLE_UTIL,
     cost_summary,
     devices_to_drain,
     find_device,
@@ -38,7 +41,7 @@ PANEL_FIELDS = {
 
 @dataclass(frozen=True)
 class FleetReport:
-    """Tables of one run. Long lists stay tables; `document` nests them into one row."""
+    """Tables of one run, and the parameters their figures depend on."""
 
     fingerprint: DataFrame
     devices: DataFrame
@@ -47,6 +50,8 @@ class FleetReport:
     drain: DataFrame
     cost: DataFrame
     idle: DataFrame
+    tiers: RiskTiers = RiskTiers()
+    hourly_cost_usd: float = HOURLY_COST_USD
 
 
 def cluster_summary(latest: DataFrame) -> DataFrame:
@@ -71,6 +76,8 @@ def report(
         devices_to_drain(latest),
         cost_summary(latest, hourly_cost_usd),
         idle_recommendations(latest, hourly_cost_usd),
+        tiers,
+        hourly_cost_usd,
     )
 
 
@@ -86,37 +93,42 @@ def run(
     return report(latest, hourly_cost_usd)
 
 
-def _nested(df: DataFrame, order: str, descending: bool = False):
-    """All rows as one array of structs sorted by a column, as a scalar subquery."""
-    keyed = F.struct((-F.col(order) if descending else F.col(order)).alias("o"), F.struct(*df.columns).alias("row"))
-    rows = df.agg(F.sort_array(F.collect_list(keyed)).alias("rows"))
-    return rows.select(F.transform("rows", lambda r: r["row"])).scalar()
+def _section(name: str, df: DataFrame, key: Column | str | None = None) -> DataFrame:
+    """Rows (section, key, json) of a table; `key` orders them within the section."""
+    own = F.lit("") if key is None else F.col(key) if isinstance(key, str) else key
+    return df.select(F.lit(name).alias("section"), own.alias("key"), F.to_json(F.struct(*df.columns)).alias("json"))
 
 
-def document(tables: FleetReport, max_devices: int = 20_000) -> DataFrame:
-    """One row in the layout of the result document, which lists every device.
+def _ranked(best: DataFrame) -> DataFrame:
+    """Placement sections: rows of a top-k list, keyed by their rank."""
+    place = F.row_number().over(Window.orderBy(F.desc("schedule_score"), KEY))
+    return best.withColumn("place", F.lpad(place.cast("string"), 6, "0"))
 
-    That is checked to be at most `max_devices`; larger fleets write the same content as tables
-    (`write_tables`).
+
+def _advice(tables: FleetReport, prefix: str, scheduling: str, drain: str) -> list[DataFrame]:
+    ranked = _ranked(tables.scheduling)
+    best = ranked.select(F.lit(scheduling).alias("section"), F.col("place").alias("key"), F.to_json(F.struct(*tables.scheduling.columns)).alias("json"))
+    known = tables.cluster.select("status").scalar() == "ok"
+    return [
+        best,
+        _section(drain, tables.drain, KEY),
+        _section(f"{prefix}cost_optimization", tables.cost.where(known)),
+        _section(f"{prefix}cost_optimization.recommendations", tables.idle, KEY),
+    ]
+
+
+def document(tables: FleetReport) -> DataFrame:
+    """The result document as rows (section, key, json): lists have a row for every entry, ordered by key.
+
+    No row or task holds the fleet, so it works for any number of devices.
     """
-    devices = tables.devices.limit(max_devices + 1).count()
-    if devices > max_devices:
-        raise ValueError(f"more than {max_devices} devices do not fit one document; use write_tables")
-    ok = F.col("status") == "ok"
-    scheduling = _nested(tables.scheduling, "schedule_score", descending=True)
-    drain = tables.drain.agg(F.sort_array(F.collect_list(KEY))).scalar()
-    cost = tables.cost.agg(F.first(F.struct("*"))).scalar()
-    idle = _nested(tables.idle, KEY)
-    full = F.struct(*[cost[c].alias(c) for c in tables.cost.columns], idle.alias("recommendations"))
-    return tables.cluster.select(
-        "status",
-        "cluster_health_score",
-        F.when(ok, F.col("num_gpus")).alias("num_gpus"),
-        _nested(tables.devices, KEY).alias("gpus"),
-        F.when(ok, scheduling).alias("scheduling_recommendations"),
-        F.when(ok, drain).alias("gpus_recommended_for_drain"),
-        F.when(ok, full).alias("cost_optimization"),
-    )
+    known = F.when(F.col("status") == "ok", F.col("num_gpus")).alias("num_gpus")
+    parts = [
+        _section("result", tables.cluster.select("status", "cluster_health_score", known)),
+        _section("gpus", tables.devices, KEY),
+        *_advice(tables, "", "scheduling_recommendations", "gpus_recommended_for_drain"),
+    ]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def panels(devices: DataFrame) -> DataFrame:
@@ -137,41 +149,38 @@ def alerts(devices: DataFrame) -> DataFrame:
 
 
 def dashboard_summary(tables: FleetReport) -> DataFrame:
-    """The six figures on top of the dashboard."""
-    raised = tables.devices.agg(F.count_if(F.col("risk_tier") != "low")).scalar()
-    draining = tables.drain.agg(F.count(F.lit(1))).scalar()
-    savings = tables.cost.agg(F.first("estimated_savings_usd_per_window")).scalar()
-    idle = tables.cost.agg(F.first("idle_fraction")).scalar()
-    return tables.cluster.where("status = 'ok'").select(
-        "cluster_health_score",
+    """The six figures on top of the dashboard, in one pass over the fingerprint; no row without devices."""
+    risky = risk_tier(F.col("failure_risk_score"), tables.tiers) != "low"
+    found = tables.fingerprint.agg(
+        F.avg("gpu_health_score").alias("h"),
+        F.count(F.lit(1)).alias("num_gpus"),
+        F.count_if(risky).alias("num_alerts"),
+        F.count_if(F.col("failure_risk_score") >= DRAIN_RISK).alias("num_gpus_recommended_for_drain"),
+        F.count_if(F.col("gpu_util_mean") < IDLE_UTIL).alias("idle"),
+    )
+    return found.where("num_gpus > 0").select(
+        round_to(F.col("h"), 2).alias("cluster_health_score"),
         "num_gpus",
-        raised.alias("num_alerts"),
-        draining.alias("num_gpus_recommended_for_drain"),
-        savings.alias("estimated_idle_savings_usd_per_window"),
-        idle.alias("idle_gpu_fraction"),
+        "num_alerts",
+        "num_gpus_recommended_for_drain",
+        round_to(F.col("idle") * tables.hourly_cost_usd, 2).alias("estimated_idle_savings_usd_per_window"),
+        round_to(F.col("idle") / F.col("num_gpus"), 4).alias("idle_gpu_fraction"),
     )
 
 
 def dashboard(tables: FleetReport, generated_at: str | None = None) -> DataFrame:
-    """One row in the layout of the dashboard document; without devices its sections are empty."""
+    """The dashboard document as rows (section, key, json); without devices its lists have no rows."""
     now = F.lit(generated_at) if generated_at else F.date_format(
         F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'+00:00'"
     )
-    result = document(tables).withColumnRenamed("status", "state")
-    summary = dashboard_summary(tables)
-    top = summary.agg(F.first(F.struct("*"))).scalar()
-    return result.select(
-        now.alias("generated_at"),
-        F.col("state").alias("status"),
-        top.alias("cluster_summary"),
-        _nested(panels(tables.devices), KEY).alias("gpu_panels"),
-        _nested(alerts(tables.devices), KEY).alias("alerts"),
-        F.struct(
-            F.col("scheduling_recommendations").alias("scheduling"),
-            F.col("gpus_recommended_for_drain").alias("drain_candidates"),
-            "cost_optimization",
-        ).alias("recommendations"),
-    )
+    parts = [
+        _section("dashboard", tables.cluster.select(now.alias("generated_at"), "status")),
+        _section("cluster_summary", dashboard_summary(tables)),
+        _section("gpu_panels", panels(tables.devices), KEY),
+        _section("alerts", alerts(tables.devices), KEY),
+        *_advice(tables, "recommendations.", "recommendations.scheduling", "recommendations.drain_candidates"),
+    ]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def write_tables(tables: FleetReport, path: str, mode: str = "error") -> None:

@@ -5,21 +5,27 @@ from __future__ import annotations
 from gaugeworks.functions.text import IDLE_SUGGESTION, NO_REASON
 from gaugeworks.schema import BOUNDS, METRICS
 
+def share(event: int, user: int) -> str:
+    """A number from 0 up to 1 from the ids."""
+    return f"(CAST((event_id * {event} + user_id * {user}) % 997 AS double) / 997e0)"
+
+
 # The telemetry view of the event table.
-TELEMETRY = """
+TELEMETRY = f"""
 t AS (
   SELECT event_id AS seq, ts AS "timestamp",
     concat('gpu-', lpad(CAST(user_id AS varchar), 4, '0')) AS gpu_id,
     concat('node-', lpad(CAST(user_id % 8 AS varchar), 2, '0')) AS node_id,
     CASE WHEN event_type = 'signup' AND k < 25 THEN NULL ELSE value END AS gpu_util,
-    value * 0.8e0 AS mem_util,
-    CASE WHEN event_type = 'error' AND k < 20 THEN NULL ELSE 30 + k * 0.7e0 END AS gpu_temp,
-    80 + value * 2.2e0 AS power_watts,
-    CASE WHEN event_type = 'error' THEN k / 10 ELSE 0e0 END AS ecc_errors,
-    CASE WHEN event_type = 'error' AND k >= 80 THEN (k - 80) / 4 ELSE 0e0 END AS xid_errors,
-    k AS cpu_util, k * 0.9e0 AS ram_util,
-    value * 6 AS net_throughput_mbps, value AS disk_io_mbps,
-    k * 36 AS job_runtime_s, k % 5 AS queue_length, k % 4 + 1 AS active_processes
+    100e0 * {share(7, 3)} AS mem_util,
+    CASE WHEN event_type = 'error' AND k < 20 THEN NULL ELSE 25e0 + 70e0 * {share(11, 5)} END AS gpu_temp,
+    60e0 + 500e0 * {share(13, 17)} AS power_watts,
+    CASE WHEN event_type = 'error' THEN floor(30e0 * {share(19, 2)}) ELSE 0e0 END AS ecc_errors,
+    CASE WHEN event_type = 'error' AND k >= 80 THEN floor(9e0 * {share(23, 29)}) ELSE 0e0 END AS xid_errors,
+    k AS cpu_util, 100e0 * {share(31, 11)} AS ram_util,
+    800e0 * {share(37, 13)} AS net_throughput_mbps, 250e0 * {share(41, 19)} AS disk_io_mbps,
+    7200e0 * {share(43, 23)} AS job_runtime_s, floor(12e0 * {share(47, 31)}) AS queue_length,
+    1e0 + floor(9e0 * {share(53, 37)}) AS active_processes
   FROM (SELECT *, CAST(regexp_extract(props, '([0-9]+)', 1) AS double) AS k FROM events)
 )"""
 

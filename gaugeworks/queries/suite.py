@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,7 +15,7 @@ from gaugeworks.functions import numeric, text
 from gaugeworks.operators import (
     anomaly, attribution, cleaning, counters, evaluation, features, scoring, services, supervised, windows,
 )
-from gaugeworks.operators.forest import fit_forest, fit_forest_nodes
+from gaugeworks.operators.forest import IsolationForest, fit_forest_nodes
 from gaugeworks.operators.pca import fit_pca
 from gaugeworks.operators.series import LENGTH, POSITION, each_part, index_series, measure
 from gaugeworks.operators.store import settle
@@ -28,6 +29,7 @@ from gaugeworks.schema import (
     ALL_COLUMNS, HOST, KEY, METRICS, SEQ, STAT_COLUMNS, TIME, WINDOW_END, WindowSpec,
 )
 from gaugeworks.sources import files, metrics_json
+from gaugeworks.sources.rows import validated_rows
 from gaugeworks.sources.events import read_telemetry
 from gaugeworks.tuning import tune
 
@@ -36,6 +38,10 @@ ORACLES: dict[str, str] = {}
 SPEC = WindowSpec()
 
 
+#: Bounds that cut most devices of the test tables.
+CUT = {"long_rows": 60, "span_rows": 20}
+
+
 def register(name: str, oracle: str | None = None):
     def add(function):
         QUERIES[name] = lambda spark, sf_dir: function(tune(spark), sf_dir)
@@ -202,13 +208,13 @@ def keep_last(spark, sf_dir):
     "win_02_gap_fill",
     query(f'SELECT gpu_id, "timestamp", {ROUNDED_METRICS} FROM filled', sql.FILLED),
 )
-def gap_fill(spark, sf_dir):
+def gap_fill(spark, sf_dir, **cut):
     raw = read_telemetry(spark, sf_dir).drop(HOST)
 
     def fill(rows, layout):
         return cleaning.fill_gaps(cleaning.group_samples(rows, layout), layout, list(METRICS)).select(KEY, TIME, *METRICS)
 
-    filled = each_part(raw, measure(raw), fill)
+    filled = each_part(raw, measure(raw, **cut), fill)
     return rounded(filled.select(KEY, TIME, *METRICS), *METRICS)
 
 
@@ -223,14 +229,16 @@ Z_CLIP = (
     "win_03_z_clip",
     query(f"SELECT seq, gpu_id, {ROUNDED_METRICS} FROM zc", sql.TELEMETRY, BOUNDED_RAW, Z_CLIP),
 )
-def z_clip(spark, sf_dir):
-    raw = read_telemetry(spark, sf_dir)
+def z_clip(spark, sf_dir, **cut):
+    return clipped(read_telemetry(spark, sf_dir), **cut)
 
+
+def clipped(raw, **cut):
     def clip(rows, layout):
         bounded = cleaning.clip_bounds(cleaning.group_samples(rows, layout, seq=None))
         return cleaning.clip_outliers(bounded, layout, list(METRICS)).select(SEQ, KEY, *METRICS)
 
-    return rounded(each_part(raw, measure(raw), clip), *METRICS)
+    return rounded(each_part(raw, measure(raw, **cut), clip), *METRICS)
 
 
 @register(
@@ -277,8 +285,9 @@ def duplicates(spark, sf_dir):
     "cmp_01_preprocess",
     query(f'SELECT seq, "timestamp", gpu_id, node_id, {ROUNDED_METRICS} FROM clean', sql.CLEAN),
 )
-def preprocess(spark, sf_dir):
-    return rounded(cleaning.preprocess(read_telemetry(spark, sf_dir)), *METRICS)
+def preprocess(spark, sf_dir, **cut):
+    raw = read_telemetry(spark, sf_dir)
+    return rounded(cleaning.preprocess(raw, layout=measure(raw, **cut)), *METRICS)
 
 
 @register(
@@ -292,22 +301,23 @@ def canonical_sort(spark, sf_dir):
 # --- windows --------------------------------------------------------------------------------------
 
 
-def fleet_samples(spark, sf_dir) -> cleaning.Samples:
-    return cleaning.clean_samples(read_telemetry(spark, sf_dir))
+def fleet_samples(spark, sf_dir, **cut) -> cleaning.Samples:
+    raw = read_telemetry(spark, sf_dir)
+    return cleaning.clean_samples(raw, measure(raw, **cut))
 
 
 def fleet_windows(spark, sf_dir) -> DataFrame:
     return sample_windows(fleet_samples(spark, sf_dir), SPEC)
 
 
-def window_ends(raw: DataFrame, spec: WindowSpec) -> DataFrame:
+def window_ends(raw: DataFrame, spec: WindowSpec, **cut) -> DataFrame:
     """Windows without statistics, from keys and times alone."""
 
-    def cut(rows, layout):
+    def indexed(rows, layout):
         samples = index_series(cleaning.group_samples(rows, layout), layout)
         return windows.window_table(samples, layout, spec, statistics=False)
 
-    return each_part(raw.select(SEQ, TIME, KEY), measure(raw), cut)
+    return each_part(raw.select(SEQ, TIME, KEY), measure(raw, **cut), indexed)
 
 
 @register(
@@ -317,8 +327,8 @@ def window_ends(raw: DataFrame, spec: WindowSpec) -> DataFrame:
         sql.STATS,
     ),
 )
-def strided_windows(spark, sf_dir):
-    found = window_ends(read_telemetry(spark, sf_dir), SPEC)
+def strided_windows(spark, sf_dir, **cut):
+    found = window_ends(read_telemetry(spark, sf_dir), SPEC, **cut)
     return found.select(KEY, WINDOW_END, windows.WINDOW_INDEX)
 
 
@@ -400,8 +410,8 @@ starts AS (SELECT gpu_id, p AS first FROM clean WHERE p % 6 = 0 AND p + 18 <= n)
         SEQUENCES,
     ),
 )
-def sequences(spark, sf_dir):
-    found = sample_sequences(fleet_samples(spark, sf_dir))
+def sequences(spark, sf_dir, **cut):
+    found = sample_sequences(fleet_samples(spark, sf_dir, **cut))
     # y is (util, mem) step by step: entry i belongs to step i / 2.
     weighted = F.transform(
         "y", lambda v, i: v * (F.floor(i / 2) + 1) * F.when(i % 2 == 1, 100).otherwise(1)
@@ -628,6 +638,63 @@ def id_list(spark, sf_dir):
     )
 
 
+# --- the same operators with devices cut into spans ------------------------------------------------
+
+
+for _name, _function in {
+    "cmp_01_preprocess": preprocess, "win_02_gap_fill": gap_fill, "win_03_z_clip": z_clip,
+    "win_04_strided_windows": strided_windows, "win_07_sequences": sequences,
+}.items():
+    register(f"{_name}_cut", ORACLES[_name])(lambda spark, sf_dir, f=_function: f(spark, sf_dir, **CUT))
+
+
+# --- infinite values --------------------------------------------------------------------------------
+
+ENDLESS = """
+e AS (SELECT * REPLACE (CASE WHEN seq % 97 = 0 THEN CAST('Infinity' AS double) ELSE ecc_errors END AS ecc_errors,
+  CASE WHEN seq % 89 = 0 THEN CAST('-Infinity' AS double) ELSE disk_io_mbps END AS disk_io_mbps,
+  CASE WHEN seq % 83 = 0 THEN CAST('Infinity' AS double) ELSE net_throughput_mbps END AS net_throughput_mbps) FROM t)"""
+
+
+def endless(spark, sf_dir) -> DataFrame:
+    """Telemetry in which some values are infinite, as metric servers return them."""
+    odd, high = F.col(SEQ), F.lit(float("inf"))
+    return read_telemetry(spark, sf_dir).withColumns({
+        "ecc_errors": F.when(odd % 97 == 0, high).otherwise(F.col("ecc_errors")),
+        "disk_io_mbps": F.when(odd % 89 == 0, -high).otherwise(F.col("disk_io_mbps")),
+        "net_throughput_mbps": F.when(odd % 83 == 0, high).otherwise(F.col("net_throughput_mbps")),
+    })
+
+
+ENDLESS_CLIP = (
+    "eb AS (SELECT * REPLACE (" + ", ".join(sql.bounded(m) for m in METRICS) + ") FROM e), em AS (SELECT gpu_id, "
+    # Moments only of metrics that are finite on the device; the others are not clipped.
+    + each("avg({m}) FILTER (isfinite({m})) AS a_{m}, CASE WHEN bool_and(coalesce(isfinite({m}), true)) THEN"
+           " stddev_pop({m}) FILTER (isfinite({m})) END AS s_{m}")
+    + " FROM eb GROUP BY gpu_id), ec AS (SELECT seq, gpu_id, " + each(sql.CLAMP) + " FROM eb JOIN em USING (gpu_id))"
+)
+
+
+@register("win_03_z_clip_infinite", query(f"SELECT seq, gpu_id, {ROUNDED_METRICS} FROM ec", sql.TELEMETRY, ENDLESS, ENDLESS_CLIP))
+def z_clip_infinite(spark, sf_dir):
+    return clipped(endless(spark, sf_dir))
+
+
+@register(
+    "agg_04_percentiles_infinite",
+    query(
+        "SELECT round(quantile_cont(net_throughput_mbps, 0.5), 6) AS p50, quantile_cont(net_throughput_mbps, 0.995) AS p995,"
+        " quantile_cont(disk_io_mbps, 0.005) AS p005 FROM e",
+        sql.TELEMETRY, ENDLESS,
+    ),
+)
+def percentiles_infinite(spark, sf_dir):
+    raw = endless(spark, sf_dir)
+    p50, p995 = anomaly.quantiles(raw, "net_throughput_mbps", [0.5, 0.995], sort_rows=100)
+    p005 = anomaly.quantiles(raw, "disk_io_mbps", [0.005], sort_rows=100)[0]
+    return spark.range(1).select(F.round(F.lit(p50), 6).alias("p50"), F.lit(p995).alias("p995"), F.lit(p005).alias("p005"))
+
+
 # --- scoring of the whole fleet -------------------------------------------------------------------
 
 
@@ -914,21 +981,74 @@ def dashboard_summary(spark, sf_dir):
     return reports.dashboard_summary(fleet_report(spark, sf_dir))
 
 
+ADVICE = f"""
+  UNION ALL BY NAME SELECT '{{scheduling}}' AS section, lpad(CAST(row_number() OVER (ORDER BY schedule_score DESC, gpu_id) AS varchar), 6, '0') AS key,
+    gpu_id, schedule_score, reason FROM ({SCHEDULING}5)
+  UNION ALL BY NAME SELECT '{{drain}}' AS section, gpu_id AS key, gpu_id FROM latest WHERE failure_risk_score >= 0.66
+  UNION ALL BY NAME SELECT '{{prefix}}cost_optimization' AS section, '' AS key,
+    CAST(count(*) FILTER (gpu_util_mean < 5) AS double) AS num_idle_gpus, CAST(count(*) AS double) AS total_gpus, {sql.rounded('count(*) FILTER (gpu_util_mean < 5) / count(*)', 4)} AS idle_fraction,
+    2.5e0 * count(*) FILTER (gpu_util_mean < 5) AS estimated_savings_usd_per_window, 1e0 AS window_hours FROM latest
+  UNION ALL BY NAME SELECT '{{prefix}}cost_optimization.recommendations' AS section, gpu_id AS key, gpu_id,
+    {sql.rounded('gpu_util_mean', 2)} AS gpu_util_mean, '{sql.SUGGESTION}' AS suggestion, 2.5e0 AS estimated_hourly_savings_usd
+    FROM latest WHERE gpu_util_mean < 5"""
+TEXT_FIELDS = ("status", "gpu_id", "as_of", "risk_tier", "reason", "suggestion", "timestamp", "severity", "message")
+
+
+def opened(rows: DataFrame, fields: list[str]) -> DataFrame:
+    """Rows of a document with their JSON fields as columns (numbers as doubles), NULL where a section lacks them."""
+    kinds = [f"`{f}` {'string' if f in TEXT_FIELDS else 'double'}" for f in fields]
+    return rows.select("section", "key", F.from_json("json", ", ".join(kinds)).alias("j")).select("section", "key", "j.*")
+
+
+RESULT_FIELDS = [
+    "status", "cluster_health_score", "num_gpus", "gpu_id", "as_of", "gpu_health_score", "failure_risk_score", "risk_tier",
+    "estimated_time_to_failure_steps", "anomaly_score", "gpu_util_mean", "gpu_temp_max", "schedule_score", "reason",
+    "num_idle_gpus", "total_gpus", "idle_fraction", "estimated_savings_usd_per_window", "window_hours", "suggestion",
+    "estimated_hourly_savings_usd",
+]
+
+
+@register(
+    "cmp_08_result_document",
+    query(
+        f"SELECT 'result' AS section, '' AS key, 'ok' AS status, {sql.rounded('avg(gpu_health_score)', 2)} AS cluster_health_score,"
+        " CAST(count(*) AS double) AS num_gpus FROM latest UNION ALL BY NAME SELECT 'gpus' AS section, gpu_id AS key, * FROM devices"
+        + ADVICE.format(scheduling="scheduling_recommendations", drain="gpus_recommended_for_drain", prefix=""),
+        sql.SCHEDULED,
+    ),
+)
+def result_document(spark, sf_dir):
+    return opened(reports.document(fleet_report(spark, sf_dir)), RESULT_FIELDS)
+
+
+BOARD_FIELDS = [
+    "status", "cluster_health_score", "num_gpus", "num_alerts", "num_gpus_recommended_for_drain",
+    "estimated_idle_savings_usd_per_window", "idle_gpu_fraction", "gpu_id", "timestamp", "health_score", "failure_risk",
+    "risk_tier", "eta_to_failure_steps", "anomaly_score", "utilization_pct", "max_temp_c", "severity", "message",
+    "schedule_score", "reason", "num_idle_gpus", "total_gpus", "idle_fraction", "estimated_savings_usd_per_window",
+    "window_hours", "suggestion", "estimated_hourly_savings_usd", "gpu_util_mean",
+]
+PANELS = ", ".join(f'{source} AS "{name}"' for name, source in reports.PANEL_FIELDS.items())
+
+
 @register(
     "cmp_09_dashboard",
     query(
-        "SELECT status, len(p) AS n_panels, n_alerts FROM (SELECT 'ok' AS status, list(gpu_id) AS p,"
-        " count(*) FILTER (risk_tier <> 'low') AS n_alerts FROM devices)",
-        sql.DEVICES,
+        "SELECT 'dashboard' AS section, '' AS key, 'ok' AS status"
+        f" UNION ALL BY NAME SELECT 'cluster_summary' AS section, '' AS key, * REPLACE (CAST(num_gpus AS double) AS num_gpus,"
+        " CAST(num_alerts AS double) AS num_alerts, CAST(num_gpus_recommended_for_drain AS double) AS num_gpus_recommended_for_drain)"
+        f" FROM ({DASHBOARD})"
+        f" UNION ALL BY NAME SELECT 'gpu_panels' AS section, gpu_id AS key, {PANELS} FROM devices"
+        " UNION ALL BY NAME SELECT 'alerts' AS section, gpu_id AS key, gpu_id,"
+        " CASE WHEN risk_tier = 'high' THEN 'critical' ELSE 'warning' END AS severity, "
+        + sql.alert("gpu_id", "risk_tier", "failure_risk_score", "estimated_time_to_failure_steps")
+        + " AS message FROM devices WHERE risk_tier <> 'low'"
+        + ADVICE.format(scheduling="recommendations.scheduling", drain="recommendations.drain_candidates", prefix="recommendations."),
+        sql.SCHEDULED,
     ),
 )
 def dashboard(spark, sf_dir):
-    built = reports.dashboard(fleet_report(spark, sf_dir))
-    return built.select(
-        "status",
-        F.size("gpu_panels").cast("bigint").alias("n_panels"),
-        F.size("alerts").cast("bigint").alias("n_alerts"),
-    )
+    return opened(reports.dashboard(fleet_report(spark, sf_dir)), BOARD_FIELDS)
 
 
 @register(
@@ -985,12 +1105,17 @@ def gap_flags(spark, sf_dir):
         BEFORE,
     ),
 )
-def counter_deltas(spark, sf_dir):
+def counter_deltas(spark, sf_dir, **cut):
     raw = read_telemetry(spark, sf_dir).select(TIME, KEY, "job_runtime_s")
-    deltas = counters.counter_deltas(raw, ["job_runtime_s"]).drop("job_runtime_s")
+    deltas = counters.counter_deltas(raw, ["job_runtime_s"], measure(raw, **cut)).drop("job_runtime_s")
     return rounded(deltas.select(KEY, TIME, "job_runtime_s_delta", "job_runtime_s_rate"), "job_runtime_s_rate")
 
 
+register("ext_03_counter_deltas_cut", ORACLES["ext_03_counter_deltas"])(
+    lambda spark, sf_dir: counter_deltas(spark, sf_dir, **CUT)
+)
+
+
 @register(
     "ext_01_liveness",
     query(
@@ -1006,11 +1131,18 @@ def liveness(spark, sf_dir):
     return rounded(counters.liveness(raw, interval_seconds=36_000), "silent_seconds")
 
 
-# --- models (no SQL equivalent) -------------------------------------------------------------------
+# --- models ---------------------------------------------------------------------------------------
+#
+# What a fit finds cannot be written in SQL; what holds for any fit can, and so can fixed models.
+
+
+def held_out(column: str) -> str:
+    """`features.is_validation` in SQL."""
+    return f"CAST('0x' || substr(md5(concat_ws('|', {column}, '42')), 1, 8) AS bigint) % 100 < 15"
 
 
 def embedded_windows(spark, sf_dir):
-    """Settled windows with statistics and 8-component embedding, plus the embedding model."""
+    """Settled windows with statistics and 8-component embedding, plus the models."""
     samples = fleet_samples(spark, sf_dir).settled()
     models = fit_on_samples(samples, SPEC, method=RECONSTRUCTION)
     found = sample_windows(samples, SPEC, scaler=models.scaler)
@@ -1029,126 +1161,351 @@ def embedded_vectors(spark, sf_dir) -> DataFrame:
     return settle(model.transform(rows, "embedding", "z").select("vec_id", "z"))
 
 
-@register("ml_02_pca_embedding")
+@register(
+    "ml_02_pca_embedding",
+    query(
+        "SELECT gpu_id, CAST(count(*) AS bigint) AS n_windows, CAST(8 * count(*) AS bigint) AS n_entries, true AS is_finite"
+        " FROM stats GROUP BY gpu_id",
+        sql.STATS,
+    ),
+)
 def pca_embedding(spark, sf_dir):
+    """Every window has eight finite numbers."""
     found, _ = embedded_windows(spark, sf_dir)
-    return found.select(KEY, WINDOW_END, "embedding")
+    finite = F.forall("embedding", lambda z: z.isNotNull() & ~F.isnan(z) & (F.abs(z) < float("inf")))
+    return found.groupBy(KEY).agg(
+        F.count(F.lit(1)).alias("n_windows"), F.sum(F.size("embedding").cast("bigint")).alias("n_entries"), F.bool_and(finite).alias("is_finite")
+    )
 
 
-@register("ml_03_pca_reconstruction_error")
+@register(
+    "ml_03_pca_reconstruction_error",
+    query(
+        "SELECT gpu_id, window_end_timestamp, round(error, 6) AS squared_length, true AS within FROM errors",
+        sql.ERRORS,
+    ),
+)
 def pca_reconstruction_error(spark, sf_dir):
-    found, _ = embedded_windows(spark, sf_dir)
-    return found.select(KEY, WINDOW_END, "error")
+    """An embedding's mean explains part of the squared length of a scaled window, never more than all of it."""
+    found, models = embedded_windows(spark, sf_dir)
+    whole = models.scaler.deviation()
+    return found.select(
+        KEY, WINDOW_END, F.round(whole, 6).alias("squared_length"), F.col("error").between(0, whole + 1e-6).alias("within")
+    )
 
 
-@register("agg_14_explained_variance")
+@register("agg_14_explained_variance", "SELECT 64 AS components, 1e0 AS total, true AS descending, true AS non_negative")
 def explained_variance(spark, sf_dir):
-    model = fit_pca(vectors(spark, sf_dir), "embedding")
-    return spark.createDataFrame(
-        [(i, v) for i, v in enumerate(model.explained)], "component int, explained_variance double"
-    )
+    """All components of the 64 columns explain the whole variance, each at most as much as the one before."""
+    shares = fit_pca(vectors(spark, sf_dir), "embedding", k=64).explained
+    steps = all(a >= b - 1e-12 for a, b in zip(shares, shares[1:], strict=False))
+    row = (len(shares), round(sum(shares), 6), steps, min(shares) > -1e-12)
+    return spark.createDataFrame([row], "components int, total double, descending boolean, non_negative boolean")
 
 
-@register("ml_04_forest_fit")
+@register(
+    "ml_04_forest_fit",
+    "SELECT CAST(t AS int) AS tree_id, least(256, (SELECT count(*) FROM embeddings)) AS leaf_rows, true AS shallow,"
+    " true AS binary FROM range(200) AS r(t)",
+)
 def forest_fit(spark, sf_dir):
+    """Every tree deals its 256 rows out to leaves, is at most 8 deep, and inner nodes have two children."""
     nodes, _ = fit_forest_nodes(embedded_vectors(spark, sf_dir), "z", ["vec_id"], 200, 256, 42)
-    return nodes
+    leaf = F.col("feature") < 0
+    return nodes.groupBy(F.col("tree_id").cast("int").alias("tree_id")).agg(
+        F.sum(F.when(leaf, F.col("size"))).cast("bigint").alias("leaf_rows"), (F.max("depth") <= 8).alias("shallow"),
+        (F.count(F.lit(1)) == 2 * F.count_if(~leaf) + 1).alias("binary"),
+    )
+
+
+#: Three fixed trees over the embedding: tree, node, dimension (-1: leaf), threshold, children, rows, depth.
+FIXED_NODES = [
+    (0, 0, 3, 0.05, 1, 2, 256, 0), (0, 1, 10, -0.1, 3, 4, 100, 1), (0, 2, -1, 0.0, -1, -1, 156, 1),
+    (0, 3, -1, 0.0, -1, -1, 2, 2), (0, 4, -1, 0.0, -1, -1, 98, 2),
+    (1, 0, 17, 0.0, 1, 2, 256, 0), (1, 1, -1, 0.0, -1, -1, 1, 1), (1, 2, 40, 0.12, 3, 4, 255, 1),
+    (1, 3, -1, 0.0, -1, -1, 200, 2), (1, 4, 3, -0.02, 5, 6, 55, 2), (1, 5, -1, 0.0, -1, -1, 25, 3), (1, 6, -1, 0.0, -1, -1, 30, 3),
+    (2, 0, 63, -0.03, 1, 2, 256, 0), (2, 1, -1, 0.0, -1, -1, 100, 1), (2, 2, -1, 0.0, -1, -1, 156, 1),
+]
+
+
+def fixed_forest() -> IsolationForest:
+    names = ["tree_id", "node_id", "feature", "threshold", "left", "right", "size", "depth"]
+    return IsolationForest.from_nodes(pd.DataFrame(FIXED_NODES, columns=names), 256, cutoff=0.45)
+
+
+def leaf_path(n: int) -> str:
+    return "0e0" if n <= 1 else "1e0" if n == 2 else f"(2e0 * (ln({n - 1}e0) + 0.5772156649015329e0) - 2e0 * {n - 1}e0 / {n}e0)"
+
 
+def tree_walk(tree: int, node: int = 0) -> str:
+    _, _, feature, threshold, left, right, size, depth = next(x for x in FIXED_NODES if x[:2] == (tree, node))
+    if feature < 0:
+        return f"({depth} + {leaf_path(size)})"
+    test = f"CAST(embedding[{feature + 1}] AS double) <= {threshold}e0"
+    return f"CASE WHEN {test} THEN {tree_walk(tree, left)} ELSE {tree_walk(tree, right)} END"
 
-def scored_vectors(spark, sf_dir):
-    found = embedded_vectors(spark, sf_dir)
-    forest = fit_forest(found, "z", ["vec_id"])
-    return settle(found.withColumn("raw", forest.score(spark, F.col("z")))), forest
 
+FIXED_SCORES = (
+    "s AS (SELECT vec_id, pow(2e0, -((" + " + ".join(tree_walk(t) for t in range(3)) + f") / 3e0) / {leaf_path(256)}) AS raw FROM embeddings)"
+)
+
+
+def scored_vectors(spark, sf_dir) -> DataFrame:
+    found = vectors(spark, sf_dir)
+    return found.select("vec_id", fixed_forest().score(spark, F.col("embedding")).alias("raw"))
 
-@register("ml_05_forest_score")
+
+@register(
+    "ml_05_forest_score",
+    query(
+        "SELECT vec_id, round(raw, 9) AS raw, round((raw - low) / (high - low), 9) AS anomaly_score"
+        " FROM s, (SELECT min(raw) AS low, max(raw) AS high FROM s)",
+        sql.TELEMETRY,
+        FIXED_SCORES,
+    ),
+)
 def forest_score(spark, sf_dir):
-    found, _ = scored_vectors(spark, sf_dir)
-    return anomaly.min_max_score(found, "raw").select("vec_id", "raw", "anomaly_score")
+    found = anomaly.min_max_score(scored_vectors(spark, sf_dir), "raw").select("vec_id", "raw", "anomaly_score")
+    return rounded(found, "raw", "anomaly_score", digits=9)
 
 
-@register("agg_03_raw_score_range")
+@register("agg_03_raw_score_range", query("SELECT round(min(raw), 9) AS low, round(max(raw), 9) AS high FROM s", sql.TELEMETRY, FIXED_SCORES))
 def raw_score_range(spark, sf_dir):
-    found, _ = scored_vectors(spark, sf_dir)
-    return found.agg(F.min("raw").alias("low"), F.max("raw").alias("high"))
+    low, high = (F.round(f("raw"), 9) for f in (F.min, F.max))
+    return scored_vectors(spark, sf_dir).agg(low.alias("low"), high.alias("high"))
 
 
-@register("flt_06_anomaly_flag")
+@register("flt_06_anomaly_flag", query("SELECT vec_id, raw > 0.45e0 AS is_anomaly FROM s", sql.TELEMETRY, FIXED_SCORES))
 def anomaly_flag(spark, sf_dir):
-    found, forest = scored_vectors(spark, sf_dir)
-    return found.select("vec_id", forest.is_anomaly(F.col("raw")).alias("is_anomaly"))
+    return scored_vectors(spark, sf_dir).select("vec_id", fixed_forest().is_anomaly(F.col("raw")).alias("is_anomaly"))
 
 
-@register("ml_07_reconstruction_score")
+@register(
+    "ml_07_reconstruction_score",
+    query("SELECT gpu_id, window_end_timestamp, true AS in_range FROM stats", sql.STATS),
+)
 def reconstruction_score(spark, sf_dir):
     found, _ = embedded_windows(spark, sf_dir)
-    return anomaly.error_score(found, "error").select(KEY, WINDOW_END, "error", "anomaly_score")
+    scored = anomaly.error_score(found, "error")
+    return scored.select(KEY, WINDOW_END, F.col("anomaly_score").between(0, 1).alias("in_range"))
 
 
-def classified(spark, sf_dir) -> DataFrame:
-    found, _ = embedded_windows(spark, sf_dir)
-    rows = supervised.classifier_features(found)
-    held_out = features.is_validation([KEY])
-    model = supervised.fit_classifier(rows.where(~held_out), inputs=8 + len(STAT_COLUMNS))
-    return supervised.classify(model, rows.withColumn("is_validation", held_out))
+LABEL = (
+    "CAST(CASE WHEN {0} >= 70 THEN 3 WHEN {0} >= 30 THEN 2 WHEN {0} >= 5 THEN 1 ELSE 0 END AS integer)"
+)
 
 
-@register("ml_08_workload_classifier")
+@register(
+    "ml_08_workload_classifier",
+    query(
+        f"SELECT gpu_id, window_end_timestamp, {LABEL.format('gpu_util_mean')} AS label, {held_out('gpu_id')} AS is_validation,"
+        " true AS is_class FROM stats",
+        sql.STATS,
+    ),
+)
 def workload_classifier(spark, sf_dir):
-    return classified(spark, sf_dir).select(
-        KEY, WINDOW_END, "label", "predicted_label", "workload_class", "is_validation"
-    )
+    """Fitted on the devices that are not held out; every window gets one of the four classes."""
+    found, _ = embedded_windows(spark, sf_dir)
+    rows = supervised.classifier_features(found)
+    split = features.is_validation([KEY])
+    model = supervised.fit_classifier(rows.where(~split), inputs=8 + len(STAT_COLUMNS))
+    classified = supervised.classify(model, rows.withColumn("is_validation", split))
+    named = numeric.workload_name(F.col("predicted_label")) == F.col("workload_class")
+    return classified.select(KEY, WINDOW_END, "label", "is_validation", (F.col("predicted_label").between(0, 3) & named).alias("is_class"))
 
 
-@register("agg_13_validation_accuracy")
+@register(
+    "agg_13_validation_accuracy",
+    query(
+        f"SELECT round(avg(CASE WHEN {LABEL.format('gpu_util_mean')} = {LABEL.format('(gpu_util_max / 2)')} THEN 1e0 ELSE 0e0 END), 9)"
+        f" AS accuracy FROM stats WHERE {held_out('gpu_id')}",
+        sql.STATS,
+    ),
+)
 def validation_accuracy(spark, sf_dir):
-    return evaluation.accuracy(classified(spark, sf_dir).where("is_validation"), prediction="predicted_label")
+    """Accuracy of a rule: half the largest utilisation stands for the mean."""
+    found = fleet_windows(spark, sf_dir).where(features.is_validation([KEY]))
+    labelled = found.select(
+        numeric.workload_label(F.col("gpu_util_mean")).alias("label"), numeric.workload_label(F.col("gpu_util_max") / 2).alias("prediction")
+    )
+    return rounded(evaluation.accuracy(labelled), "accuracy", digits=9)
 
 
-@register("ml_09_demand_forecast")
+@register(
+    "ml_09_demand_forecast",
+    query(
+        f"SELECT gpu_id, CAST(first / 6 AS bigint) AS sequence_index, {held_out('gpu_id')} AS is_validation,"
+        " round(sum(gpu_util + mem_util), 3) AS demand, CAST(2 * count(*) AS bigint) AS n_forecast"
+        " FROM starts JOIN clean USING (gpu_id) WHERE p BETWEEN first + 12 AND first + 17 GROUP BY gpu_id, first",
+        sql.CLEAN,
+        SEQUENCES,
+    ),
+)
 def demand_forecast(spark, sf_dir):
+    """Fitted on the devices that are not held out; a forecast for every entry of every target."""
     samples = fleet_samples(spark, sf_dir).settled()
     scaler = features.fit_scaler(sample_windows(samples, SPEC), SPEC)
     pairs = settle(sample_sequences(samples, scaler))
-    held_out = features.is_validation([KEY])
-    model = supervised.fit_forecaster(pairs.where(~held_out), outputs=12)
-    return model.forecast(pairs).select(KEY, "sequence_index", "y", "forecast", held_out.alias("is_validation"))
+    split = features.is_validation([KEY])
+    model = supervised.fit_forecaster(pairs.where(~split), outputs=12)
+    known = F.size(F.filter("forecast", lambda v: v.isNotNull() & ~F.isnan(v)))
+    return model.forecast(pairs).select(
+        KEY, "sequence_index", split.alias("is_validation"),
+        F.round(F.aggregate("y", F.lit(0.0), lambda s, v: s + v), 3).alias("demand"), known.cast("bigint").alias("n_forecast"),
+    )
 
 
-@register("agg_13_forecast_error")
+@register(
+    "agg_13_forecast_error",
+    query(
+        "SELECT round(avg((pow(c.gpu_util - l.gpu_util, 2) + pow(c.mem_util - l.mem_util, 2)) / 2), 6) AS mse"
+        " FROM starts JOIN clean c ON c.gpu_id = starts.gpu_id AND c.p BETWEEN first + 12 AND first + 17"
+        " JOIN clean l ON l.gpu_id = starts.gpu_id AND l.p = first + 11"
+        f" WHERE {held_out('starts.gpu_id')}",
+        sql.CLEAN,
+        SEQUENCES,
+    ),
+)
 def forecast_error(spark, sf_dir):
-    held_out = demand_forecast(spark, sf_dir).where("is_validation")
-    return evaluation.mean_squared_error(held_out, "y", "forecast")
+    """Error of the persistence forecast: the last sample seen goes on."""
+    pairs = sample_sequences(fleet_samples(spark, sf_dir)).where(features.is_validation([KEY]))
+    last = [F.element_at("x", METRICS.index(m) - len(METRICS)) for m in ("gpu_util", "mem_util")]
+    persistence = F.flatten(F.array_repeat(F.array(*last), 6))
+    return rounded(evaluation.mean_squared_error(pairs.withColumn("forecast", persistence), "y", "forecast"), "mse")
 
 
-@register("ml_10_anomaly_attribution")
+def attributed(spark, sf_dir) -> DataFrame:
+    return attribution.shapley_values(vectors(spark, sf_dir), "embedding", ["vec_id"], fixed_forest(), dimensions=64, background_rows=1, permutations=2)
+
+
+@register(
+    "ml_10_anomaly_attribution",
+    query(
+        "SELECT vec_id, CAST(64 AS bigint) AS n_dimensions, round(raw - (SELECT raw FROM s ORDER BY vec_id LIMIT 1), 6) AS difference FROM s",
+        sql.TELEMETRY,
+        FIXED_SCORES,
+    ),
+)
 def anomaly_attribution(spark, sf_dir):
-    found = embedded_vectors(spark, sf_dir)
-    forest = fit_forest(found, "z", ["vec_id"], contamination=None)
-    return attribution.shapley_values(found, "z", ["vec_id"], forest, dimensions=8)
+    """Contributions add up to the score less that of the background row, so their sums differ as the scores do."""
+    sums = settle(attributed(spark, sf_dir).groupBy("vec_id").agg(F.count(F.lit(1)).alias("n_dimensions"), F.sum("phi").alias("total")))
+    first = sums.agg(F.min_by("total", "vec_id")).scalar()
+    return sums.select("vec_id", "n_dimensions", F.round(F.col("total") - first + 0.0, 6).alias("difference"))
+
 
+USED = sorted({x[2] for x in FIXED_NODES} - {-1})
 
-@register("srt_03_importance_ranking")
+
+@register(
+    "srt_03_importance_ranking",
+    f"SELECT 'latent_' || CAST(d AS varchar) AS feature, NOT list_contains({USED}, d) AS is_unused FROM range(64) AS r(d)",
+)
 def importance_ranking(spark, sf_dir):
-    return attribution.importance(anomaly_attribution(spark, sf_dir))
+    """A dimension that no tree asks for has no importance, any other has."""
+    ranked = attribution.importance(attributed(spark, sf_dir))
+    return ranked.select("feature", (F.col("mean_abs_shap") == 0).alias("is_unused"))
 
 
-@register("ml_11_validation_split")
+@register("ml_11_validation_split", query(f"SELECT seq, gpu_id, {held_out('gpu_id')} AS is_validation FROM t", sql.TELEMETRY))
 def validation_split(spark, sf_dir):
     raw = read_telemetry(spark, sf_dir)
     return raw.select(SEQ, KEY, features.is_validation([KEY]).alias("is_validation"))
 
 
-@register("cmp_07_fingerprint_forest")
+LATEST_CONTENT = query(f"SELECT gpu_id, window_end_timestamp, {ROUNDED_STATS}, true AS in_range FROM latest", sql.LATEST)
+
+
+def content(latest: DataFrame) -> DataFrame:
+    ranges = F.col("anomaly_score").between(0, 1) & F.col("failure_risk_score").between(0, 1) & F.col("gpu_health_score").between(0, 100)
+    return rounded(latest.select(KEY, WINDOW_END, *STAT_COLUMNS, ranges.alias("in_range")), *STAT_COLUMNS)
+
+
+@register("cmp_07_fingerprint_forest", LATEST_CONTENT)
 def fingerprint_forest(spark, sf_dir):
-    return fleet_latest(spark, sf_dir, FOREST)
+    return content(fleet_latest(spark, sf_dir, FOREST))
 
 
-@register("cmp_07_fingerprint_reconstruction")
+@register("cmp_07_fingerprint_reconstruction", LATEST_CONTENT)
 def fingerprint_reconstruction(spark, sf_dir):
-    return fleet_latest(spark, sf_dir, RECONSTRUCTION)
+    return content(fleet_latest(spark, sf_dir, RECONSTRUCTION))
 
 
-@register("cmp_08_result_document")
-def result_document(spark, sf_dir):
-    return reports.document(fleet_report(spark, sf_dir, FOREST)).select(F.to_json(F.struct("*")).alias("document"))
+# --- landed responses, submitted rows, trial lists ------------------------------------------------
+
+
+@register(
+    "src_07_range_query",
+    query(
+        "SELECT metric, gpu_id, node_id, date_trunc('second', \"timestamp\") AS \"timestamp\", round(value, 6) AS value"
+        " FROM long WHERE metric IN ('gpu_util', 'power_watts')",
+        sql.TELEMETRY,
+        LONG,
+    ),
+)
+def range_query(spark, sf_dir):
+    """Responses of a metrics server, one per metric and device, written as JSON from the telemetry and read back."""
+    long = long_form(read_telemetry(spark, sf_dir)).where(F.col("metric").isin("gpu_util", "power_watts"))
+    epoch = F.unix_seconds(F.date_trunc("second", F.col(TIME)).cast("timestamp")).cast("string")
+    labels = F.create_map(F.lit("gpu"), F.col(KEY), F.lit("instance"), F.col(HOST))
+    series = long.groupBy("metric", KEY, HOST).agg(F.collect_list(F.array(epoch, F.col("value").cast("string"))).alias("values"))
+    answer = F.struct(F.struct(F.array(F.struct(labels.alias("metric"), "values")).alias("result")).alias("data"))
+    landed = series.select("metric", F.to_json(answer).alias("body"))
+    parsed = landed.select("metric", F.from_json("body", metrics_json.RESPONSE_SCHEMA).alias("r")).select("metric", "r.data")
+    found = metrics_json.flatten_response(parsed, "metric")
+    return rounded(found.select("metric", KEY, HOST, TIME, "value"), "value")
+
+
+@register(
+    "src_09_row_payload",
+    query(
+        f'SELECT "timestamp", gpu_id, node_id, {METRIC_LIST} FROM t WHERE gpu_util IS NOT NULL AND gpu_temp IS NOT NULL',
+        sql.TELEMETRY,
+    ),
+)
+def row_payload(spark, sf_dir):
+    """Complete rows as JSON lines, and back."""
+    raw = read_telemetry(spark, sf_dir).where("gpu_util IS NOT NULL AND gpu_temp IS NOT NULL")
+    text_time = F.date_format(TIME, "yyyy-MM-dd HH:mm:ss.SSSSSS").alias(TIME)
+    lines = raw.select(F.to_json(F.struct(text_time, *[c for c in ALL_COLUMNS if c != TIME])).alias("value"))
+    return validated_rows(lines)
+
+
+TRIALS = """
+lists AS (
+  SELECT "timestamp", gpu_id, max(ecc_errors) > 5 AS f, max(gpu_util) > 90 AS g
+  FROM (SELECT * REPLACE (coalesce(gpu_util, 0) AS gpu_util) FROM daily) GROUP BY "timestamp", gpu_id
+)"""
+
+
+@register(
+    "agg_12_trial_lists",
+    query(
+        'SELECT "timestamp", count(*) FILTER (f AND g) AS tp, count(*) FILTER (NOT f AND g) AS fp,'
+        ' count(*) FILTER (f AND NOT g) AS fn FROM lists GROUP BY "timestamp"',
+        sql.TELEMETRY,
+        DAILY,
+        TRIALS,
+    ),
+)
+def trial_lists(spark, sf_dir):
+    """Days as trials, written as two lists of device ids each."""
+    outcomes = daily(read_telemetry(spark, sf_dir)).groupBy(TIME, KEY).agg(
+        (F.max("ecc_errors") > 5).alias("failing"), (F.max(F.coalesce("gpu_util", F.lit(0.0))) > 90).alias("flagged")
+    )
+    joined = lambda flag: F.array_join(F.collect_list(F.when(F.col(flag), F.col(KEY))), ";")
+    trials = outcomes.groupBy(TIME).agg(joined("failing").alias("actual"), joined("flagged").alias("predicted"))
+    return evaluation.trial_counts(trials, "actual", "predicted", TIME)
+
+
+@register(
+    "agg_12_precision_recall",
+    query(
+        "SELECT tp, fp, fn, round(tp / nullif(tp + fp, 0), 9) AS precision, round(tp / nullif(tp + fn, 0), 9) AS recall FROM"
+        " (SELECT count(*) FILTER (f AND g) AS tp, count(*) FILTER (NOT f AND g) AS fp, count(*) FILTER (f AND NOT g) AS fn FROM lists)",
+        sql.TELEMETRY,
+        DAILY,
+        TRIALS,
+    ),
+)
+def precision_recall(spark, sf_dir):
+    return rounded(evaluation.precision_recall(trial_lists(spark, sf_dir)), "precision", "recall", digits=9)

@@ -11,9 +11,9 @@ import pytest
 
 import __spark_entry__ as entry_points
 from conftest import SMALL
+from gaugeworks.queries import suite
 
-ORACLES = entry_points.oracle_sql()
-QUERIES = entry_points.queries()
+ORACLES, QUERIES = suite.ORACLES, suite.QUERIES
 
 
 def normal(frame):
@@ -39,21 +39,8 @@ def test_query_equals_its_sql(spark, duck, name):
     pd.testing.assert_frame_equal(mine, theirs, check_dtype=False)
 
 
-# The others without SQL share their code with these and with test_models.
-WITHOUT_SQL = (
-    "agg_13_validation_accuracy", "agg_13_forecast_error", "agg_14_explained_variance", "cmp_08_result_document",
-    "flt_06_anomaly_flag", "ml_04_forest_fit", "ml_07_reconstruction_score", "ml_11_validation_split",
-    "srt_03_importance_ranking",
-)
-
-
-@pytest.mark.parametrize("name", WITHOUT_SQL)
-def test_query_without_sql_runs(spark, name):
-    assert QUERIES[name](spark, SMALL).count() > 0
-
-
-def test_every_oracle_has_a_query():
-    assert set(ORACLES) <= set(QUERIES)
+def test_every_query_has_an_oracle():
+    assert set(suite.ORACLES) == set(suite.QUERIES)
 
 
 def test_flagship(spark):
