@@ -1,19 +1,22 @@
 """Token ids of whole texts, word by word.
 
 The tokenizer never joins characters across white space, so a text's ids are its words' ids in a row. Words repeat:
-each worker keeps the ids of words it has met, up to a bound, and only new words reach the tokenizer library.
+each worker keeps the ids of words it has met, in two generations, so that memory is bounded and frequent words stay.
+Only new words reach the tokenizer library, without their case and closing punctuation where these do not matter.
 """
 
 from __future__ import annotations
 
+import unicodedata
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
-#: Words kept in a worker, and characters split at once.
-KEPT_WORDS = 300_000
-CHUNK = 1 << 20
+#: Words in one of the two generations that a worker keeps, and characters split at once.
+KEPT_WORDS = 600_000
+CHUNK = 1 << 22
 _OTHER_GAPS = "\t\n\v\f\r"
+_CLOSING = ".,;:!?"
 
 
 def default_tokenizer() -> str:
@@ -24,26 +27,87 @@ def default_tokenizer() -> str:
 
 @dataclass
 class Encoder:
-    """Whole texts to ids as little-endian unsigned 32-bit bytes. `path`: a tokenizer file every worker can read."""
+    """Whole texts to ids as little-endian unsigned 32-bit bytes.
+
+    `path` is a file that every worker can read, of a BPE tokenizer that lower-cases, splits letters from punctuation and
+    marks ends of words with </w>.
+    """
 
     path: str
     known: dict[str, bytes] = field(default_factory=dict)
+    before: dict[str, bytes] = field(default_factory=dict)
     tokenizer: object = None
+    ends: object = None
 
-    def learn(self, words: set[str]) -> None:
+    def load(self) -> None:
         import numpy as np
         from tokenizers import Tokenizer
 
+        self.tokenizer = Tokenizer.from_file(self.path)
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+
+    def whole(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of words, from the library."""
+        import numpy as np
+
         if self.tokenizer is None:
-            self.tokenizer = Tokenizer.from_file(self.path)
-        if len(self.known) + len(words) > KEPT_WORDS:
-            self.known.clear()
-        words = list(words)
+            self.load()
         encode = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
-        for at in range(0, len(words), 10_000):
-            part = words[at : at + 10_000]
-            for word, found in zip(part, encode(part, add_special_tokens=False), strict=True):
-                self.known[word] = np.array(found.ids, "<u4").tobytes()
+        found: dict[str, bytes] = {}
+        # Plain words end where a token does, so many of them go as one text.
+        plain = [w for w in words if w.isalpha()]
+        for at in range(0, len(plain), 2000):
+            part = plain[at : at + 2000]
+            ids = np.array(encode([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            cuts = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+            if len(cuts) == len(part):
+                data = ids.tobytes()
+                found.update(zip(part, [data[a:b] for a, b in zip([0, *cuts], cuts, strict=False)], strict=True))
+        rest = [w for w in words if w not in found]
+        for at in range(0, len(rest), 10_000):
+            part = rest[at : at + 10_000]
+            for word, own in zip(part, encode(part, add_special_tokens=False), strict=True):
+                found[word] = np.array(own.ids, "<u4").tobytes()
+        return found
+
+    def parts(self, word: str) -> tuple[str, str]:
+        """A word's stem and closing punctuation that have its ids in a row; lower case where that is plain. The letter
+        before the punctuation must stay one when it is normalised and lower-cased, else a mark would join both."""
+        if "<" in word:
+            return word, ""
+        if word.isascii():
+            word = word.lower()
+        if word[-1:] in _CLOSING and unicodedata.normalize("NFC", word[-2:-1]).lower().isalpha():
+            return word[:-1], word[-1]
+        return word, ""
+
+    def learn(self, words: set[str]) -> None:
+        """Put `words` into the present generation."""
+        if len(self.known) + len(words) > KEPT_WORDS:
+            self.before, self.known = self.known, {}
+        known, before = self.known, self.before
+        missing: dict[str, tuple[str, str]] = {}
+        for word in words:
+            if word in known:
+                continue
+            if (ids := before.get(word)) is not None:
+                known[word] = ids
+            else:
+                missing[word] = self.parts(word)
+        stems: dict[str, bytes] = {}
+        ask = []
+        for stem in {x for own in missing.values() for x in own if x}:
+            ids = known.get(stem) or before.get(stem)
+            if ids is None:
+                ask.append(stem)
+            else:
+                stems[stem] = ids
+        stems |= self.whole(ask)
+        stems[""] = b""
+        for word, (stem, closing) in missing.items():
+            known[word] = stems[stem] + stems[closing]
 
     def encode(self, texts: list[str | None]) -> Iterator[bytes]:
         """The ids of each text; of a null text none."""
@@ -62,9 +126,8 @@ class Encoder:
             for words in pool:
                 met.update(words)
             if new := met.difference(self.known):
-                if len(self.known) + len(new) > KEPT_WORDS:
-                    new = met  # what is known goes, so all words are needed
-                self.learn(new)
+                # A new generation needs all words of these texts.
+                self.learn(met if len(self.known) + len(new) > KEPT_WORDS else new)
             for words in pool:
                 yield b"".join(map(self.known.__getitem__, words))
 

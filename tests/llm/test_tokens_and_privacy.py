@@ -36,7 +36,16 @@ def test_kept_words_are_bounded(monkeypatch, encode):
     own = tokens.Encoder(tokens.default_tokenizer())
     rows = [" ".join(f"w{(i * 7 + j) % 300}" for j in range(20)) for i in range(100)]
     assert [np.frombuffer(x, "<u4").tolist() for x in own.encode(rows)] == [encode(t) for t in rows]
-    assert len(own.known) <= 50
+    assert len(own.known) <= 50 and len(own.before) <= 50
+
+
+def test_odd_words_are_encoded_like_whole_texts(encode):
+    pick = random.Random(8)
+    letters = "abcXYZ.,;:!?'\"<>|-0123é漢́ \n\xa0\x1c"
+    rows = ["".join(pick.choice(letters) for _ in range(pick.randrange(80))) for _ in range(400)]
+    rows += ["<|ENDOFTEXT|> <|endoftext|>. A. 1. .. x?! don't. THE, İ. ſ, K! \u0958. É, Straße."]
+    own = tokens.Encoder(tokens.default_tokenizer())
+    assert [np.frombuffer(x, "<u4").tolist() for x in own.encode(rows)] == [encode(t) for t in rows]
 
 
 def check_packing(found, rows, encode, capacity):
