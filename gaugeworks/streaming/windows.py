@@ -44,47 +44,62 @@ def time_windows(
 OUTPUT = f"{KEY} string, {WINDOW_END} timestamp, window_index bigint, " + ", ".join(
     f"{c} double" for c in STAT_COLUMNS
 )
-STATE = "seen bigint, last timestamp, tail array<double>"
+STATE = "seen bigint, last bigint, tail array<double>, times array<bigint>, pending array<double>"
 
 
 def row_windows(
-    stream: DataFrame, spec: WindowSpec = WindowSpec(), lateness: str = "10 minutes"
+    stream: DataFrame, spec: WindowSpec = WindowSpec(), lateness: str = "10 minutes", idle: str = "7 days"
 ) -> DataFrame:
-    """Exact strided row-count windows: each device's state is a row counter and its last size-1 samples.
+    """Exact strided row-count windows over samples in any order within the lateness.
 
-    A window comes out as soon as its last sample is in. Samples older than what a device already
-    delivered cannot be placed any more and are left out, so sources should be ordered per device up
-    to one micro-batch.
+    A device's samples wait in its state until the watermark has passed them, since only then their order is known;
+    a window comes out when its last sample has. The state is a row counter, the last size-1 samples and those that
+    wait. It goes after `idle` of event time without samples; a device that returns later starts anew. Samples older
+    than the watermark are dropped by Spark. One micro-batch of one device must fit into a Python task.
     """
     size, stride, width = spec.size, spec.stride, len(METRICS)
     metrics = list(METRICS)
+    keep_ms = int(pd.Timedelta(idle).total_seconds() * 1000)
 
     def advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState):
-        seen, last, tail = state.get if state.exists else (0, None, [])
-        fresh = pd.concat(list(batches), ignore_index=True).sort_values(TIME)
-        if last is not None:
-            fresh = fresh[fresh[TIME] > pd.Timestamp(last)]
-        if fresh.empty:
+        seen, last, tail, times, pending = state.get if state.exists else (0, None, [], [], [])
+        times = np.array(times, dtype="int64")
+        values = np.array(pending, dtype="float64").reshape(-1, width)
+        timed_out = state.hasTimedOut
+        if not timed_out:
+            parts = [(b[TIME].astype("datetime64[us]").astype("int64").to_numpy(), b[metrics].to_numpy(dtype="float64")) for b in batches]
+            times = np.concatenate([times, *[t for t, _ in parts]])
+            values = np.vstack([values, *[v for _, v in parts]])
+            order = np.argsort(times, kind="stable")
+            times, values = times[order], values[order]
+        elif not len(times):
+            state.remove()
             return
-        before = np.array(tail, dtype="float64").reshape(-1, width)
-        values = np.vstack([before, fresh[metrics].to_numpy(dtype="float64")])
-        first = seen - len(before)  # series position of values[0]
-        ends = np.arange(seen, seen + len(fresh))
-        ends = ends[(ends >= size - 1) & ((ends - (size - 1)) % stride == 0)]
-        if len(ends):
-            rows = ends[:, None] - first + np.arange(1 - size, 1)[None, :]
-            cut = values[rows]
-            stats = np.stack([cut.mean(axis=1), cut.std(axis=1), cut.max(axis=1)], axis=2)
-            out = pd.DataFrame(stats.reshape(len(ends), -1), columns=list(STAT_COLUMNS))
-            out = out.where(out.notna(), None)
-            out.insert(0, "window_index", (ends - (size - 1)) // stride)
-            out.insert(0, WINDOW_END, fresh[TIME].to_numpy()[ends - seen])
-            out.insert(0, KEY, key[0])
-            yield out
-        keep = values[max(0, len(values) - (size - 1)) :] if size > 1 else values[:0]
-        state.update((seen + len(fresh), fresh[TIME].iloc[-1].to_pydatetime(), keep.ravel().tolist()))
+        mark = state.getCurrentWatermarkMs()
+        ready = int(np.searchsorted(times, mark * 1000, "right"))
+        if ready:
+            before = np.array(tail, dtype="float64").reshape(-1, width)
+            known = np.vstack([before, values[:ready]])
+            first = seen - len(before)  # series position of known[0]
+            ends = np.arange(seen, seen + ready)
+            ends = ends[(ends >= size - 1) & ((ends - (size - 1)) % stride == 0)]
+            if len(ends):
+                cut = known[ends[:, None] - first + np.arange(1 - size, 1)[None, :]]
+                stats = np.stack([cut.mean(axis=1), cut.std(axis=1), cut.max(axis=1)], axis=2)
+                out = pd.DataFrame(stats.reshape(len(ends), -1), columns=list(STAT_COLUMNS))
+                out = out.where(out.notna(), None)
+                out.insert(0, "window_index", (ends - (size - 1)) // stride)
+                out.insert(0, WINDOW_END, pd.to_datetime(times[ends - seen], unit="us"))
+                out.insert(0, KEY, key[0])
+                yield out
+            seen, last = seen + ready, int(times[ready - 1])
+            tail = known[max(0, len(known) - (size - 1)) :].ravel().tolist() if size > 1 else []
+        times, values = times[ready:], values[ready:]
+        state.update((seen, last, tail, times.tolist(), values.ravel().tolist()))
+        due = int(times[0]) // 1000 + 1 if len(times) else last // 1000 + keep_ms
+        state.setTimeoutTimestamp(max(due, mark + 1))
 
     timed = event_time(stream, lateness).select(KEY, TIME, *metrics)
     return timed.groupBy(KEY).applyInPandasWithState(
-        advance, OUTPUT, STATE, "append", GroupStateTimeout.NoTimeout
+        advance, OUTPUT, STATE, "append", GroupStateTimeout.EventTimeTimeout
     )

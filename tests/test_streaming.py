@@ -39,12 +39,24 @@ def series(n=64):
     )
 
 
-def test_row_windows_on_a_stream_equal_the_batch_windows(spark, tmp_path):
+def late(device="z", days=2):
+    """A sample that moves the watermark past all others."""
+    return rows_of(device, [1.0], start=START + timedelta(days=days), seq_from=99_000 + days)
+
+
+@pytest.mark.parametrize("order", ["in order", "shuffled", "one late"])
+def test_row_windows_on_a_stream_equal_the_batch_windows(spark, tmp_path, order):
     rows = series()
     rows.sort(key=lambda r: r["timestamp"])
-    batches = [rows[:50], rows[50:51] + rows[40:45], rows[51:90], rows[90:]]
+    if order == "shuffled":  # by less than the lateness of ten minutes, across micro-batches
+        rng = np.random.default_rng(5)
+        rows = [rows[i] for i in np.argsort(np.arange(len(rows)) / 2 + rng.uniform(0, 8, len(rows)))]
+    if order == "one late":
+        rows = rows[:40] + rows[41:52] + rows[40:41] + rows[52:]
+    batches = [rows[:50], rows[50:51] + rows[40:45], rows[51:90], rows[90:], late(), late(days=3)]
     stream = stream_of(spark, tmp_path, batches)
-    found = drain(spark, streamed.row_windows(stream, WindowSpec(10, 3)), tmp_path, "row_windows").toPandas()
+    name = f"row_windows_{order.replace(' ', '_')}"
+    found = drain(spark, streamed.row_windows(stream, WindowSpec(10, 3)), tmp_path, name).toPandas()
     samples = index_series(cleaning.group_samples(frame(spark, rows), PLAIN), PLAIN)
     expected = windows.window_table(samples, PLAIN, WindowSpec(10, 3)).toPandas()
     found, expected = (f.sort_values(["gpu_id", "window_index"]).reset_index(drop=True) for f in (found, expected))
@@ -55,6 +67,23 @@ def test_row_windows_on_a_stream_equal_the_batch_windows(spark, tmp_path):
     )
 
 
+def test_a_sample_one_micro_batch_late_is_in_its_window(spark, tmp_path):
+    rows = rows_of("a", [float(i) for i in range(12)])
+    stream = stream_of(spark, tmp_path, [rows[:6], rows[7:9], rows[6:7] + rows[9:], late(), late(days=3)])
+    found = drain(spark, streamed.row_windows(stream, WindowSpec(3, 3)), tmp_path, "one_late")
+    means = [r["gpu_util_mean"] for r in found.where("gpu_id = 'a'").orderBy("window_index").collect()]
+    assert means == [1.0, 4.0, 7.0, 10.0]
+
+
+def test_idle_devices_leave_no_state(spark, tmp_path):
+    rows = rows_of("a", [1.0] * 5)
+    again = rows_of("a", [2.0] * 5, start=START + timedelta(days=40), seq_from=500)
+    stream = stream_of(spark, tmp_path, [rows, late(days=20), late(days=30), late(days=35), again, late(days=60), late(days=70)])
+    found = drain(spark, streamed.row_windows(stream, WindowSpec(3, 1), idle="1 day"), tmp_path, "idle")
+    indexes = [r["window_index"] for r in found.where("gpu_id = 'a'").orderBy(WINDOW_END).collect()]
+    assert indexes == [0, 1, 2, 0, 1, 2]  # the series began anew
+
+
 def test_time_windows_on_a_stream_equal_row_windows_of_even_series(spark, tmp_path):
     rows = series(50)
     later = rows_of("a", [1.0], start=START + timedelta(days=1), seq_from=9000)
