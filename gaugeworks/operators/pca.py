@@ -1,43 +1,110 @@
-"""Principal-component embedding of flattened windows (or any fixed-length vectors)."""
+"""Principal-component embedding of flattened windows (or any fixed-length vectors), fitted in one pass."""
 
 from __future__ import annotations
 
+import sys
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.ml.feature import PCA, PCAModel
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.stat import Summarizer
+import pandas as pd
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-INPUT = "_pca_input"
-OUTPUT = "_pca_output"
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+
+@dataclass(frozen=True)
+class Moments:
+    """Means and covariance (population) of a column of vectors, over the pairs of entries that are known."""
+
+    count: int
+    mean: np.ndarray
+    covariance: np.ndarray
+
+
+def vector_moments(df: DataFrame, values: str) -> Moments:
+    """One pass: every task sums cross products, sums of equal matrix rows meet, the driver gets one matrix.
+
+    Missing entries (NULL or NaN) count for no pair. Rows without a vector are left out.
+    """
+
+    def partial(batches):
+        sums = counts = None
+        for batch in batches:
+            column = batch.column(0)
+            if not len(column):
+                continue
+            x = column.flatten().to_numpy(zero_copy_only=False).astype("float64").reshape(len(column), -1)
+            known = ~np.isnan(x)
+            if sums is None:
+                sums, counts = (np.zeros((x.shape[1] + 1, x.shape[1] + 1)) for _ in range(2))
+            whole = np.column_stack([np.where(known, x, 0.0), np.ones(len(x))])
+            sums += whole.T @ whole
+            if known.all():
+                counts += len(x)
+            else:
+                mask = np.column_stack([known, np.ones(len(x))]).astype("float64")
+                counts += mask.T @ mask
+        if sums is not None:
+            yield rows(range(len(sums)), sums, counts)
+
+    def rows(index, sums, counts):
+        columns = [pa.array(list(index), pa.int32()), pa.array(list(sums), pa.list_(pa.float64())), pa.array(list(counts), pa.list_(pa.float64()))]
+        return pa.record_batch(columns, names=["i", "sums", "counts"])
+
+    def merged(batches):
+        found: dict[int, list[np.ndarray]] = {}
+        for batch in batches:
+            for i, s, c in zip(*(batch.column(k) for k in range(3)), strict=True):
+                own = found.setdefault(i.as_py(), [0.0, 0.0])
+                own[0] = own[0] + s.values.to_numpy()
+                own[1] = own[1] + c.values.to_numpy()
+        if found:
+            yield rows(found, [x[0] for x in found.values()], [x[1] for x in found.values()])
+
+    schema = "i int, sums array<double>, counts array<double>"
+    parts = df.select(F.col(values).cast("array<double>")).where(F.col(values).isNotNull()).mapInArrow(partial, schema)
+    table = parts.repartition("i").mapInArrow(merged, schema).toArrow().sort_by("i")
+    if not len(table):
+        raise ValueError(f"no vectors in {values}")
+    sums, counts = (np.array(table.column(c).to_pylist()) for c in ("sums", "counts"))
+    n = np.maximum(counts, 1.0)
+    mean = sums[:-1, -1] / n[:-1, :-1].diagonal()
+    return Moments(int(counts[-1, -1]), mean, sums[:-1, :-1] / n[:-1, :-1] - np.outer(mean, mean))
 
 
 @dataclass(frozen=True)
 class PcaEmbedding:
-    """Fitted components. Spark's model projects without centring; `shift` is the projected mean."""
+    """Fitted components, one list per component, and the mean they are measured from."""
 
-    model: PCAModel
+    components: list[list[float]]
     mean: list[float]
-    shift: list[float]
-
-    @property
-    def explained(self) -> list[float]:
-        """Share of the total variance per component."""
-        return [float(v) for v in self.model.explainedVariance]
+    explained: list[float]
 
     @property
     def dimensions(self) -> int:
         return len(self.mean)
 
     def transform(self, df: DataFrame, values: str, embedding: str = "embedding") -> DataFrame:
-        """Add the centred projection of an array column as an array column."""
-        projected = self.model.transform(df.withColumn(INPUT, array_to_vector(F.col(values))))
-        shift = F.array(*[F.lit(s) for s in self.shift])
-        centred = F.zip_with(vector_to_array(OUTPUT), shift, lambda z, s: z - s)
-        return projected.withColumn(embedding, centred).drop(INPUT, OUTPUT)
+        """Add the centred projection of an array column as an array column; NULL for incomplete vectors."""
+        model = df.sparkSession.sparkContext.broadcast((np.array(self.components).T, np.array(self.mean)))
+
+        @F.pandas_udf("array<double>")
+        def project(vectors: pd.Series) -> pd.Series:
+            components, mean = model.value
+            out = pd.Series([None] * len(vectors), dtype=object)
+            known = vectors.notna().to_numpy()
+            if known.any():
+                points = np.stack(vectors[known].to_numpy()).astype("float64")
+                complete = ~np.isnan(points).any(axis=1)
+                at = np.flatnonzero(known)[complete]
+                for i, z in zip(at, (points[complete] - mean) @ components, strict=True):
+                    out.iat[i] = z
+            return out
+
+        return df.withColumn(embedding, project(F.col(values)))
 
     def reconstruction_error(self, values: str, embedding: str = "embedding") -> Column:
         """Mean squared error of the back-projection.
@@ -51,28 +118,32 @@ class PcaEmbedding:
         return F.greatest((length - kept) / len(self.mean), F.lit(0.0))
 
     def save(self, spark: SparkSession, path: str, mode: str = "error") -> None:
-        writer = self.model.write()
-        (writer.overwrite() if mode == "overwrite" else writer).save(f"{path}/components")
-        row = [(self.mean, self.shift)]
-        spark.createDataFrame(row, "mean array<double>, shift array<double>").coalesce(1).write.mode(
-            mode
-        ).parquet(f"{path}/centre")
+        row = [(self.components, self.mean, self.explained)]
+        schema = "components array<array<double>>, mean array<double>, explained array<double>"
+        spark.createDataFrame(row, schema).coalesce(1).write.mode(mode).parquet(path)
 
     @staticmethod
     def load(spark: SparkSession, path: str) -> "PcaEmbedding":
-        centre = spark.read.parquet(f"{path}/centre").first()
-        return PcaEmbedding(
-            PCAModel.load(f"{path}/components"), list(centre["mean"]), list(centre["shift"])
-        )
+        row = spark.read.parquet(path).first()
+        return PcaEmbedding([list(c) for c in row["components"]], list(row["mean"]), list(row["explained"]))
+
+
+def principal_components(moments: Moments, k: int) -> PcaEmbedding:
+    """The `k` largest eigenvectors of the covariance; each one's largest entry is positive."""
+    values, vectors = np.linalg.eigh((moments.covariance + moments.covariance.T) / 2)
+    order = np.argsort(-values, kind="stable")[:k]
+    components = vectors[:, order].T
+    signs = np.sign(components[np.arange(len(order)), np.abs(components).argmax(axis=1)])
+    total = max(float(np.clip(values, 0, None).sum()), 1e-300)
+    return PcaEmbedding(
+        (components * signs[:, None]).tolist(), moments.mean.tolist(), [float(max(values[i], 0.0)) / total for i in order]
+    )
 
 
 def fit_pca(df: DataFrame, values: str, k: int = 8) -> PcaEmbedding:
-    """Fit on an array column; the covariance is a distributed aggregate (columns x columns).
+    return principal_components(vector_moments(df, values), k)
 
-    The input is read three times. Settle it first if it is dear to compute.
-    """
-    vectors = df.select(array_to_vector(F.col(values).cast("array<double>")).alias(INPUT))
-    model = PCA(k=k, inputCol=INPUT, outputCol=OUTPUT).fit(vectors)
-    mean = vectors.select(Summarizer.mean(F.col(INPUT)).alias("m")).first()["m"].toArray()
-    shift = np.asarray(model.pc.toArray()).T @ mean
-    return PcaEmbedding(model, mean.tolist(), shift.tolist())
+
+def rescaled(moments: Moments, mean: np.ndarray, scale: np.ndarray) -> Moments:
+    """The moments of (vector - mean) / scale: scaling is affine, so no second pass is needed."""
+    return Moments(moments.count, (moments.mean - mean) / scale, moments.covariance / np.outer(scale, scale))

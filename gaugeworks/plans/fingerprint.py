@@ -4,19 +4,20 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gaugeworks.operators import anomaly
 from gaugeworks.operators.cleaning import Samples, clean_samples
-from gaugeworks.operators.features import WindowScaler, fit_scaler
+from gaugeworks.operators.features import WindowScaler, fit_scaler, scaler_of_moments
 from gaugeworks.operators.forest import IsolationForest, fit_forest
-from gaugeworks.operators.pca import PcaEmbedding, fit_pca
+from gaugeworks.operators.pca import PcaEmbedding, principal_components, rescaled, vector_moments
 from gaugeworks.operators.scoring import SCORE_COLUMNS, health_score
 from gaugeworks.operators.series import SeriesLayout
 from gaugeworks.operators.store import settle
 from gaugeworks.operators.windows import VECTOR, WINDOW_INDEX, window_table
-from gaugeworks.schema import KEY, STAT_COLUMNS, WINDOW_END, RiskWeights, WindowSpec
+from gaugeworks.schema import KEY, METRICS, STAT_COLUMNS, WINDOW_END, RiskWeights, WindowSpec
 
 FOREST = "isolation_forest"
 RECONSTRUCTION = "reconstruction_error"
@@ -87,19 +88,25 @@ def fit_on_samples(
     method: str = FOREST,
     **forest_options,
 ) -> Models:
-    """Fit on clean samples. Several passes read them, so they should be settled: then no
-    pass shuffles them again. Window vectors, six times as large, are never stored.
+    """Fit on clean samples. Two passes read them (moments for scaler and components; the embedding), so they should
+    be settled: then no pass shuffles them again. Window vectors, six times as large, are never stored.
     """
     if method not in METHODS:
         raise ValueError(f"method must be one of {METHODS}")
-    scaler = fit_scaler(sample_windows(samples, spec), spec)
     if method == DEVIATION:
-        return Models(scaler)
-    vectors = sample_windows(samples, spec, statistics=False, scaler=scaler)
-    embedding = fit_pca(vectors, VECTOR, components)
+        return Models(fit_scaler(sample_windows(samples, spec), spec))
+    plain = samples.each(lambda rows, layout: window_table(rows, layout, spec, False, {m: F.col(m) for m in METRICS}))
+    try:
+        moments = vector_moments(plain, VECTOR)
+    except ValueError:
+        raise ValueError("cannot fit a scaler: no complete window") from None
+    scaler = scaler_of_moments(moments, spec)
+    mean, scale = (np.tile([f(m) for m in METRICS], spec.size) for f in (scaler.mean.get, scaler.scale))
+    embedding = principal_components(rescaled(moments, mean, scale), components)
     if method == RECONSTRUCTION:
         return Models(scaler, embedding)
     keys = [KEY, WINDOW_INDEX]
+    vectors = sample_windows(samples, spec, statistics=False, scaler=scaler)
     embedded = settle(embedding.transform(vectors, VECTOR).select(*keys, "embedding"))
     return Models(scaler, embedding, fit_forest(embedded, "embedding", keys, **forest_options))
 
