@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import sys
+
+import numpy as np
+from pyspark import cloudpickle
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gaugeworks.functions.numeric import round_to
-from gaugeworks.operators.forest import IsolationForest
+from gaugeworks.operators.forest import IsolationForest, raw_scores
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
 def _hash_top(df: DataFrame, keys: list[str], n: int, seed: int) -> DataFrame:
@@ -27,43 +33,45 @@ def shapley_values(
 
     Per row and permutation a background row turns into the row one dimension at a time, in the
     permutation's order; a dimension's contribution is the step it causes. The steps of a permutation
-    add up to score(row) - score(background row). At most `background_rows` vectors are collected.
+    add up to score(row) - score(background row). At most `background_rows` vectors are collected. Nothing is shuffled:
+    a row's points are scored as one array.
     """
     spark = df.sparkSession
     chosen = _hash_top(df.select(*keys, embedding), keys, background_rows, seed).collect()
     background = F.array(*[F.array(*[F.lit(float(x)) for x in row[embedding]]) for row in chosen])
-    order = F.sort_array(
-        F.transform(
-            F.sequence(F.lit(0), F.lit(dimensions - 1)),
-            lambda d: F.struct(
-                F.xxhash64(*keys, F.col("permutation"), d, F.lit(seed)).alias("h"), d.alias("d")
-            ),
-        )
-    )
-    drawn = F.pmod(F.xxhash64(*keys, F.col("permutation"), F.lit(seed + 1)), F.lit(len(chosen)))
-    paths = (
-        df.select(*keys, F.col(embedding).alias("own"))
-        .withColumn("permutation", F.explode(F.sequence(F.lit(0), F.lit(permutations - 1))))
-        .withColumn("order", F.transform(order, lambda s: s["d"]))
-        .withColumn("other", F.element_at(background, (drawn + 1).cast("int")))
-        .withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(dimensions))))
-    )
-    taken = F.slice("order", 1, F.col("step"))
-    mixed = F.transform(
-        F.sequence(F.lit(0), F.lit(dimensions - 1)),
-        lambda d: F.when(F.array_contains(taken, d), F.get("own", d)).otherwise(F.get("other", d)),
-    )
-    scored = paths.select(*keys, "order", "step", forest.score(spark, mixed).alias("raw"))
-    # A point counts for the dimension that led to it and against the one that leads away from it.
-    reached, left = F.get("order", F.col("step") - 1), F.get("order", F.col("step"))
-    signed = F.array(
-        F.struct(reached.alias("dimension"), F.col("raw").alias("part")),
-        F.struct(left.alias("dimension"), (-F.col("raw")).alias("part")),
-    )
-    parts = scored.select(*keys, F.explode(signed).alias("s")).where("s.dimension IS NOT NULL")
-    return parts.groupBy(*keys, F.col("s.dimension").alias("dimension")).agg(
-        (F.sum("s.part") / permutations).alias("phi")
+    steps, dims = F.sequence(F.lit(0), F.lit(dimensions)), F.sequence(F.lit(0), F.lit(dimensions - 1))
+
+    def path(p: Column) -> Column:
+        """A permutation: for every dimension the step at which it is taken from the row, and the background row."""
+        drawn = F.array_sort(F.transform(dims, lambda d: F.struct(F.xxhash64(*keys, p, d, F.lit(seed)).alias("h"), d.alias("d"))))
+        order = F.transform(drawn, lambda s: s["d"])
+        other = F.pmod(F.xxhash64(*keys, p, F.lit(seed + 1)), F.lit(len(chosen)))
+        return F.struct(F.transform(dims, lambda d: F.array_position(order, d).cast("int")).alias("turn"), F.element_at(background, (other + 1).cast("int")).alias("other"))
+
+    def mixed(x: Column, step: Column) -> Column:
+        return F.transform(dims, lambda d: F.when(F.get(x["turn"], d) <= step, F.get("own", d).cast("double")).otherwise(F.get(x["other"], d)))
+
+    paths = df.select(*keys, F.col(embedding).alias("own")).withColumn(
+        "paths", F.transform(F.sequence(F.lit(0), F.lit(permutations - 1)), path)
     )
+    points = F.flatten(F.transform("paths", lambda x: F.transform(steps, lambda step: mixed(x, step))))
+    model = spark.sparkContext.broadcast(forest.tables())
+
+    def contributions(batches):
+        """What a dimension adds in a permutation: the score at its step less the one before; the mean over permutations."""
+        for batch in batches:
+            if not len(batch):
+                continue
+            raw = raw_scores(np.stack([np.stack(p) for p in batch["points"]]).reshape(-1, dimensions).astype("float64"), model.value)
+            raw = raw.reshape(len(batch), permutations, dimensions + 1)
+            turn = np.stack([np.stack(t) for t in batch["turns"]]).astype("int64")
+            added = (np.take_along_axis(raw, turn, 2) - np.take_along_axis(raw, turn - 1, 2)).mean(axis=1)
+            out = batch[keys].loc[batch.index.repeat(dimensions)].reset_index(drop=True)
+            yield out.assign(dimension=np.tile(np.arange(dimensions, dtype="int32"), len(batch)), phi=added.ravel())
+
+    rows = paths.select(*keys, points.alias("points"), F.transform("paths", lambda x: x["turn"]).alias("turns"))
+    schema = ", ".join(f"`{c}` {t}" for c, t in df.select(*keys).dtypes)
+    return rows.mapInPandas(contributions, f"{schema}, dimension int, phi double")
 
 
 def importance(values: DataFrame) -> DataFrame:

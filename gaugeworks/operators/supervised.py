@@ -1,20 +1,26 @@
-"""Workload classifier and demand forecaster on Spark ML."""
+"""Workload classifier (Spark ML) and demand forecaster (one pass of cross products)."""
 
 from __future__ import annotations
 
+import sys
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
+from pyspark import cloudpickle
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import MultilayerPerceptronClassifier
 from pyspark.ml.feature import StandardScaler
 from pyspark.ml.functions import array_to_vector
-from pyspark.ml.regression import LinearRegression
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gaugeworks.functions.numeric import workload_label, workload_name
+from gaugeworks.operators.pca import vector_moments
 from gaugeworks.schema import STAT_COLUMNS, WORKLOAD_CLASSES
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 FEATURES = "_features"
 SCALED = "_scaled"
 
@@ -57,35 +63,52 @@ def classify(model: PipelineModel, windows: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class DemandForecaster:
-    """One linear model per entry of the flat target `y` (step by step, target by target)."""
+    """A linear model for every entry of the flat target `y` (step by step, target by target)."""
 
-    models: list
+    weights: list[list[float]]
+    intercept: list[float]
 
     def forecast(self, sequences: DataFrame) -> DataFrame:
-        """Add `forecast`, laid out like `y`."""
-        out = sequences.withColumn(FEATURES, array_to_vector("x"))
-        for model in self.models:
-            out = model.transform(out)
-        names = [m.getPredictionCol() for m in self.models]
-        return out.withColumn("forecast", F.array(*names)).drop(FEATURES, *names)
+        """Add `forecast`, laid out like `y`; NULL for incomplete inputs."""
+        model = sequences.sparkSession.sparkContext.broadcast((np.array(self.weights), np.array(self.intercept)))
+
+        @F.pandas_udf("array<double>")
+        def ahead(inputs: pd.Series) -> pd.Series:
+            weights, intercept = model.value
+            out = pd.Series([None] * len(inputs), dtype=object)
+            known = np.flatnonzero(inputs.notna().to_numpy())
+            if len(known):
+                x = np.stack(inputs.iloc[known].to_numpy()).astype("float64")
+                complete = ~np.isnan(x).any(axis=1)
+                for i, y in zip(known[complete], x[complete] @ weights.T + intercept, strict=True):
+                    out.iat[i] = y
+            return out
+
+        return sequences.withColumn("forecast", ahead("x"))
+
+    def save(self, spark: SparkSession, path: str, mode: str = "error") -> None:
+        schema = "weights array<array<double>>, intercept array<double>"
+        spark.createDataFrame([(self.weights, self.intercept)], schema).coalesce(1).write.mode(mode).parquet(path)
+
+    @staticmethod
+    def load(spark: SparkSession, path: str) -> "DemandForecaster":
+        row = spark.read.parquet(path).first()
+        return DemandForecaster([list(w) for w in row["weights"]], list(row["intercept"]))
 
 
 def fit_forecaster(training: DataFrame, outputs: int, regularization: float = 1e-3) -> DemandForecaster:
-    """Direct multi-step regression from lookback inputs `x` to every future value in `y`."""
-    rows = training.select(
-        array_to_vector("x").alias(FEATURES), *[F.get("y", F.lit(i)).alias(f"_y{i}") for i in range(outputs)]
-    ).cache()
-    try:
-        models = [
-            LinearRegression(
-                featuresCol=FEATURES,
-                labelCol=f"_y{i}",
-                predictionCol=f"_forecast{i}",
-                regParam=regularization,
-                solver="normal",
-            ).fit(rows)
-            for i in range(outputs)
-        ]
-    finally:
-        rows.unpersist()
-    return DemandForecaster(models)
+    """Direct multi-step regression from lookback inputs `x` to every future value in `y`.
+
+    One pass sums the cross products of inputs and targets; the ridge (on standardised inputs) is solved on the driver
+    for all targets at once.
+    """
+    whole = training.select(F.concat(F.col("x"), F.slice("y", 1, outputs)).alias("xy"))
+    moments = vector_moments(whole, "xy")
+    inputs = len(moments.mean) - outputs
+    spread = np.sqrt(np.maximum(moments.covariance.diagonal()[:inputs], 0.0))
+    spread = np.where(spread > 1e-12, spread, 1.0)
+    among = moments.covariance[:inputs, :inputs] / np.outer(spread, spread)
+    across = moments.covariance[:inputs, inputs:] / spread[:, None]
+    weights = np.linalg.solve(among + regularization * np.eye(inputs), across) / spread[:, None]
+    intercept = moments.mean[inputs:] - moments.mean[:inputs] @ weights
+    return DemandForecaster(weights.T.tolist(), intercept.tolist())

@@ -167,6 +167,7 @@ def test_attributions_add_up_along_each_path(spark, points):
     raw = {r["id"]: r["raw"] for r in df.select("id", forest.score(spark, "v").alias("raw")).collect()}
     gaps = {round(raw[i] - total[i], 9) for i in raw}  # all equal the one background row's score
     assert len(gaps) == 1 and gaps.pop() in {round(v, 9) for v in raw.values()}
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
     ranked = attribution.importance(found).collect()
     assert len(ranked) == 4 and [r["mean_abs_shap"] for r in ranked] == sorted(
         (r["mean_abs_shap"] for r in ranked), reverse=True
@@ -239,7 +240,7 @@ def test_scaler_round_trip(spark, fleet, tmp_path):
     assert spark.sql("SELECT 7D AS gpu_util").select(flat.scaled("gpu_util")).first()[0] == 2.0
 
 
-def test_classifier_and_forecaster_beat_guessing(spark):
+def test_classifier_and_forecaster_beat_guessing(spark, tmp_path):
     rng = np.random.default_rng(4)
     rows = []
     for i in range(400):
@@ -254,7 +255,10 @@ def test_classifier_and_forecaster_beat_guessing(spark):
         [(float(i), [float(i), float(i % 7)], [2.0 * i, 3.0 * (i % 7), 1.0]) for i in range(100)],
         "i double, x array<double>, y array<double>",
     )
-    forecast = supervised.fit_forecaster(pairs, outputs=3).forecast(pairs)
+    forecaster = supervised.fit_forecaster(pairs, outputs=3)
+    forecaster.save(spark, str(tmp_path / "forecaster"))
+    assert supervised.DemandForecaster.load(spark, str(tmp_path / "forecaster")) == forecaster
+    forecast = forecaster.forecast(pairs)
     assert evaluation.mean_squared_error(forecast, "y", "forecast").first()[0] < 0.1
 
 
