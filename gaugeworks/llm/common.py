@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import atexit
 import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugeworks.operators.store import checkpoint_dir
+from gaugeworks.operators.store import own_folder
 
 #: Words everywhere: runs of anything but space, tab, line feed, vertical tab, form feed, carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -19,39 +18,16 @@ GAP = r"[\x20\x09-\x0D]+"
 
 # --- tables between steps ------------------------------------------------------------------------------
 
-_FOLDERS: dict[str, str] = {}
-
-
-def work_folder(spark: SparkSession) -> str:
-    """A folder of this application below the shared checkpoint folder; it goes when the driver ends."""
-    application = spark.sparkContext.applicationId
-    if application not in _FOLDERS:
-        folder = f"{checkpoint_dir(spark).rstrip('/')}/llm-{uuid.uuid4().hex}"
-        _FOLDERS[application] = folder
-
-        def clean(context=spark.sparkContext):
-            if context._jsc is not None:
-                path = context._jvm.org.apache.hadoop.fs.Path(folder)
-                path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
-
-        atexit.register(clean)
-    return _FOLDERS[application]
-
-
 def new_folder(spark: SparkSession, name: str) -> str:
-    return f"{work_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    return f"{own_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """`df` as a Parquet table in the shared folder: computed once, lineage cut, columns prunable."""
-    spark = df.sparkSession
-    folder = new_folder(spark, name)
+    """`df` as a Parquet table in the shared folder: computed once, lineage cut, columns prunable. The folder goes when
+    the driver ends."""
+    folder = new_folder(df.sparkSession, name)
     df.write.parquet(folder)
-    return spark.read.schema(df.schema).parquet(folder)
-
-
-def same(left: Column, right: Column) -> Column:
-    return left.eqNullSafe(right)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
 # --- hashes of words -----------------------------------------------------------------------------------
@@ -153,6 +129,31 @@ def signed(values: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(values).view(np.int64))
 
 
+def bit_map(bits: DataFrame, size: int) -> np.ndarray:
+    """`size` bits as 32-bit words, those in column `bit` set. The driver gets size / 8 bytes in blocks."""
+    block = 17
+
+    def run(batches):
+        found: dict[int, np.ndarray] = {}
+        for batch in batches:
+            bit = np.sort(batch.column(0).to_numpy())
+            starts = np.flatnonzero(np.r_[True, bit[1:] >> block != bit[:-1] >> block]) if len(bit) else []
+            for own in np.split(bit, starts[1:]) if len(bit) else []:
+                cells = found.setdefault(int(own[0]) >> block, np.zeros(1 << block, bool))
+                cells[own & (1 << block) - 1] = True
+        if found:
+            packed = [np.packbits(x, bitorder="little").tobytes() for x in found.values()]
+            yield pa.record_batch([pa.array(list(found), pa.int64()), pa.array(packed, pa.binary())], names=["block", "cells"])
+
+    by_block = bits.repartition(F.shiftright("bit", block)).select("bit")
+    rows = by_block.mapInArrow(run, "block long, cells binary").toArrow()
+    out = np.zeros(max(size >> 5, 1 << block - 5), np.uint32)
+    step = 1 << block - 5
+    for at, cells in zip(rows.column("block").to_pylist(), rows.column("cells").to_pylist(), strict=True):
+        out[at * step : (at + 1) * step] = np.frombuffer(cells, np.uint32)
+    return out
+
+
 # --- connected components ------------------------------------------------------------------------------
 
 

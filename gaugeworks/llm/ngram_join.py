@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gaugeworks.llm.common import components, hashed_words, mixed, shingle_hashes, signed, written
+from gaugeworks.llm.common import bit_map, components, hashed_words, mixed, shingle_hashes, signed, written
 
 #: Tokens counted at once for the frequent list.
 COUNTED = 1 << 21
@@ -287,12 +287,7 @@ def bloom_of(rows: DataFrame) -> np.ndarray:
     """A bit map of fixed size with two bits set for every (id, key)."""
     low = F.col("key").bitwiseXOR(F.col("id")).bitwiseAND(F.lit(BLOOM_BITS - 1))
     high = F.shiftrightunsigned("key", 38).bitwiseXOR(F.col("id")).bitwiseAND(F.lit(BLOOM_BITS - 1))
-    bits = rows.select(F.explode(F.array(low, high)).alias("bit"))
-    words = bits.groupBy(F.shiftright("bit", 5).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(bit & 31 AS int)))").alias("mask"))
-    rows = words.toPandas()
-    out = np.zeros(BLOOM_BITS >> 5, np.uint32)
-    out[rows["word"].to_numpy(np.int64)] = rows["mask"].to_numpy(np.int64).astype(np.uint32)
-    return out
+    return bit_map(rows.select(F.explode(F.array(low, high)).alias("bit")), BLOOM_BITS)
 
 
 def fetched_sets(docs: DataFrame, size: int, wanted) -> DataFrame:

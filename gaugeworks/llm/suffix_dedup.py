@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gaugeworks.llm.common import hashed_words, mixed, rolling_hashes, signed, written
+from gaugeworks.llm.common import bit_map, hashed_words, mixed, rolling_hashes, signed, written
 
 #: Bits of the Bloom filter of repeated grams: 16 MB, whatever the corpus.
 BLOOM_BITS = 1 << 27
@@ -74,12 +74,7 @@ def gram_counts(docs: DataFrame, gram: int, window: int) -> DataFrame:
 def bloom(grams: DataFrame) -> np.ndarray:
     low = F.col("gram").bitwiseAND(F.lit(BLOOM_BITS - 1))
     high = F.shiftrightunsigned("gram", 37).bitwiseAND(F.lit(BLOOM_BITS - 1))
-    bits = grams.select(F.explode(F.array(low, high)).alias("bit"))
-    words = bits.groupBy(F.shiftright("bit", 5).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(bit & 31 AS int)))").alias("mask"))
-    rows = words.toPandas()
-    out = np.zeros(BLOOM_BITS >> 5, np.uint32)
-    out[rows["word"].to_numpy(np.int64)] = rows["mask"].to_numpy(np.int64).astype(np.uint32)
-    return out
+    return bit_map(grams.select(F.explode(F.array(low, high)).alias("bit")), BLOOM_BITS)
 
 
 def suffixes(docs: DataFrame, gram: int, window: int, repeated, frequent) -> DataFrame:
