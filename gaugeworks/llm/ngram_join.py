@@ -333,7 +333,7 @@ def verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame, size: int, p
     pairs = written(sketched(pairs, classes, percent), "pairs")
     keys = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
     wanted = context.broadcast(bloom_of(classes.select("key", F.coalesce("id", F.lit(0)).alias("id")).join(keys, "key")))
-    sets = fetched_sets(docs, size, wanted)
+    sets = written(fetched_sets(docs, size, wanted), "sets")
     one, two = sets.toDF("a", "xa"), sets.toDF("b", "xb")
 
     def run(batches):
