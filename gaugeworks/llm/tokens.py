@@ -72,42 +72,46 @@ class Encoder:
                 found[word] = np.array(own.ids, "<u4").tobytes()
         return found
 
-    def parts(self, word: str) -> tuple[str, str]:
-        """A word's stem and closing punctuation that have its ids in a row; lower case where that is plain. The letter
-        before the punctuation must stay one when it is normalised and lower-cased, else a mark would join both."""
-        if "<" in word:
-            return word, ""
-        if word.isascii():
-            word = word.lower()
-        if word[-1:] in _CLOSING and unicodedata.normalize("NFC", word[-2:-1]).lower().isalpha():
-            return word[:-1], word[-1]
-        return word, ""
-
     def learn(self, words: set[str]) -> None:
-        """Put `words` into the present generation."""
+        """Put `words` into the present generation.
+
+        A word that ends in a letter and one closing mark has the ids of both in a row, if the letter stays one when it is
+        normalised and lower-cased (else its mark joins the closing one).
+        """
         if len(self.known) + len(words) > KEPT_WORDS:
             self.before, self.known = self.known, {}
         known, before = self.known, self.before
-        missing: dict[str, tuple[str, str]] = {}
-        for word in words:
-            if word in known:
-                continue
-            if (ids := before.get(word)) is not None:
-                known[word] = ids
-            else:
-                missing[word] = self.parts(word)
-        stems: dict[str, bytes] = {}
-        ask = []
-        for stem in {x for own in missing.values() for x in own if x}:
-            ids = known.get(stem) or before.get(stem)
-            if ids is None:
-                ask.append(stem)
+        again = {w: before[w] for w in words if w in before}
+        known.update(again)
+        closed: list[tuple[str, str, str]] = []
+        stems: set[str] = set()
+        for word in words - known.keys():
+            letter = word[-2:-1]
+            if word[-1:] in _CLOSING and ("a" <= letter <= "z" or unicodedata.normalize("NFC", letter).lower().isalpha()) and "<" not in word:
+                closed.append((word, word[:-1], word[-1]))
+                stems.add(word[:-1])
+                stems.add(word[-1])
             else:
-                stems[stem] = ids
-        stems |= self.whole(ask)
-        stems[""] = b""
-        for word, (stem, closing) in missing.items():
-            known[word] = stems[stem] + stems[closing]
+                stems.add(word)
+        stems -= known.keys()
+        again = {w: before[w] for w in stems if w in before}
+        known.update(again)
+        known.update(self.whole(list(stems - again.keys())))
+        known.update({word: known[stem] + known[mark] for word, stem, mark in closed})
+
+    def words(self, text: str | None) -> list[str]:
+        """The text's words. Case goes where Python and the tokenizer agree on it, unless special tokens may be in it."""
+        text = text or ""
+        if "<|" not in text:
+            try:
+                text.encode("latin-1")
+                text = text.lower()
+            except UnicodeEncodeError:
+                pass
+        for gap in _OTHER_GAPS:
+            if gap in text:
+                text = text.replace(gap, " ")
+        return text.split(" ")
 
     def encode(self, texts: list[str | None]) -> Iterator[bytes]:
         """The ids of each text; of a null text none."""
@@ -115,12 +119,8 @@ class Encoder:
         while at < len(texts):
             pool, size = [], 0
             while at < len(texts) and (not pool or size < CHUNK):
-                text = texts[at] or ""
-                for gap in _OTHER_GAPS:
-                    if gap in text:
-                        text = text.replace(gap, " ")
-                pool.append(text.split(" "))
-                size += len(text)
+                pool.append(self.words(texts[at]))
+                size += len(texts[at] or "")
                 at += 1
             met: set[str] = set()
             for words in pool:
