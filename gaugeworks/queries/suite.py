@@ -648,6 +648,34 @@ for _name, _function in {
     register(f"{_name}_cut", ORACLES[_name])(lambda spark, sf_dir, f=_function: f(spark, sf_dir, **CUT))
 
 
+# --- devices numbered per host --------------------------------------------------------------------
+
+
+def numbered_per_host(spark, sf_dir) -> DataFrame:
+    """Ten devices on every host, each host with the same ids; the key is host and id."""
+    number = F.substring(KEY, 5, 20).cast("int")
+    raw = read_telemetry(spark, sf_dir).withColumns({
+        HOST: F.concat(F.lit("host-"), F.floor(number / 10).cast("string")), KEY: F.concat(F.lit("gpu-"), (number % 10).cast("string")),
+    })
+    return files.with_device_key(raw)
+
+
+PER_HOST = "concat('host-', CAST(substr(gpu_id, 5) AS int) // 10, '/gpu-', CAST(substr(gpu_id, 5) AS int) % 10) AS gpu_id"
+
+
+@register("cmp_01_preprocess_per_host", query(f'SELECT seq, "timestamp", {PER_HOST}, {ROUNDED_METRICS} FROM clean', sql.CLEAN))
+def preprocess_per_host(spark, sf_dir):
+    return rounded(cleaning.preprocess(numbered_per_host(spark, sf_dir)), *METRICS).select(SEQ, TIME, KEY, *METRICS)
+
+
+@register(
+    "win_04_strided_windows_per_host",
+    query(f"SELECT {PER_HOST}, window_end_timestamp, CAST((p - 29) / 5 AS bigint) AS window_index FROM stats", sql.STATS),
+)
+def strided_windows_per_host(spark, sf_dir):
+    return window_ends(numbered_per_host(spark, sf_dir), SPEC).select(KEY, WINDOW_END, windows.WINDOW_INDEX)
+
+
 # --- infinite values --------------------------------------------------------------------------------
 
 ENDLESS = """

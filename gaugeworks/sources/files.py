@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugeworks.schema import ALL_COLUMNS, KEY, METRICS, TELEMETRY, TIME, null_if_nan
+from gaugeworks.schema import ALL_COLUMNS, HOST, KEY, METRICS, TELEMETRY, TIME, null_if_nan
 
 
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
@@ -44,6 +44,20 @@ def canonical(df: DataFrame) -> DataFrame:
     )
 
 
+def with_device_key(df: DataFrame, columns: tuple[str, ...] = (HOST, KEY), key: str = KEY) -> DataFrame:
+    """`key` becomes one text of several columns, for fleets that number their devices per host.
+
+    Parts are joined by '/', which is written %2F within a part (and % as %25), so different devices never share a text.
+    A missing last column leaves the key missing; other missing parts count as `unknown`. All operators then work per
+    device of the fleet.
+    """
+    def part(name: str) -> Column:
+        return F.replace(F.replace(F.col(name).cast("string"), F.lit("%"), F.lit("%25")), F.lit("/"), F.lit("%2F"))
+
+    *outer, last = columns
+    return df.withColumn(key, F.concat(*[x for c in outer for x in (F.coalesce(part(c), F.lit("unknown")), F.lit("/"))], part(last)))
+
+
 def load_telemetry(spark: SparkSession, path: str) -> DataFrame:
     """Read by suffix, validate, project. An absent path is Spark's PATH_NOT_FOUND error.
 

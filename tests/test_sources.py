@@ -169,3 +169,10 @@ def test_id_formats(spark):
     df = spark.createDataFrame([(7,), (1234,)], "n bigint")
     found = df.select(text.device_id(F.col("n")), text.host_id(F.col("n"))).collect()
     assert [tuple(r) for r in found] == [("gpu-007", "node-07"), ("gpu-1234", "node-1234")]
+
+
+def test_device_keys_of_several_columns_never_clash(spark):
+    rows = [("a/b", "c"), ("a", "b/c"), ("a%2Fb", "c"), (None, "c"), ("a", None)]
+    df = spark.createDataFrame(rows, "node_id string, gpu_id string")
+    keys = [r["gpu_id"] for r in files.with_device_key(df).collect()]
+    assert keys == ["a%2Fb/c", "a/b%2Fc", "a%252Fb/c", "unknown/c", None]
