@@ -39,7 +39,7 @@ _STEP = np.array(
 )
 _POWERS = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
 #: Bytes hashed at once; a longer text is a chunk of its own.
-CHUNK = 1 << 21
+CHUNK = 1 << 20
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -73,6 +73,16 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
+def sliced(column: pa.Array):
+    """Slices of a string column of about CHUNK bytes each, in order; a longer text is a slice of its own."""
+    _, offsets = text_bytes(column)
+    first, rows = 0, len(offsets) - 1
+    while first < rows:
+        last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + CHUNK, "right")) - 1)
+        yield column.slice(first, last - first)
+        first = last
+
+
 def hashed_words(column: pa.Array, lower: bool):
     """Yield (first row, hash of each word, offsets of each row's words) for chunks of whole texts.
 
@@ -154,6 +164,23 @@ def bit_map(bits: DataFrame, size: int) -> np.ndarray:
     return out
 
 
+def most_frequent(counts: DataFrame, least: int, most: int) -> DataFrame:
+    """Rows of `counts` (n, ...) with the largest n: at least `least`, and a bound above that if they would be over `most`.
+
+    The bound comes from counts of rows by size of n (eight steps for every doubling), so nothing is sorted.
+    """
+    enough = counts.where(F.col("n") >= least)
+    step = F.floor(8 * F.log2("n")).cast("int")
+    sizes = sorted(((r["step"], r["rows"]) for r in enough.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("rows")).collect()), reverse=True)
+    total, bound = 0, None
+    for own, rows in sizes:
+        total += rows
+        if total > most:
+            break
+        bound = own
+    return enough.where("false") if bound is None else enough.where(step >= bound)
+
+
 # --- connected components ------------------------------------------------------------------------------
 
 

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gaugeworks.llm.common import bit_map, components, hashed_words, mixed, shingle_hashes, signed, written
+from gaugeworks.llm.common import bit_map, components, hashed_words, mixed, most_frequent, shingle_hashes, signed, written
 
 #: Tokens counted at once for the frequent list.
 COUNTED = 1 << 21
@@ -106,8 +106,8 @@ def sizes_and_frequent(docs: DataFrame, size: int) -> DataFrame:
 
 def frequent_order(counts: DataFrame, least: int, most: int) -> tuple[np.ndarray, np.ndarray]:
     """At most `most` shingles seen at least `least` times: (sorted hashes, their ranks by frequency)."""
-    top = counts.groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-    rows = top.orderBy(F.desc("n"), "key").limit(most).toPandas()
+    sums = written(counts.groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= least), "sums")
+    rows = most_frequent(sums, least, most).toPandas()
     keys, n = rows["key"].to_numpy(np.int64).view(np.uint64), rows["n"].to_numpy(np.int64)
     order = np.argsort(keys)
     return keys[order], n[order]

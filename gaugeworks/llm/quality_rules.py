@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gaugeworks.llm.common import hashed_words, rolling_hashes, text_bytes
+from gaugeworks.llm.common import hashed_words, rolling_hashes, sliced, text_bytes
 
 #: Each of the three kinds of features has 2 ** BITS weights.
 BITS = 16
@@ -214,8 +214,11 @@ def judged(
     def run(batches):
         for batch in batches:
             ids, texts = batch.columns
-            base = base_statistics(texts)
-            p = probabilities(texts, shared.value)
+            parts = [(base_statistics(x), probabilities(x, shared.value)) for x in sliced(texts)]
+            if not parts:
+                continue
+            base = {k: np.concatenate([b[k] for b, _ in parts]) for k in parts[0][0]}
+            p = np.concatenate([x for _, x in parts])
             failed = (base["n_words"] < MIN_WORDS) | (100 * base["n_repeat_words"] > MAX_REPEAT_PERCENT * base["n_words"])
             columns = [ids, *[pa.array(x, pa.int64()) for x in base.values()], pa.array(failed), pa.array(~failed & (p >= threshold)), pa.array(p)]
             yield pa.record_batch(columns, names=["id", *base, "base_failed", "kept", "p_good"])

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gaugeworks.llm.common import text_bytes, written
+from gaugeworks.llm.common import sliced, text_bytes, written
 
 FEATURES = ("letters", "capitals", "digits", "symbols", "shouts", "gaps", "lines", "size")
 
@@ -38,6 +38,10 @@ def url_path(url: Column) -> Column:
 
 def character_features(column: pa.Array) -> np.ndarray:
     """One row of FEATURES for each text: shares of its bytes by class, and the logarithm of its length."""
+    return np.concatenate([np.zeros((0, len(FEATURES))), *map(_character_features, sliced(column))])
+
+
+def _character_features(column: pa.Array) -> np.ndarray:
     data, offsets = text_bytes(column)
     kinds = np.zeros(256, np.uint8)
     for kind, members in enumerate((range(97, 123), range(65, 91), range(48, 58), b"#*$%&|<>~^=_{}[]@\\", b"!", (9, 11, 12, 13, 32), (10,)), 1):

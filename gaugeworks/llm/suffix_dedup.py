@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gaugeworks.llm.common import bit_map, hashed_words, mixed, rolling_hashes, signed, written
+from gaugeworks.llm.common import bit_map, hashed_words, mixed, most_frequent, rolling_hashes, signed, written
 
 #: Bits of the Bloom filter of repeated grams: 16 MB, whatever the corpus.
 BLOOM_BITS = 1 << 27
@@ -167,7 +167,7 @@ def matches(found: DataFrame, gram: int, least: int) -> DataFrame:
 
 def frequent_grams(counts: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
     """The grams dealt to several tasks, sorted, and to how many; at most `most`, the most frequent."""
-    rows = counts.where(F.col("n") > 2 * DEALT).orderBy(F.desc("n"), "gram").limit(most).toPandas()
+    rows = most_frequent(counts, 2 * DEALT + 1, most).toPandas()
     grams, n = rows["gram"].to_numpy(np.int64).view(np.uint64), rows["n"].to_numpy(np.int64)
     order = np.argsort(grams)
     return grams[order], n[order] // DEALT

@@ -97,6 +97,15 @@ def test_components_of_chains_and_stars(spark):
     assert common.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_most_frequent_rows_are_bounded_without_a_sort(spark):
+    counts = spark.range(1, 1001).selectExpr("id AS key", "id AS n")
+    found = common.most_frequent(counts, 10, 200)
+    kept = sorted(r.n for r in found.collect())
+    assert 100 < len(kept) <= 200 and kept == list(range(kept[0], 1001))
+    assert common.most_frequent(counts, 995, 200).count() == 6 and common.most_frequent(counts, 5000, 9).count() == 0
+    assert "Sort" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_word_hashes_are_the_words(spark):
     import pyarrow as pa
 
