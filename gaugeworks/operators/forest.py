@@ -160,7 +160,8 @@ def max_depth(sample_size: int) -> int:
 def tree_samples(
     df: DataFrame, embedding: str, keys: list[str], trees: int, sample_size: int, seed: int
 ) -> tuple[DataFrame, int]:
-    """`sample_size` distinct rows per tree as (tree_id, embedding), chosen by hash of the row's key.
+    """`sample_size` distinct rows per tree as (tree_id, embedding), chosen by hash of the row's key, by the same rule for
+    any number of rows.
 
     A pool of trees x sample_size rows is enough. It is dealt out like cards: a shuffle of the pool
     serves as many trees as it has whole hands, the next shuffle serves the next trees.
@@ -174,10 +175,11 @@ def tree_samples(
     def position(salt: Column) -> Column:
         return F.xxhash64(*keys, F.lit(seed), salt)
 
-    if rows > 4 * pool_rows:  # thin out before sorting; twice the pool is expected to remain
-        share = int(2 * pool_rows / rows * 2**40) + 1
-        known = known.where(F.pmod(position(F.lit(-1)), F.lit(2**40)) < share)
-    pool = known.withColumn("_at", position(F.lit(-1))).orderBy("_at", *keys).limit(pool_rows)
+    # The pool is the rows with the smallest hashes. Rows beyond a bound that about twice the pool stays below need not be
+    # sorted; the count makes sure that the pool is among those that stay.
+    known = known.withColumn("_at", F.pmod(position(F.lit(-1)), F.lit(2**40)))
+    low = known.where(F.col("_at") <= int(2 * pool_rows / rows * 2**40))
+    pool = (low if low.count() >= pool_rows else known).orderBy("_at", *keys).limit(pool_rows)
     hand = min(sample_size, pool_rows)
     hands = pool_rows // hand
     deals = -(-trees // hands)

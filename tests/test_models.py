@@ -87,6 +87,14 @@ def test_forest_path_lengths_follow_the_trees(spark, points):
         assert raw_scores(p[None, :], forest.tables())[0] == pytest.approx(expected)
 
 
+def test_the_pool_is_the_rows_with_the_smallest_hashes(spark):
+    df = spark.range(5000).selectExpr("id", "array(cast(id AS double)) AS v")
+    samples, hand = tree_samples(df, "v", ["id"], 4, 16, 7)
+    chosen = {int(r["embedding"][0]) for r in samples.collect()}
+    at = F.pmod(F.xxhash64("id", F.lit(7), F.lit(-1)), F.lit(2**40))
+    assert hand == 16 and chosen == {r["id"] for r in df.orderBy(at, "id").limit(64).collect()}
+
+
 @pytest.mark.parametrize("rows, trees, size", [(300, 20, 64), (300, 2, 16), (10, 5, 64), (300, 7, 300)])
 def test_tree_samples_are_distinct_rows(spark, points, rows, trees, size):
     df = table(spark, points[:rows])
