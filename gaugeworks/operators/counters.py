@@ -94,3 +94,13 @@ def liveness(
     return last.withColumn("silent_seconds", silence).withColumn(
         "is_down", F.col("silent_seconds") > allowed * interval_seconds
     )
+
+
+def per_interval(df: DataFrame, columns: list[str], layout: SeriesLayout | None = None) -> DataFrame:
+    """`df` with running counters replaced by what they gained since the device's preceding sample.
+
+    For exporters that report totals where the telemetry schema has counts per interval; the first sample of a device
+    has none.
+    """
+    deltas = counter_deltas(df, columns, layout)
+    return deltas.select(*[F.col(f"{c}_delta").alias(c) if c in columns else F.col(c) for c in df.columns])

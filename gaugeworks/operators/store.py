@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import atexit
+import shutil
 import uuid
+from urllib.parse import urlparse
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,6 +30,8 @@ def own_folder(spark: SparkSession) -> str:
             if context._jsc is not None:
                 path = context._jvm.org.apache.hadoop.fs.Path(folder)
                 path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+            elif urlparse(folder).scheme in ("", "file"):  # the session was stopped first
+                shutil.rmtree(urlparse(folder).path, ignore_errors=True)
 
         atexit.register(clean)
     return _FOLDERS[application]

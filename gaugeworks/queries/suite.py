@@ -442,6 +442,16 @@ def short_series(spark, sf_dir):
     return all_devices.join(counts, KEY, "left").na.fill(0, ["n_windows"])
 
 
+@register(
+    "agg_07_approximate_devices",
+    query("SELECT true AS close FROM (SELECT count(DISTINCT gpu_id) AS n FROM t) WHERE n > 0", sql.TELEMETRY),
+)
+def approximate_devices(spark, sf_dir):
+    """The sketched number of devices is within five standard errors of the exact one."""
+    found = read_telemetry(spark, sf_dir).agg(F.approx_count_distinct(KEY, 0.01).alias("a"), F.count_distinct(KEY).alias("n"))
+    return found.where("n > 0").select((F.abs(F.col("a") - F.col("n")) <= 0.05 * F.col("n")).alias("close"))
+
+
 @register("agg_07_distinct_devices", query("SELECT count(DISTINCT gpu_id) AS n_devices FROM t", sql.TELEMETRY))
 def distinct_devices(spark, sf_dir):
     return read_telemetry(spark, sf_dir).agg(F.count_distinct(KEY).alias("n_devices"))
@@ -1139,6 +1149,20 @@ def counter_deltas(spark, sf_dir, **cut):
     return rounded(deltas.select(KEY, TIME, "job_runtime_s_delta", "job_runtime_s_rate"), "job_runtime_s_rate")
 
 
+@register(
+    "ext_03_counters_per_interval",
+    query(
+        'SELECT gpu_id, "timestamp", CASE WHEN rise < 0 THEN job_runtime_s ELSE rise END AS job_runtime_s, round(cpu_util, 6) AS cpu_util FROM lagged',
+        sql.TELEMETRY,
+        BEFORE,
+    ),
+)
+def counters_per_interval(spark, sf_dir):
+    """Telemetry of an exporter that reports totals, as the loaders' schema wants it."""
+    raw = read_telemetry(spark, sf_dir).select(KEY, TIME, "job_runtime_s", "cpu_util")
+    return rounded(counters.per_interval(raw, ["job_runtime_s"]), "cpu_util")
+
+
 register("ext_03_counter_deltas_cut", ORACLES["ext_03_counter_deltas"])(
     lambda spark, sf_dir: counter_deltas(spark, sf_dir, **CUT)
 )

@@ -145,6 +145,14 @@ def test_infinite_values_are_ranks_at_the_ends(spark):
         np.testing.assert_allclose(found[2:5], [np.interp(s * 304, range(305), ordered) for s in shares[2:5]])
 
 
+def test_approximate_quantiles_are_near(spark):
+    df = spark.range(20_001).selectExpr("cast(id AS double) AS v").repartition(5)
+    found = anomaly.approximate_quantiles(df, "v", [0.01, 0.5, 0.99])
+    assert all(abs(a - b) <= 20 for a, b in zip(found, [200, 10_000, 19_800], strict=True))
+    with pytest.raises(ValueError):
+        anomaly.approximate_quantiles(df.where("false"), "v", [0.5])
+
+
 def test_quantiles_take_few_passes(spark, monkeypatch):
     """However many ranks and however steep the distribution: two passes narrow all ranges at once."""
     jobs = []
