@@ -47,9 +47,12 @@ def settle(df: DataFrame) -> DataFrame:
 
 
 def buckets(df: DataFrame) -> int:
-    """Enough for BUCKET_BYTES each, at least one for every core."""
+    """Enough for BUCKET_BYTES each by Spark's estimate, at least one for every core. Rows that come from no file have
+    no estimate (8 exabytes stand for it); the session's number of shuffle partitions serves them."""
+    spark = df.sparkSession
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return min(MOST_BUCKETS, max(df.sparkSession.sparkContext.defaultParallelism, -(-size // BUCKET_BYTES)))
+    wanted = -(-size // BUCKET_BYTES) if size < 1 << 60 else int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return min(MOST_BUCKETS, max(spark.sparkContext.defaultParallelism, wanted))
 
 
 def settle_grouped(df: DataFrame, keys: list[str], order: str) -> DataFrame:

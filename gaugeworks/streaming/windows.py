@@ -12,7 +12,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from gaugeworks.schema import KEY, METRICS, STAT_COLUMNS, TIME, WINDOW_END, WindowSpec
+from gaugeworks.functions.numeric import rescale
+from gaugeworks.operators.cleaning import clip_bounds
+from gaugeworks.operators.features import WindowScaler
+from gaugeworks.operators.scoring import SCORE_COLUMNS, health_score
+from gaugeworks.schema import KEY, METRICS, STAT_COLUMNS, TIME, WINDOW_END, RiskWeights, WindowSpec
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -103,3 +107,19 @@ def row_windows(
     return timed.groupBy(KEY).applyInPandasWithState(
         advance, OUTPUT, STATE, "append", GroupStateTimeout.EventTimeTimeout
     )
+
+
+def scored_windows(
+    stream: DataFrame, scaler: WindowScaler, limits: tuple[float, float], weights: RiskWeights = RiskWeights(),
+    lateness: str = "10 minutes", idle: str = "7 days",
+) -> DataFrame:
+    """`row_windows` of bounded samples with anomaly score, risk and health, by a fitted scaler and frozen limits.
+
+    The score is the deviation method's. Samples pass one by one, so there is no gap fill and no z-score clip, which need
+    the whole series: a window with a missing value has no score. On series without gaps and outliers a device's
+    newest window equals `build_fingerprint` with the same limits.
+    """
+    found = row_windows(clip_bounds(stream), scaler.spec, lateness, idle)
+    low, high = (F.lit(x).cast("double") for x in limits)
+    scored = found.withColumn("anomaly_score", rescale(scaler.deviation(), low, high))
+    return health_score(scored, weights).select(*SCORE_COLUMNS, KEY, WINDOW_END, "window_index", *STAT_COLUMNS)

@@ -84,6 +84,24 @@ def test_idle_devices_leave_no_state(spark, tmp_path):
     assert indexes == [0, 1, 2, 0, 1, 2]  # the series began anew
 
 
+def test_scores_on_a_stream_equal_the_batch_fingerprint(spark, tmp_path):
+    from gaugeworks.plans import fingerprint
+
+    rows = series(40)
+    raw = frame(spark, rows)
+    models = fingerprint.fit_models(raw, WindowSpec(10, 5), method=fingerprint.DEVIATION)
+    limits = (0.0, 2.0)
+    batch = fingerprint.build_fingerprint(raw, models, fingerprint.DEVIATION, limits=limits).orderBy("gpu_id").collect()
+    rows.sort(key=lambda r: r["timestamp"])
+    stream = stream_of(spark, tmp_path, [rows[:30], rows[30:], late(), late(days=3)])
+    found = drain(spark, streamed.scored_windows(stream, models.scaler, limits), tmp_path, "scored")
+    newest = {r["gpu_id"]: r for r in found.orderBy("window_index").collect()}
+    for row in batch:
+        for column in ("anomaly_score", "failure_risk_score", "gpu_health_score", "estimated_time_to_failure_steps"):
+            assert newest[row["gpu_id"]][column] == pytest.approx(row[column])
+        assert newest[row["gpu_id"]][WINDOW_END] == row[WINDOW_END]
+
+
 def test_time_windows_on_a_stream_equal_row_windows_of_even_series(spark, tmp_path):
     rows = series(50)
     later = rows_of("a", [1.0], start=START + timedelta(days=1), seq_from=9000)
