@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -22,14 +23,41 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{own_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """`df` as a Parquet table in the shared folder: computed once, lineage cut, columns prunable. The folder goes when
-    the driver ends."""
+#: Folders written since each scratch block that is open now began.
+_SCRATCH: list[list[str]] = []
+
+
+def written(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
+    """`df` as a Parquet table in the shared folder: computed once, lineage cut, columns prunable.
+
+    It goes when the scratch block that it is written in ends (with `keep`, the block around that one), else when the
+    driver ends.
+    """
     folder = new_folder(df.sparkSession, name)
     df.write.parquet(folder)
+    if len(_SCRATCH) > keep:
+        _SCRATCH[-1 - keep].append(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
+@contextmanager
+def scratch(spark: SparkSession):
+    """A block whose tables are deleted at its end. What leaves it must be written with `keep`."""
+    _SCRATCH.append([])
+    try:
+        yield
+    finally:
+        context = spark.sparkContext
+        for folder in _SCRATCH.pop():
+            path = context._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def checked_broadcast(table: DataFrame, rows: int = 1_000_000) -> DataFrame:
+    """A written table of narrow rows, to be broadcast if it has at most `rows`; else joins shuffle."""
+    return F.broadcast(table) if table.count() <= rows else table
+
+
 # --- hashes of words -----------------------------------------------------------------------------------
 
 _BASE = 0x9E3779B97F4A7C15  # odd, so that it has an inverse modulo 2**64
@@ -190,23 +218,22 @@ def components(links: DataFrame) -> DataFrame:
     Each round hooks every node to its smallest neighbour and contracts the graph. Only tables in the shared
     folder pass from round to round; rounds grow with the logarithm of the longest chain.
     """
-    links = written(links.where("a <> b").select("a", "b").distinct(), "links")
-    hooks: list[DataFrame] = []
-    while not links.isEmpty():
-        both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        hook = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("low"))
-        hook = written(hook.select("node", F.least("node", "low").alias("root")), "hooks")
-        hooks.append(hook)
-        left, right = hook.toDF("a", "ra"), hook.toDF("b", "rb")
-        links = written(
-            links.join(left, "a").join(right, "b").where("ra <> rb")
-            .select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct(),
-            "links",
-        )
-    if not hooks:
-        return links.select(F.col("a").alias("node"), F.col("b").alias("root"))
-    found = hooks[-1]
-    for hook in reversed(hooks[:-1]):
-        up = found.toDF("root", "top")
-        found = hook.join(up, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
-    return found
+    with scratch(links.sparkSession):
+        links = written(links.where("a <> b").select("a", "b").distinct(), "links")
+        hooks: list[DataFrame] = []
+        while not links.isEmpty():
+            both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+            hook = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("low"))
+            hook = written(hook.select("node", F.least("node", "low").alias("root")), "hooks")
+            hooks.append(hook)
+            left, right = hook.toDF("a", "ra"), hook.toDF("b", "rb")
+            links = written(
+                links.join(left, "a").join(right, "b").where("ra <> rb")
+                .select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct(),
+                "links",
+            )
+        found = hooks[-1] if hooks else links.select(F.col("a").alias("node"), F.col("b").alias("root"))
+        for hook in reversed(hooks[:-1]):
+            up = found.toDF("root", "top")
+            found = hook.join(up, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+        return written(found, "components", keep=True)

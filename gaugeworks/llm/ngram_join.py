@@ -29,7 +29,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gaugeworks.llm.common import bit_map, components, hashed_words, mixed, most_frequent, shingle_hashes, signed, written
+from gaugeworks.llm.common import (
+    bit_map, checked_broadcast, components, hashed_words, mixed, most_frequent, scratch, shingle_hashes, signed, written,
+)
 
 #: Tokens counted at once for the frequent list.
 COUNTED = 1 << 21
@@ -330,11 +332,6 @@ def sketched(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
 def verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame, size: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets reach the threshold. Each set comes from its class's first document."""
     context = docs.sparkSession.sparkContext
-    pairs = written(sketched(pairs, classes, percent), "pairs")
-    keys = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-    wanted = context.broadcast(bloom_of(classes.select("key", F.coalesce("id", F.lit(0)).alias("id")).join(keys, "key")))
-    sets = written(fetched_sets(docs, size, wanted), "sets")
-    one, two = sets.toDF("a", "xa"), sets.toDF("b", "xb")
 
     def run(batches):
         for batch in batches:
@@ -348,8 +345,14 @@ def verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame, size: int, p
                 good.append(100 * both >= percent * (len(x) + len(y) - both))
             yield pa.record_batch([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    joined = pairs.join(two, "b").join(one, "a").select("a", "b", "xa", "xb")
-    return joined.mapInArrow(run, "a long, b long")
+    with scratch(docs.sparkSession):
+        pairs = written(sketched(pairs, classes, percent), "pairs")
+        keys = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+        wanted = context.broadcast(bloom_of(classes.select("key", F.coalesce("id", F.lit(0)).alias("id")).join(keys, "key")))
+        sets = written(fetched_sets(docs, size, wanted), "sets")
+        one, two = sets.toDF("a", "xa"), sets.toDF("b", "xb")
+        joined = pairs.join(two, "b").join(one, "a").select("a", "b", "xa", "xb")
+        return written(joined.mapInArrow(run, "a long, b long"), "verified", keep=True)
 
 
 # --- the join ------------------------------------------------------------------------------------------
@@ -360,36 +363,37 @@ def linked_classes(
 ) -> tuple[DataFrame, DataFrame]:
     """(id, text_key, n, key) of every row, and (key, root) of every set that is linked with another one."""
     source = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text"), F.xxhash64(text_column).alias("text_key"))
-    context = docs.sparkSession.sparkContext
-    found = written(sizes_and_frequent(source, size), "sizes")
-    rows = found.where("document").select("id", "text_key", "n", "key")
-    sets = found.where("document AND n > 0").groupBy("key").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("sketch", True).alias("sketch"))
-    classes = written(sets, "classes")
-    order = context.broadcast(frequent_order(found.where("NOT document"), least, frequent))
-
-    entries = written(shared_entries(index_entries(source, size, percent, order), short), "entries")
-    to_centre = (
-        entries.where("centre IS NOT NULL AND centre <> key")
-        .groupBy("key", "centre").agg(F.count(F.lit(1)).alias("times"))
-        .groupBy("key").agg(F.max_by("centre", F.struct("times", "centre")).alias("centre"))
-        .select(F.col("centre").alias("a"), F.col("key").alias("b"))
-    )
-    near = written(verified(source, to_centre, classes, size, percent), "near")
-    parts = written(components(near), "parts")
-
-    known = entries.join(parts.toDF("key", "root"), "key", "left").withColumn("part", F.coalesce("root", "key"))
-    long = known.where("centre IS NOT NULL").join(classes.select("key", "sketch"), "key")
-    short_ones = known.where("centre IS NULL").withColumn("sketch", F.lit(None).cast("binary"))
-    known = short_ones.select(*KNOWN).unionByName(long.select(*KNOWN))
-    rest = "greatest({0}, {1})".format(*(f"(ceil({percent} * {n} / 100) - 1)" for n in ("na", "nb")))
-    candidates = (
-        listed_pairs(known, percent)
-        .groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("shared"))
-        .where(f"{100 + percent} * (shared + {rest}) >= {percent} * (na + nb)")
-        .select("a", "b")
-    )
-    links = near.unionByName(verified(source, candidates, classes, size, percent))
-    return rows, components(links).toDF("key", "root")
+    with scratch(docs.sparkSession):
+        context = docs.sparkSession.sparkContext
+        found = written(sizes_and_frequent(source, size), "sizes", keep=True)
+        rows = found.where("document").select("id", "text_key", "n", "key")
+        sets = found.where("document AND n > 0").groupBy("key").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("sketch", True).alias("sketch"))
+        classes = written(sets, "classes")
+        order = context.broadcast(frequent_order(found.where("NOT document"), least, frequent))
+
+        entries = written(shared_entries(index_entries(source, size, percent, order), short), "entries")
+        to_centre = (
+            entries.where("centre IS NOT NULL AND centre <> key")
+            .groupBy("key", "centre").agg(F.count(F.lit(1)).alias("times"))
+            .groupBy("key").agg(F.max_by("centre", F.struct("times", "centre")).alias("centre"))
+            .select(F.col("centre").alias("a"), F.col("key").alias("b"))
+        )
+        near = verified(source, to_centre, classes, size, percent)
+        parts = components(near)
+
+        known = entries.join(parts.toDF("key", "root"), "key", "left").withColumn("part", F.coalesce("root", "key"))
+        long = known.where("centre IS NOT NULL").join(classes.select("key", "sketch"), "key")
+        short_ones = known.where("centre IS NULL").withColumn("sketch", F.lit(None).cast("binary"))
+        known = short_ones.select(*KNOWN).unionByName(long.select(*KNOWN))
+        rest = "greatest({0}, {1})".format(*(f"(ceil({percent} * {n} / 100) - 1)" for n in ("na", "nb")))
+        candidates = (
+            listed_pairs(known, percent)
+            .groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("shared"))
+            .where(f"{100 + percent} * (shared + {rest}) >= {percent} * (na + nb)")
+            .select("a", "b")
+        )
+        links = near.unionByName(verified(source, candidates, classes, size, percent))
+        return rows, written(components(links).toDF("key", "root"), "roots", keep=True)
 
 
 def jaccard_components(
@@ -426,20 +430,21 @@ def one_of_each(
 
     Rows without words all stay, as they are linked with nothing. Of rows with equal id and text one stays.
     """
-    rows, roots = linked_classes(docs, id_column, text_column, size, percent, least, frequent, short)
-    rank = F.struct(F.col("id").isNull().alias("unnamed"), "id", "text_key")
-    classes = written(rows.where("n > 0").groupBy("key").agg(F.min(rank).alias("low"), F.count(F.lit(1)).alias("rows")), "classes")
-    labelled = classes.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
-    first = labelled.groupBy("root").agg(F.min("low").alias("first"))
-    of_class = labelled.join(first, "root").select(F.col("key").alias("class"), "first")
-    ranked = rows.where("n > 0").join(of_class, F.col("key") == F.col("class")).select("id", "text_key", (rank == F.col("first")).alias("stays"))
-    gone = written(ranked.where("NOT stays").select(F.col("id").alias("gone_id"), F.col("text_key").alias("gone_key")).distinct(), "gone")
-    again = written(
-        ranked.where("stays").groupBy("id", "text_key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-        .select(F.col("id").alias("gone_id"), F.col("text_key").alias("gone_key")), "again",
-    )
+    with scratch(docs.sparkSession):
+        rows, roots = linked_classes(docs, id_column, text_column, size, percent, least, frequent, short)
+        rank = F.struct(F.col("id").isNull().alias("unnamed"), "id", "text_key")
+        classes = written(rows.where("n > 0").groupBy("key").agg(F.min(rank).alias("low"), F.count(F.lit(1)).alias("rows")), "classes")
+        labelled = classes.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
+        first = labelled.groupBy("root").agg(F.min("low").alias("first"))
+        of_class = labelled.join(first, "root").select(F.col("key").alias("class"), "first")
+        ranked = rows.where("n > 0").join(of_class, F.col("key") == F.col("class")).select("id", "text_key", (rank == F.col("first")).alias("stays"))
+        gone = written(ranked.where("NOT stays").select(F.col("id").alias("gone_id"), F.col("text_key").alias("gone_key")).distinct(), "gone", keep=True)
+        again = written(
+            ranked.where("stays").groupBy("id", "text_key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+            .select(F.col("id").alias("gone_id"), F.col("text_key").alias("gone_key")), "again", keep=True,
+        )
     equal = F.col(id_column).eqNullSafe(F.col("gone_id")) & (F.xxhash64(text_column) == F.col("gone_key"))
-    kept = docs.join(gone, equal, "left_anti")
+    kept = docs.join(checked_broadcast(gone), equal, "left_anti")
     if again.isEmpty():
         return kept
     # Rows with equal id and text: one of each, apart from the others.
