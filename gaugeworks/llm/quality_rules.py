@@ -108,7 +108,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, id_column: str, text_col
     drawn = labels.where(ids.isNotNull() & label.isin(0, 1)).groupBy(ids.alias("id")).agg(F.max(label).alias("label"))
     drawn = drawn.orderBy(F.xxhash64(F.col("id"), F.lit("quality sample")), "id").limit(most)
     texts = docs.where(F.col(text_column).isNotNull()).select(ids.alias("id"), F.col(text_column).alias("text"))
-    return texts.join(drawn, "id")
+    return texts.join(F.broadcast(drawn), "id")
 
 
 def sparse_rows(sample: DataFrame) -> DataFrame:
