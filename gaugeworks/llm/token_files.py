@@ -12,6 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from gaugeworks.llm.common import written
 from gaugeworks.llm.tokens import crc, default_tokenizer, encoder
 
 #: Ids in one Arrow batch, unless a single text has more.
@@ -89,8 +90,8 @@ def digests(tokens: DataFrame) -> DataFrame:
                 names=["doc_id", "part", "n_tokens", "ids_crc32"],
             )
 
-    found = tokens.mapInArrow(run, "doc_id long, part int, n_tokens long, ids_crc32 long")
-    totals = tokens.groupBy("part").agg(F.sum(F.size("ids")).alias("n"))
+    found = written(tokens.mapInArrow(run, "doc_id long, part int, n_tokens long, ids_crc32 long"), "digests")
+    totals = found.groupBy("part").agg(F.sum("n_tokens").alias("n"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     shifts = totals.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("shift"))
     order = Window.partitionBy("part").orderBy("doc_id", "ids_crc32", "n_tokens").rowsBetween(Window.unboundedPreceding, -1)
