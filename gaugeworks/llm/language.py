@@ -234,11 +234,11 @@ def identify(docs: DataFrame, model: dict, id_column: str = "doc_id", text_colum
 
 def accepted(docs: DataFrame, model: dict, text_column: str = "text") -> DataFrame:
     """The rows of `docs`, all columns, whose language is known: texts with a letter that the parse against some
-    language describes in fewer bits per symbol than letters drawn evenly would take. Texts under 100 characters are
-    too short for that test and only need a letter."""
+    language describes in fewer than 1.5 times the bits per symbol that letters drawn evenly take, as texts in several of
+    the languages do and texts in another script do not. Texts under 100 characters only need a letter."""
     names = docs.columns
     at = names.index(text_column)
-    evenly = float(np.log2(max(2, int(model["symbols"].max()))))
+    most = 1.5 * float(np.log2(max(2, int(model["symbols"].max()))))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
@@ -250,7 +250,7 @@ def accepted(docs: DataFrame, model: dict, text_column: str = "text") -> DataFra
                 size += len(text) + 2
                 if size > CHUNK or i == len(texts) - 1:
                     labels, _, bits = predicted(pool, shared.value)
-                    keep += [x != UNKNOWN and (len(t) < 100 or b < evenly) for x, b, t in zip(labels, bits, pool, strict=True)]
+                    keep += [x != UNKNOWN and (len(t) < 100 or b < most) for x, b, t in zip(labels, bits, pool, strict=True)]
                     pool, size = [], 0
             yield batch.filter(pa.array(keep, pa.bool_()))
 

@@ -78,6 +78,14 @@ def test_hard_rows_of_language(spark):
     assert language.identify(docs.where("false"), model).count() == 0
 
 
+def test_several_languages_stay_and_other_scripts_go(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    model = language.language_model(docs)
+    mixed = " ".join(r.text[:400] for r in docs.dropDuplicates(["lang"]).collect())
+    rows = plain_docs(spark, [(1, mixed), (2, "Это текст на другом языке и другим письмом. " * 10)])
+    assert [r.doc_id for r in language.accepted(rows, model).collect()] == [1]
+
+
 def test_no_sample_document_is_rejected(spark):
     docs = spark.read.parquet(f"{MIDDLE}/documents.parquet")
     assert language.accepted(docs, language.language_model(docs)).count() == docs.count()
