@@ -6,8 +6,8 @@ passage of at least gram + window - 1 words retain the same suffix inside it. Th
 
 1. Count the retained suffixes' grams over the whole corpus; only grams that occur at least twice go on, through a
    Bloom filter of fixed size.
-2. Sort the suffixes that go on by gram and following words. A gram that is very frequent is dealt to several
-   tasks; each of them holds many of its suffixes, so all meet others of the same passage.
+2. Deal the suffixes that go on out by gram. Those of a gram that is very frequent are dealt out by content, not at
+   random: by the hash of each stretch of `least` words around the gram, so all copies of a stretch meet.
 3. Compare neighbours in that order, and in the order of the words read backwards, and extend every match to the left
    and right by the words kept with the suffix (as many as lie between two minimisers).
 4. Per document, join the matches and keep the stretches of at least `least` words.
@@ -22,11 +22,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gaugeworks.llm.common import bit_map, hashed_words, mixed, most_frequent, rolling_hashes, signed, written
+from gaugeworks.llm.common import bit_map, hashed_words, most_frequent, rolling_hashes, signed, written
 
 #: Bits of the Bloom filter of repeated grams: 16 MB, whatever the corpus.
 BLOOM_BITS = 1 << 27
-#: Suffixes of one gram that a task gets, about.
+#: Half the number of a gram's suffixes up to which they are compared in one task.
 DEALT = 500
 
 
@@ -77,42 +77,127 @@ def bloom(grams: DataFrame) -> np.ndarray:
     return bit_map(grams.select(F.explode(F.array(low, high)).alias("bit")), BLOOM_BITS)
 
 
+def among(values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Whether each value is in the sorted `wanted`."""
+    if not len(wanted):
+        return np.zeros(len(values), bool)
+    return wanted[np.minimum(np.searchsorted(wanted, values), len(wanted) - 1)] == values
+
+
+def passes(values: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """Whether each hash is in the Bloom filter."""
+    low = values & np.uint64(BLOOM_BITS - 1)
+    high = (values >> np.uint64(37)) & np.uint64(BLOOM_BITS - 1)
+    both = (bits[low >> np.uint64(5)] >> (low & np.uint64(31)).astype(np.uint32)) & (bits[high >> np.uint64(5)] >> (high & np.uint64(31)).astype(np.uint32)) & 1
+    return both.astype(bool)
+
+
+def stretches_around(words: np.ndarray, at: np.ndarray, least: int, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """(starts, hashes) of the text's stretches of `least` words that hold the gram at any position of `at`."""
+    hashes = rolling_hashes(words, least)
+    near = np.zeros(len(hashes) + 1, np.int64)
+    np.add.at(near, np.maximum(at - window + 1, 0), 1)
+    np.add.at(near, np.minimum(at + 1, len(hashes)), -1)
+    starts = np.flatnonzero(np.cumsum(near[:-1]) > 0)
+    return starts, hashes[starts]
+
+
+def stretch_counts(docs: DataFrame, gram: int, least: int, frequent) -> DataFrame:
+    """(gram, n): how often each stretch of `least` words around a frequent gram occurs, if more than once; `gram` is
+    the hash of the whole stretch."""
+    window = least - gram + 1
+
+    def run(batches):
+        for batch in batches:
+            found = []
+            for _, words, at, grams in retained(batch, gram, window):
+                hot = among(grams, frequent.value)
+                if hot.any():
+                    found.append(stretches_around(words, at[hot], least, window)[1])
+            if found:
+                values, counts = np.unique(np.concatenate(found), return_counts=True)
+                yield pa.record_batch([signed(values), pa.array(counts)], names=["gram", "n"])
+
+    return docs.mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).where("n > 1")
+
+
+def stretch_places(docs: DataFrame, gram: int, least: int, frequent, often, repeated) -> DataFrame:
+    """(gram, doc, text_key, first, last): places of stretches around frequent grams. `gram` is null if the words
+    first to last - 1 are covered by stretches that are in `often`; else it is the hash of one stretch that may
+    repeat by the Bloom filter `repeated`."""
+    window = least - gram + 1
+
+    def run(batches):
+        for batch in batches:
+            docs_in = batch.column(0)
+            hashes, rows, firsts, lasts = [], [], [], []
+            for row, words, at, grams in retained(batch, gram, window):
+                hot = among(grams, frequent.value)
+                if not hot.any():
+                    continue
+                starts, values = stretches_around(words, at[hot], least, window)
+                known = among(values, often.value)
+                if known.any():
+                    own = starts[known]
+                    cut = np.flatnonzero(np.diff(own) > least)
+                    first, last = own[np.r_[0, cut + 1]], own[np.r_[cut, len(own) - 1]] + least
+                    hashes.append(pa.nulls(len(first), pa.int64()))
+                    rows.append(np.full(len(first), row))
+                    firsts.append(first)
+                    lasts.append(last)
+                open_ = ~known & passes(values, repeated.value)
+                if open_.any():
+                    hashes.append(signed(values[open_]))
+                    rows.append(np.full(int(open_.sum()), row))
+                    firsts.append(starts[open_])
+                    lasts.append(starts[open_] + least)
+            if rows:
+                at_rows = pa.array(np.concatenate(rows))
+                columns = [pa.concat_arrays(hashes), docs_in.take(at_rows), batch.column(2).take(at_rows), pa.array(np.concatenate(firsts), pa.int64()), pa.array(np.concatenate(lasts), pa.int64())]
+                yield pa.record_batch(columns, names=["gram", "doc", "text_key", "first", "last"])
+
+    return docs.mapInArrow(run, "gram long, doc long, text_key long, first long, last long")
+
+
+def frequent_matches(docs: DataFrame, gram: int, least: int, frequent, most: int) -> DataFrame:
+    """(doc, text_key, first, last) as `matches` has them, for the grams that are `frequent`.
+
+    Stretches that are very frequent themselves are known to every task. The others meet by their hash, so that no
+    key has many rows.
+    """
+    context = docs.sparkSession.sparkContext
+    counts = written(stretch_counts(docs, gram, least, frequent), "stretches")
+    often, repeated = context.broadcast(frequent_grams(counts, most)), context.broadcast(bloom(counts))
+    places = written(stretch_places(docs, gram, least, frequent, often, repeated), "places")
+    met = places.where("gram IS NOT NULL").join(counts.select("gram"), "gram", "left_semi")
+    return places.where("gram IS NULL").unionByName(met).drop("gram")
+
+
 def suffixes(docs: DataFrame, gram: int, window: int, repeated, frequent) -> DataFrame:
-    """(gram, deal, row, doc, pos, left, right): suffixes whose gram may repeat, with the words around the gram."""
+    """(gram, doc, text_key, pos, left, right): suffixes whose gram may repeat and is not `frequent`, with the words
+    around the gram."""
 
     def run(batches):
-        bits = repeated.value
-        grams_dealt, deals = frequent.value
         for batch in batches:
-            docs_in = batch.column(0).to_numpy(zero_copy_only=False)
-            out: list[list] = [[], [], [], [], [], []]
-            keys = batch.column(2).to_pylist()
+            docs_in = batch.column(0)
+            out: list[list] = [[], [], [], [], []]
             for row, words, at, grams in retained(batch, gram, window):
-                low = grams & np.uint64(BLOOM_BITS - 1)
-                high = (grams >> np.uint64(37)) & np.uint64(BLOOM_BITS - 1)
-                both = (bits[low >> np.uint64(5)] >> (low & np.uint64(31)).astype(np.uint32)) & (bits[high >> np.uint64(5)] >> (high & np.uint64(31)).astype(np.uint32)) & 1
-                keep = both.astype(bool)
+                keep = passes(grams, repeated.value) & ~among(grams, frequent.value)
                 at, grams = at[keep], grams[keep]
                 if not len(at):
                     continue
                 small = (words >> np.uint64(32)).astype(">u4")
-                deal = np.zeros(len(at), np.int64)
-                if len(grams_dealt):
-                    place = np.minimum(np.searchsorted(grams_dealt, grams), len(grams_dealt) - 1)
-                    parts = np.where(grams_dealt[place] == grams, deals[place], 1).astype(np.uint64)
-                    deal = (mixed(np.uint64(keys[row] & (1 << 64) - 1) + at.astype(np.uint64)) % parts).astype(np.int64)
                 out[0].append(grams)
-                out[1].append(deal)
-                out[2].append(np.full(len(at), row))
-                out[3].append(at)
-                out[4] += [small[max(0, p - window) : p].tobytes() for p in at.tolist()]
-                out[5] += [small[p + gram : p + gram + window].tobytes() for p in at.tolist()]
-            if out[4]:
-                rows = np.concatenate(out[2])
-                columns = [signed(np.concatenate(out[0])), pa.array(np.concatenate(out[1]).astype(np.int32)), pa.array(docs_in[rows], pa.int64(), from_pandas=True), batch.column(2).take(pa.array(rows)), pa.array(np.concatenate(out[3]).astype(np.int32)), pa.array(out[4], pa.binary()), pa.array(out[5], pa.binary())]
-                yield pa.record_batch(columns, names=["gram", "deal", "doc", "text_key", "pos", "left", "right"])
+                out[1].append(np.full(len(at), row))
+                out[2].append(at)
+                out[3] += [small[max(0, p - window) : p].tobytes() for p in at.tolist()]
+                out[4] += [small[p + gram : p + gram + window].tobytes() for p in at.tolist()]
+            if out[3]:
+                rows = pa.array(np.concatenate(out[1]))
+                columns = [signed(np.concatenate(out[0])), docs_in.take(rows), batch.column(2).take(rows), pa.array(np.concatenate(out[2]).astype(np.int32)), pa.array(out[3], pa.binary()), pa.array(out[4], pa.binary())]
+                yield pa.record_batch(columns, names=["gram", "doc", "text_key", "pos", "left", "right"])
 
-    return docs.mapInArrow(run, "gram long, deal int, doc long, text_key long, pos int, left binary, right binary")
+    return docs.mapInArrow(run, "gram long, doc long, text_key long, pos int, left binary, right binary")
 
 
 def common(a: bytes, b: bytes) -> int:
@@ -148,11 +233,11 @@ def matches(found: DataFrame, gram: int, least: int) -> DataFrame:
             return pa.record_batch([pa.array(c, pa.int64()) for c in columns], names=["doc", "text_key", "first", "last"])
 
         for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("gram", "deal", "doc", "text_key", "pos", "left", "right")]
-            for g, deal, doc, key, pos, left, right in zip(*columns, strict=True):
-                if (g, deal) != current:
+            columns = [batch.column(c).to_pylist() for c in ("gram", "doc", "text_key", "pos", "left", "right")]
+            for g, doc, key, pos, left, right in zip(*columns, strict=True):
+                if g != current:
                     compared(held, out)
-                    held, current = [], (g, deal)
+                    held, current = [], g
                     if len(out) > 50_000:
                         yield rows()
                         out.clear()
@@ -161,16 +246,14 @@ def matches(found: DataFrame, gram: int, least: int) -> DataFrame:
         if out:
             yield rows()
 
-    ordered = found.repartition("gram", "deal").sortWithinPartitions("gram", "deal")
+    ordered = found.repartition("gram").sortWithinPartitions("gram")
     return ordered.mapInArrow(run, "doc long, text_key long, first long, last long")
 
 
-def frequent_grams(counts: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """The grams dealt to several tasks, sorted, and to how many; at most `most`, the most frequent."""
-    rows = most_frequent(counts, 2 * DEALT + 1, most).toPandas()
-    grams, n = rows["gram"].to_numpy(np.int64).view(np.uint64), rows["n"].to_numpy(np.int64)
-    order = np.argsort(grams)
-    return grams[order], n[order] // DEALT
+def frequent_grams(counts: DataFrame, most: int) -> np.ndarray:
+    """The grams seen more than 2 * DEALT times, sorted; at most `most`, the most frequent."""
+    rows = most_frequent(counts, 2 * DEALT + 1, most).select("gram").toPandas()
+    return np.sort(rows["gram"].to_numpy(np.int64).view(np.uint64))
 
 
 def repeated_passages(
@@ -181,8 +264,8 @@ def repeated_passages(
 
     `gram` is the length of the hashed words at a suffix's start; every `least` words retain a suffix. Null and
     short texts have no stretches. Equal rows repeat each other and come back once; null ids come back as null; a
-    text of one repeated word repeats itself. Other columns are ignored. `dealt` bounds the list of very frequent
-    grams whose suffixes are spread over tasks; those of others stay in one task, compared all the same.
+    text of one repeated word repeats itself. Other columns are ignored. `dealt` bounds the lists of very frequent
+    grams and stretches; what is beyond them is compared all the same, each gram in one task.
     """
     window = least - gram + 1
     context = docs.sparkSession.sparkContext
@@ -191,6 +274,8 @@ def repeated_passages(
     counts = written(gram_counts(source, gram, window), "grams")
     repeated, frequent = context.broadcast(bloom(counts)), context.broadcast(frequent_grams(counts, dealt))
     found = matches(suffixes(source, gram, window, repeated, frequent), gram, least)
+    if len(frequent.value):
+        found = found.unionByName(frequent_matches(source, gram, least, frequent, dealt))
 
     text_order = Window.partitionBy("doc", "text_key").orderBy("first", "last")
     reached = F.max("last").over(text_order.rowsBetween(Window.unboundedPreceding, -1))

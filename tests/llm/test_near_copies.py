@@ -139,6 +139,18 @@ def test_frequent_grams_are_dealt_without_loss(spark, monkeypatch):
     assert {tuple(r) for r in found} == {(i, 30, 60) for i in range(80)}
 
 
+def test_two_rows_around_a_frequent_gram_meet(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "DEALT", 5)
+    licence = " ".join(f"licence{i}" for i in range(46))
+    own = lambda i, side: " ".join(f"{side}{i}w{j}" for j in range(30))
+    rows = [(i, f"{own(i, 'before')} {licence} {own(i, 'after')}") for i in range(300)]
+    more = " ".join(f"more{j}" for j in range(6))
+    rows += [(i, f"{own(i, 'before')} {licence} {more} {own(i, 'after')}") for i in (300, 301)]
+    rows += [(i, f"{own(i, 'before')} {more} {licence} {own(i, 'after')}") for i in (302, 303)]
+    found = suffix_dedup.repeated_passages(plain_docs(spark, rows)).collect()
+    assert {tuple(r) for r in found} == repeats(rows) == {(i, 30, 52) for i in range(300, 304)}
+
+
 def test_minimisers_cover_every_window():
     pick = np.random.default_rng(5)
     for n in (10, 26, 27, 200):
