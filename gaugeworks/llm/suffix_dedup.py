@@ -8,8 +8,9 @@ passage of at least gram + window - 1 words retain the same suffix inside it. Th
    Bloom filter of fixed size.
 2. Deal the suffixes that go on out by gram. Those of a gram that is very frequent are dealt out by content, not at
    random: by the hash of each stretch of `least` words around the gram, so all copies of a stretch meet.
-3. Compare neighbours in that order, and in the order of the words read backwards, and extend every match to the left
-   and right by the words kept with the suffix (as many as lie between two minimisers).
+3. Compare the suffixes of a gram by the words kept before and after it (as many as lie between two minimisers): for
+   every number of words before it, those that agree in these and in the words after it that make up `least`. A
+   passage of `least` words holds a gram that all its copies retain, so none is missed, whatever else shares parts.
 4. Per document, join the matches and keep the stretches of at least `least` words.
 
 Words are compared by 32 bits of their hashes, grams by 64.
@@ -213,17 +214,43 @@ def backwards(left: bytes) -> bytes:
     return np.frombuffer(left, ">u4")[::-1].tobytes()
 
 
+def reaches(around: list[tuple[bytes, bytes]], spare: int) -> list[tuple[int, int] | None]:
+    """For each of several places of one gram, given by the words before and after it: how many words before and
+    after it lie in stretches, the gram and `spare` words more, that another place repeats."""
+    if len(around) == 2:
+        (left, right), (other_left, other_right) = around
+        reach = common(backwards(left), backwards(other_left)), common(right, other_right)
+        return [reach if sum(reach) >= spare else None] * 2
+    places: dict[tuple[bytes, bytes], list[int]] = {}
+    for i, x in enumerate(around):
+        places.setdefault(x, []).append(i)
+    out: list[tuple[int, int] | None] = [None] * len(around)
+    met: dict[tuple[bytes, bytes], list[int]] = {x: [] for x in places}
+    for before in range(spare + 1):
+        shared: dict[tuple[bytes, bytes], list[tuple[bytes, bytes]]] = {}
+        for x in places:
+            left, right = x
+            if len(left) >= 4 * before and len(right) >= 4 * (spare - before):
+                shared.setdefault((left[len(left) - 4 * before :], right[: 4 * (spare - before)]), []).append(x)
+        for own in shared.values():
+            if len(own) > 1 or len(places[own[0]]) > 1:
+                for x in own:
+                    met[x].append(before)
+    for x, own in met.items():
+        for i in places[x] if own else ():
+            out[i] = own[-1], spare - own[0]
+    return out
+
+
 def matches(found: DataFrame, gram: int, least: int) -> DataFrame:
-    """(doc, text_key, first, last): words first to last - 1 of a text, at least `least`, that a neighbour repeats."""
+    """(doc, text_key, first, last): words first to last - 1 of a text, at least `least`, that another place of the
+    gram in their middle repeats; every place is compared with every other by the stretches of `least` words."""
 
     def compared(rows, out):
-        for side in (4, 3):
-            rows.sort(key=lambda x: x[side])
-            for a, b in zip(rows, rows[1:], strict=False):
-                left, right = common(a[3], b[3]), common(a[4], b[4])
-                if left + gram + right >= least:
-                    for doc, key, pos, *_ in (a, b):
-                        out.add((doc, key, pos - left, pos + gram + right))
+        if len(rows) > 1:
+            for (doc, key, pos, *_), reach in zip(rows, reaches([x[3:] for x in rows], least - gram), strict=True):
+                if reach:
+                    out.add((doc, key, pos - reach[0], pos + gram + reach[1]))
 
     def run(batches):
         held, current, out = [], None, set()
@@ -241,7 +268,7 @@ def matches(found: DataFrame, gram: int, least: int) -> DataFrame:
                     if len(out) > 50_000:
                         yield rows()
                         out.clear()
-                held.append((doc, key, pos, backwards(left), right))
+                held.append((doc, key, pos, left, right))
         compared(held, out)
         if out:
             yield rows()

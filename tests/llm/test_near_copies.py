@@ -139,6 +139,19 @@ def test_frequent_grams_are_dealt_without_loss(spark, monkeypatch):
     assert {tuple(r) for r in found} == {(i, 30, 60) for i in range(80)}
 
 
+def test_rows_that_share_parts_hide_no_passage(spark):
+    rows, n = [], 0
+    for p in range(12):
+        words = [f"passage{p}w{j}" for j in range(50)]
+        for part in [words, words, *(words[k:] for k in range(1, 26)), *(words[:-k] for k in range(1, 26))]:
+            own = [f"own{n}w{j}" for j in range(60)]
+            rows.append((n, " ".join(own[:30] + part + own[30:])))
+            n += 1
+    found = suffix_dedup.repeated_passages(plain_docs(spark, rows)).collect()
+    assert {tuple(r) for r in found} == repeats(rows)
+    assert {(52 * p + i, 30, 50) for p in range(12) for i in (0, 1)} <= repeats(rows)
+
+
 def test_two_rows_around_a_frequent_gram_meet(spark, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "DEALT", 5)
     licence = " ".join(f"licence{i}" for i in range(46))
