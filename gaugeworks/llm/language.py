@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 UNKNOWN = "und"
@@ -26,41 +26,37 @@ CHUNK = 1 << 22
 # --- learning -------------------------------------------------------------------------------------------
 
 
-def sample_texts(labelled: DataFrame, per_language: int, chars: int, languages: int) -> dict[str, list[str]]:
-    """Up to `per_language` beginnings of `chars` characters for each of the `languages` most frequent labels.
+def sample_texts(labelled: DataFrame, per_language: int, chars: int, languages: int | None = None) -> dict[str, list[str]]:
+    """Up to `per_language` beginnings of `chars` characters for every label, or for the `languages` most frequent.
 
-    `labelled` has id, text, lang. Rows are drawn by a hash of the id; the driver gets at most
-    4 x `per_language` x `languages` short texts.
+    `labelled` has id, text, lang. Rows are drawn by a hash of the id; the driver gets at most `per_language` short
+    texts for each label.
     """
     usable = labelled.where("id IS NOT NULL AND text IS NOT NULL AND lang IS NOT NULL")
-    counts = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(languages).collect()}
-    if not counts:
-        return {}
+    counts = usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    if languages is not None:
+        counts = counts.orderBy(F.desc("n"), "lang").limit(languages)
     draw = F.pmod(F.xxhash64(F.col("id"), F.lit("language sample")), F.lit(1 << 30)).cast("double") / (1 << 30)
-    share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, 3 * per_language / n))])
-    drawn = (
-        usable.where(draw < F.element_at(share, F.col("lang")))
-        .select("lang", F.substring("text", 1, chars).alias("text"), draw.alias("draw"), "id")
-        .orderBy("draw", "id", "text").limit(4 * per_language * len(counts))
-    )
+    drawn = usable.select("lang", F.substring("text", 1, chars).alias("text"), draw.alias("draw"), "id").join(F.broadcast(counts), "lang")
+    order = Window.partitionBy("lang").orderBy("draw", "id", "text")
+    drawn = drawn.where(F.col("draw") * F.col("n") < 3 * per_language).withColumn("place", F.row_number().over(order))
     texts: dict[str, list[str]] = {}
-    for row in drawn.collect():
-        own = texts.setdefault(row["lang"], [])
-        if len(own) < per_language:
-            own.append(row["text"])
+    for row in drawn.where(F.col("place") <= per_language).select("lang", "text").collect():
+        texts.setdefault(row["lang"], []).append(row["text"])
     return texts
 
 
-def letter_symbols(texts: dict[str, list[str]], most: int = 250) -> np.ndarray:
-    """Code point -> symbol: 0 for no letter, 1 to k for the sample's letters, k + 1 for any other letter."""
+def letter_symbols(texts: dict[str, list[str]]) -> np.ndarray:
+    """Code point -> symbol: 0 for no letter, 1 to k for the sample's letters, k + 1 for any other letter, which no
+    automaton holds."""
     seen: dict[str, int] = {}
     for own in texts.values():
         for text in own:
             for c in text.lower():
                 if c.isalpha():
                     seen[c] = seen.get(c, 0) + 1
-    known = sorted(sorted(seen), key=lambda c: -seen[c])[:most]
-    table = np.zeros(0x110000, np.uint8)
+    known = sorted(sorted(seen), key=lambda c: -seen[c])
+    table = np.zeros(0x110000, np.uint16 if len(known) < (1 << 16) - 2 else np.int32)
     table[[i for i in range(0x110000) if chr(i).isalpha()]] = len(known) + 1
     table[[ord(c) for c in known]] = np.arange(1, len(known) + 1)
     return table
@@ -71,7 +67,7 @@ def symbols(texts: list[str], table: np.ndarray) -> tuple[np.ndarray, np.ndarray
     a space symbol; runs of them are one."""
     points = [np.frombuffer((" " + t.lower() + " ").encode("utf-32-le", "replace"), np.uint32) for t in texts]
     lengths = np.array([len(p) for p in points], np.int64)
-    found = table[np.concatenate(points)] if points else np.zeros(0, np.uint8)
+    found = table[np.concatenate(points)] if points else np.zeros(0, table.dtype)
     offsets = np.concatenate(([0], np.cumsum(lengths)))
     keep = np.ones(len(found), bool)
     keep[1:] = (found[1:] != 0) | (found[:-1] != 0)
@@ -113,38 +109,62 @@ def suffix_automaton(sequence: list[int]) -> list[dict[int, int]]:
     return moves
 
 
-def parse_table(texts: list[str], table: np.ndarray) -> tuple[np.ndarray, float]:
-    """(transitions, log2 of the sample's length). The table is flat: at state + symbol it holds the next state, a
-    multiple of the row length; where a phrase ends, the complement of the state that the next phrase is in."""
+def packed(moves: list[dict[int, int]], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(owners, targets, places): state s with symbol c goes to targets[places[s] + c] if owners there is places[s],
+    else nowhere. Rows overlap where they have no symbol in common, so the size is that of the transitions, whatever
+    the number of letters. All states have places of their own."""
+    size = 1 << (4 * sum(map(len, moves)) + len(moves) + width).bit_length()
+    while True:
+        owners, targets = np.full(size + width, -1, np.int32).tolist(), [0] * (size + width)
+        places, taken, at = [-1] * len(moves), bytearray(size), 0
+        for s in sorted(range(len(moves)), key=lambda s: -len(moves[s])):
+            own = moves[s]
+            for _ in range(size):
+                at = (at * 1103515245 + 12345) % size  # comes to every place once before it repeats one
+                if not taken[at] and all(owners[at + c] < 0 for c in own):
+                    break
+            else:
+                break  # no room: a larger table
+            taken[at], places[s] = 1, at
+            for c, to in own.items():
+                owners[at + c], targets[at + c] = at, to
+        else:
+            places = np.array(places, np.int32)
+            return np.array(owners, np.int32), places[np.array(targets)], places
+        size *= 2
+
+
+def parse_table(texts: list[str], table: np.ndarray) -> tuple[tuple[np.ndarray, np.ndarray, np.ndarray], float]:
+    """((owners, targets, starts), log2 of the sample's length). `starts` has the place that a phrase is at after its
+    first symbol; for the others see `packed`."""
     width = int(table.max()) + 2  # the last symbol separates sample texts and occurs nowhere else
     found, offsets, _ = symbols(texts, table)
     sequence: list[int] = []
     for a, b in zip(offsets[:-1], offsets[1:], strict=True):
         sequence += [*found[a:b].tolist(), width - 1]
     moves = suffix_automaton(sequence)
-    flat = np.full((len(moves) + 1, width), -1, np.int32)
-    for state, own in enumerate(moves):
-        for c, to in own.items():
-            flat[state, c] = to * width
     # The last state is reached by a symbol that the sample lacks: a phrase of its own, which any symbol ends.
-    start = np.where(flat[0] < 0, len(moves) * width, flat[0])
-    flat = np.where(flat < 0, ~start, flat)
-    flat[0] = start
-    return flat.astype(np.int32).ravel(), float(np.log2(max(2, len(sequence))))
+    first, last = moves[0], len(moves)
+    inner = [{}, *({c: to for c, to in own.items() if c != width - 1} for own in moves[1:]), {}]
+    owners, targets, places = packed(inner, width)
+    starts = places[[first.get(c, last) for c in range(width)]]
+    return (owners, targets, starts), float(np.log2(max(2, len(sequence))))
 
 
-def learn(labelled: DataFrame, per_language: int = 96, chars: int = 256, languages: int = 64) -> dict:
-    """The model: labels, symbol table and one parse table each. Size is bounded by the three parameters."""
+def learn(labelled: DataFrame, per_language: int = 96, chars: int = 256, languages: int | None = None) -> dict:
+    """The model: all labels (or the `languages` most frequent), symbol table, one parse table and number of letters each.
+    Its size for one label is bounded by the other parameters."""
     texts = sample_texts(labelled, per_language, chars, languages)
     names = sorted(texts)
     table = letter_symbols(texts)
-    return {"names": names, "symbols": table, "tables": [parse_table(texts[n], table) for n in names]}
+    letters = [len({c for t in texts[n] for c in t.lower() if c.isalpha()}) for n in names]
+    return {"names": names, "symbols": table, "tables": [parse_table(texts[n], table) for n in names], "letters": letters}
 
 
 # --- prediction -----------------------------------------------------------------------------------------
 
 
-def phrase_counts(found: np.ndarray, offsets: np.ndarray, flat: np.ndarray) -> np.ndarray:
+def phrase_counts(found: np.ndarray, offsets: np.ndarray, flat: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
     """Phrases of each text, parsed in segments of SEGMENT symbols."""
     lengths = np.diff(offsets)
     pieces = np.maximum(1, -(-lengths // SEGMENT))
@@ -156,18 +176,20 @@ def phrase_counts(found: np.ndarray, offsets: np.ndarray, flat: np.ndarray) -> n
     start, size, text = start[order], size[order], text[order]
     active = np.searchsorted(-size, -np.arange(SEGMENT), "left")  # lanes that have a symbol at each step
     lanes = int(active[0])
-    state, misses = np.zeros(lanes, np.int32), np.zeros(lanes, np.int32)
-    padded = np.concatenate((found, np.zeros(SEGMENT, np.uint8)))
+    owners, targets, starts = flat
+    misses = np.zeros(lanes, np.int32)
+    padded = np.concatenate((found, np.zeros(SEGMENT, found.dtype)))
     block = np.lib.stride_tricks.sliding_window_view(padded, SEGMENT)
     columns = np.ascontiguousarray(block[start[:lanes]].T)
-    for j in range(SEGMENT):
+    state = starts.take(columns[0])
+    for j in range(1, SEGMENT):
         k = int(active[j])
         if not k:
             break
-        nxt = flat.take(state[:k] + columns[j, :k])
-        missed = nxt >> 31
-        misses[:k] -= missed
-        np.bitwise_xor(nxt, missed, out=state[:k])
+        at = state[:k] + columns[j, :k]
+        missed = owners.take(at) != state[:k]
+        misses[:k] += missed
+        state[:k] = np.where(missed, starts.take(columns[j, :k]), targets.take(at))
     return np.bincount(text[:lanes], weights=misses + 1.0, minlength=len(lengths))
 
 
@@ -232,13 +254,26 @@ def identify(docs: DataFrame, model: dict, id_column: str = "doc_id", text_colum
     return source.mapInArrow(run, "id long, lang_pred string, score double, bits double").withColumnRenamed("id", id_column)
 
 
+#: Letters that are drawn evenly, for `accepted`: all of the sample's up to so many, and a label's own if it has more.
+LETTERS = 250
+
+
+def unknown_share(texts: list[str], table: np.ndarray) -> np.ndarray:
+    """The part of each text's letters that the sample lacks; 0 without letters."""
+    found, offsets, letters = symbols(texts, table)
+    foreign = np.concatenate(([0], np.cumsum(found == table.max())))[offsets]
+    return np.diff(foreign) / np.maximum(1, letters)
+
+
 def accepted(docs: DataFrame, model: dict, text_column: str = "text") -> DataFrame:
-    """The rows of `docs`, all columns, whose language is known: texts with a letter that the parse against some
-    language describes in fewer than 1.5 times the bits per symbol that letters drawn evenly take, as texts in several of
-    the languages do and texts in another script do not. Texts under 100 characters only need a letter."""
+    """The rows of `docs`, all columns, whose language is known: texts with a letter, of whose letters no more than
+    half are missing in the samples, as all are in a text in another script. Texts of 100 characters or more also
+    need a parse against their best label in fewer than 1.5 times the bits per symbol that letters drawn evenly take,
+    as texts in several of the languages do."""
     names = docs.columns
     at = names.index(text_column)
-    most = 1.5 * float(np.log2(max(2, int(model["symbols"].max()))))
+    known = min(LETTERS, int(model["symbols"].max()))
+    most = {n: 1.5 * float(np.log2(max(2, known, k))) for n, k in zip(model["names"], model["letters"], strict=True)}
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
@@ -250,7 +285,8 @@ def accepted(docs: DataFrame, model: dict, text_column: str = "text") -> DataFra
                 size += len(text) + 2
                 if size > CHUNK or i == len(texts) - 1:
                     labels, _, bits = predicted(pool, shared.value)
-                    keep += [x != UNKNOWN and (len(t) < 100 or b < most) for x, b, t in zip(labels, bits, pool, strict=True)]
+                    foreign = unknown_share(pool, shared.value["symbols"])
+                    keep += [x != UNKNOWN and u <= 0.5 and (len(t) < 100 or b < most[x]) for x, b, u, t in zip(labels, bits, foreign, pool, strict=True)]
                     pool, size = [], 0
             yield batch.filter(pa.array(keep, pa.bool_()))
 

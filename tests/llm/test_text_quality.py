@@ -78,6 +78,37 @@ def test_hard_rows_of_language(spark):
     assert language.identify(docs.where("false"), model).count() == 0
 
 
+def scripts(pick, first, letters, n):
+    return ["".join(chr(first + k) for k in pick.integers(0, letters, 200)) for _ in range(n)]
+
+
+def test_scripts_of_many_letters_are_told_apart(spark):
+    pick = np.random.default_rng(2)
+    words = {name: ["".join(chr(0x4E00 + k) for k in pick.integers(0, 3000, 3)) for _ in range(400)] for name in ("ja", "zh")}
+    text = lambda name: " ".join(pick.choice(words[name], 60))
+    rows = [(i, text(name), name) for i, name in enumerate(["ja", "zh"] * 200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.language_model(docs)
+    found = language.identify(docs, model).join(docs, "doc_id").where(language.held_out("doc_id"))
+    assert found.count() > 50 and found.where("lang != lang_pred").count() == 0
+    hangul = [(1000 + i, t, "ko") for i, t in enumerate(scripts(pick, 0xAC00, 2000, 5))]
+    kept = language.accepted(docs.unionByName(spark.createDataFrame(hangul, docs.schema)), model)
+    assert kept.where("lang = 'ko'").count() == 0 and kept.count() == len(rows)
+
+
+def test_every_label_is_learned_and_short_texts_are_judged(spark):
+    pick = np.random.default_rng(3)
+    own = [["".join(chr(97 + k) for k in pick.integers(0, 26, 5)) for _ in range(20)] for _ in range(70)]
+    rows = [(i, " ".join(pick.choice(own[i % 70], 30)), f"l{i % 70}") for i in range(70 * 12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.language_model(docs)
+    assert len(model["names"]) == 70
+    found = language.identify(docs, model).join(docs, "doc_id")
+    assert found.where("lang != lang_pred").count() == 0
+    short = spark.createDataFrame([(1, "абвгд" * 19 + "абвг", "x"), (2, "абвгд" * 20, "x"), (3, "abc", "x")], docs.schema)
+    assert [r.doc_id for r in language.accepted(short, model).collect()] == [3]
+
+
 def test_several_languages_stay_and_other_scripts_go(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     model = language.language_model(docs)
