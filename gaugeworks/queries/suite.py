@@ -1485,6 +1485,26 @@ def fingerprint_reconstruction(spark, sf_dir):
 # --- landed responses, submitted rows, trial lists ------------------------------------------------
 
 
+#: Arrival numbers that one response spans, and so its samples at most; ids of a list of trials, about.
+RESPONSE_SPAN, LISTED = 10_000, 1_000
+
+
+def landed(long: DataFrame) -> DataFrame:
+    """(metric, body): responses of a metrics server written as JSON, one per metric, device, day and range of arrival."""
+    epoch = F.unix_seconds(F.date_trunc("second", F.col(TIME)).cast("timestamp")).cast("string")
+    labels = F.create_map(F.lit("gpu"), F.col(KEY), F.lit("instance"), F.col(HOST))
+    bounds = F.date_trunc("day", F.col(TIME)).alias("day"), F.floor(F.col(SEQ) / RESPONSE_SPAN).alias("span")
+    series = long.groupBy("metric", KEY, HOST, *bounds).agg(F.collect_list(F.array(epoch, F.col("value").cast("string"))).alias("values"))
+    answer = F.struct(F.struct(F.array(F.struct(labels.alias("metric"), "values")).alias("result")).alias("data"))
+    return series.select("metric", F.to_json(answer).alias("body"))
+
+
+def read_back(responses: DataFrame) -> DataFrame:
+    parsed = responses.select("metric", F.from_json("body", metrics_json.RESPONSE_SCHEMA).alias("r")).select("metric", "r.data")
+    found = metrics_json.flatten_response(parsed, "metric")
+    return rounded(found.select("metric", KEY, HOST, TIME, "value"), "value")
+
+
 @register(
     "src_07_range_query",
     query(
@@ -1495,16 +1515,22 @@ def fingerprint_reconstruction(spark, sf_dir):
     ),
 )
 def range_query(spark, sf_dir):
-    """Responses of a metrics server, one per metric and device, written as JSON from the telemetry and read back."""
-    long = long_form(read_telemetry(spark, sf_dir)).where(F.col("metric").isin("gpu_util", "power_watts"))
-    epoch = F.unix_seconds(F.date_trunc("second", F.col(TIME)).cast("timestamp")).cast("string")
-    labels = F.create_map(F.lit("gpu"), F.col(KEY), F.lit("instance"), F.col(HOST))
-    series = long.groupBy("metric", KEY, HOST).agg(F.collect_list(F.array(epoch, F.col("value").cast("string"))).alias("values"))
-    answer = F.struct(F.struct(F.array(F.struct(labels.alias("metric"), "values")).alias("result")).alias("data"))
-    landed = series.select("metric", F.to_json(answer).alias("body"))
-    parsed = landed.select("metric", F.from_json("body", metrics_json.RESPONSE_SCHEMA).alias("r")).select("metric", "r.data")
-    found = metrics_json.flatten_response(parsed, "metric")
-    return rounded(found.select("metric", KEY, HOST, TIME, "value"), "value")
+    """The answers for two metrics, read back."""
+    asked = F.col("metric").isin("gpu_util", "power_watts")
+    return read_back(landed(long_form(read_telemetry(spark, sf_dir)).where(asked)))
+
+
+@register(
+    "src_07_range_query_all",
+    query(
+        "SELECT metric, gpu_id, node_id, date_trunc('second', \"timestamp\") AS \"timestamp\", round(value, 6) AS value FROM long",
+        sql.TELEMETRY,
+        LONG,
+    ),
+)
+def range_query_all(spark, sf_dir):
+    """The answers for all metrics, read back."""
+    return read_back(landed(long_form(read_telemetry(spark, sf_dir))))
 
 
 @register(
@@ -1540,13 +1566,21 @@ lists AS (
     ),
 )
 def trial_lists(spark, sf_dir):
-    """Days as trials, written as two lists of device ids each."""
-    outcomes = daily(read_telemetry(spark, sf_dir)).groupBy(TIME, KEY).agg(
+    """Days as trials, written as two lists of device ids for each part of the devices; the parts' counts are summed."""
+    raw = read_telemetry(spark, sf_dir)
+    outcomes = daily(raw).groupBy(TIME, KEY).agg(
         (F.max("ecc_errors") > 5).alias("failing"), (F.max(F.coalesce("gpu_util", F.lit(0.0))) > 90).alias("flagged")
     )
+    devices = raw.agg(F.approx_count_distinct(KEY)).first()[0]
+    counts = evaluation.trial_counts(listed_trials(outcomes, devices), "actual", "predicted", TIME)
+    return counts.groupBy(TIME).agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn")])
+
+
+def listed_trials(outcomes: DataFrame, devices: int) -> DataFrame:
+    """(time, part, actual, predicted): lists of about `LISTED` ids at most, for about so many `devices`."""
+    part = F.pmod(F.xxhash64(KEY), F.lit(devices // LISTED + 1)).alias("part")
     joined = lambda flag: F.array_join(F.collect_list(F.when(F.col(flag), F.col(KEY))), ";")
-    trials = outcomes.groupBy(TIME).agg(joined("failing").alias("actual"), joined("flagged").alias("predicted"))
-    return evaluation.trial_counts(trials, "actual", "predicted", TIME)
+    return outcomes.groupBy(TIME, part).agg(joined("failing").alias("actual"), joined("flagged").alias("predicted"))
 
 
 @register(

@@ -5,8 +5,11 @@ import pytest
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
+from conftest import SMALL
 from fixtures import frame, rows_of
 from gaugeworks.functions import text
+from gaugeworks.operators import evaluation
+from gaugeworks.queries import suite
 from gaugeworks.schema import ALL_COLUMNS, EXPORTER_METRICS, METRICS
 from gaugeworks.sources import files, metrics_json, rows
 
@@ -176,3 +179,26 @@ def test_device_keys_of_several_columns_never_clash(spark):
     df = spark.createDataFrame(rows, "node_id string, gpu_id string")
     keys = [r["gpu_id"] for r in files.with_device_key(df).collect()]
     assert keys == ["a%2Fb/c", "a/b%2Fc", "a%252Fb/c", "unknown/c", None]
+
+
+def test_landed_responses_are_bounded(spark):
+    long = spark.range(25_000).selectExpr(
+        "'gpu_temp' AS metric", "TIMESTAMP_NTZ '2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, id % 600) AS timestamp",
+        "'one' AS gpu_id", "'host' AS node_id", "CAST(id AS double) AS value", "id AS seq",
+    )
+    bodies = suite.landed(long)
+    sizes = [len(json.loads(r.body)["data"]["result"][0]["values"]) for r in bodies.collect()]
+    assert sum(sizes) == 25_000 and max(sizes) <= suite.RESPONSE_SPAN
+    assert suite.read_back(bodies).select("value").distinct().count() == 25_000
+
+
+def test_all_metrics_come_back_from_responses(spark):
+    assert {r.metric for r in suite.QUERIES["src_07_range_query_all"](spark, SMALL).select("metric").distinct().collect()} == set(METRICS)
+
+
+def test_lists_of_trials_are_bounded(spark):
+    outcomes = spark.range(20_000).selectExpr("DATE '2024-01-01' AS timestamp", "CAST(id AS string) AS gpu_id", "true AS failing", "id % 2 = 0 AS flagged")
+    lists = suite.listed_trials(outcomes, 20_000)
+    assert max(len(r.actual.split(";")) for r in lists.collect()) < 1.3 * suite.LISTED
+    counts = evaluation.trial_counts(lists, "actual", "predicted").groupBy().sum().first()
+    assert tuple(counts) == (10_000, 0, 10_000)
