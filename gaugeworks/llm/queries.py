@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gaugeworks.llm import (
-    chat_rotation, decontaminate, language, ngram_join, packing, personal_data, quality_rules, quality_sites, suffix_dedup, token_files,
+    chat_rotation, decontaminate, golay_copies, hard_negatives, language, ngram_join, packing, personal_data, quality_rules, quality_sites,
+    spelling, suffix_dedup, token_files,
 )
 from gaugeworks.llm.common import new_folder
 
@@ -166,3 +167,43 @@ def op3_ngram_quality(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     found = quality_rules.judged(docs, quality_rules.fit(docs, table(spark, sf_dir, "labels")))
     return found.withColumn("p_good", F.round("p_good", 9))
+
+
+@register("op11_golay_simhash")
+def op11_golay_simhash(spark, sf_dir):
+    found = golay_copies.near_copies(table(spark, sf_dir, "documents"))
+    return found.withColumn("fingerprint", F.lpad(F.lower(F.hex("fingerprint")), 16, "0"))
+
+
+@register("op12_spelling_variants")
+def op12_spelling_variants(spark, sf_dir):
+    runs = spelling.runs(table(spark, sf_dir, "documents"))
+    return spelling.variants(spelling.vocabulary(runs, spelling.misspelt(F.col("run"), F.col("doc_id"))))
+
+
+NEGATIVES_SQL = """
+WITH rows AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * CAST(x AS double))) AS v
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scores AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same, CAST(list_inner_product(a.v, b.v) AS bigint) AS score
+  FROM rows a JOIN rows b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id
+), positives AS (
+  SELECT anchor_id, id AS positive_id, score AS positive_score FROM scores WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5
+), ranked AS (
+  SELECT anchor_id, positive_id, id AS negative_id, positive_score, score AS negative_score,
+    CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id) AS int) AS rank
+  FROM positives JOIN scores USING (anchor_id)
+  WHERE NOT same AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score
+)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM ranked WHERE rank <= 5
+"""
+
+
+@register("op13_anchor_tree_negatives", NEGATIVES_SQL)
+def op13_anchor_tree_negatives(spark, sf_dir):
+    label = F.expr("CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END")
+    return hard_negatives.hard_negatives(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0, label=label)
