@@ -6,6 +6,8 @@ Computed doubles are rounded to six digits on both sides: sums in different orde
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import combinations
+from math import factorial
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -1426,36 +1428,81 @@ def forecast_error(spark, sf_dir):
     return rounded(evaluation.mean_squared_error(pairs.withColumn("forecast", persistence), "y", "forecast"), "mse")
 
 
+def tree_coalition(tree: int, of_row: frozenset, node: int = 0) -> str:
+    """`tree_walk` of a mixture: the dimensions in `of_row` come from the row x, the others from the background row b."""
+    _, _, feature, threshold, left, right, size, depth = next(x for x in FIXED_NODES if x[:2] == (tree, node))
+    if feature < 0:
+        return f"({depth} + {leaf_path(size)})"
+    test = f"CAST({'x' if feature in of_row else 'b'}[{feature + 1}] AS double) <= {threshold}e0"
+    return f"CASE WHEN {test} THEN {tree_coalition(tree, of_row, left)} ELSE {tree_coalition(tree, of_row, right)} END"
+
+
+def shapley_sum(dimension: int) -> str:
+    """The definition: every coalition of a tree's other dimensions, weighted by its size."""
+    terms = []
+    for tree in range(3):
+        used = {x[2] for x in FIXED_NODES if x[0] == tree} - {-1}
+        if dimension not in used:
+            continue
+        others = sorted(used - {dimension})
+        for k in range(len(others) + 1):
+            share = factorial(k) * factorial(len(others) - k) / factorial(len(used))
+            for some in combinations(others, k):
+                step = f"({tree_coalition(tree, frozenset({*some, dimension}))} - {tree_coalition(tree, frozenset(some))})"
+                terms.append(f"{share!r}e0 * {step}")
+    return f"-({' + '.join(terms)}) / 3e0 / {leaf_path(256)}"
+
+
+USED = sorted({x[2] for x in FIXED_NODES} - {-1})
+ATTRIBUTED = f"""
+background AS (
+  SELECT embedding AS b FROM embeddings WHERE embedding IS NOT NULL ORDER BY md5(concat_ws('|', vec_id, '42')), vec_id LIMIT 100
+), exact AS (
+  SELECT vec_id, {", ".join(f"avg({shapley_sum(d)}) AS phi_{d}" for d in USED)}
+  FROM (SELECT vec_id, embedding AS x, b FROM embeddings, background) GROUP BY vec_id
+), phis AS (
+  SELECT vec_id, CAST(d AS int) AS dimension, CASE d {" ".join(f"WHEN {d} THEN phi_{d}" for d in USED)} ELSE 0e0 END AS phi
+  FROM exact, range(64) AS r(d)
+)"""
+
+
 def attributed(spark, sf_dir) -> DataFrame:
-    return attribution.shapley_values(vectors(spark, sf_dir), "embedding", ["vec_id"], fixed_forest(), dimensions=64, background_rows=1, permutations=2)
+    return attribution.exact_shapley_values(vectors(spark, sf_dir), "embedding", ["vec_id"], fixed_forest(), dimensions=64)
 
 
 @register(
     "ml_10_anomaly_attribution",
+    query("SELECT vec_id, dimension, round(phi, 9) + 0e0 AS phi FROM phis", sql.TELEMETRY, ATTRIBUTED),
+)
+def anomaly_attribution(spark, sf_dir):
+    """Exact contributions against 100 background rows, next to the sum over all coalitions."""
+    return attributed(spark, sf_dir).withColumn("phi", F.round("phi", 9) + F.lit(0.0))
+
+
+@register(
+    "ml_10_attribution_additivity",
     query(
-        "SELECT vec_id, CAST(64 AS bigint) AS n_dimensions, round(raw - (SELECT raw FROM s ORDER BY vec_id LIMIT 1), 6) AS difference FROM s",
+        "SELECT vec_id, round(log2(raw) - (SELECT avg(log2(raw)) FROM s WHERE vec_id IN"
+        " (SELECT vec_id FROM embeddings WHERE embedding IS NOT NULL ORDER BY md5(concat_ws('|', vec_id, '42')), vec_id LIMIT 100)), 9) + 0e0 AS total FROM s",
         sql.TELEMETRY,
         FIXED_SCORES,
     ),
 )
-def anomaly_attribution(spark, sf_dir):
-    """Contributions add up to the score less that of the background row, so their sums differ as the scores do."""
-    sums = settle(attributed(spark, sf_dir).groupBy("vec_id").agg(F.count(F.lit(1)).alias("n_dimensions"), F.sum("phi").alias("total")))
-    first = sums.agg(F.min_by("total", "vec_id")).scalar()
-    return sums.select("vec_id", "n_dimensions", F.round(F.col("total") - first + 0.0, 6).alias("difference"))
-
-
-USED = sorted({x[2] for x in FIXED_NODES} - {-1})
+def attribution_additivity(spark, sf_dir):
+    """Contributions add up to the logarithm of the score less the background's mean of it."""
+    return attributed(spark, sf_dir).groupBy("vec_id").agg((F.round(F.sum("phi"), 9) + F.lit(0.0)).alias("total"))
 
 
 @register(
     "srt_03_importance_ranking",
-    f"SELECT 'latent_' || CAST(d AS varchar) AS feature, NOT list_contains({USED}, d) AS is_unused FROM range(64) AS r(d)",
+    query(
+        "SELECT 'latent_' || CAST(dimension AS varchar) AS feature, round(avg(abs(phi)), 5) AS mean_abs_shap FROM phis GROUP BY dimension",
+        sql.TELEMETRY,
+        ATTRIBUTED,
+    ),
 )
 def importance_ranking(spark, sf_dir):
-    """A dimension that no tree asks for has no importance, any other has."""
-    ranked = attribution.importance(attributed(spark, sf_dir))
-    return ranked.select("feature", (F.col("mean_abs_shap") == 0).alias("is_unused"))
+    return attribution.importance(attributed(spark, sf_dir))
 
 
 @register("ml_11_validation_split", query(f"SELECT seq, gpu_id, {held_out('gpu_id')} AS is_validation FROM t", sql.TELEMETRY))

@@ -1,3 +1,5 @@
+from math import factorial
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -175,6 +177,50 @@ def test_error_scores(spark):
     assert frozen.first()["anomaly_score"] == 0.5
 
 
+def coalition_sums(x, background, forest, dimensions):
+    """Shapley values of log2(score) by their definition: every coalition of dimensions."""
+    tables = forest.tables()
+    values = {}
+    for mask in range(1 << dimensions):
+        own = [(mask >> d) & 1 for d in range(dimensions)]
+        values[mask] = np.log2(raw_scores(np.where(own, x, background), tables)).mean()
+    out = np.zeros(dimensions)
+    for d in range(dimensions):
+        for mask in range(1 << dimensions):
+            if not mask >> d & 1:
+                k = mask.bit_count()
+                out[d] += factorial(k) * factorial(dimensions - k - 1) / factorial(dimensions) * (values[mask | 1 << d] - values[mask])
+    return out
+
+
+def test_exact_attributions_equal_the_sum_over_all_coalitions(spark):
+    pick = np.random.default_rng(4)
+    points = pick.normal(size=(120, 10)).round(1)  # ties with thresholds and each other
+    points[7] = points[8]
+    df = table(spark, points)
+    forest = fit_forest(df, "v", ["id"], trees=12, sample_size=64, contamination=None)
+    found = attribution.exact_shapley_values(df, "v", ["id"], forest, 10, background_rows=15)
+    phi = found.toPandas().pivot(index="id", columns="dimension", values="phi").to_numpy()
+    background = np.array([r["v"] for r in attribution.background_sample(df, "v", ["id"], 15).collect()])
+    for i in (0, 7, 8, 55, 119):
+        assert phi[i] == pytest.approx(coalition_sums(points[i], background, forest, 10), abs=1e-9)
+    assert (phi[7] == phi[8]).all()
+    whole = np.log2(raw_scores(points, forest.tables())) - np.log2(raw_scores(background, forest.tables())).mean()
+    assert phi.sum(axis=1) == pytest.approx(whole, abs=1e-9)
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_exact_attributions_of_rows_without_an_embedding(spark):
+    df = spark.createDataFrame([(1, [0.0, 1.0]), (2, None), (3, [2.0, 1.0]), (4, [0.0, 1.0])], "id long, v array<double>")
+    forest = fit_forest(df, "v", ["id"], trees=5, contamination=None)
+    found = {(r["id"], r["dimension"]): r["phi"] for r in attribution.exact_shapley_values(df, "v", ["id"], forest, 2).collect()}
+    assert len(found) == 8 and found[2, 0] is found[2, 1] is None
+    assert found[3, 1] == 0 and found[3, 0] > 0 > found[1, 0]
+    empty = df.where("false")
+    with pytest.raises(ValueError):
+        attribution.exact_shapley_values(empty, "v", ["id"], forest, 2)
+
+
 def test_attributions_add_up_along_each_path(spark, points):
     df = table(spark, points[:20, :4])
     forest = fit_forest(df, "v", ["id"], trees=20, contamination=None)

@@ -8,6 +8,7 @@ from fixtures import SCHEMA, START, frame, rows_of
 from gaugeworks.operators import cleaning, counters, windows
 from gaugeworks.operators.series import SeriesLayout, index_series, measure
 from gaugeworks.schema import STAT_COLUMNS, WINDOW_END, WindowSpec
+from gaugeworks.streaming import cleaned
 from gaugeworks.streaming import liveness as live
 from gaugeworks.streaming import windows as streamed
 
@@ -152,3 +153,117 @@ def test_batch_liveness(spark):
     assert found == {"a": (0.0, False), "b": (120.0, True)}
     later = counters.liveness(df, 60, 3, as_of=str(START + timedelta(minutes=6)))
     assert later.agg(F.count_if("is_down")).first()[0] == 2
+
+
+@pytest.fixture
+def state_store(spark):
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    cleaned.use_state_store(spark)
+    yield spark
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+
+
+def rough_rows(devices="abc", n=70, seed=11):
+    """Even series with gaps (also at both ends), several copies, spikes beyond five deviations and values out of bounds."""
+    pick, out, seq = np.random.default_rng(seed), [], 0
+    for device in devices:
+        for row in rows_of(device, [float(v) for v in pick.normal(50, 8, n)]):
+            at = int((row["timestamp"] - START).total_seconds()) // 60
+            row["power_watts"] = float(pick.normal(300, 2)) if at != 40 else 690.0
+            row["cpu_util"] = float(pick.normal(60, 30))
+            for m in ("gpu_util", "power_watts", "net_throughput_mbps"):
+                if at != 40 and pick.random() < 0.3 or (at < 4 and m == "gpu_util") or (at > n - 5 and m == "power_watts"):
+                    row[m] = None
+            if device == "c":
+                row["disk_io_mbps"] = None  # never reported
+            for copy in range(1 + int(pick.random() < 0.2)):
+                out.append(row | {"seq": seq, "gpu_temp": 40.0 + copy})
+                seq += 1
+    return out
+
+
+def in_batches(rows, size, seed=2):
+    """Shuffled by less than ten minutes, copies apart, dealt to micro-batches."""
+    pick = np.random.default_rng(seed)
+    minutes = np.array([(r["timestamp"] - START).total_seconds() / 60 for r in rows])
+    order = np.argsort(minutes + pick.uniform(0, 8, len(rows)), kind="stable")
+    return [[rows[i] for i in order[at : at + size]] for at in range(0, len(order), size)]
+
+
+def test_clean_windows_on_a_stream_equal_the_batch_windows(state_store, tmp_path):
+    spark, rows, spec = state_store, rough_rows(), WindowSpec(10, 5)
+    raw = frame(spark, rows)
+    batches = in_batches(rows, 90) + [late(days=2), late(days=20), late(days=30)]
+    stream = stream_of(spark, tmp_path, batches)
+    found = drain(spark, cleaned.clean_windows(stream, spec, cleaned.device_profile(raw), hold="5 days"), tmp_path, "clean_windows")
+    found = found.where("gpu_id <> 'z'").toPandas()
+    samples = cleaning.clean_samples(raw, PLAIN)
+    expected = samples.each(lambda r, own: windows.window_table(r, own, spec)).toPandas()
+    found, expected = (f.sort_values(["gpu_id", "window_index"]).reset_index(drop=True) for f in (found, expected))
+    assert list(found["window_index"]) == list(expected["window_index"]) and len(found) == 3 * 13
+    assert list(found[WINDOW_END]) == list(expected[WINDOW_END])
+    np.testing.assert_allclose(
+        found[list(STAT_COLUMNS)].astype(float), expected[list(STAT_COLUMNS)].astype(float), rtol=1e-7, atol=1e-7
+    )
+    plain = raw.where("gpu_id = 'a'").agg(F.max("power_watts")).first()[0]
+    assert found.loc[found["gpu_id"] == "a", "power_watts_max"].max() < plain  # the spike was clipped
+
+
+def test_streamed_scores_of_rough_series_equal_the_fingerprint(state_store, tmp_path):
+    from gaugeworks.plans import fingerprint
+
+    spark, rows = state_store, rough_rows(devices="ab", seed=4)
+    raw = frame(spark, rows)
+    models = fingerprint.fit_models(raw, WindowSpec(10, 5), method=fingerprint.DEVIATION)
+    limits = (0.0, 2.0)
+    batch = fingerprint.build_fingerprint(raw, models, fingerprint.DEVIATION, limits=limits).collect()
+    stream = stream_of(spark, tmp_path, in_batches(rows, 70) + [late(days=9), late(days=20)])
+    scored = cleaned.fingerprint_stream(stream, models.scaler, limits, cleaned.device_profile(raw), hold="2 days")
+    found = drain(spark, scored, tmp_path, "clean_scores")
+    newest = {r["gpu_id"]: r for r in found.orderBy("window_index").collect()}
+    assert {r["gpu_id"] for r in batch} == {"a", "b"}
+    for row in batch:
+        for column in ("anomaly_score", "failure_risk_score", "gpu_health_score", "estimated_time_to_failure_steps"):
+            assert newest[row["gpu_id"]][column] == pytest.approx(row[column])
+        assert newest[row["gpu_id"]][WINDOW_END] == row[WINDOW_END]
+
+
+def test_held_gaps_are_closed_and_idle_series_begin_anew(state_store, tmp_path):
+    spark = state_store
+    rows = rows_of("a", [1.0, 2.0, 3.0, None, None, None])
+    again = rows_of("a", [7.0] * 3, start=START + timedelta(days=40), seq_from=500)
+    batches = [rows, late(days=1), late(days=2), late(days=20), again, late(days=60), late(days=70)]
+    stream = stream_of(spark, tmp_path, batches)
+    found = drain(spark, cleaned.clean_windows(stream, WindowSpec(3, 1), hold="6 hours"), tmp_path, "held")
+    got = [(r["window_index"], r["gpu_util_mean"]) for r in found.where("gpu_id = 'a'").orderBy(WINDOW_END).collect()]
+    assert [i for i, _ in got] == [0, 1, 2, 3, 0]
+    assert [m for _, m in got] == pytest.approx([2.0, 8 / 3, 3.0, 3.0, 7.0])
+
+
+def test_known_devices_are_watched_from_the_start(state_store, tmp_path):
+    spark = state_store
+
+    def at(device, minutes):
+        return rows_of(device, [1.0], start=START + timedelta(minutes=minutes))
+
+    known = spark.createDataFrame(
+        [("old", START, False), ("down", START - timedelta(days=1), True), ("gone", START - timedelta(days=90), True), ("b", START, False)],
+        "gpu_id string, last_seen timestamp_ntz, is_down boolean",
+    )
+    batches = [at("b", 10), at("b", 30), at("b", 60), at("down", 61) + at("gone", 62) + at("b", 62), at("b", 63), at("b", 200), at("b", 201)]
+    stream = stream_of(spark, tmp_path, batches)
+    watched = live.watch_known(stream, known, interval_seconds=300, allowed=3, lateness="1 minute", forget="30 days")
+    found = [(r["gpu_id"], r["last_seen"], r["is_down"]) for r in drain(spark, watched, tmp_path, "known").collect()]
+    assert ("old", START, True) in found  # silent since before the stream began
+    assert ("down", START + timedelta(minutes=61), False) in found  # came back
+    assert not [r for r in found if r[0] == "gone" and not r[2]]  # had vanished, so it is new
+    changes = [r[2] for r in found if r[0] == "b"]
+    assert changes == [True, False] * (len(changes) // 2) + [True] * (len(changes) % 2)
+
+
+def test_vanished_devices_leave_no_state(state_store, tmp_path):
+    spark = state_store
+    stream = stream_of(spark, tmp_path, [rows_of("a", [1.0]), late(days=1), late(days=9), late(days=10)])
+    drain(spark, live.watch_known(stream, interval_seconds=60, forget="3 days"), tmp_path, "vanished")
+    kept = spark.read.format("statestore").option("stateVarName", "state").load(str(tmp_path / "vanished"))
+    assert {r["key"]["gpu_id"] for r in kept.collect()} == {"z"}
