@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugeworks.operators.pca import Moments
+from gaugeworks.operators.moments import Moments
 from gaugeworks.schema import METRICS, WindowSpec
 
 
@@ -93,11 +93,11 @@ def fit_scaler(
 def scaler_of_moments(moments: Moments, spec: WindowSpec, metrics: tuple[str, ...] = METRICS) -> WindowScaler:
     """The scaler from the moments of unscaled window vectors, whose entries go sample by sample."""
     mean = moments.mean.reshape(spec.size, len(metrics))
-    square = moments.covariance.diagonal().reshape(spec.size, len(metrics)) + mean**2
+    within = moments.covariance.diagonal().reshape(spec.size, len(metrics)).mean(axis=0)
     whole = mean.mean(axis=0)
-    spread = np.sqrt(np.maximum(square.mean(axis=0) - whole**2, 0.0))
+    spread = np.sqrt(np.maximum(within, 0.0) + ((mean - whole) ** 2).mean(axis=0))
     # What is left of a constant metric is rounding.
-    spread = np.where(spread <= 1e-7 * np.maximum(np.abs(whole), 1e-300), 0.0, spread)
+    spread = np.where(spread <= 1e-14 * np.abs(whole), 0.0, spread)
     return WindowScaler(dict(zip(metrics, whole.tolist(), strict=True)), dict(zip(metrics, spread.tolist(), strict=True)), spec)
 
 

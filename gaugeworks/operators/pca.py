@@ -7,72 +7,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
-
+from gaugeworks.operators.moments import Moments, vector_moments
 
-@dataclass(frozen=True)
-class Moments:
-    """Means and covariance (population) of a column of vectors, over the pairs of entries that are known."""
-
-    count: int
-    mean: np.ndarray
-    covariance: np.ndarray
-
-
-def vector_moments(df: DataFrame, values: str) -> Moments:
-    """One pass: every task sums cross products, sums of equal matrix rows meet, the driver gets one matrix.
-
-    Missing entries (NULL or NaN) count for no pair. Rows without a vector are left out.
-    """
-
-    def partial(batches):
-        sums = counts = None
-        for batch in batches:
-            column = batch.column(0)
-            if not len(column):
-                continue
-            x = column.flatten().to_numpy(zero_copy_only=False).astype("float64").reshape(len(column), -1)
-            known = ~np.isnan(x)
-            if sums is None:
-                sums, counts = (np.zeros((x.shape[1] + 1, x.shape[1] + 1)) for _ in range(2))
-            whole = np.column_stack([np.where(known, x, 0.0), np.ones(len(x))])
-            sums += whole.T @ whole
-            if known.all():
-                counts += len(x)
-            else:
-                mask = np.column_stack([known, np.ones(len(x))]).astype("float64")
-                counts += mask.T @ mask
-        if sums is not None:
-            yield rows(range(len(sums)), sums, counts)
-
-    def rows(index, sums, counts):
-        columns = [pa.array(list(index), pa.int32()), pa.array(list(sums), pa.list_(pa.float64())), pa.array(list(counts), pa.list_(pa.float64()))]
-        return pa.record_batch(columns, names=["i", "sums", "counts"])
-
-    def merged(batches):
-        found: dict[int, list[np.ndarray]] = {}
-        for batch in batches:
-            for i, s, c in zip(*(batch.column(k) for k in range(3)), strict=True):
-                own = found.setdefault(i.as_py(), [0.0, 0.0])
-                own[0] = own[0] + s.values.to_numpy()
-                own[1] = own[1] + c.values.to_numpy()
-        if found:
-            yield rows(found, [x[0] for x in found.values()], [x[1] for x in found.values()])
-
-    schema = "i int, sums array<double>, counts array<double>"
-    parts = df.select(F.col(values).cast("array<double>")).where(F.col(values).isNotNull()).mapInArrow(partial, schema)
-    table = parts.repartition("i").mapInArrow(merged, schema).toArrow().sort_by("i")
-    if not len(table):
-        raise ValueError(f"no vectors in {values}")
-    sums, counts = (np.array(table.column(c).to_pylist()) for c in ("sums", "counts"))
-    n = np.maximum(counts, 1.0)
-    mean = sums[:-1, -1] / n[:-1, :-1].diagonal()
-    return Moments(int(counts[-1, -1]), mean, sums[:-1, :-1] / n[:-1, :-1] - np.outer(mean, mean))
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
 @dataclass(frozen=True)
@@ -100,8 +41,7 @@ class PcaEmbedding:
                 points = np.stack(vectors[known].to_numpy()).astype("float64")
                 complete = ~np.isnan(points).any(axis=1)
                 at = np.flatnonzero(known)[complete]
-                for i, z in zip(at, (points[complete] - mean) @ components, strict=True):
-                    out.iat[i] = z
+                out.iloc[at] = list((points[complete] - mean) @ components)
             return out
 
         return df.withColumn(embedding, project(F.col(values)))

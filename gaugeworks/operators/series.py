@@ -79,15 +79,15 @@ def measure(
 ) -> SeriesLayout:
     """Count rows per device (reads one column) and decide which devices to cut: those above `long_rows`.
 
-    Their names are settled as a table; the driver gets how many there are and their rows, about `span_rows` for each
-    span.
+    The driver gets how many there are and their rows, about `span_rows` for each span. Only if there are any, their names
+    are settled as a table.
     """
     counts = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_rows"))
-    long = settle(counts.where(F.col("_rows") > long_rows))
+    long = counts.where(F.col("_rows") > long_rows)
     devices, rows = long.agg(F.count(F.lit(1)), F.sum("_rows")).first()
     if not devices:
         return SeriesLayout(key, time)
-    return SeriesLayout(key, time, long.select(key), max(1, -(-rows // span_rows)))
+    return SeriesLayout(key, time, settle(long.select(key)), max(1, -(-rows // span_rows)))
 
 
 def over_earlier_spans(layout: SeriesLayout, later: bool = False) -> str:

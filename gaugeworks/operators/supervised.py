@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gaugeworks.functions.numeric import workload_label, workload_name
-from gaugeworks.operators.pca import vector_moments
+from gaugeworks.operators.moments import vector_moments
 from gaugeworks.schema import STAT_COLUMNS, WORKLOAD_CLASSES
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -80,8 +80,7 @@ class DemandForecaster:
             if len(known):
                 x = np.stack(inputs.iloc[known].to_numpy()).astype("float64")
                 complete = ~np.isnan(x).any(axis=1)
-                for i, y in zip(known[complete], x[complete] @ weights.T + intercept, strict=True):
-                    out.iat[i] = y
+                out.iloc[known[complete]] = list(x[complete] @ weights.T + intercept)
             return out
 
         return sequences.withColumn("forecast", ahead("x"))

@@ -21,6 +21,7 @@ def window_table(
     statistics: bool = True,
     vector_of: dict[str, Column] | None = None,
     block_rows: int = 100_000,
+    latest_only: bool = False,
 ) -> DataFrame:
     """One row per window of indexed samples (`clean_series`, `index_series`).
 
@@ -29,9 +30,13 @@ def window_table(
     combines size/gcd panes rather than `size` rows. A window with a missing value has a missing
     statistic: NaN carries that through the aggregates and becomes NULL at the end.
 
-    `vector_of` adds `window_values`, the given expressions per sample, sample by sample.
+    `vector_of` adds `window_values`, the given expressions per sample, sample by sample. With `latest_only` only
+    the samples of each device's last window are aggregated.
     """
     metrics = metric_columns(samples.columns)
+    if latest_only:
+        start = F.expr(f"({LENGTH} - {spec.size}) DIV {spec.stride} * {spec.stride}")
+        samples = samples.where((F.col(LENGTH) >= spec.size) & (F.col(POSITION) >= start) & (F.col(POSITION) < start + spec.size))
     pane_rows = gcd(spec.size, spec.stride)
     per_window, per_stride = spec.size // pane_rows, spec.stride // pane_rows
     rows, group = blocks(

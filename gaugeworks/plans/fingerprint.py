@@ -12,7 +12,8 @@ from gaugeworks.operators import anomaly
 from gaugeworks.operators.cleaning import Samples, clean_samples
 from gaugeworks.operators.features import WindowScaler, fit_scaler, scaler_of_moments
 from gaugeworks.operators.forest import IsolationForest, fit_forest
-from gaugeworks.operators.pca import PcaEmbedding, principal_components, rescaled, vector_moments
+from gaugeworks.operators.moments import Moments, moment_rows, moments_of
+from gaugeworks.operators.pca import PcaEmbedding, principal_components, rescaled
 from gaugeworks.operators.scoring import SCORE_COLUMNS, health_score
 from gaugeworks.operators.series import SeriesLayout
 from gaugeworks.operators.store import settle
@@ -81,6 +82,19 @@ def fit_models(
     return fit_on_samples(samples, spec, components, method, **forest_options)
 
 
+def window_moments(samples: Samples, spec: WindowSpec = WindowSpec()) -> DataFrame:
+    """The mergeable moments of all windows' unscaled vectors."""
+    plain = samples.each(lambda rows, layout: window_table(rows, layout, spec, False, {m: F.col(m) for m in METRICS}))
+    return moment_rows(plain, VECTOR)
+
+
+def linear_models(moments: Moments, spec: WindowSpec, components: int = 8) -> tuple[WindowScaler, PcaEmbedding]:
+    """Scaler and components from moments of unscaled window vectors, of one run or merged from stored days."""
+    scaler = scaler_of_moments(moments, spec)
+    mean, scale = (np.tile([f(m) for m in METRICS], spec.size) for f in (scaler.mean.get, scaler.scale))
+    return scaler, principal_components(rescaled(moments, mean, scale), components)
+
+
 def fit_on_samples(
     samples: Samples,
     spec: WindowSpec = WindowSpec(),
@@ -95,14 +109,11 @@ def fit_on_samples(
         raise ValueError(f"method must be one of {METHODS}")
     if method == DEVIATION:
         return Models(fit_scaler(sample_windows(samples, spec), spec))
-    plain = samples.each(lambda rows, layout: window_table(rows, layout, spec, False, {m: F.col(m) for m in METRICS}))
     try:
-        moments = vector_moments(plain, VECTOR)
+        moments = moments_of(window_moments(samples, spec))
     except ValueError:
         raise ValueError("cannot fit a scaler: no complete window") from None
-    scaler = scaler_of_moments(moments, spec)
-    mean, scale = (np.tile([f(m) for m in METRICS], spec.size) for f in (scaler.mean.get, scaler.scale))
-    embedding = principal_components(rescaled(moments, mean, scale), components)
+    scaler, embedding = linear_models(moments, spec, components)
     if method == RECONSTRUCTION:
         return Models(scaler, embedding)
     keys = [KEY, WINDOW_INDEX]

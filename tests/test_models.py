@@ -1,11 +1,12 @@
 from math import factorial
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from fixtures import frame, random_rows
-from gaugeworks.operators import anomaly, attribution, evaluation, features, supervised
+from gaugeworks.operators import anomaly, attribution, evaluation, features, moments, supervised
 from gaugeworks.operators.forest import (
     IsolationForest, average_path, fit_forest, fit_forest_nodes, raw_scores, tree_samples,
 )
@@ -353,3 +354,60 @@ def test_settle_uses_the_configured_folder(spark, tmp_path):
     assert found.count() == 3
     assert spark.conf.get("spark.checkpoint.dir") in store.own_folder(spark)
     assert found.inputFiles()[0].removeprefix("file://").startswith(store.own_folder(spark).removeprefix("file:"))
+
+
+@pytest.mark.parametrize("offset", [0.0, 1e6, 1e9])
+def test_moments_keep_their_digits_far_from_zero(spark, offset):
+    pick = np.random.default_rng(3)
+    points = pick.normal(size=(4000, 5)) * [1, 2, 0.5, 1, 3] + offset
+    points[:, 3] = points[:, 0] * 0.5 + offset
+    points[:, 4] = offset  # constant
+    found = moments.vector_moments(table(spark, points).repartition(5), "v")
+    assert found.count == 4000
+    np.testing.assert_allclose(found.mean, points.mean(axis=0), rtol=1e-12, atol=1e-12)
+    # The points themselves are rounded; numpy's two passes over them are the measure.
+    np.testing.assert_allclose(found.covariance, np.cov(points.T, bias=True), rtol=1e-9, atol=1e-9)
+    spec = WindowSpec(5, 1)
+    scaler = features.scaler_of_moments(found, spec, ("x",))
+    assert scaler.mean["x"] == pytest.approx(points.mean(), rel=1e-12)
+    assert scaler.std["x"] == pytest.approx(points.std(), rel=1e-9)
+
+
+def test_constant_metrics_have_no_spread(spark):
+    points = np.full((50, 4), 0.1) + [0, 0, 1e9, 1e9]
+    found = moments.vector_moments(table(spark, points), "v")
+    scaler = features.scaler_of_moments(found, WindowSpec(2, 1), ("x", "y"))
+    assert scaler.std["x"] > 0  # columns 0 and 2 are the two samples of x
+    flat = features.scaler_of_moments(moments.vector_moments(table(spark, np.full((50, 4), 0.1)), "v"), WindowSpec(2, 1), ("x", "y"))
+    assert flat.std == {"x": 0.0, "y": 0.0}
+
+
+def test_forecaster_is_exact_far_from_zero(spark):
+    pick = np.random.default_rng(6)
+    x = pick.normal(size=(500, 3)) + 1e7
+    y = (x - 1e7) @ [[2.0], [-1.0], [0.5]] + 1e7
+    df = spark.createDataFrame([(a.tolist(), b.tolist()) for a, b in zip(x, y, strict=True)], "x array<double>, y array<double>")
+    model = supervised.fit_forecaster(df, 1, regularization=0.0)
+    assert model.weights[0] == pytest.approx([2.0, -1.0, 0.5], rel=1e-6)
+
+
+def test_stored_moments_of_days_equal_the_union(spark, tmp_path):
+    pick = np.random.default_rng(9)
+    points = pick.normal(size=(900, 6)) @ pick.normal(size=(6, 6)) + 1e5
+    points[pick.random(points.shape) < 0.05] = np.nan
+    days = ["2024-01-01", "2024-01-02", "2024-01-03"]
+    path = str(tmp_path / "moments")
+    for day, own in zip(days, np.split(points, [100, 650]), strict=True):
+        moments.store_moments(moments.moment_rows(table(spark, own), "v"), path, day)
+    moments.store_moments(moments.moment_rows(table(spark, points[100:650]), "v"), path, days[1])  # again: replaced
+    whole = moments.vector_moments(table(spark, points), "v")
+    merged = moments.moments_of(moments.stored_moments(spark, path))
+    assert merged.count == whole.count
+    np.testing.assert_allclose(merged.covariance, whole.covariance, rtol=1e-9, atol=1e-9)
+    np.testing.assert_allclose(merged.mean, whole.mean, rtol=1e-12)
+    later = moments.stored_moments(spark, path, first=days[1])
+    np.testing.assert_allclose(moments.moments_of(later).covariance, moments.vector_moments(table(spark, points[100:]), "v").covariance, rtol=1e-9, atol=1e-9)
+    assert "PartitionFilters: [isnotnull(day" in later._jdf.queryExecution().executedPlan().toString()
+    known = (~np.isnan(points)).astype(float)
+    n = known.T @ known  # pandas divides by one less
+    np.testing.assert_allclose(whole.covariance, pd.DataFrame(points).cov().to_numpy() * (n - 1) / n, rtol=1e-9)
