@@ -5,6 +5,7 @@ Computed doubles are rounded to six digits on both sides: sums in different orde
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from itertools import combinations
 from math import factorial
@@ -15,15 +16,18 @@ from pyspark.sql import functions as F
 
 from gaugeworks.functions import numeric, text
 from gaugeworks.operators import (
-    anomaly, attribution, cleaning, counters, evaluation, features, scoring, services, supervised, windows,
+    anomaly, attribution, cleaning, counters, evaluation, features, limits, scoring, services, supervised, windows,
 )
 from gaugeworks.operators.forest import IsolationForest, fit_forest_nodes
-from gaugeworks.operators.pca import fit_pca
+from gaugeworks.operators.moments import moments_of, stored_moments
+from gaugeworks.operators.pca import PcaEmbedding, fit_pca
 from gaugeworks.operators.series import LENGTH, POSITION, each_part, index_series, measure
-from gaugeworks.operators.store import settle
+from gaugeworks.operators.store import own_folder, settle
+from gaugeworks.plans import incremental
 from gaugeworks.plans import report as reports
 from gaugeworks.plans.fingerprint import (
-    DEVIATION, FOREST, RECONSTRUCTION, fingerprint_of_samples, fit_on_samples, sample_windows,
+    DEVIATION, FOREST, RECONSTRUCTION, Models, fingerprint_of_samples, fit_on_samples, linear_models, raw_anomaly, sample_windows,
+    window_moments,
 )
 from gaugeworks.queries import reference_sql as sql
 from gaugeworks.queries.reference_sql import each, query
@@ -32,7 +36,8 @@ from gaugeworks.schema import (
 )
 from gaugeworks.sources import files, metrics_json
 from gaugeworks.sources.rows import validated_rows
-from gaugeworks.sources.events import read_telemetry
+from gaugeworks.sources.events import read_telemetry, telemetry_from_events
+from gaugeworks.streaming import cleaned, liveness as live
 from gaugeworks.tuning import tune
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -383,6 +388,22 @@ def window_vectors(spark, sf_dir):
     ),
 )
 def latest_window(spark, sf_dir):
+    def last(rows, layout):
+        return windows.window_table(rows, layout, SPEC, latest_only=True)
+
+    return rounded(fleet_samples(spark, sf_dir).each(last).select(KEY, WINDOW_END, *STAT_COLUMNS), *STAT_COLUMNS)
+
+
+@register(
+    "win_06_latest_of_windows",
+    query(
+        f"SELECT gpu_id, window_end_timestamp, {ROUNDED_STATS} FROM stats"
+        " QUALIFY row_number() OVER (PARTITION BY gpu_id ORDER BY window_end_timestamp DESC) = 1",
+        sql.STATS,
+    ),
+)
+def latest_of_windows(spark, sf_dir):
+    """The newest of windows that exist already."""
     found = fleet_windows(spark, sf_dir).select(KEY, WINDOW_END, *STAT_COLUMNS)
     return rounded(windows.latest_per_device(found), *STAT_COLUMNS)
 
@@ -773,6 +794,22 @@ def percentiles(spark, sf_dir):
     ),
 )
 def scaler_fit(spark, sf_dir):
+    """From the mergeable moments of window vectors, as the models fit it."""
+    moments = moments_of(window_moments(fleet_samples(spark, sf_dir), SPEC))
+    return scaler_row(spark, features.scaler_of_moments(moments, SPEC))
+
+
+def scaler_row(spark, scaler) -> DataFrame:
+    values = {f"mean_{m}": scaler.mean[m] for m in METRICS} | {f"std_{m}": scaler.std[m] for m in METRICS}
+    return spark.range(1).select(*[F.round(F.lit(v), 6).alias(c) for c, v in values.items()])
+
+
+SCALER = "SELECT " + each("round(mu_{m}, 6) AS mean_{m}, round(sd_{m}, 6) AS std_{m}") + " FROM scaler"
+
+
+@register("agg_10_scaler_of_statistics", query(SCALER, sql.ELEMENTS))
+def scaler_of_statistics(spark, sf_dir):
+    """From the windows' statistics, which is enough where no components are wanted."""
     moments = features.scaler_moments(fleet_windows(spark, sf_dir))
     return rounded(moments, *moments.columns)
 
@@ -1282,21 +1319,21 @@ FIXED_NODES = [
 ]
 
 
-def fixed_forest() -> IsolationForest:
+def fixed_forest(nodes=FIXED_NODES) -> IsolationForest:
     names = ["tree_id", "node_id", "feature", "threshold", "left", "right", "size", "depth"]
-    return IsolationForest.from_nodes(pd.DataFrame(FIXED_NODES, columns=names), 256, cutoff=0.45)
+    return IsolationForest.from_nodes(pd.DataFrame(nodes, columns=names), 256, cutoff=0.45)
 
 
 def leaf_path(n: int) -> str:
     return "0e0" if n <= 1 else "1e0" if n == 2 else f"(2e0 * (ln({n - 1}e0) + 0.5772156649015329e0) - 2e0 * {n - 1}e0 / {n}e0)"
 
 
-def tree_walk(tree: int, node: int = 0) -> str:
-    _, _, feature, threshold, left, right, size, depth = next(x for x in FIXED_NODES if x[:2] == (tree, node))
+def tree_walk(tree: int, node: int = 0, nodes=FIXED_NODES, value=lambda d: f"CAST(embedding[{d + 1}] AS double)") -> str:
+    _, _, feature, threshold, left, right, size, depth = next(x for x in nodes if x[:2] == (tree, node))
     if feature < 0:
         return f"({depth} + {leaf_path(size)})"
-    test = f"CAST(embedding[{feature + 1}] AS double) <= {threshold}e0"
-    return f"CASE WHEN {test} THEN {tree_walk(tree, left)} ELSE {tree_walk(tree, right)} END"
+    sides = (tree_walk(tree, side, nodes, value) for side in (left, right))
+    return f"CASE WHEN {value(feature)} <= {threshold}e0 THEN {next(sides)} ELSE {next(sides)} END"
 
 
 FIXED_SCORES = (
@@ -1552,34 +1589,22 @@ def read_back(responses: DataFrame) -> DataFrame:
     return rounded(found.select("metric", KEY, HOST, TIME, "value"), "value")
 
 
-@register(
-    "src_07_range_query",
-    query(
-        "SELECT metric, gpu_id, node_id, date_trunc('second', \"timestamp\") AS \"timestamp\", round(value, 6) AS value"
-        " FROM long WHERE metric IN ('gpu_util', 'power_watts')",
-        sql.TELEMETRY,
-        LONG,
-    ),
-)
 def range_query(spark, sf_dir):
-    """The answers for two metrics, read back."""
-    asked = F.col("metric").isin("gpu_util", "power_watts")
-    return read_back(landed(long_form(read_telemetry(spark, sf_dir)).where(asked)))
-
-
-@register(
-    "src_07_range_query_all",
-    query(
-        "SELECT metric, gpu_id, node_id, date_trunc('second', \"timestamp\") AS \"timestamp\", round(value, 6) AS value FROM long",
-        sql.TELEMETRY,
-        LONG,
-    ),
-)
-def range_query_all(spark, sf_dir):
     """The answers for all metrics, read back."""
     return read_back(landed(long_form(read_telemetry(spark, sf_dir))))
 
 
+for _name in ("src_07_range_query", "src_07_range_query_all"):
+    register(
+        _name,
+        query(
+            "SELECT metric, gpu_id, node_id, date_trunc('second', \"timestamp\") AS \"timestamp\", round(value, 6) AS value FROM long",
+            sql.TELEMETRY,
+            LONG,
+        ),
+    )(range_query)
+
+
 @register(
     "src_09_row_payload",
     query(
@@ -1642,3 +1667,315 @@ def listed_trials(outcomes: DataFrame, devices: int) -> DataFrame:
 )
 def precision_recall(spark, sf_dir):
     return rounded(evaluation.precision_recall(trial_lists(spark, sf_dir)), "precision", "recall", digits=9)
+
+
+# --- models with fixed numbers, walked in SQL ------------------------------------------------------
+
+
+def fixed_components() -> PcaEmbedding:
+    """One component for each metric: the same weight for all of its samples in a window, so `z` is its scaled mean times
+    the root of the window's size. They are orthonormal, like fitted ones."""
+    share = SPEC.size**-0.5
+    parts = [[share if i % len(METRICS) == k else 0.0 for i in range(SPEC.size * len(METRICS))] for k in range(len(METRICS))]
+    return PcaEmbedding(parts, [0.0] * (SPEC.size * len(METRICS)), [0.0] * len(METRICS))
+
+
+#: The fixed trees over these thirteen components.
+FLEET_NODES = [(t, n, f % len(METRICS) if f >= 0 else f, 10 * x, *rest) for t, n, f, x, *rest in FIXED_NODES]
+_SCALED = "({m} - mu_{m}) / CASE WHEN sd_{m} = 0 THEN 1 ELSE sd_{m} END"
+FIXED_Z = f"""
+projected AS (
+  SELECT gpu_id, window_end_timestamp, avg(({sql._SQUARES}) / 13) AS deviation, {each("sqrt(30e0) * avg(" + _SCALED + ") AS z_{m}")}
+  FROM elements, scaler GROUP BY gpu_id, window_end_timestamp
+)"""
+FIXED_ERROR = "greatest(deviation - (" + each("z_{m} * z_{m}", " + ") + ") / 390, 0)"
+FIXED_RAW = "pow(2e0, -((" + " + ".join(tree_walk(t, 0, FLEET_NODES, lambda d: f"z_{METRICS[d]}") for t in range(3)) + f") / 3e0) / {leaf_path(256)})"
+
+
+def fixed_query(select: str, upto: str, raw: str, low: str, high: str) -> str:
+    """The chain with another anomaly measure and other limits."""
+    errors = FIXED_Z + f""",
+errors AS (SELECT gpu_id, window_end_timestamp, {raw} AS error FROM projected),
+limits AS (SELECT {low} AS p1, {high} AS p99 FROM errors),""" + sql.ERRORS[sql.ERRORS.index("\nanomaly AS") :]
+    return query(select, upto).replace(sql.ERRORS, errors)
+
+
+def fixed_recon(select: str, upto: str) -> str:
+    return fixed_query(select, upto, FIXED_ERROR, "quantile_cont(error, 0.01)", "quantile_cont(error, 0.99)")
+
+
+def fixed_trees(select: str, upto: str) -> str:
+    return fixed_query(select, upto, FIXED_RAW, "min(error)", "max(error)")
+
+
+def fixed_models(samples: cleaning.Samples, method: str) -> Models:
+    scaler = features.fit_scaler(sample_windows(samples, SPEC), SPEC)
+    return Models(scaler, fixed_components(), fixed_forest(FLEET_NODES) if method == FOREST else None)
+
+
+def projected_windows(spark, sf_dir) -> tuple[DataFrame, Models]:
+    samples = fleet_samples(spark, sf_dir).settled()
+    models = fixed_models(samples, RECONSTRUCTION)
+    found = sample_windows(samples, SPEC, False, models.scaler)
+    return models.embedding.transform(found, windows.VECTOR), models
+
+
+@register(
+    "ml_02_fixed_components",
+    query(f"SELECT gpu_id, window_end_timestamp, {each('round(z_{m}, 6) AS z_{m}')} FROM projected", sql.ELEMENTS, FIXED_Z),
+)
+def projected_on_fixed_components(spark, sf_dir):
+    found, _ = projected_windows(spark, sf_dir)
+    return found.select(KEY, WINDOW_END, *[F.round(F.get("embedding", F.lit(i)), 6).alias(f"z_{m}") for i, m in enumerate(METRICS)])
+
+
+@register(
+    "ml_02_pca_fit",
+    "SELECT vec_id, round(list_sum(list_transform(range(1, 65), lambda i: pow(embedding[i] - means[i], 2))), 6) AS length FROM ("
+    "SELECT vec_id, CAST(embedding AS double[]) AS embedding FROM embeddings), (SELECT ["
+    + ", ".join(f"avg(CAST(embedding[{i}] AS double))" for i in range(1, 65)) + "] AS means FROM embeddings)",
+)
+def pca_fit(spark, sf_dir):
+    """All 64 fitted components together keep every vector's distance from the mean."""
+    rows = vectors(spark, sf_dir)
+    found = fit_pca(rows, "embedding", k=64).transform(rows, "embedding", "z")
+    return found.select("vec_id", F.round(F.aggregate("z", F.lit(0.0), lambda s, z: s + z * z), 6).alias("length"))
+
+
+@register("ml_03_fixed_error", fixed_recon("SELECT gpu_id, window_end_timestamp, round(error, 6) AS error FROM errors", sql.ERRORS))
+def fixed_error(spark, sf_dir):
+    """What projecting on the fixed components and back leaves of a window."""
+    found, models = projected_windows(spark, sf_dir)
+    return found.select(KEY, WINDOW_END, F.round(models.embedding.reconstruction_error(windows.VECTOR), 6).alias("error"))
+
+
+@register("ml_07_fixed_score", fixed_recon("SELECT gpu_id, window_end_timestamp, round(anomaly_score, 6) AS anomaly_score FROM anomaly", sql.ERRORS))
+def fixed_score(spark, sf_dir):
+    samples = fleet_samples(spark, sf_dir).settled()
+    models = fixed_models(samples, RECONSTRUCTION)
+    raw = settle(raw_anomaly(sample_windows(samples, SPEC, True, models.scaler), models, RECONSTRUCTION).select(KEY, WINDOW_END, "raw_anomaly"))
+    return rounded(anomaly.error_score(raw, "raw_anomaly").select(KEY, WINDOW_END, "anomaly_score"), "anomaly_score")
+
+
+LATEST_WHOLE = f"SELECT gpu_id, window_end_timestamp, {ROUNDED_HEALTH}, {ROUNDED_STATS} FROM latest"
+
+
+def fixed_fingerprint(spark, sf_dir, method: str) -> DataFrame:
+    samples = fleet_samples(spark, sf_dir).settled()
+    found = fingerprint_of_samples(samples, fixed_models(samples, method), method)
+    return rounded(found, *HEALTH_FIELDS, *STAT_COLUMNS)
+
+
+@register("cmp_07_fixed_forest", fixed_trees(LATEST_WHOLE, sql.LATEST))
+def fixed_forest_fingerprint(spark, sf_dir):
+    return fixed_fingerprint(spark, sf_dir, FOREST)
+
+
+@register("cmp_07_fixed_reconstruction", fixed_recon(LATEST_WHOLE, sql.LATEST))
+def fixed_reconstruction_fingerprint(spark, sf_dir):
+    return fixed_fingerprint(spark, sf_dir, RECONSTRUCTION)
+
+
+@register(
+    "ml_08_classifier_held_out",
+    query(
+        f"SELECT count(*) AS n_validation, count(*) FILTER ({LABEL.format('gpu_util_mean')} = 2) AS n_steady, true AS is_good FROM stats WHERE {held_out('gpu_id')}",
+        sql.STATS,
+    ),
+)
+def classifier_held_out(spark, sf_dir):
+    """On devices that it was not fitted on, the classifier is right for nine windows of ten."""
+    found, _ = embedded_windows(spark, sf_dir)
+    rows = supervised.classifier_features(found)
+    split = features.is_validation([KEY])
+    model = supervised.fit_classifier(rows.where(~split), inputs=8 + len(STAT_COLUMNS))
+    judged = settle(supervised.classify(model, rows.where(split)).select("label", "predicted_label"))
+    n = F.count(F.lit(1))
+    right = F.count_if(F.col("label") == F.col("predicted_label"))
+    return judged.agg(n.alias("n_validation"), F.count_if(F.col("label") == 2).alias("n_steady"), (right >= 0.9 * n).alias("is_good"))
+
+
+#: Weights of the last and the first sample seen, and what a step adds.
+LAST, FIRST, STEP = 0.5, 0.25, 0.1
+TARGETS = ("gpu_util", "mem_util")
+
+
+def fixed_forecaster(lookback: int = 12, horizon: int = 6) -> supervised.DemandForecaster:
+    weights, intercept = [], []
+    for step in range(horizon):
+        for m in TARGETS:
+            row = [0.0] * (lookback * len(METRICS))
+            row[METRICS.index(m)] = FIRST
+            row[(lookback - 1) * len(METRICS) + METRICS.index(m)] = LAST
+            weights.append(row)
+            intercept.append(STEP * step)
+    return supervised.DemandForecaster(weights, intercept)
+
+
+@register(
+    "ml_09_fixed_forecast",
+    query(
+        "SELECT starts.gpu_id, CAST(first / 6 AS bigint) AS sequence_index, CAST(s AS int) AS step,"
+        + ", ".join(f" round({LAST}e0 * l.{m} + {FIRST}e0 * f.{m} + {STEP}e0 * s, 6) AS {m}" for m in TARGETS)
+        + " FROM starts JOIN clean f ON f.gpu_id = starts.gpu_id AND f.p = first"
+        " JOIN clean l ON l.gpu_id = starts.gpu_id AND l.p = first + 11, range(6) AS r(s)",
+        sql.CLEAN,
+        SEQUENCES,
+    ),
+)
+def fixed_forecast(spark, sf_dir):
+    """Forecasts with known weights, step by step."""
+    found = fixed_forecaster().forecast(sample_sequences(fleet_samples(spark, sf_dir)))
+    steps = found.select(KEY, "sequence_index", F.explode(F.sequence(F.lit(0), F.lit(5))).alias("step"), "forecast")
+    return steps.select(KEY, "sequence_index", "step", *[F.round(F.get("forecast", 2 * F.col("step") + i), 6).alias(m) for i, m in enumerate(TARGETS)])
+
+
+@register(
+    "ml_09_forecast_residuals",
+    query(
+        "SELECT CAST(i AS int) AS output, n, 0e0 AS mean_residual, true AS better_than_mean FROM range(12) AS r(i), ("
+        f"SELECT count(*) AS n FROM starts WHERE NOT {held_out('gpu_id')})",
+        sql.CLEAN,
+        SEQUENCES,
+    ),
+)
+def forecast_residuals(spark, sf_dir):
+    """On what it was fitted on, a linear forecast's residuals have mean zero and are smaller than the mean's."""
+    samples = fleet_samples(spark, sf_dir).settled()
+    scaler = features.fit_scaler(sample_windows(samples, SPEC), SPEC)
+    pairs = settle(sample_sequences(samples, scaler).where(~features.is_validation([KEY])))
+    found = supervised.fit_forecaster(pairs, outputs=12).forecast(pairs)
+    each_one = found.select(F.posexplode(F.arrays_zip("y", "forecast")).alias("output", "v"))
+    residual = F.col("v.y") - F.col("v.forecast")
+    return each_one.groupBy("output").agg(
+        F.count(F.lit(1)).alias("n"), (F.round(F.avg(residual), 6) + F.lit(0.0)).alias("mean_residual"),
+        (F.avg(residual * residual) < F.var_pop("v.y")).alias("better_than_mean"),
+    )
+
+
+# --- runs one after the other, sketches, streams ---------------------------------------------------
+
+
+def run_in_slices(spark, sf_dir, slices: int = 3) -> tuple[str, features.WindowScaler]:
+    """The telemetry as runs over consecutive spans of time, each from the tables that the one before left."""
+    raw = read_telemetry(spark, sf_dir)
+    samples = fleet_samples(spark, sf_dir).settled()
+    scaler = features.fit_scaler(sample_windows(samples, SPEC), SPEC)
+    profile = settle(cleaned.device_profile(raw))
+    first, last = raw.agg(F.min(TIME), F.max(TIME)).first()
+    cuts = [first + (last - first) * i / slices for i in range(1, slices)]
+    folder = f"{own_folder(spark)}/runs-{uuid.uuid4().hex}"
+    for i, (low, high) in enumerate(zip([None, *cuts], [*cuts, None], strict=True)):
+        own = raw if low is None else raw.where(F.col(TIME) >= F.lit(low))
+        own = own if high is None else own.where(F.col(TIME) < F.lit(high))
+        incremental.run_day(spark, folder, own, f"2024-01-0{i + 1}", scaler, profile=profile, finish=high is None)
+    return folder, scaler
+
+
+@register("cmp_07_incremental_windows", query(f"SELECT gpu_id, window_end_timestamp, {ROUNDED_STATS} FROM stats", sql.STATS))
+def incremental_windows(spark, sf_dir):
+    folder, _ = run_in_slices(spark, sf_dir)
+    return rounded(spark.read.parquet(f"{folder}/windows").select(KEY, WINDOW_END, *STAT_COLUMNS), *STAT_COLUMNS)
+
+
+@register("cmp_07_incremental_fingerprint", query(LATEST_WHOLE, sql.LATEST))
+def incremental_fingerprint(spark, sf_dir):
+    """The newest windows of all runs, between limits from the stored deviations."""
+    folder, _ = run_in_slices(spark, sf_dir)
+    stored = spark.read.parquet(f"{folder}/windows")
+    found = incremental.current_fingerprint(spark, folder, lambda: tuple(anomaly.quantiles(stored, "raw_anomaly", [0.01, 0.99])))
+    return rounded(found, *HEALTH_FIELDS, *STAT_COLUMNS)
+
+
+@register("agg_10_scaler_refit", query(SCALER, sql.ELEMENTS))
+def scaler_refit(spark, sf_dir):
+    """From the runs' stored moments, without the windows."""
+    folder, _ = run_in_slices(spark, sf_dir)
+    scaler, _ = linear_models(moments_of(stored_moments(spark, f"{folder}/moments")), SPEC)
+    return scaler_row(spark, scaler)
+
+
+@register(
+    "agg_04_merged_limits",
+    query("SELECT share, count(*) AS n_windows, true AS within FROM errors, (VALUES (0.01e0), (0.5e0), (0.99e0)) AS q(share) GROUP BY share", sql.ERRORS),
+)
+def merged_limits(spark, sf_dir):
+    """Limits from sketches of every day of window ends, by their exact rank among all windows."""
+    found = settle(deviation_windows(spark, sf_dir).select(WINDOW_END, "error"))
+    sketches = limits.rank_sketches(found, "error", F.to_date(WINDOW_END))
+    shares = [0.01, 0.5, 0.99]
+    asked = dict(zip(shares, limits.merged_limits(sketches, shares), strict=True))
+    n = F.count(F.lit(1))
+    ranks = [
+        F.struct(F.lit(q).alias("share"), n.alias("n_windows"), ((F.count_if(F.col("error") < v) / n <= q + 0.01) & (F.count_if(F.col("error") <= v) / n >= q - 0.01)).alias("within"))
+        for q, v in asked.items()
+    ]
+    return found.agg(F.array(*ranks).alias("r")).select(F.explode("r").alias("r")).select("r.*")
+
+
+@register(
+    "agg_07_devices_of_spans",
+    query(
+        "SELECT node_id, count(*) FILTER (a AND b) AS n_both, count(*) FILTER (b AND NOT a) AS n_new, count(*) FILTER (a AND NOT b) AS n_lost, count(*) AS n_any"
+        " FROM (SELECT node_id, gpu_id, bool_or(early) AS a, bool_or(NOT early) AS b FROM (SELECT node_id, gpu_id,"
+        ' "timestamp" < (SELECT min("timestamp") + (max("timestamp") - min("timestamp")) / 2 FROM t) AS early FROM t WHERE gpu_id IS NOT NULL)'
+        " GROUP BY node_id, gpu_id) GROUP BY node_id",
+        sql.TELEMETRY,
+    ),
+)
+def devices_of_spans(spark, sf_dir):
+    """Devices of every host in the earlier and the later half of the time, from a sketch of each. Exact below 2^14 devices."""
+    raw = read_telemetry(spark, sf_dir)
+    middle = raw.agg((F.min(TIME) + (F.max(TIME) - F.min(TIME)) / 2)).scalar()
+    early = raw.withColumn("span", F.struct(HOST, (F.col(TIME) < middle).alias("early")))
+    found = limits.device_sketches(early, KEY, F.col("span")).select("span.*", "devices")
+    none = F.expr(f"(SELECT theta_sketch_agg(CAST(NULL AS string), {limits.THETA_LOG}))")
+    sides = found.groupBy(HOST).agg(F.max(F.when(F.col("early"), F.col("devices"))).alias("a"), F.max(F.when(~F.col("early"), F.col("devices"))).alias("b"))
+    return sides.select(HOST, *limits.compared_devices(F.coalesce("a", none), F.coalesce("b", none)))
+
+
+def streamed_telemetry(spark, sf_dir) -> DataFrame:
+    source = f"{sf_dir}/events.parquet"
+    events = spark.readStream.schema(spark.read.parquet(source).schema).parquet(f"{source}*")
+    return telemetry_from_events(events)
+
+
+def drained(stream: DataFrame, name: str) -> DataFrame:
+    """What a stream gives for everything that is there, written as a table."""
+    spark = stream.sparkSession
+    folder = f"{own_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    cleaned.use_state_store(spark)
+    try:
+        query = (
+            stream.writeStream.format("parquet").option("path", f"{folder}/rows").option("checkpointLocation", f"{folder}/checkpoint")
+            .outputMode("append").trigger(availableNow=True).start()
+        )
+        query.awaitTermination()
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+    return spark.read.schema(stream.schema).parquet(f"{folder}/rows")
+
+
+@register("ext_04_streamed_windows", query(f"SELECT gpu_id, window_end_timestamp, {ROUNDED_STATS} FROM stats", sql.STATS))
+def streamed_windows(spark, sf_dir):
+    """The telemetry as a stream without lateness, cleaned and cut into windows as the batch form does."""
+    profile = settle(cleaned.device_profile(read_telemetry(spark, sf_dir)))
+    found = cleaned.clean_windows(streamed_telemetry(spark, sf_dir), SPEC, profile, lateness="0 seconds", hold="0 seconds")
+    rows = drained(found, "streamed-windows").withColumn(WINDOW_END, F.col(WINDOW_END).cast("timestamp_ntz"))
+    return rounded(rows.select(KEY, WINDOW_END, *STAT_COLUMNS), *STAT_COLUMNS)
+
+
+@register(
+    "ext_01_streamed_liveness",
+    query(
+        "SELECT gpu_id, date_trunc('millisecond', max(\"timestamp\")) AS last_seen, true AS is_down FROM t WHERE gpu_id IS NOT NULL GROUP BY gpu_id"
+        " HAVING epoch_ms(max(\"timestamp\")) + 86400000 <= (SELECT epoch_ms(max(\"timestamp\")) FROM t)",
+        sql.TELEMETRY,
+    ),
+)
+def streamed_liveness(spark, sf_dir):
+    """Devices that were silent for a day when the stream's time had passed."""
+    watched = live.watch_known(streamed_telemetry(spark, sf_dir), interval_seconds=86_400, allowed=1, lateness="0 seconds", forget="36500 days")
+    rows = drained(watched, "streamed-liveness")
+    return rows.withColumn("last_seen", F.col("last_seen").cast("timestamp_ntz"))
