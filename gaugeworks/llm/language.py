@@ -33,13 +33,14 @@ def sample_texts(labelled: DataFrame, per_language: int, chars: int, languages:
     texts for each label.
     """
     usable = labelled.where("id IS NOT NULL AND text IS NOT NULL AND lang IS NOT NULL")
-    counts = usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    draw = F.pmod(F.xxhash64(F.col("id"), F.lit("language sample")), F.lit(1 << 30)).cast("double") / (1 << 30)
+    counts = usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.min(draw).alias("first"))
     if languages is not None:
         counts = counts.orderBy(F.desc("n"), "lang").limit(languages)
-    draw = F.pmod(F.xxhash64(F.col("id"), F.lit("language sample")), F.lit(1 << 30)).cast("double") / (1 << 30)
     drawn = usable.select("lang", F.substring("text", 1, chars).alias("text"), draw.alias("draw"), "id").join(F.broadcast(counts), "lang")
     order = Window.partitionBy("lang").orderBy("draw", "id", "text")
-    drawn = drawn.where(F.col("draw") * F.col("n") < 3 * per_language).withColumn("place", F.row_number().over(order))
+    # Rows of one id are drawn together; a label whose rows share few ids has at least the first of them.
+    drawn = drawn.where((F.col("draw") * F.col("n") < 3 * per_language) | (F.col("draw") == F.col("first"))).withColumn("place", F.row_number().over(order))
     texts: dict[str, list[str]] = {}
     for row in drawn.where(F.col("place") <= per_language).select("lang", "text").collect():
         texts.setdefault(row["lang"], []).append(row["text"])

@@ -108,17 +108,17 @@ def token_pieces(docs: DataFrame, id_column: str, text_column: str, capacity: in
 
     def run(batches):
         own, part = encoder(tokenizer), TaskContext.get().partitionId()
-        end = np.array([end_id], "<u4").tobytes()
         seen: Counter[int] = Counter()
         for batch in batches:
-            rows = []
-            for doc, ids in zip(batch.column(0).to_pylist(), own.encode(batch.column(1).to_pylist()), strict=True):
-                ids += end
-                for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
-                    cut = ids[at : at + 4 * capacity]
-                    length = len(cut) // 4
-                    rows.append((doc, piece, at // 4, length, crc(cut), part, seen[length]))
-                    seen[length] += 1
+            rows, docs = [], batch.column(0).to_pylist()
+            for first, ids, offsets in own.encode_column(batch.column(1)):
+                ids = memoryview(np.insert(ids, offsets[1:], np.uint32(end_id))).cast("B")
+                ended = (offsets + np.arange(len(offsets))).tolist()
+                for row, (low, high) in enumerate(zip(ended[:-1], ended[1:], strict=True), first):
+                    for piece, at in enumerate(range(low, high, capacity)):
+                        length = min(capacity, high - at)
+                        rows.append((docs[row], piece, at - low, length, crc(ids[4 * at : 4 * (at + length)]), part, seen[length]))
+                        seen[length] += 1
             columns = list(zip(*rows, strict=True)) or [()] * 7
             kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()]
             names = ["doc_id", "piece", "start", "length", "ids_crc32", "part", "rank"]

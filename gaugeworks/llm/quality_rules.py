@@ -103,12 +103,19 @@ def base_statistics(column: pa.Array) -> dict[str, np.ndarray]:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, id_column: str, text_column: str, label_column: str, most: int) -> DataFrame:
-    """(id, text, label): up to `most` labelled rows, drawn by a hash of the id. The label is 0 or 1."""
+    """(id, text, label): up to `most` labelled ids, drawn by a hash of the id, one row each: that of the smallest text hash,
+    however many rows have the id. The label is 0 or 1."""
     ids, label = F.col(id_column), F.col(label_column)
     drawn = labels.where(ids.isNotNull() & label.isin(0, 1)).groupBy(ids.alias("id")).agg(F.max(label).alias("label"))
     drawn = drawn.orderBy(F.xxhash64(F.col("id"), F.lit("quality sample")), "id").limit(most)
     texts = docs.where(F.col(text_column).isNotNull()).select(ids.alias("id"), F.col(text_column).alias("text"))
-    return texts.join(F.broadcast(drawn), "id")
+    return one_text_each(texts.join(F.broadcast(drawn), "id"))
+
+
+def one_text_each(sample: DataFrame) -> DataFrame:
+    """(id, text, label) with one row of each id, chosen before the shuffle as well."""
+    best = F.min(F.struct(F.xxhash64("text").alias("hash"), F.col("text"), F.col("label"))).alias("best")
+    return sample.groupBy("id").agg(best).select("id", "best.text", "best.label")
 
 
 def sparse_rows(sample: DataFrame) -> DataFrame:

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gaugeworks.llm.common import sliced, text_bytes, written
+from gaugeworks.llm.quality_rules import one_text_each
 
 FEATURES = ("letters", "capitals", "digits", "symbols", "shouts", "gaps", "lines", "size")
 
@@ -69,7 +70,8 @@ def fit_evidence(docs: DataFrame, labels: DataFrame, id_column: str, text_column
             rows = pa.FixedSizeListArray.from_arrays(pa.array(values.ravel()), len(FEATURES)).cast(pa.list_(pa.float64()))
             yield pa.record_batch([batch.column("id"), batch.column("label"), rows], names=["id", "label", "x"])
 
-    rows = texts.join(F.broadcast(drawn), "id").select("id", F.col("label").cast("int"), "text").mapInArrow(run, "id long, label int, x array<double>").toArrow()
+    sample = one_text_each(texts.join(F.broadcast(drawn), "id"))
+    rows = sample.select("id", F.col("label").cast("int"), "text").mapInArrow(run, "id long, label int, x array<double>").toArrow()
     y = rows.column("label").to_numpy().astype(np.float64)
     if not len(y) or y.min() == y.max():
         return {"weights": np.zeros(len(FEATURES)), "bias": 0.0}

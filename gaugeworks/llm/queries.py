@@ -85,7 +85,7 @@ def op10_sparse_suffix_array(spark, sf_dir):
     return suffix_dedup.repeated_passages(table(spark, sf_dir, "documents"))
 
 
-#: Windows proposed by shared shingles, compared by shingle counts; fingerprints are not needed for the result.
+#: All windows of documents that share enough shingles with the items of a length; fingerprints are not needed for the result.
 LEAK_SQL = r"""
 WITH words AS (
   SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents WHERE text IS NOT NULL
@@ -97,11 +97,12 @@ WITH words AS (
   FROM item_words WHERE len(w) >= 5
 ), places AS (SELECT item_id, len(own) AS n, unnest(own) AS h, unnest(range(len(own))) AS place FROM items
 ), numbered AS (SELECT doc_id, unnest(s) AS h, unnest(range(len(s))) AS pos FROM runs
-), starts AS (SELECT DISTINCT doc_id, n, pos - place AS start FROM numbered JOIN places USING (h)
-), windows AS (
-  SELECT DISTINCT doc_id, n, greatest(0, least(start, len(s) - n)) AS start,
-    s[greatest(0, least(start, len(s) - n)) + 1:greatest(0, least(start, len(s) - n)) + n] AS own
-  FROM starts JOIN runs USING (doc_id)
+), rich AS (
+  SELECT doc_id, n FROM (SELECT DISTINCT doc_id, n, pos FROM numbered JOIN places USING (h))
+  GROUP BY doc_id, n HAVING count(*) >= 0.8 * n
+), starts AS (
+  SELECT doc_id, n, s, unnest(range(0, greatest(len(s) - n, 0) + 1)) AS start FROM rich JOIN runs USING (doc_id)
+), windows AS (SELECT doc_id, n, start, s[start + 1:start + n] AS own FROM starts
 ), window_counts AS (
   SELECT doc_id, n, start, len(own) AS size, h, count(*) AS c
   FROM (SELECT doc_id, n, start, own, unnest(own) AS h FROM windows) GROUP BY ALL

@@ -15,8 +15,6 @@ from pyspark.sql import functions as F
 from gaugeworks.llm.common import written
 from gaugeworks.llm.tokens import crc, default_tokenizer, encoder
 
-#: Ids in one Arrow batch, unless a single text has more.
-BATCH_IDS = 1 << 20
 SCHEMA = "doc_id long, part int, ids array<int>"
 
 
@@ -25,25 +23,13 @@ def token_rows(docs: DataFrame, id_column: str, text_column: str, end_id: int, t
 
     def run(batches):
         own, part = encoder(tokenizer), TaskContext.get().partitionId()
-        end = np.array([end_id], "<u4").tobytes()
-
-        def rows(docs, data):
-            values = pa.array(np.frombuffer(b"".join(data), np.int32))
-            offsets = np.concatenate(([0], np.cumsum([len(x) // 4 for x in data]))).astype(np.int32)
-            columns = [pa.array(docs, pa.int64()), pa.array(np.full(len(docs), part, np.int32)), pa.ListArray.from_arrays(offsets, values)]
-            return pa.record_batch(columns, names=["doc_id", "part", "ids"])
-
         for batch in batches:
-            ids, data, size = [], [], 0
-            for doc, found in zip(batch.column(0).to_pylist(), own.encode(batch.column(1).to_pylist()), strict=True):
-                ids.append(doc)
-                data.append(found + end)
-                size += len(data[-1]) // 4
-                if size >= BATCH_IDS:
-                    yield rows(ids, data)
-                    ids, data, size = [], [], 0
-            if ids:
-                yield rows(ids, data)
+            for first, ids, offsets in own.encode_column(batch.column(1)):
+                rows = len(offsets) - 1
+                values = pa.array(np.insert(ids, offsets[1:], np.uint32(end_id)).view(np.int32))
+                ended = (offsets + np.arange(rows + 1)).astype(np.int32)
+                columns = [batch.column(0).slice(first, rows), pa.array(np.full(rows, part, np.int32)), pa.ListArray.from_arrays(ended, values)]
+                yield pa.record_batch(columns, names=["doc_id", "part", "ids"])
 
     source = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
     # Equal ids may be many: the texts' hashes let them spread over files.

@@ -1,22 +1,37 @@
 """Token ids of whole texts, word by word.
 
-The tokenizer never joins characters across white space, so a text's ids are its words' ids in a row. Words repeat:
-each worker keeps the ids of words it has met, in two generations, so that memory is bounded and frequent words stay.
-Only new words reach the tokenizer library, without their case and closing punctuation where these do not matter.
+The tokenizer never joins characters across white space, so a text's ids are its words' ids in a row. Texts are cut into
+words and numbered as Arrow arrays, some megabytes at once; only a chunk's distinct words become Python strings. Each
+worker keeps the ids of short words it has met, in two generations, so that memory is bounded and frequent words stay.
+Only new words reach the tokenizer library, without their case and punctuation where these do not matter.
 """
 
 from __future__ import annotations
 
-import unicodedata
+import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from struct import pack
 
-#: Words in one of the two generations that a worker keeps, and characters split at once.
+import numpy as np
+import pyarrow as pa
+
+from gaugeworks.llm.common import text_bytes
+
+#: Words in one of the two generations that a worker keeps, and the most characters of such a word.
 KEPT_WORDS = 600_000
-CHUNK = 1 << 22
-_OTHER_GAPS = "\t\n\v\f\r"
-_CLOSING = ".,;:!?"
+KEPT_LENGTH = 64
+#: Bytes of text worked on at once; a longer text is a chunk of its own.
+CHUNK = 1 << 21
+_GAPS = b"\t\n\v\f\r "
+_LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
+#: Kinds of bytes: gaps 0, letters 1, other ASCII 2, and 3 for what keeps its word whole.
+_KINDS = bytes(0 if c in _GAPS else 3 if c > 127 or c in b"'<" else 1 if chr(c).isalpha() else 2 for c in range(256))
+#: Byte-level models name the bytes that have no glyph, in order, from U+0100 on.
+_BARE = [*range(33), *range(127, 161), 173]
+_BYTE_LETTERS = {b: 256 + i for i, b in enumerate(_BARE)}
+_LATIN = re.compile("[a-zA-Z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+").fullmatch
 
 
 def default_tokenizer() -> str:
@@ -29,8 +44,8 @@ def default_tokenizer() -> str:
 class Encoder:
     """Whole texts to ids as little-endian unsigned 32-bit bytes.
 
-    `path` is a file that every worker can read, of a BPE tokenizer that lower-cases, splits letters from punctuation and
-    marks ends of words with </w>.
+    `path` is a file that every worker can read, of a BPE tokenizer that lower-cases, splits letters from digits and
+    punctuation and marks ends of words with </w>.
     """
 
     path: str
@@ -38,24 +53,33 @@ class Encoder:
     before: dict[str, bytes] = field(default_factory=dict)
     tokenizer: object = None
     ends: object = None
+    direct: bool = False
 
     def load(self) -> None:
-        import numpy as np
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(self.path)
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        # Lower-case words of Latin letters pass normalising and splitting unchanged: the model alone gives their ids.
+        probes = ["a", "the", "qxzvk", "abcdefghijklmnopqrstuvwxyz" * 3, "é", "àáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿß", "straßeñandú"]
+        self.direct = all(self.of_model(w) == self.tokenizer.encode(w, add_special_tokens=False).ids for w in probes)
+
+    def of_model(self, word: str) -> list[int]:
+        if not word.isascii():
+            word = word.encode().decode("latin-1").translate(_BYTE_LETTERS)
+        return [token.id for token in self.tokenizer.model.tokenize(word)]
 
     def whole(self, words: list[str]) -> dict[str, bytes]:
         """Ids of words, from the library."""
-        import numpy as np
-
         if self.tokenizer is None:
             self.load()
         encode = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
         found: dict[str, bytes] = {}
+        if self.direct:
+            found = {w: pack(f"<{len(ids)}I", *ids) for w in words if _LATIN(w) for ids in (self.of_model(w.lower()),)}
+            words = [w for w in words if w not in found]
         # Plain words end where a token does, so many of them go as one text.
         plain = [w for w in words if w.isalpha()]
         for at in range(0, len(plain), 2000):
@@ -66,70 +90,89 @@ class Encoder:
                 data = ids.tobytes()
                 found.update(zip(part, [data[a:b] for a, b in zip([0, *cuts], cuts, strict=False)], strict=True))
         rest = [w for w in words if w not in found]
-        for at in range(0, len(rest), 10_000):
-            part = rest[at : at + 10_000]
+        for at in range(0, len(rest), 2000):
+            part = rest[at : at + 2000]
             for word, own in zip(part, encode(part, add_special_tokens=False), strict=True):
                 found[word] = np.array(own.ids, "<u4").tobytes()
         return found
 
-    def learn(self, words: set[str]) -> None:
-        """Put `words` into the present generation.
+    def ids_of(self, words: list[str]) -> list[bytes]:
+        """The ids of distinct words; short ones are kept."""
+        found = list(map(self.known.get, words))
+        missing = [i for i, x in enumerate(found) if x is None]
+        new = [words[i] for i in missing if len(words[i]) <= KEPT_LENGTH]
+        if len(self.known) + len(new) > KEPT_WORDS:
+            # A new generation has all words of these texts.
+            kept = {w: x for w, x in zip(words, found, strict=True) if x is not None}
+            self.before, self.known = self.known, kept
+        again = {w: self.before[w] for w in new if w in self.before}
+        self.known.update(again)
+        self.known.update(self.whole([w for w in new if w not in again]))
+        once = self.whole([words[i] for i in missing if len(words[i]) > KEPT_LENGTH])
+        for i in missing:
+            word = words[i]
+            found[i] = once[word] if len(word) > KEPT_LENGTH else self.known[word]
+        return found
+
+    def encode_bytes(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, offsets of each text's ids) of the texts between `bounds` of UTF-8 bytes.
 
-        A word that ends in a letter and one closing mark has the ids of both in a row, if the letter stays one when it is
-        normalised and lower-cased (else its mark joins the closing one).
+        A-Z are lower-cased here, as the tokenizer does, but not in texts that may hold special tokens. Words of ASCII and
+        letters up to U+00FF are cut where letters meet other characters, as the tokenizer cuts them too, so that few
+        distinct ones are left; words with other bytes, apostrophes (contractions) or "<" (special tokens) stay whole.
         """
-        if len(self.known) + len(words) > KEPT_WORDS:
-            self.before, self.known = self.known, {}
-        known, before = self.known, self.before
-        again = {w: before[w] for w in words if w in before}
-        known.update(again)
-        closed: list[tuple[str, str, str]] = []
-        stems: set[str] = set()
-        for word in words - known.keys():
-            letter = word[-2:-1]
-            if word[-1:] in _CLOSING and ("a" <= letter <= "z" or unicodedata.normalize("NFC", letter).lower().isalpha()) and "<" not in word:
-                closed.append((word, word[:-1], word[-1]))
-                stems.add(word[:-1])
-                stems.add(word[-1])
-            else:
-                stems.add(word)
-        stems -= known.keys()
-        again = {w: before[w] for w in stems if w in before}
-        known.update(again)
-        known.update(self.whole(list(stems - again.keys())))
-        known.update({word: known[stem] + known[mark] for word, stem, mark in closed})
-
-    def words(self, text: str | None) -> list[str]:
-        """The text's words. Case goes where Python and the tokenizer agree on it, unless special tokens may be in it."""
-        text = text or ""
-        if "<|" not in text:
-            try:
-                text.encode("latin-1")
-                text = text.lower()
-            except UnicodeEncodeError:
-                pass
-        for gap in _OTHER_GAPS:
-            if gap in text:
-                text = text.replace(gap, " ")
-        return text.split(" ")
+        raw = data.tobytes()
+        low = raw.translate(_LOWER)
+        special = np.flatnonzero((data[:-1] == 60) & (data[1:] == 124)) if b"<|" in raw else []
+        if len(special):
+            low = bytearray(low)
+            for row in np.unique(np.searchsorted(bounds, special, "right") - 1).tolist():
+                low[bounds[row] : bounds[row + 1]] = raw[bounds[row] : bounds[row + 1]]
+            low = bytes(low)
+        kind = np.frombuffer(raw.translate(_KINDS), np.uint8)
+        if len(lead := np.flatnonzero(data == 0xC3)):  # U+00C0 to U+00FF, letters but for two
+            kind = kind.copy()
+            letter = (data[lead + 1] != 0x97) & (data[lead + 1] != 0xB7)
+            kind[lead[letter]] = kind[lead[letter] + 1] = 1
+        inside = kind > 0
+        edge = np.zeros(len(kind) + 1, bool)
+        edge[bounds] = True
+        opens = inside.copy()
+        opens[1:] &= ~inside[:-1] | edge[1:-1]  # texts follow each other without a gap
+        starts = np.flatnonzero(opens)
+        if not len(starts):
+            return np.zeros(0, np.uint32), np.zeros(len(bounds), np.int64)
+        cuts = np.flatnonzero((kind[1:] != kind[:-1]) & inside[1:] & ~opens[1:]) + 1
+        whole = np.zeros(len(starts), bool)
+        whole[np.searchsorted(starts, np.flatnonzero(kind == 3), "right") - 1] = True
+        cuts = cuts[~whole[np.searchsorted(starts, cuts, "right") - 1]]
+        starts = np.sort(np.concatenate((starts, cuts)), kind="stable")
+        letters = np.cumsum(inside, dtype=np.int64)
+        offsets = np.append(letters[starts] - 1, letters[-1])
+        words = pa.Array.from_buffers(pa.large_string(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(low.translate(None, _GAPS))])
+        numbered = words.dictionary_encode()
+        found = self.ids_of(numbered.dictionary.to_pylist())
+        lengths = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        lists = pa.LargeListArray.from_arrays(np.concatenate(([0], np.cumsum(lengths))), pa.array(np.frombuffer(b"".join(found), np.uint32)))
+        of_words = lists.take(numbered.indices)
+        ends = np.concatenate(([0], np.cumsum(lengths[numbered.indices.to_numpy()])))
+        return of_words.flatten().to_numpy(), ends[np.searchsorted(starts, bounds)]
+
+    def encode_column(self, column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(first row, ids, offsets of each row's ids) of a string column, chunk by chunk; null texts have no ids."""
+        data, offsets = text_bytes(column)
+        first, rows = 0, len(offsets) - 1
+        while first < rows:
+            last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + CHUNK, "right")) - 1)
+            ids, own = self.encode_bytes(data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first])
+            yield first, ids, own
+            first = last
 
     def encode(self, texts: list[str | None]) -> Iterator[bytes]:
         """The ids of each text; of a null text none."""
-        at = 0
-        while at < len(texts):
-            pool, size = [], 0
-            while at < len(texts) and (not pool or size < CHUNK):
-                pool.append(self.words(texts[at]))
-                size += len(texts[at] or "")
-                at += 1
-            met: set[str] = set()
-            for words in pool:
-                met.update(words)
-            if new := met.difference(self.known):
-                # A new generation needs all words of these texts.
-                self.learn(met if len(self.known) + len(new) > KEPT_WORDS else new)
-            for words in pool:
-                yield b"".join(map(self.known.__getitem__, words))
+        for _, ids, own in self.encode_column(pa.array(texts, pa.large_string())):
+            for a, b in zip(own[:-1], own[1:], strict=True):
+                yield ids[a:b].tobytes()
 
 
 _ENCODERS: dict[str, Encoder] = {}

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from brute import EXTRA, HARD, PASSAGE, hard_docs, leaks, plain_docs, repeats, similar_groups, texts
 from conftest import SMALL
+from pyspark.sql import functions as F
 
 from gaugeworks.llm import common, decontaminate, ngram_join, suffix_dedup
 
@@ -193,6 +194,40 @@ def test_leaks_equal_brute_force(spark, benchmark_rows):
     assert {5001, 5002, 5003} <= {d for d, _ in want} and not {5004, 5006, 5007} & {d for d, _ in want}
 
 
+def test_rearranged_passages_are_found(spark):
+    """Windows start anywhere: the item's halves changed places, so that no shingle lies where the item has it."""
+    pick = random.Random(3)
+    words = lambda n: [f"w{pick.randrange(10**6)}" for _ in range(n)]
+    a, b, c = words(100), words(100), words(60)
+    items = [(1, " ".join(a + b)), (2, " ".join(c)), (3, " ".join(c)), (4, " ".join(c[:30] * 2))]
+    rows = [
+        (10, " ".join(words(300) + b + a + words(300))), (11, " ".join(b + a)), (12, " ".join(a + words(200) + b)),
+        (13, " ".join(words(40) + c[30:] + c[:30] + words(5))), (14, " ".join(c[:50])), (15, " ".join(c * 3)), (16, " ".join(words(400))),
+        (17, " ".join(words(9) + c[:20] + words(2) + c[20:40] + words(2) + c[40:] + words(9))), (18, " ".join(c[:30] * 5)),
+    ]
+    found = decontaminate.contaminated(plain_docs(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()
+    want = leaks(rows, items)
+    assert {(r.doc_id, r.item_id): pytest.approx(r.similarity) for r in found} == want
+    assert (10, 1) in want and want[10, 1] > 0.95 and (12, 1) not in want and {(13, 2), (13, 3), (15, 2), (18, 4)} <= set(want)
+    first = {(r.doc_id, r.item_id): r.first_word for r in found}
+    assert first[10, 1] == 300 and first[11, 1] == 0 and first[15, 2] == 0
+
+
+def test_items_in_question_stay_few(spark):
+    """Many items of one length that share boilerplate: a window asks for those with a rare shingle of it."""
+    pick = random.Random(5)
+    common = [f"common{i}" for i in range(30)]
+    items = [(i, " ".join(common + [f"w{pick.randrange(10**7)}" for _ in range(30)])) for i in range(2000)]
+    keys = spark.createDataFrame(items, "item_id long, text string")
+    own = keys.select(F.col("item_id").alias("key"), decontaminate.shingles(F.col("text"), 5).alias("own"))
+    counts = own.select("key", F.size("own").alias("length"), F.explode("own").alias("hash")).groupBy("key", "length", "hash").count().withColumnRenamed("count", "n")
+    lists = decontaminate.rarest(counts, 0.8).groupBy("hash").count()
+    assert lists.agg(F.max("count")).first()[0] < 0.01 * len(items)
+    docs = plain_docs(spark, [(1, items[77][1] + " tail"), (2, " ".join(common * 3))])
+    found = decontaminate.contaminated(docs, keys).collect()
+    assert [(r.doc_id, r.item_id, r.similarity) for r in found] == [(1, 77, 1.0)]
+
+
 def test_hard_rows_and_items_of_decontamination(spark):
     items = spark.createDataFrame([(1, PASSAGE), (1, PASSAGE), (2, PASSAGE), (3, None), (4, ""), (5, "one two"), (None, "long " * 8)], "item_id long, text string")
     docs = hard_docs(spark)

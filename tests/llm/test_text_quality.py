@@ -214,3 +214,24 @@ def test_sites_of_urls(spark):
 def test_plain_rows_keep_their_order_of_ids(spark):
     found = quality_rules.judged(plain_docs(spark, [(5, "a b"), (4, "c")]), quality_rules.train(pa.table({"id": pa.array([], pa.int64()), "label": pa.array([], pa.int32()), "feature": pa.array([], pa.list_(pa.int32())), "value": pa.array([], pa.list_(pa.float32()))})))
     assert sorted((r.doc_id, r.n_words) for r in found.collect()) == [(4, 1), (5, 2)]
+
+
+def test_a_repeated_id_gives_one_row_to_each_fit(spark):
+    """One labelled id in thousands of rows: the driver and the fit get one of them."""
+    pick = random.Random(2)
+    rows = [(1, f"same id other text {i} " + "word " * (i % 7)) for i in range(3000)] + [(i, " ".join(pick.choice("abcdef") for _ in range(60))) for i in range(2, 40)]
+    docs = plain_docs(spark, rows)
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(1, 40)], "doc_id long, quality int, toxic int")
+    sample = quality_rules.labelled_sample(docs, labels, "doc_id", "text", "quality", 3000).collect()
+    assert sorted(r.id for r in sample) == list(range(1, 40))
+    assert quality_rules.fit(docs, labels)["weights"].any()
+    found = quality_sites.quality_posteriors(docs, labels, F.col("source"), F.col("source"))
+    assert found.count() == len(rows)
+
+
+def test_a_label_of_one_repeated_id_is_learned(spark):
+    """The draw goes by id; a label whose rows share one is learned all the same, from a bounded number of them."""
+    rows = [(7, f"zyx wvu tsr {i}", "zz", "s") for i in range(4000)] + [(8 + i, f"hello the world {i}", "en", "s") for i in range(300)]
+    labelled = spark.createDataFrame(rows, "id long, text string, lang string, source string")
+    found = language.sample_texts(labelled, 96, 256)
+    assert set(found) == {"zz", "en"} and all(1 <= len(own) <= 96 for own in found.values())

@@ -39,6 +39,15 @@ def test_kept_words_are_bounded(monkeypatch, encode):
     assert len(own.known) <= 50 and len(own.before) <= 50
 
 
+def test_long_words_are_not_kept(encode):
+    """Encoded blobs may be all distinct and of any length: they are encoded, not remembered."""
+    own = tokens.Encoder(tokens.default_tokenizer())
+    rows = [" ".join((chr(97 + i % 26) + chr(97 + i // 26) + chr(105 + j)) * 400 for j in range(8)) + " the end" for i in range(40)]
+    for text, data in zip(rows, own.encode(rows), strict=True):
+        assert np.frombuffer(data, "<u4").tolist() == encode(text)
+    assert max(map(len, own.known)) <= tokens.KEPT_LENGTH and len(own.known) < 10
+
+
 def test_odd_words_are_encoded_like_whole_texts(encode):
     pick = random.Random(8)
     letters = "abcXYZ.,;:!?'\"<>|-0123é漢́ \n\xa0\x1c"
