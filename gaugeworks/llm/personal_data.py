@@ -34,24 +34,57 @@ CONTEXT = 64
 # --- spans within a text --------------------------------------------------------------------------------
 
 
-def running_sum(values: Column, block: int = 64) -> Column:
-    """Sums of the first 1, 2, ... values; by blocks, so that long arrays cost little more than their length."""
-    add = lambda total, x: total + x
+def running(values: Column, add, block: int = 64) -> Column:
+    """array<int>: the first 1, 2, ... values put together by `add` (a sum, a maximum) from 0 on.
+
+    By blocks of blocks, so that long arrays cost little more than their length.
+    """
+    # Bound as a lambda's argument: else the values are computed anew for every element.
+    return F.get(F.transform(F.array(values), lambda own: _running(own, add, block)), 0)
+
+
+def _running(values: Column, add, block: int) -> Column:
     zero = F.lit(0)
-    blocks = F.transform(
-        F.sequence(zero, F.expr("0") + F.floor((F.size(values) - 1) / block).cast("int")),
-        lambda k: F.aggregate(F.slice(values, k * block + 1, F.lit(block)), zero, add),
+    count = lambda n: F.sequence(zero, F.expr("0") + F.floor((n - 1) / block).cast("int"))
+    whole = lambda own: F.transform(count(F.size(own)), lambda k: F.aggregate(F.slice(own, k * block + 1, F.lit(block)), zero, add))
+    first = lambda own, n: F.aggregate(F.slice(own, F.lit(1), n), zero, add)
+    # Totals of all blocks of 64 before the block of an index, from totals of 64 such blocks and the few that are left.
+    ahead = lambda one, two, k: add(
+        first(two, F.floor(k / block).cast("int")),
+        F.aggregate(F.slice(one, (F.floor(k / block) * block + 1).cast("int"), (k % block).cast("int")), zero, add),
     )
-    before = F.aggregate(blocks, F.array(zero), lambda out, x: F.concat(out, F.array(F.element_at(out, -1) + x)))
-    bound = F.transform(
-        F.array(before),
-        lambda b: F.transform(
+    bound = F.transform(F.array(whole(values)), lambda one: F.transform(F.array(whole(one)), lambda two: F.transform(
+        F.array(F.transform(one, lambda _, k: ahead(one, two, k))), lambda before: F.transform(
             values,
-            lambda _, i: F.get(b, F.floor(i / block).cast("int"))
-            + F.aggregate(F.slice(values, F.floor(i / block).cast("int") * block + 1, i % block + 1), zero, add),
-        ),
-    )
-    return F.when(F.size(values) > 0, F.get(bound, 0)).otherwise(F.array().cast("array<int>"))
+            lambda _, i: add(
+                F.get(before, F.floor(i / block).cast("int")),
+                F.aggregate(F.slice(values, (F.floor(i / block) * block + 1).cast("int"), (i % block + 1).cast("int")), zero, add),
+            ),
+        ))))
+    return F.when(F.size(values) > 0, F.get(F.get(F.get(bound, 0), 0), 0)).otherwise(F.array().cast("array<int>"))
+
+
+def running_sum(values: Column) -> Column:
+    return running(values, lambda total, x: total + x)
+
+
+def running_max(values: Column) -> Column:
+    return running(values, lambda total, x: F.greatest(total, x))
+
+
+#: Code points of a chunk. Reading at a place of a string takes time in proportion to the place; in an array of chunks not.
+CHUNK = 256
+
+
+def chunks(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0))
+
+
+def part(own: Column, start: Column, length: Column) -> Column:
+    """`length` code points from `start` (0-based) of a text given as its chunks."""
+    first = F.floor(start / CHUNK).cast("int")
+    few = F.slice(own, first + 1, F.greatest(F.floor((start + length) / CHUNK).cast("int") - first + 1, F.lit(0)))
+    return F.substring(F.array_join(few, ""), start - first * CHUNK + 1, length)
 
 
 def spans(text: Column, pattern: str) -> Column:
@@ -107,33 +140,45 @@ def base_spans(text: Column) -> Column:
     return F.concat(*[F.transform(own, named(KINDS[i], i)) for i, own in enumerate(kinds)])
 
 
-def before(text: Column, start: Column) -> Column:
+def before(own: Column, start: Column) -> Column:
     """The word that ends before `start`, marked if it is glued to it; '' at the text's beginning."""
-    near = F.substring(text, F.greatest(F.lit(1), start - (CONTEXT - 1)), F.least(F.lit(CONTEXT), start))
+    near = part(own, F.greatest(F.lit(0), start - CONTEXT), F.least(F.lit(CONTEXT), start))
     word = F.regexp_extract(near, r"([^\x20\x09-\x0D]+)[\x20\x09-\x0D]*$", 1)
     return F.lower(F.concat(word, F.when(near.rlike(r"[^\x20\x09-\x0D]$"), F.lit("~")).otherwise(F.lit(""))))
 
 
-def after(text: Column, end: Column) -> Column:
-    near = F.substring(text, end + 1, F.lit(CONTEXT))
+def after(own: Column, end: Column) -> Column:
+    near = part(own, end, F.lit(CONTEXT))
     return F.lower(F.regexp_extract(near, r"^[\x20\x09-\x0D]+([^\x20\x09-\x0D]+)", 1))
 
 
-def in_context(text: Column, found: Column) -> Column:
+def in_context(own: Column, found: Column) -> Column:
     return F.transform(found, lambda s: F.struct(
         s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"),
-        before(text, s["start"]).alias("left"), after(text, s["end"]).alias("right")))
+        before(own, s["start"]).alias("left"), after(own, s["end"]).alias("right")))
+
+
+def below(sorted_values: Column, value: Column) -> Column:
+    """How many of sorted integers are less than `value`, by halving."""
+    return F.aggregate(
+        F.sequence(F.lit(30), F.lit(0), F.lit(-1)), F.lit(0),
+        lambda n, k: F.when(F.get(sorted_values, n + F.call_function("shiftleft", F.lit(1), k) - 1) < value, n + F.call_function("shiftleft", F.lit(1), k)).otherwise(n),
+    )
 
 
-def candidate_spans(text: Column, base: Column) -> Column:
-    """Words with a digit or an @ that touch no base span, without a glued prefix and closing punctuation."""
+def candidate_spans(text: Column, starts: Column, reach: Column) -> Column:
+    """Words with a digit or an @ that touch no base span, without a glued prefix and closing punctuation.
+
+    `starts` are the base spans' beginnings, sorted, and `reach` the running maximum of their ends.
+    """
     words = F.when(text.rlike("[0-9@]"), spans(text, CANDIDATE)).otherwise(F.array().cast(NO_SPANS))
     prefix = lambda w: F.length(F.regexp_extract(w, r"""^([^0-9@]*[=:"'(\[<])""", 1))
     value = lambda w: F.regexp_replace(F.substring(w, prefix(w) + 1, F.length(w)), r"""[.,;:!?"')\]>]+$""", "")
     cut = F.transform(words, lambda s: F.struct(
         (s["start"] + prefix(s["value"])).alias("start"),
         (s["start"] + prefix(s["value"]) + F.length(value(s["value"]))).alias("end"), value(s["value"]).alias("value")))
-    apart = F.filter(cut, lambda s: ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
+    # A span overlaps if one of those that begin before the candidate's end reaches beyond its beginning.
+    apart = F.filter(cut, lambda s: F.coalesce(F.get(reach, below(starts, s["end"]) - 1), F.lit(0)) <= s["start"])
     return F.filter(apart, lambda s: (F.length(s["value"]) >= 4) & s["value"].rlike("[0-9@]"))
 
 
@@ -148,7 +193,13 @@ def found_in(source: DataFrame) -> DataFrame:
     """(id, text_key, base, seeds, candidates) of every row, without the text."""
     based = source.withColumn("base", base_spans(F.col("text")))
     text, base = F.col("text"), F.col("base")
-    return based.select("id", "text_key", "base", in_context(text, base).alias("seeds"), in_context(text, candidate_spans(text, base)).alias("candidates"))
+    ordered = F.array_sort(F.transform(base, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))))
+    # Bound as lambdas' arguments, so that they are computed once for a text.
+    bound = F.transform(F.array(F.struct(chunks(text).alias("own"), ordered.alias("sorted"))), lambda x: F.struct(
+        in_context(x["own"], base).alias("seeds"),
+        F.get(F.transform(F.array(F.struct(x["sorted"]["start"].alias("starts"), running_max(x["sorted"]["end"]).alias("reach"))), lambda y: in_context(
+            x["own"], candidate_spans(text, y["starts"], y["reach"]))), 0).alias("candidates")))
+    return based.select("id", "text_key", "base", F.get(bound, 0).alias("b")).select("id", "text_key", "base", "b.seeds", "b.candidates")
 
 
 def edges(found: DataFrame, column: str) -> DataFrame:
@@ -221,6 +272,26 @@ def personal_spans(
     return beside(found.select("id", "text_key", "base"), others).select(F.col("id").alias(id_column), "base", "others")
 
 
+def joined_spans(cuts: Column) -> Column:
+    """Sorted spans (start, end, kind) with overlapping ones as one, of the first one's kind.
+
+    A span that begins where all before it have ended begins a new one, which ends where the last one before the next
+    beginning reaches to.
+    """
+    def of(x: Column) -> Column:
+        heads = F.filter(
+            F.sequence(F.lit(0), F.size(x["cuts"]) - 1),
+            lambda i: (i == 0) | (F.get(x["cuts"], i)["start"] >= F.get(x["reach"], i - 1)),
+        )
+        return F.get(F.transform(F.array(heads), lambda own: F.transform(own, lambda h, k: F.struct(
+            F.get(x["cuts"], h)["start"].alias("start"),
+            F.get(x["reach"], F.coalesce(F.get(own, k + 1), F.size(x["cuts"])) - 1).alias("end"),
+            F.get(x["cuts"], h)["kind"].alias("kind")))), 0)
+
+    bound = F.array(F.struct(cuts.alias("cuts"), running_max(F.transform(cuts, lambda s: s["end"])).alias("reach")))
+    return F.get(F.transform(bound, of), 0)
+
+
 def redacted(
     docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", support: int = 3, accept: float = 0.8, rounds: int = 3,
 ) -> DataFrame:
@@ -237,20 +308,14 @@ def redacted(
         F.transform(base_spans(text), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.upper(s["kind"]).alias("kind"))),
         F.transform("others", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit("OTHER").alias("kind")))))
     rows = rows.withColumn("cuts", F.when(text.isNotNull(), cuts))
-    last = lambda out: F.element_at(out, -1)
-    merged = F.aggregate(
-        F.slice("cuts", 2, F.size("cuts")), F.slice("cuts", 1, 1),
-        lambda out, s: F.when(
-            s["start"] < last(out)["end"],
-            F.concat(F.slice(out, 1, F.size(out) - 1), F.array(F.struct(
-                last(out)["start"].alias("start"), F.greatest(last(out)["end"], s["end"]).alias("end"), last(out)["kind"].alias("kind")))),
-        ).otherwise(F.concat(out, F.array(s))),
-    )
-    rows = rows.withColumn("cuts", F.when(F.size("cuts") > 0, merged))
+    rows = rows.withColumn("cuts", F.when(F.size("cuts") > 0, joined_spans(F.col("cuts"))))
     begin = lambda i: F.when(i > 0, F.get("cuts", i - 1)["end"]).otherwise(F.lit(0))
-    pieces = F.transform("cuts", lambda s, i: F.concat(F.substring(text, begin(i) + 1, s["start"] - begin(i)), F.lit("["), s["kind"], F.lit("]")))
-    tail = F.substring(text, F.element_at("cuts", -1)["end"] + 1, F.length(text))
-    changed = F.when(F.size("cuts") > 0, F.concat(F.array_join(pieces, ""), tail)).otherwise(text)
+    pieces = lambda own: F.transform(
+        "cuts", lambda s, i: F.concat(part(own, begin(i), s["start"] - begin(i)), F.lit("["), s["kind"], F.lit("]"))
+    )
+    end = F.element_at("cuts", -1)["end"]
+    changed = F.transform(F.array(chunks(text)), lambda own: F.concat(F.array_join(pieces(own), ""), part(own, end, F.length(text) - end)))
+    changed = F.when(F.size("cuts") > 0, F.get(changed, 0)).otherwise(text)
     return rows.withColumn("changed", changed).select(*[F.col("changed").alias(c) if c == text_column else F.col(f"row.`{c}`") for c in docs.columns])
 
 

@@ -176,6 +176,46 @@ def test_many_spans_in_one_text(spark):
     assert row.spans == ",".join(f"{k}:{a}:{b}" for k, a, b in personal(text))
 
 
+def test_running_values_and_parts_of_long_arrays(spark):
+    """By blocks of blocks: every border between them, sums and maxima, and places of a text given as chunks."""
+    pick = random.Random(6)
+    for n in (0, 1, 63, 64, 65, 4096, 4097, 9001):
+        values = [pick.randrange(1000) for _ in range(n)]
+        df = spark.createDataFrame([(values,)], "v array<int>")
+        sums, tops = df.select(personal_data.running_sum(F.col("v")), personal_data.running_max(F.col("v"))).first()
+        assert sums == np.cumsum(values).tolist() if n else sums == []
+        assert tops == (np.maximum.accumulate(values).tolist() if n else [])
+    text = "".join(pick.choice("ab \n漢é😀") for _ in range(1500))
+    places = [(a, b) for a in (0, 1, 255, 256, 257, 511, 1499, 1500) for b in (0, 1, 64, 255, 256, 257, 900)]
+    df = spark.createDataFrame([(text, a, b) for a, b in places], "t string, a int, b int")
+    found = df.select("a", "b", personal_data.part(personal_data.chunks(F.col("t")), F.col("a"), F.col("b")).alias("p")).collect()
+    assert all(r.p == text[r.a : r.a + r.b] for r in found)
+
+
+def test_time_grows_with_the_text_not_its_square(spark):
+    """Sixteen times the addresses and ids in one text."""
+    import time
+
+    def taken(n):
+        text = " ".join(f"u{i}@h{i}.org id-{i}x 10.0.{i % 256}.{i % 200} user {i}" for i in range(n))
+        docs = plain_docs(spark, [(1, text)])
+        started = time.time()
+        personal_data.found_in(personal_data.keyed(docs, "doc_id", "text")).write.format("noop").mode("overwrite").save()
+        return time.time() - started
+
+    taken(100)
+    small, large = taken(300), taken(4800)
+    assert large < 20 * small + 5
+
+
+def test_overlapping_spans_become_one(spark):
+    """Spans that touch stay apart; those that overlap, also by way of others, are cut as one of the first one's kind."""
+    rows = [[(0, 4, "A"), (2, 9, "B"), (5, 6, "C"), (8, 12, "D"), (12, 13, "E"), (20, 22, "F")], [(1, 2, "A")], [(0, 100, "A"), (3, 4, "B"), (99, 101, "C"), (101, 102, "D")]]
+    df = spark.createDataFrame([(i, r) for i, r in enumerate(rows)], "id int, cuts array<struct<start:int,end:int,kind:string>>")
+    found = {r.id: [tuple(x) for x in r.j] for r in df.select("id", personal_data.joined_spans(F.col("cuts")).alias("j")).collect()}
+    assert found == {0: [(0, 12, "A"), (12, 13, "E"), (20, 22, "F")], 1: [(1, 2, "A")], 2: [(0, 101, "A"), (101, 102, "D")]}
+
+
 def test_hard_rows_of_personal_data(spark):
     docs = hard_docs(spark)
     found = personal_data.personal_spans(docs).collect()
