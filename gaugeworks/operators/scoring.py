@@ -27,6 +27,7 @@ def risk_terms(
     weights: RiskWeights, anomaly: Column, ecc: Column, xid: Column, temp: Column, util_std: Column
 ) -> dict[str, Column]:
     """Weighted terms of the failure risk, keyed by driver. A missing input makes its term NULL."""
+    # The ranges.
     errors = normalize(ecc, 0, 10), normalize(xid, 0, 5)
     worst = F.when(errors[0].isNotNull() & errors[1].isNotNull(), F.greatest(*errors))
     return {

@@ -9,6 +9,7 @@ from gaugeworks.functions import text
 from gaugeworks.functions.numeric import clip, round_to
 from gaugeworks.schema import KEY
 
+# Cost of a device's hour, utilisation below which it is idle, risk from which it is drained.
 HOURLY_COST_USD = 2.50
 IDLE_UTIL = 5.0
 DRAIN_RISK = 0.66
@@ -22,6 +23,7 @@ def schedule_score(latest: DataFrame) -> DataFrame:
     longest = latest.agg(F.max("queue_length_mean")).scalar()
     util = clip(F.col("gpu_util_mean"), 0.0, 100.0)
     queue = clip(F.col("queue_length_mean"), 0.0, None)
+    # The weights.
     score = (
         0.4 * (F.col("gpu_health_score") / 100)
         + 0.3 * (1 - F.col("failure_risk_score"))

@@ -19,6 +19,7 @@ from gaugeworks.operators import (
     anomaly, attribution, cleaning, counters, evaluation, features, limits, scoring, services, supervised, windows,
 )
 from gaugeworks.operators.forest import IsolationForest, fit_forest_nodes
+from gaugeworks.operators.fourier import FourierModel, fit_fourier
 from gaugeworks.operators.moments import moments_of, stored_moments
 from gaugeworks.operators.pca import PcaEmbedding, fit_pca
 from gaugeworks.operators.series import LENGTH, POSITION, each_part, index_series, measure
@@ -1757,6 +1758,49 @@ def fixed_score(spark, sf_dir):
     return rounded(anomaly.error_score(raw, "raw_anomaly").select(KEY, WINDOW_END, "anomaly_score"), "anomaly_score")
 
 
+def fixed_waves() -> FourierModel:
+    """Four features of the thirteen components, and two components of the features."""
+    weights = [[0.3 * ((j + i) % 3 - 1) for i in range(len(METRICS))] for j in range(4)]
+    kept = PcaEmbedding([[0.5, 0.5, 0.5, 0.5], [0.5, -0.5, 0.5, -0.5]], [0.1, 0.0, -0.1, 0.2], [0.0, 0.0])
+    return FourierModel(weights, [0.7 * j for j in range(4)], kept)
+
+
+def wave(j: int) -> str:
+    weights, phase, mean = fixed_waves().weights[j], fixed_waves().phases[j], fixed_waves().components.mean[j]
+    return f"(sqrt(2e0 / 4) * cos({' + '.join(f'{w}e0 * z_{m}' for w, m in zip(weights, METRICS, strict=True))} + {phase}e0) - ({mean}e0))"
+
+
+@register(
+    "ml_07_fixed_fourier",
+    query(
+        "SELECT gpu_id, window_end_timestamp, round(greatest((f0 * f0 + f1 * f1 + f2 * f2 + f3 * f3"
+        " - pow((f0 + f1 + f2 + f3) / 2, 2) - pow((f0 - f1 + f2 - f3) / 2, 2)) / 4, 0), 6) AS error FROM (SELECT gpu_id, window_end_timestamp, "
+        + ", ".join(f"{wave(j)} AS f{j}" for j in range(4)) + " FROM projected)",
+        sql.ELEMENTS,
+        FIXED_Z,
+    ),
+)
+def fixed_fourier(spark, sf_dir):
+    """Nonlinear reconstruction error of windows by fixed waves and components."""
+    found, _ = projected_windows(spark, sf_dir)
+    return rounded(fixed_waves().error(found, "embedding").select(KEY, WINDOW_END, "error"), "error")
+
+
+@register(
+    "ml_07_fourier_score",
+    query("SELECT count(*) AS n_windows, true AS is_smaller FROM stats", sql.STATS),
+)
+def fourier_score(spark, sf_dir):
+    """Fitted components leave less of the features than any as many of the features themselves do."""
+    found, _ = projected_windows(spark, sf_dir)
+    rows = settle(found.select(KEY, WINDOW_END, "embedding"))
+    model = fit_fourier(rows, "embedding", features=64, components=8)
+    whole = FourierModel(model.weights, model.phases, PcaEmbedding([[1.0 if i == k else 0.0 for i in range(64)] for k in range(8)], model.components.mean, [0.0] * 8))
+    both = whole.error(model.error(rows, "embedding", "fitted"), "embedding", "plain")
+    n = F.count(F.lit(1))
+    return both.agg(n.alias("n_windows"), ((F.sum("fitted") < F.sum("plain")) & (F.min("fitted") >= 0)).alias("is_smaller"))
+
+
 LATEST_WHOLE = f"SELECT gpu_id, window_end_timestamp, {ROUNDED_HEALTH}, {ROUNDED_STATS} FROM latest"
 
 

@@ -67,6 +67,7 @@ STATISTICS = ("mean", "std", "max")
 STAT_COLUMNS = tuple(f"{m}_{s}" for m in METRICS for s in STATISTICS)
 
 
+# The defaults of the three classes below.
 @dataclass(frozen=True)
 class WindowSpec:
     """Row-count windows: `size` rows each, a new one every `stride` rows."""

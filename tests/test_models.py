@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fixtures import frame, random_rows
-from gaugeworks.operators import anomaly, attribution, evaluation, features, moments, supervised
+from gaugeworks.operators import anomaly, attribution, evaluation, features, fourier, moments, supervised
 from gaugeworks.operators.forest import (
     IsolationForest, average_path, fit_forest, fit_forest_nodes, raw_scores, tree_samples,
 )
@@ -411,3 +411,55 @@ def test_stored_moments_of_days_equal_the_union(spark, tmp_path):
     known = (~np.isnan(points)).astype(float)
     n = known.T @ known  # pandas divides by one less
     np.testing.assert_allclose(whole.covariance, pd.DataFrame(points).cov().to_numpy() * (n - 1) / n, rtol=1e-9)
+
+
+def ring(n, seed):
+    """Points around a circle, and as many that lie off it: inside and outside."""
+    pick = np.random.default_rng(seed)
+    angle = pick.uniform(0, 2 * np.pi, n)
+    on = np.stack([np.cos(angle), np.sin(angle)], axis=1) * (3 + pick.normal(size=n)[:, None] * 0.05)
+    off = np.stack([np.cos(angle), np.sin(angle)], axis=1) * np.where(np.arange(n) % 2, 0.4, 5.5)[:, None]
+    return on, off
+
+
+def separation(spark, model, linear, on, off):
+    """Share of pairs (point on, point off) in which the one off has the larger error."""
+    def ranks(a, b):
+        return float((np.array(a)[:, None] < np.array(b)[None, :]).mean())
+
+    def errors(points):
+        df = linear.transform(table(spark, points), "v")
+        df = model.error(df.withColumn("linear", linear.reconstruction_error("v")), "v")
+        rows = df.orderBy("id").collect()
+        return [r["error"] for r in rows], [r["linear"] for r in rows]
+
+    (curved_on, flat_on), (curved_off, flat_off) = errors(on), errors(off)
+    return ranks(curved_on, curved_off), ranks(flat_on, flat_off)
+
+
+def test_fourier_components_follow_a_curve(spark, tmp_path):
+    on, off = ring(400, 1)
+    model = fourier.fit_fourier(table(spark, on), "v", features=128, components=12, width=2.0)
+    linear = fit_pca(table(spark, on), "v", 1)
+    curved, flat = separation(spark, model, linear, *ring(150, 2))
+    assert curved > 0.95 and flat < 0.8
+    model.save(spark, str(tmp_path / "fourier"))
+    again = fourier.FourierModel.load(spark, str(tmp_path / "fourier"))
+    rows = table(spark, on[:20])
+    assert [r["error"] for r in again.error(rows, "v").orderBy("id").collect()] == pytest.approx([r["error"] for r in model.error(rows, "v").orderBy("id").collect()])
+
+
+def test_fourier_features_equal_numpy_and_skip_incomplete_rows(spark):
+    pick = np.random.default_rng(4)
+    points = pick.normal(size=(30, 3))
+    model = fourier.drawn_waves(3, 5, 1.5, 7)
+    df = table(spark, points).unionByName(spark.createDataFrame([(90, None), (91, [1.0, None, 2.0]), (92, [1.0, float("inf"), 0.0])], "id bigint, v array<double>"))
+    found = {r["id"]: r["features"] for r in model.features(df, "v").collect()}
+    expected = np.sqrt(2 / 5) * np.cos(points @ np.array(model.weights).T + model.phases)
+    np.testing.assert_allclose(np.array([found[i] for i in range(30)]), expected, atol=1e-12)
+    assert found[90] is found[91] is found[92] is None
+    wide = fourier.drawn_waves(3, 4000, 1.5, 7)  # products approximate the kernel
+    values = np.sqrt(2 / 4000) * np.cos(points[:2] @ np.array(wide.weights).T + wide.phases)
+    assert values[0] @ values[1] == pytest.approx(np.exp(-((points[0] - points[1]) ** 2).sum() / (2 * 1.5**2)), abs=0.06)
+    with pytest.raises(ValueError):
+        model.error(df, "v")
