@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import threading
 import uuid
 from contextlib import contextmanager
 
@@ -23,8 +24,14 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{own_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-#: Folders written since each scratch block that is open now began.
-_SCRATCH: list[list[str]] = []
+class _Scratch(threading.local):
+    """Folders written since each scratch block that is open in this thread began."""
+
+    def __init__(self):
+        self.blocks: list[list[str]] = []
+
+
+_SCRATCH = _Scratch()
 
 
 def written(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
@@ -35,20 +42,20 @@ def written(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """
     folder = new_folder(df.sparkSession, name)
     df.write.parquet(folder)
-    if len(_SCRATCH) > keep:
-        _SCRATCH[-1 - keep].append(folder)
+    if len(_SCRATCH.blocks) > keep:
+        _SCRATCH.blocks[-1 - keep].append(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
 @contextmanager
 def scratch(spark: SparkSession):
     """A block whose tables are deleted at its end. What leaves it must be written with `keep`."""
-    _SCRATCH.append([])
+    _SCRATCH.blocks.append([])
     try:
         yield
     finally:
         context = spark.sparkContext
-        for folder in _SCRATCH.pop():
+        for folder in _SCRATCH.blocks.pop():
             path = context._jvm.org.apache.hadoop.fs.Path(folder)
             path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 

@@ -98,6 +98,27 @@ def test_components_of_chains_and_stars(spark):
     assert common.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_scratch_tables_of_threads_are_apart(spark):
+    """A block that ends in one thread leaves the tables of another one."""
+    import threading
+
+    inside, ended = threading.Event(), threading.Event()
+
+    def other():
+        with common.scratch(spark):
+            inside.wait(60)
+            common.written(spark.range(2), "other")
+        ended.set()
+
+    thread = threading.Thread(target=other)
+    thread.start()
+    with common.scratch(spark):
+        mine = common.written(spark.range(3), "mine")
+        inside.set()
+        assert ended.wait(60) and mine.count() == 3
+    thread.join()
+
+
 def test_most_frequent_rows_are_bounded_without_a_sort(spark):
     counts = spark.range(1, 1001).selectExpr("id AS key", "id AS n")
     found = common.most_frequent(counts, 10, 200)
