@@ -20,18 +20,21 @@ from gaugeworks.operators.store import settle
 from gaugeworks.schema import KEY, TIME
 
 SPAN = "_span"
+#: Rows of a task that holds several short spans.
+RANGE_ROWS = 250_000
 POSITION = "_position"
 LENGTH = "_length"
 
 
 @dataclass(frozen=True)
 class SeriesLayout:
-    """Which devices are cut into spans: a settled table of their names, and into how many spans in all."""
+    """Which devices are cut into spans: a settled table of their names, into how many spans in all, and of how many rows."""
 
     key: str = KEY
     time: str = TIME
     long: DataFrame | None = field(default=None, repr=False, compare=False)
     spans: int = 0
+    span_rows: int = 250_000
 
     @property
     def is_cut(self) -> bool:
@@ -61,13 +64,23 @@ class SeriesLayout:
         """Distribute rows by group and add the span number, which grows with time within a device.
 
         Uncut: by device, without a number. Cut: ranges of (device, time) with about equal numbers of rows, whatever
-        the times are; the ranges are settled, as they are drawn anew whenever Spark computes them. Rows of equal
-        device and time are in one span, so copies should be dropped before.
+        the times are; the ranges are settled, as they are drawn anew whenever Spark computes them. Every range is a task and a
+        file, so short spans do not get one each: they are cut from a range by the ranks of a device's rows in it. Rows of
+        equal device and time are in one span, so copies should be dropped before.
         """
         if not self.is_cut:
             return df.repartition(self.key)
-        ordered = df.repartitionByRange(self.spans, F.col(self.key), F.col(self.time).asc_nulls_last())
-        return settle(ordered.withColumn(SPAN, F.spark_partition_id().cast("bigint"))).repartition(*self.group)
+        time = F.col(self.time).asc_nulls_last()
+        ranges = self.ranges(df.sparkSession.sparkContext.defaultParallelism)
+        numbered = df.repartitionByRange(ranges, F.col(self.key), time).withColumn(SPAN, F.spark_partition_id().cast("bigint"))
+        if ranges < self.spans:
+            within = F.rank().over(Window.partitionBy(*self.group).orderBy(time)) - 1
+            numbered = numbered.withColumn(SPAN, F.col(SPAN) * 2**32 + F.floor(within / self.span_rows))
+        return settle(numbered).repartition(*self.group)
+
+    def ranges(self, least: int) -> int:
+        """Tasks that deal rows to spans: `least` or more of up to RANGE_ROWS rows, but no more than there are spans."""
+        return min(self.spans, max(least, -(-self.spans * self.span_rows // RANGE_ROWS)))
 
 
 def measure(
@@ -87,7 +100,7 @@ def measure(
     devices, rows = long.agg(F.count(F.lit(1)), F.sum("_rows")).first()
     if not devices:
         return SeriesLayout(key, time)
-    return SeriesLayout(key, time, settle(long.select(key)), max(1, -(-rows // span_rows)))
+    return SeriesLayout(key, time, settle(long.select(key)), max(1, -(-rows // span_rows)), span_rows)
 
 
 def over_earlier_spans(layout: SeriesLayout, later: bool = False) -> str:

@@ -124,6 +124,20 @@ def test_spans_have_about_equal_numbers_of_rows(spark, name):
     assert max(r["count"] for r in spans) <= 500
 
 
+def test_short_spans_share_tasks_and_files(spark):
+    """A span of its own for every task and file made the `_cut` queries take hours on millions of rows."""
+    rows = rows_of("a", [1.0] * 700) + rows_of("b", [1.0] * 300, seq_from=1000)
+    df = frame(spark, rows)
+    layout = measure(df, long_rows=60, span_rows=20)
+    dealt = layout.attach(df)
+    assert len(dealt.inputFiles()) <= spark.sparkContext.defaultParallelism < layout.spans
+    spans = dealt.groupBy("gpu_id", "_span").agg(F.count("*").alias("n"), F.min("timestamp").alias("low"), F.max("timestamp").alias("high"))
+    found = spans.orderBy("gpu_id", "_span").collect()
+    assert len(found) >= layout.spans and max(r["n"] for r in found) <= 20
+    assert all(a["high"] < b["low"] for a, b in zip(found, found[1:], strict=False) if a["gpu_id"] == b["gpu_id"])
+    assert layout.ranges(12) == 12 and SeriesLayout(spans=300_000, span_rows=20).ranges(12) == 24
+
+
 def test_equal_times_are_one_sample_in_the_cut_form(spark):
     rows = rows_of("a", [1.0] * 300, step_seconds=0)
     for row in rows[150:]:
