@@ -8,10 +8,13 @@ from math import ceil
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from gaugeworks.operators.vectors import matrices
+
 # Send the functions below to executors themselves: workers need not have this package installed.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -112,13 +115,12 @@ class IsolationForest:
         """Raw score of an array column; the model travels as one broadcast variable."""
         model = spark.sparkContext.broadcast(self.tables())
 
-        @F.pandas_udf("double")
-        def raw(points: pd.Series) -> pd.Series:
+        @F.arrow_udf("double")
+        def raw(points: pa.Array) -> pa.Array:
             out = np.full(len(points), np.nan)
-            known = points.notna().to_numpy()
-            if known.any():
-                out[known] = raw_scores(np.stack(points[known].to_numpy()), model.value)
-            return pd.Series(out)
+            for rows, some in matrices(points):
+                out[rows] = raw_scores(some, model.value)
+            return pa.array(out)
 
         return F.nanvl(raw(embedding), F.lit(None).cast("double"))
 

@@ -11,13 +11,14 @@ import sys
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gaugeworks.operators.moments import moment_rows, moments_of, vector_moments
 from gaugeworks.operators.pca import PcaEmbedding, principal_components
+from gaugeworks.operators.vectors import projected
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -34,16 +35,10 @@ class FourierModel:
         """Add sqrt(2 / n) cos(weights x + phase) for n features as an array; NULL for incomplete vectors."""
         model = df.sparkSession.sparkContext.broadcast((np.array(self.weights).T, np.array(self.phases)))
 
-        @F.pandas_udf("array<double>")
-        def waves(vectors: pd.Series) -> pd.Series:
+        @F.arrow_udf("array<double>")
+        def waves(vectors: pa.Array) -> pa.Array:
             weights, phases = model.value
-            out = pd.Series([None] * len(vectors), dtype=object)
-            known = np.flatnonzero(vectors.notna().to_numpy())
-            if len(known):
-                points = np.stack(vectors.iloc[known].to_numpy()).astype("float64")
-                complete = np.isfinite(points).all(axis=1)
-                out.iloc[known[complete]] = list(np.sqrt(2.0 / len(phases)) * np.cos(points[complete] @ weights + phases))
-            return out
+            return projected(vectors, lambda points: np.sqrt(2.0 / len(phases)) * np.cos(points @ weights + phases), np.isfinite)
 
         return df.withColumn(name, waves(F.col(values)))
 

@@ -15,8 +15,12 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gaugeworks.operators.vectors import matrices
+
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
+#: Bytes of the vectors whose moments are taken at once: merging costs as much as entries squared, whatever the rows are.
+PART_BYTES = 8 << 20
 #: Row i over all entries j, for the vectors that know both: how many, means of entry i and of entry j less their bases,
 #: sum of products of the deviations from these means; and the bases of all entries. A base is a number close to the
 #: mean: the small rest keeps the digits that a mean far from zero has not got.
@@ -95,12 +99,9 @@ def moment_rows(df: DataFrame, values: str) -> DataFrame:
     def partial(batches):
         whole: Part | None = None
         for batch in batches:
-            column = batch.column(0)
-            if not len(column):
-                continue
-            x = column.flatten().to_numpy(zero_copy_only=False).astype("float64").reshape(len(column), -1)
-            part = part_of(x)
-            whole = part if whole is None else merged(whole, part)
+            for _, x in matrices(batch.column(0), PART_BYTES):
+                part = part_of(x)
+                whole = part if whole is None else merged(whole, part)
         if whole is not None:
             yield _batch(range(len(whole[0])), [(*row, whole[4]) for row in zip(*whole[:4], strict=True)])
 

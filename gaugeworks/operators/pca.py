@@ -6,12 +6,13 @@ import sys
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gaugeworks.operators.moments import Moments, vector_moments
+from gaugeworks.operators.vectors import projected
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -32,17 +33,10 @@ class PcaEmbedding:
         """Add the centred projection of an array column as an array column; NULL for incomplete vectors."""
         model = df.sparkSession.sparkContext.broadcast((np.array(self.components).T, np.array(self.mean)))
 
-        @F.pandas_udf("array<double>")
-        def project(vectors: pd.Series) -> pd.Series:
+        @F.arrow_udf("array<double>")
+        def project(vectors: pa.Array) -> pa.Array:
             components, mean = model.value
-            out = pd.Series([None] * len(vectors), dtype=object)
-            known = vectors.notna().to_numpy()
-            if known.any():
-                points = np.stack(vectors[known].to_numpy()).astype("float64")
-                complete = ~np.isnan(points).any(axis=1)
-                at = np.flatnonzero(known)[complete]
-                out.iloc[at] = list((points[complete] - mean) @ components)
-            return out
+            return projected(vectors, lambda points: (points - mean) @ components)
 
         return df.withColumn(embedding, project(F.col(values)))
 

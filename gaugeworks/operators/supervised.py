@@ -6,7 +6,7 @@ import sys
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import MultilayerPerceptronClassifier
@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from gaugeworks.functions.numeric import workload_label, workload_name
 from gaugeworks.operators.moments import vector_moments
+from gaugeworks.operators.vectors import projected
 from gaugeworks.schema import STAT_COLUMNS, WORKLOAD_CLASSES
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -72,16 +73,10 @@ class DemandForecaster:
         """Add `forecast`, laid out like `y`; NULL for incomplete inputs."""
         model = sequences.sparkSession.sparkContext.broadcast((np.array(self.weights), np.array(self.intercept)))
 
-        @F.pandas_udf("array<double>")
-        def ahead(inputs: pd.Series) -> pd.Series:
+        @F.arrow_udf("array<double>")
+        def ahead(inputs: pa.Array) -> pa.Array:
             weights, intercept = model.value
-            out = pd.Series([None] * len(inputs), dtype=object)
-            known = np.flatnonzero(inputs.notna().to_numpy())
-            if len(known):
-                x = np.stack(inputs.iloc[known].to_numpy()).astype("float64")
-                complete = ~np.isnan(x).any(axis=1)
-                out.iloc[known[complete]] = list(x[complete] @ weights.T + intercept)
-            return out
+            return projected(inputs, lambda x: x @ weights.T + intercept)
 
         return sequences.withColumn("forecast", ahead("x"))
 

@@ -463,3 +463,36 @@ def test_fourier_features_equal_numpy_and_skip_incomplete_rows(spark):
     assert values[0] @ values[1] == pytest.approx(np.exp(-((points[0] - points[1]) ** 2).sum() / (2 * 1.5**2)), abs=0.06)
     with pytest.raises(ValueError):
         model.error(df, "v")
+
+
+def test_a_batch_of_window_vectors_is_not_copied_whole():
+    """10,000 window vectors are 31 MB; every step of a projection had a copy or two of them in each worker."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from gaugeworks.operators import vectors
+
+    points = np.random.default_rng(1).normal(size=(10_000, 390))
+    column = pa.FixedSizeListArray.from_arrays(pa.array(points.ravel()), 390).cast(pa.list_(pa.float64()))
+    tracemalloc.start()
+    found = vectors.projected(column, lambda x: (x - 1.0) @ np.ones((390, 8)))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 16 << 20
+    np.testing.assert_allclose(found.flatten().to_numpy().reshape(-1, 8)[:, 0], (points - 1.0).sum(axis=1))
+
+
+def test_vectors_that_are_missing_or_incomplete_have_no_projection():
+    import pyarrow as pa
+
+    from gaugeworks.operators import vectors
+
+    rows = [None, [1.0, 2.0], [None, 3.0], [4.0, 5.0], [float("nan"), 1.0], [float("inf"), 0.0]]
+    column = pa.array(rows * 3, pa.list_(pa.float64())).slice(3, 9)
+    plain = vectors.projected(column, lambda x: x.sum(axis=1, keepdims=True)).to_pylist()
+    assert plain == [[9.0], None, [float("inf")], None, [3.0], None, [9.0], None, [float("inf")]]
+    finite = vectors.projected(column, lambda x: x.sum(axis=1, keepdims=True), np.isfinite).to_pylist()
+    assert finite == [[9.0], None, None, None, [3.0], None, [9.0], None, None]
+    assert [len(x) for _, x in vectors.matrices(column, 32)] == [2, 2, 2, 1]
+    assert vectors.projected(column.slice(0, 0), lambda x: x).to_pylist() == []
