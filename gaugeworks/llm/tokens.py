@@ -20,7 +20,7 @@ import pyarrow as pa
 from gaugeworks.llm.common import text_bytes
 
 #: Words in one of the two generations that a worker keeps, and the most characters of such a word.
-KEPT_WORDS = 600_000
+KEPT_WORDS = 200_000
 KEPT_LENGTH = 64
 #: Bytes of text worked on at once; a longer text is a chunk of its own.
 CHUNK = 1 << 21
@@ -54,11 +54,13 @@ class Encoder:
     tokenizer: object = None
     ends: object = None
     direct: bool = False
+    tokenize: object = None
 
     def load(self) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(self.path)
+        self.tokenize = self.tokenizer.model.tokenize  # asked for once: every look at `model` makes a new object
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
@@ -69,7 +71,7 @@ class Encoder:
     def of_model(self, word: str) -> list[int]:
         if not word.isascii():
             word = word.encode().decode("latin-1").translate(_BYTE_LETTERS)
-        return [token.id for token in self.tokenizer.model.tokenize(word)]
+        return [token.id for token in self.tokenize(word)]
 
     def whole(self, words: list[str]) -> dict[str, bytes]:
         """Ids of words, from the library."""
@@ -147,8 +149,9 @@ class Encoder:
         whole[np.searchsorted(starts, np.flatnonzero(kind == 3), "right") - 1] = True
         cuts = cuts[~whole[np.searchsorted(starts, cuts, "right") - 1]]
         starts = np.sort(np.concatenate((starts, cuts)), kind="stable")
-        letters = np.cumsum(inside, dtype=np.int64)
-        offsets = np.append(letters[starts] - 1, letters[-1])
+        letters = np.cumsum(inside, dtype=np.int32 if len(inside) < 1 << 31 else np.int64)
+        offsets = np.append(letters[starts] - 1, letters[-1]).astype(np.int64)
+        del letters, opens, edge
         words = pa.Array.from_buffers(pa.large_string(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(low.translate(None, _GAPS))])
         numbered = words.dictionary_encode()
         found = self.ids_of(numbered.dictionary.to_pylist())

@@ -293,3 +293,18 @@ def test_equal_turns_are_kept_and_nothing_gives_nothing(spark):
     found = chat_rotation.rotations(docs)
     assert found.count() == 8 and sorted(r.position for r in found.where("perspective = 'bob'").collect()) == [0, 1, 2, 3]
     assert chat_rotation.rotations(docs.where("false")).count() == 0
+
+
+def test_encoder_keeps_a_bounded_number_of_words_and_asks_for_its_model_once():
+    """A worker kept up to 1.2 million words, some 250 MB; each new one made a new object of the model."""
+    from gaugeworks.llm.tokens import Encoder, default_tokenizer
+
+    own = Encoder(default_tokenizer())
+    letters = "abcdefghijklmnopqrst"
+    words = [f"{letters[i % 20]}{letters[i // 20 % 20]}{letters[i // 400 % 20]}{letters[i // 8000 % 20]}{letters[i // 160000]}" for i in range(600_000)]
+    first = b"".join(own.encode([" ".join(words[:1000])]))
+    for at in range(0, len(words), 50_000):
+        list(own.encode([" ".join(words[at : at + 50_000])]))
+    assert len(own.known) + len(own.before) <= 400_000
+    assert b"".join(own.encode([" ".join(words[:1000])])) == first
+    assert own.tokenize is not None and own.of_model("the") == own.tokenizer.encode("the", add_special_tokens=False).ids
