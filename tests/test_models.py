@@ -494,5 +494,5 @@ def test_vectors_that_are_missing_or_incomplete_have_no_projection():
     assert plain == [[9.0], None, [float("inf")], None, [3.0], None, [9.0], None, [float("inf")]]
     finite = vectors.projected(column, lambda x: x.sum(axis=1, keepdims=True), np.isfinite).to_pylist()
     assert finite == [[9.0], None, None, None, [3.0], None, [9.0], None, None]
-    assert [len(x) for _, x in vectors.matrices(column, 32)] == [2, 2, 2, 1]
+    assert [len(x) for _, x in vectors.matrices(column, 32)] == [2, 2, 2, 2]
     assert vectors.projected(column.slice(0, 0), lambda x: x).to_pylist() == []
