@@ -60,6 +60,22 @@ def scratch(spark: SparkSession):
             path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Bytes of an Arrow batch of whole texts: by rows, 10,000 texts of a few kilobytes, a task's JVM and its worker hold up to 64 MB each.
+BATCH_BYTES = 4 << 20
+
+
+@contextmanager
+def small_batches(spark: SparkSession, size: int = BATCH_BYTES):
+    """A block in which what is executed sends Python workers Arrow batches of about `size` bytes; a longer row is a batch of its own."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, size)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def checked_broadcast(table: DataFrame, rows: int = 1_000_000) -> DataFrame:
     """A written table of narrow rows, to be broadcast if it has at most `rows`; else joins shuffle."""
     return F.broadcast(table) if table.count() <= rows else table

@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gaugeworks.llm.common import written
+from gaugeworks.llm.common import small_batches, written
 from gaugeworks.llm.tokens import crc, default_tokenizer, encoder
 
 
@@ -169,5 +169,7 @@ def pack(
     packed like any others; other columns are ignored. `tokenizer` is a file that every worker can read.
     """
     pieces = token_pieces(docs, id_column, text_column, capacity, end_id, tokenizer or default_tokenizer())
-    found = packed(written(pieces, "pieces"), capacity)
+    with small_batches(docs.sparkSession):
+        placed = written(pieces, "pieces")
+    found = packed(placed, capacity)
     return found.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")

@@ -308,3 +308,28 @@ def test_encoder_keeps_a_bounded_number_of_words_and_asks_for_its_model_once():
     assert len(own.known) + len(own.before) <= 400_000
     assert b"".join(own.encode([" ".join(words[:1000])])) == first
     assert own.tokenize is not None and own.of_model("the") == own.tokenizer.encode("the", add_special_tokens=False).ids
+
+
+def test_packing_sends_texts_in_small_batches(spark, monkeypatch):
+    """By rows alone a batch had 10,000 texts: a JVM and its workers held hundreds of megabytes of them."""
+    from gaugeworks.llm import common
+
+    docs = spark.range(0, 3000, 1, 1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("some words "), 400).alias("text"))
+    sizes, name = [], "spark.sql.execution.arrow.maxBytesPerBatch"
+
+    def sent(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            yield pa.record_batch([pa.array([batch.nbytes])], names=["n"])
+
+    def seen(df, *rest):
+        sizes.append([r.n for r in docs.mapInArrow(sent, "n long").collect()])
+        return common.written(df, *rest)
+
+    before = spark.conf.get(name)
+    monkeypatch.setattr(packing, "written", seen)
+    found = packing.pack(docs)
+    assert sum(sizes[0]) > 3 * common.BATCH_BYTES and max(sizes[0]) < 2 * common.BATCH_BYTES
+    assert len(sizes) == 2 and len(sizes[1]) == 1 and spark.conf.get(name) == before
+    assert found.select("doc_id").distinct().count() == 3000
