@@ -12,10 +12,12 @@ from pyspark.sql import functions as F
 
 from gaugeworks.llm import decontaminate, language, ngram_join, packing, personal_data
 from gaugeworks.llm.common import written
+from gaugeworks.tuning import tune_texts
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language learned from the labelled ones; null texts and texts without letters go."""
+    tune_texts(spark)  # rows are asked for when this has returned
     return language.accepted(docs, language.language_model(docs))
 
 

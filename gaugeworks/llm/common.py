@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gaugeworks.operators.store import own_folder
+from gaugeworks.tuning import BATCH_SETTING, tune_texts
 
 #: Words everywhere: runs of anything but space, tab, line feed, vertical tab, form feed, carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -60,20 +61,15 @@ def scratch(spark: SparkSession):
             path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
-#: Bytes of an Arrow batch of whole texts: by rows, 10,000 texts of a few kilobytes, a task's JVM and its worker hold up to 64 MB each.
-BATCH_BYTES = 4 << 20
-
-
 @contextmanager
-def small_batches(spark: SparkSession, size: int = BATCH_BYTES):
-    """A block in which what is executed sends Python workers Arrow batches of about `size` bytes; a longer row is a batch of its own."""
-    name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, size)
+def small_batches(spark: SparkSession):
+    """A block in which what is executed sends texts as after `tune_texts`; the session's own setting comes back."""
+    before = spark.conf.get(BATCH_SETTING)
+    tune_texts(spark)
     try:
         yield
     finally:
-        spark.conf.set(name, before)
+        spark.conf.set(BATCH_SETTING, before)
 
 
 def checked_broadcast(table: DataFrame, rows: int = 1_000_000) -> DataFrame:

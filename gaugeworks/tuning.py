@@ -14,3 +14,14 @@ def tune(spark: SparkSession) -> SparkSession:
     """
     spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
     return spark
+
+
+#: Bytes of an Arrow batch of whole texts: by rows, 10,000 texts of a few kilobytes, a task's JVM and its worker hold up to 64 MB each.
+BATCH_BYTES = 4 << 20
+BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def tune_texts(spark: SparkSession) -> SparkSession:
+    """Let Spark send Python workers whole texts in batches of about BATCH_BYTES; a longer row is a batch of its own."""
+    spark.conf.set(BATCH_SETTING, BATCH_BYTES)
+    return spark

@@ -313,9 +313,10 @@ def test_encoder_keeps_a_bounded_number_of_words_and_asks_for_its_model_once():
 def test_packing_sends_texts_in_small_batches(spark, monkeypatch):
     """By rows alone a batch had 10,000 texts: a JVM and its workers held hundreds of megabytes of them."""
     from gaugeworks.llm import common
+    from gaugeworks.tuning import BATCH_BYTES, BATCH_SETTING
 
     docs = spark.range(0, 3000, 1, 1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("some words "), 400).alias("text"))
-    sizes, name = [], "spark.sql.execution.arrow.maxBytesPerBatch"
+    sizes = []
 
     def sent(batches):
         import pyarrow as pa
@@ -327,9 +328,24 @@ def test_packing_sends_texts_in_small_batches(spark, monkeypatch):
         sizes.append([r.n for r in docs.mapInArrow(sent, "n long").collect()])
         return common.written(df, *rest)
 
-    before = spark.conf.get(name)
+    before = spark.conf.get(BATCH_SETTING)
+    spark.conf.set(BATCH_SETTING, "64m")
     monkeypatch.setattr(packing, "written", seen)
     found = packing.pack(docs)
-    assert sum(sizes[0]) > 3 * common.BATCH_BYTES and max(sizes[0]) < 2 * common.BATCH_BYTES
-    assert len(sizes) == 2 and len(sizes[1]) == 1 and spark.conf.get(name) == before
+    assert sum(sizes[0]) > 2 * BATCH_BYTES and max(sizes[0]) < 2 * BATCH_BYTES
+    assert len(sizes) == 2 and len(sizes[1]) == 1 and spark.conf.get(BATCH_SETTING) == "64m"
+    spark.conf.set(BATCH_SETTING, before)
     assert found.select("doc_id").distinct().count() == 3000
+
+
+def test_language_stage_asks_for_small_batches(spark):
+    import corpus_pipeline
+    from gaugeworks.tuning import BATCH_BYTES, BATCH_SETTING
+
+    before = spark.conf.get(BATCH_SETTING)
+    try:
+        spark.conf.set(BATCH_SETTING, "64m")
+        corpus_pipeline.known_language(spark, spark.read.parquet(f"{SMALL}/documents.parquet"), SMALL)
+        assert int(spark.conf.get(BATCH_SETTING)) == BATCH_BYTES
+    finally:
+        spark.conf.set(BATCH_SETTING, before)
