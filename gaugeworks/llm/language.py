@@ -17,10 +17,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gaugeworks.llm.common import give_back
+
 UNKNOWN = "und"
 SEGMENT = 256
-#: Symbols parsed side by side at most (a whole text counts as one even if it is longer).
-CHUNK = 1 << 22
+#: Symbols parsed side by side at most (a whole text counts as one even if it is longer). Their arrays take some thirty bytes each.
+CHUNK = 1 << 20
 
 
 # --- learning -------------------------------------------------------------------------------------------
@@ -290,6 +292,7 @@ def accepted(docs: DataFrame, model: dict, text_column: str = "text") -> DataFra
                     keep += [x != UNKNOWN and u <= 0.5 and (len(t) < 100 or b < most[x]) for x, b, u, t in zip(labels, bits, foreign, pool, strict=True)]
                     pool, size = [], 0
             yield batch.filter(pa.array(keep, pa.bool_()))
+            give_back()
 
     return docs.mapInArrow(run, docs.schema)
 

@@ -17,7 +17,7 @@ from struct import pack
 import numpy as np
 import pyarrow as pa
 
-from gaugeworks.llm.common import text_bytes
+from gaugeworks.llm.common import give_back, text_bytes
 
 #: Words in one of the two generations that a worker keeps, and the most characters of such a word.
 KEPT_WORDS = 200_000
@@ -170,6 +170,8 @@ class Encoder:
             ids, own = self.encode_bytes(data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first])
             yield first, ids, own
             first = last
+        del data, offsets
+        give_back()
 
     def encode(self, texts: list[str | None]) -> Iterator[bytes]:
         """The ids of each text; of a null text none."""

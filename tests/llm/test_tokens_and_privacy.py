@@ -349,3 +349,37 @@ def test_language_stage_asks_for_small_batches(spark):
         assert int(spark.conf.get(BATCH_SETTING)) == BATCH_BYTES
     finally:
         spark.conf.set(BATCH_SETTING, before)
+
+
+def test_a_worker_gives_memory_back_after_a_batch():
+    """Arrow kept what it had used in one stage through those that followed."""
+    import pyarrow as pa
+
+    from gaugeworks.llm import tokens
+
+    given = []
+    before, tokens.give_back = tokens.give_back, lambda: given.append(pa.total_allocated_bytes())
+    try:
+        list(tokens.Encoder(tokens.default_tokenizer()).encode(["some words"] * 3))
+    finally:
+        tokens.give_back = before
+    assert len(given) == 1
+
+
+def test_language_is_parsed_in_small_chunks():
+    """Chunks of four million symbols took 115 MB of a worker; now texts of a batch are parsed in parts, with the same results."""
+    import tracemalloc
+
+    from gaugeworks.llm import language
+
+    texts = {"a": ["the cat sat on the mat " * 8], "b": ["le chat est sur le tapis " * 8]}
+    table = language.letter_symbols(texts)
+    model = {"names": ["a", "b"], "symbols": table, "tables": [language.parse_table(texts[n], table) for n in ("a", "b")], "letters": [9, 9]}
+    many = [("the mat is on the cat " if i % 2 else "le tapis est le chat ") * 100 for i in range(language.CHUNK // 2100)]
+    tracemalloc.start()
+    labels, scores, _ = language.predicted(many, model)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 50e6
+    one = [language.predicted([t], model) for t in many[:2]]
+    assert labels[:2] == [x[0][0] for x in one] and scores[:2].tolist() == [x[1][0] for x in one]
