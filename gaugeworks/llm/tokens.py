@@ -12,10 +12,10 @@ import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from struct import pack
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 from gaugeworks.llm.common import give_back, text_bytes
 
@@ -30,7 +30,10 @@ _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _KINDS = bytes(0 if c in _GAPS else 3 if c > 127 or c in b"'<" else 1 if chr(c).isalpha() else 2 for c in range(256))
 #: Byte-level models name the bytes that have no glyph, in order, from U+0100 on.
 _BARE = [*range(33), *range(127, 161), 173]
-_BYTE_LETTERS = {b: 256 + i for i, b in enumerate(_BARE)}
+_GLYPHS = np.arange(256, dtype="<u2")
+_GLYPHS[_BARE] = np.arange(256, 256 + len(_BARE))
+_GLYPHS[32] = 32  # between words
+_SPACE = pa.scalar(" ", pa.large_string())
 _LATIN = re.compile("[a-zA-Z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+").fullmatch
 
 
@@ -55,23 +58,39 @@ class Encoder:
     ends: object = None
     direct: bool = False
     tokenize: object = None
+    bare: object = None
 
     def load(self) -> None:
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(self.path)
-        self.tokenize = self.tokenizer.model.tokenize  # asked for once: every look at `model` makes a new object
+        model = self.tokenizer.model  # asked for once: every look at it makes a new object
+        self.tokenize, self.bare = model.tokenize, Tokenizer(model)
+        self.bare.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(" ")
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         # Lower-case words of Latin letters pass normalising and splitting unchanged: the model alone gives their ids.
         probes = ["a", "the", "qxzvk", "abcdefghijklmnopqrstuvwxyz" * 3, "é", "àáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿß", "straßeñandú"]
-        self.direct = all(self.of_model(w) == self.tokenizer.encode(w, add_special_tokens=False).ids for w in probes)
+        known = [self.tokenizer.encode(w, add_special_tokens=False).ids for w in probes]
+        ids = self.ended(self.bare, probes, self.glyphs(probes))
+        self.direct = known == list(map(self.of_model, probes)) and ids == [np.array(x, "<u4").tobytes() for x in known]
 
     def of_model(self, word: str) -> list[int]:
-        if not word.isascii():
-            word = word.encode().decode("latin-1").translate(_BYTE_LETTERS)
-        return [token.id for token in self.tokenize(word)]
+        """The ids of a lower-case word of Latin letters."""
+        return [token.id for token in self.tokenize(self.glyphs([word]))]
+
+    def glyphs(self, words: list[str]) -> str:
+        """Lower-case words of Latin letters as the model sees them, with spaces between."""
+        text = " ".join(words).lower()
+        return text if text.isascii() else _GLYPHS[np.frombuffer(text.encode(), np.uint8)].tobytes().decode("utf-16-le")
+
+    def ended(self, tokenizer, words: list[str], text: str) -> list[bytes] | None:
+        """The ids of each of `words`, which are `text` together; None if they do not end where words do."""
+        ids = np.array(getattr(tokenizer, "encode_batch_fast", tokenizer.encode_batch)([text], add_special_tokens=False)[0].ids, "<u4")
+        cuts = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+        data = ids.tobytes()
+        return [data[a:b] for a, b in zip([0, *cuts], cuts, strict=False)] if len(cuts) == len(words) else None
 
     def whole(self, words: list[str]) -> dict[str, bytes]:
         """Ids of words, from the library."""
@@ -80,17 +99,18 @@ class Encoder:
         encode = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
         found: dict[str, bytes] = {}
         if self.direct:
-            found = {w: pack(f"<{len(ids)}I", *ids) for w in words if _LATIN(w) for ids in (self.of_model(w.lower()),)}
+            latin = [w for w in words if _LATIN(w)]
+            for at in range(0, len(latin), 2000):
+                part = latin[at : at + 2000]
+                if ids := self.ended(self.bare, part, self.glyphs(part)):
+                    found.update(zip(part, ids, strict=True))
             words = [w for w in words if w not in found]
         # Plain words end where a token does, so many of them go as one text.
         plain = [w for w in words if w.isalpha()]
         for at in range(0, len(plain), 2000):
             part = plain[at : at + 2000]
-            ids = np.array(encode([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
-            cuts = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
-            if len(cuts) == len(part):
-                data = ids.tobytes()
-                found.update(zip(part, [data[a:b] for a, b in zip([0, *cuts], cuts, strict=False)], strict=True))
+            if ids := self.ended(self.tokenizer, part, " ".join(part)):
+                found.update(zip(part, ids, strict=True))
         rest = [w for w in words if w not in found]
         for at in range(0, len(rest), 2000):
             part = rest[at : at + 2000]
@@ -154,7 +174,8 @@ class Encoder:
         del letters, opens, edge
         words = pa.Array.from_buffers(pa.large_string(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(low.translate(None, _GAPS))])
         numbered = words.dictionary_encode()
-        found = self.ids_of(numbered.dictionary.to_pylist())
+        # Joined and split as one string: words have no spaces, and one by one Arrow takes longer to hand them over.
+        found = self.ids_of(pc.binary_join(pa.LargeListArray.from_arrays([0, len(numbered.dictionary)], numbered.dictionary), _SPACE)[0].as_py().split(" "))
         lengths = np.fromiter(map(len, found), np.int64, len(found)) // 4
         lists = pa.LargeListArray.from_arrays(np.concatenate(([0], np.cumsum(lengths))), pa.array(np.frombuffer(b"".join(found), np.uint32)))
         of_words = lists.take(numbered.indices)
