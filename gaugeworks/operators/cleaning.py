@@ -26,14 +26,15 @@ from gaugeworks.schema import KEY, METRICS, SEQ, TIME, metric_columns
 
 
 def keep_last(
-    df: DataFrame, seq: str = SEQ, layout: SeriesLayout | None = None, key: str = KEY, time: str = TIME
+    df: DataFrame, seq: str = SEQ, layout: SeriesLayout | None = None, key: str = KEY, time: str = TIME, apart: str | None = None
 ) -> DataFrame:
-    """One row per device and time: the one that arrived last. Rows without a device are dropped.
+    """One row per device and time: the one that arrived last. Rows without a device are dropped, those that differ in `apart` are no copies.
 
     Without a layout Spark keeps only the best row per group before the shuffle as well
     (WindowGroupLimit), so any number of copies of one sample costs one row per input partition.
     """
     group = [key, time] if layout is None else list(dict.fromkeys([*layout.group, time]))
+    group += [apart] if apart else []
     latest = Window.partitionBy(*group).orderBy(F.col(seq).desc_nulls_last())
     return (
         df.where(F.col(key).isNotNull())
@@ -43,7 +44,7 @@ def keep_last(
     )
 
 
-def group_samples(df: DataFrame, layout: SeriesLayout, seq: str | None = SEQ) -> DataFrame:
+def group_samples(df: DataFrame, layout: SeriesLayout, seq: str | None = SEQ, apart: str | None = None) -> DataFrame:
     """Distribute samples by device (by device and span when cut) and drop earlier copies.
 
     Uncut: one exchange serves the deduplication and everything after it. Cut: copies are reduced
@@ -51,10 +52,10 @@ def group_samples(df: DataFrame, layout: SeriesLayout, seq: str | None = SEQ) ->
     """
     df = df.where(F.col(layout.key).isNotNull())
     if not layout.is_cut:
-        df = df.repartition(layout.key)
-        return df if seq is None else keep_last(df, seq, layout, layout.key, layout.time)
+        df = layout.by_group(df)
+        return df if seq is None else keep_last(df, seq, layout, layout.key, layout.time, apart)
     if seq is not None:
-        df = keep_last(df, seq, None, layout.key, layout.time)
+        df = keep_last(df, seq, None, layout.key, layout.time, apart)
     return layout.attach(df)
 
 
@@ -233,16 +234,26 @@ class Samples:
 
     def settled(self) -> "Samples":
         """Computed once; later passes over them need no shuffle by device."""
-        return Samples(tuple((settle_grouped(rows, layout.group, layout.time), layout) for rows, layout in self.tables))
+        return Samples(tuple((settle_grouped(rows, layout.group, layout.time, layout.tasks), layout) for rows, layout in self.tables))
 
+    def clipped(self, z_threshold: float = 5.0) -> "Samples":
+        """Outliers by their device's moments: the last step of cleaning."""
+        return Samples(tuple((clip_outliers(rows, layout, metric_columns(rows.columns), z_threshold), layout) for rows, layout in self.tables))
 
-def clean_samples(raw: DataFrame, layout: SeriesLayout | None = None, z_threshold: float = 5.0) -> Samples:
-    """Clean telemetry for windows. The host is not used there, so it never enters the shuffle."""
+
+def bounded_samples(raw: DataFrame, layout: SeriesLayout | None = None) -> Samples:
+    """Last copies, gaps filled, within physical limits: what clipping of outliers and profiles start from. The host is
+    not used for windows, so it never enters the shuffle."""
     names = [c for c in (SEQ, TIME, KEY, *METRICS) if c in raw.columns]
     seq = SEQ if SEQ in names else None
 
-    def clean(rows: DataFrame, own: SeriesLayout) -> DataFrame:
-        return clean_series(rows, own, z_threshold, seq).drop(SEQ)
+    def bounded(rows: DataFrame, own: SeriesLayout) -> DataFrame:
+        return clip_bounds(fill_gaps(group_samples(rows, own, seq), own, metric_columns(names))).drop(SEQ)
 
     found = parts(raw.select(*names), layout or measure(raw))
-    return Samples(tuple((clean(rows, own), own) for rows, own in found))
+    return Samples(tuple((bounded(rows, own), own) for rows, own in found))
+
+
+def clean_samples(raw: DataFrame, layout: SeriesLayout | None = None, z_threshold: float = 5.0) -> Samples:
+    """Clean telemetry for windows."""
+    return bounded_samples(raw, layout).clipped(z_threshold)

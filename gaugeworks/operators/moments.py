@@ -126,7 +126,8 @@ def vector_moments(df: DataFrame, values: str) -> Moments:
 
 def store_moments(rows: DataFrame, path: str, day) -> None:
     """Keep a day's table; a day that is stored again is replaced, others stay."""
-    kept = rows.select("i", *NAMES).withColumn("day", F.lit(day).cast("date")).coalesce(1)
+    # Not coalesce(1), which would also merge the tasks' tables in one task.
+    kept = rows.select("i", *NAMES).withColumn("day", F.lit(day).cast("date")).repartition(1)
     kept.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(path)
 
 

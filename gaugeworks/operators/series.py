@@ -10,31 +10,45 @@ from the others (`parts`), which keep the cheaper form.
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gaugeworks.operators.store import settle
+from gaugeworks.operators.store import MOST_BUCKETS, settle
 from gaugeworks.schema import KEY, TIME
 
 SPAN = "_span"
 #: Rows of a task that holds several short spans.
 RANGE_ROWS = 250_000
+#: Rows of a bucket of a table that is settled by device.
+BUCKET_ROWS = 500_000
 POSITION = "_position"
 LENGTH = "_length"
 
 
 @dataclass(frozen=True)
 class SeriesLayout:
-    """Which devices are cut into spans: a settled table of their names, into how many spans in all, and of how many rows."""
+    """Which devices are cut into spans: a settled table of their names, into how many spans in all, and of how many rows.
+
+    `rows` are those of all devices, as far as counted. With `tasks`, rows are dealt to that many tasks, else as Spark chooses.
+    """
 
     key: str = KEY
     time: str = TIME
     long: DataFrame | None = field(default=None, repr=False, compare=False)
     spans: int = 0
     span_rows: int = 250_000
+    rows: int = field(default=0, compare=False)
+    tasks: int = field(default=0, compare=False)
+
+    def in_buckets(self, least: int) -> SeriesLayout:
+        """With a task, later a bucket, for every BUCKET_ROWS counted rows, `least` at least: one exchange serves cleaning and settling."""
+        return replace(self, tasks=min(MOST_BUCKETS, max(least, -(-self.rows // BUCKET_ROWS))))
+
+    def by_group(self, df: DataFrame) -> DataFrame:
+        return df.repartition(self.tasks, *self.group) if self.tasks else df.repartition(*self.group)
 
     @property
     def is_cut(self) -> bool:
@@ -69,14 +83,14 @@ class SeriesLayout:
         equal device and time are in one span, so copies should be dropped before.
         """
         if not self.is_cut:
-            return df.repartition(self.key)
+            return self.by_group(df)
         time = F.col(self.time).asc_nulls_last()
         ranges = self.ranges(df.sparkSession.sparkContext.defaultParallelism)
         numbered = df.repartitionByRange(ranges, F.col(self.key), time).withColumn(SPAN, F.spark_partition_id().cast("bigint"))
         if ranges < self.spans:
             within = F.rank().over(Window.partitionBy(*self.group).orderBy(time)) - 1
             numbered = numbered.withColumn(SPAN, F.col(SPAN) * 2**32 + F.floor(within / self.span_rows))
-        return settle(numbered).repartition(*self.group)
+        return self.by_group(settle(numbered))
 
     def ranges(self, least: int) -> int:
         """Tasks that deal rows to spans: `least` or more of up to RANGE_ROWS rows, but no more than there are spans."""
@@ -97,10 +111,11 @@ def measure(
     """
     counts = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_rows"))
     long = counts.where(F.col("_rows") > long_rows)
-    devices, rows = long.agg(F.count(F.lit(1)), F.sum("_rows")).first()
+    is_long = F.col("_rows") > long_rows
+    devices, rows, total = counts.agg(F.count_if(is_long), F.sum(F.when(is_long, F.col("_rows"))), F.sum("_rows")).first()
     if not devices:
-        return SeriesLayout(key, time)
-    return SeriesLayout(key, time, settle(long.select(key)), max(1, -(-rows // span_rows)), span_rows)
+        return SeriesLayout(key, time, rows=total or 0)
+    return SeriesLayout(key, time, settle(long.select(key)), max(1, -(-rows // span_rows)), span_rows, total)
 
 
 def over_earlier_spans(layout: SeriesLayout, later: bool = False) -> str:
@@ -121,7 +136,7 @@ def parts(df: DataFrame, layout: SeriesLayout) -> list[tuple[DataFrame, SeriesLa
     if not layout.is_cut:
         return [(df, layout)]
     return [
-        (df.join(layout.long, layout.key, "left_anti"), SeriesLayout(layout.key, layout.time)),
+        (df.join(layout.long, layout.key, "left_anti"), SeriesLayout(layout.key, layout.time, rows=layout.rows, tasks=layout.tasks)),
         (df.join(layout.long, layout.key, "left_semi"), layout),
     ]
 

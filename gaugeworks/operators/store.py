@@ -55,9 +55,12 @@ def buckets(df: DataFrame) -> int:
     return min(MOST_BUCKETS, max(spark.sparkContext.defaultParallelism, wanted))
 
 
-def settle_grouped(df: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """`settle`, as a table bucketed by `keys`: windows and aggregates over them need no shuffle any more."""
-    spark, number = df.sparkSession, buckets(df)
+def settle_grouped(df: DataFrame, keys: list[str], order: str, number: int = 0) -> DataFrame:
+    """`settle`, as a table bucketed by `keys`: windows and aggregates over them need no shuffle any more.
+
+    Rows that are in `number` hash partitions by `keys` already are written as they are; without a number, `buckets` chooses.
+    """
+    spark, number = df.sparkSession, number or buckets(df)
     name = f"settled_{uuid.uuid4().hex}"
     (
         df.repartition(number, *keys)

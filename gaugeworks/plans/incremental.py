@@ -11,21 +11,24 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from datetime import datetime, timedelta
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from gaugeworks.operators import limits as kept_limits
-from gaugeworks.operators.cleaning import clip_bounds, fill_gaps, group_samples, keep_last
+from gaugeworks.operators.cleaning import Samples, clip_bounds, fill_gaps, group_samples
 from gaugeworks.operators.features import WindowScaler
 from gaugeworks.operators.moments import moment_rows, store_moments
 from gaugeworks.operators.scoring import SCORE_COLUMNS, health_score
-from gaugeworks.operators.series import LENGTH, POSITION, SeriesLayout, each_part, measure
+from gaugeworks.operators.series import LENGTH, POSITION, SeriesLayout, measure, parts
 from gaugeworks.operators.store import settle
 from gaugeworks.operators.windows import VECTOR, WINDOW_INDEX, latest_per_device, window_table
 from gaugeworks.functions.numeric import rescale
 from gaugeworks.schema import KEY, METRICS, SEQ, STAT_COLUMNS, TIME, WINDOW_END, RiskWeights, WindowSpec
 
 CLOSED = "_closed"
+PLACE = "_place"
+KEPT = "_kept"
 STATE = f"{KEY} string, {TIME} timestamp_ntz, {POSITION} bigint, {CLOSED} bigint, " + ", ".join(f"{m} double" for m in METRICS)
 
 
@@ -33,21 +36,17 @@ STATE = f"{KEY} string, {TIME} timestamp_ntz, {POSITION} bigint, {CLOSED} bigint
 class Step:
     """What one run gives: the newly closed samples, clean and placed in their series, and the open rows for the next."""
 
-    samples: DataFrame
+    samples: Samples
     state: DataFrame
     spec: WindowSpec
 
     def windows(self, statistics: bool = True, vector_of=None) -> DataFrame:
         """The windows that this run completes. `is_latest` is relative to what is known so far."""
-        layout = measure(self.samples.select(KEY))
-        return each_part(self.samples, layout, lambda rows, own: self._table(rows, own, statistics, vector_of))
-
-    def _table(self, rows: DataFrame, own: SeriesLayout, statistics: bool, vector_of) -> DataFrame:
-        return window_table(own.attach(rows), own, self.spec, statistics, vector_of)
+        return self.samples.each(lambda rows, own: window_table(rows, own, self.spec, statistics, vector_of))
 
 
 def empty_state(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([], STATE)
+    return spark.range(0).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in StructType.fromDDL(STATE)])
 
 
 def advance(
@@ -65,37 +64,44 @@ def advance(
     if spec.size < 2:
         raise ValueError("windows of one sample need no state")
     metrics = list(METRICS)
-    heads = state.groupBy(KEY).agg(F.min(POSITION).alias("_first"), F.max(TIME).alias("_last"), F.max(CLOSED).alias("_before"))
+    heads = settle(state.groupBy(KEY).agg(F.min(POSITION).alias("_first"), F.max(TIME).alias("_last"), F.max(CLOSED).alias("_before")))
     names = [c for c in (SEQ, TIME, KEY, *metrics) if c in new.columns]
-    fresh = new.select(*names).where(F.col(KEY).isNotNull())
-    fresh = keep_last(fresh, SEQ).drop(SEQ) if SEQ in names else fresh
-    fresh = fresh.join(heads.select(KEY, "_last"), KEY, "left").where(F.col("_last").isNull() | (F.col(TIME) > F.col("_last"))).drop("_last")
-    together = fresh.select(KEY, TIME, *metrics).unionByName(state.select(KEY, TIME, *metrics))
+    seq = SEQ if SEQ in names else None
+    fresh = new.select(*names).where(F.col(KEY).isNotNull()).join(heads.select(KEY, "_last"), KEY, "left")
+    fresh = fresh.where(F.col("_last").isNull() | (F.col(TIME) > F.col("_last"))).drop("_last")
+    # Open rows keep their place: they are no copies of each other nor of new samples.
+    held = state.select(KEY, TIME, *metrics, F.col(POSITION).alias(PLACE))
+    together = fresh.withColumn(PLACE, F.lit(None).cast("bigint")).unionByName(held, allowMissingColumns=True)
     late = F.lit(None if until is None else until - hold).cast("timestamp_ntz")
 
-    def closed(rows: DataFrame, own: SeriesLayout) -> DataFrame:
-        raw = group_samples(rows.withColumn("_raw", F.struct(*metrics)), own, None)
+    def placed(rows: DataFrame, own: SeriesLayout) -> DataFrame:
+        """Every sample once with its clean value, if it is closed, and what the next run needs of it (NULL: nothing)."""
+        raw = group_samples(rows, own, seq, PLACE).drop(PLACE).withColumn("_raw", F.struct(*metrics))
         filled = fill_gaps(raw, own, metrics)
-        valid = [F.coalesce(F.max(F.when(F.col(f"_raw.{m}").isNotNull(), F.col(POSITION))), F.lit(-1)) for m in metrics]
-        until_here = F.lit(None) if finish else F.least(*valid) + 1
-        ends = filled.groupBy(KEY).agg(
-            F.count(F.lit(1)).alias("_n"), until_here.cast("bigint").alias("_full"), F.count_if(F.col(TIME) <= late).alias("_held")
-        )
-        ends = ends.join(heads.drop("_last"), KEY, "left").select(
-            KEY,
-            F.coalesce("_first", F.lit(0)).alias("_first"),
-            F.greatest(F.coalesce("_full", "_n") + F.coalesce("_first", F.lit(0)), F.col("_held") + F.coalesce("_first", F.lit(0)), F.coalesce("_before", F.lit(0))).alias(CLOSED),
-        )
-        return filled.join(ends, KEY).withColumn(POSITION, F.col(POSITION) + F.col("_first")).select(KEY, TIME, POSITION, CLOSED, *metrics, "_raw")
-
-    placed = settle(each_part(together, measure(together), closed))
-    is_closed = F.col(POSITION) < F.col(CLOSED)
-    samples = clip_bounds(placed.where(is_closed).select(KEY, TIME, POSITION, F.col(CLOSED).alias(LENGTH), *metrics))
-    if profile is not None:
-        samples = clip_by_profile(samples, profile, z_threshold)
-    kept = [F.when(is_closed, F.col(m)).otherwise(F.col(f"_raw.{m}")).alias(m) for m in metrics]
-    left = placed.where(F.col(POSITION) >= F.col(CLOSED) - (spec.size - 1)).select(KEY, TIME, POSITION, CLOSED, *kept)
-    return Step(samples, left, spec)
+        valid = {f"_at_{m}": F.max(F.when(F.col(f"_raw.{m}").isNotNull(), F.col(POSITION))) for m in metrics}
+        ends = {"_n": F.count(F.lit(1)), "_held": F.count_if(F.col(TIME) <= late)} | ({} if finish else valid)
+        if own.is_cut:
+            filled = settle(filled)
+            filled = filled.join(filled.groupBy(KEY).agg(*[c.alias(name) for name, c in ends.items()]), KEY)
+        else:
+            filled = filled.select("*", *[c.over(Window.partitionBy(KEY)).alias(name) for name, c in ends.items()])
+        first = F.coalesce("_first", F.lit(0))
+        full = F.col("_n") if finish else F.least(*[F.coalesce(c, F.lit(-1)) for c in valid]) + 1
+        known = filled.join(heads.drop("_last"), KEY, "left").withColumn(POSITION, F.col(POSITION) + first)
+        known = known.withColumn(CLOSED, F.greatest(full + first, F.col("_held") + first, F.coalesce("_before", F.lit(0))).cast("bigint"))
+        is_closed = F.col(POSITION) < F.col(CLOSED)
+        # Bounds clip what is closed only: open rows go on as they came.
+        kept = F.struct(*[F.when(is_closed, F.col(m)).otherwise(F.col(f"_raw.{m}")).alias(m) for m in metrics])
+        known = known.withColumn(KEPT, F.when(F.col(POSITION) >= F.col(CLOSED) - (spec.size - 1), kept))
+        clean = clip_bounds(known.select(KEY, TIME, POSITION, CLOSED, KEPT, *own.group[1:], *metrics))
+        return clean if profile is None else clip_by_profile(clean, profile, z_threshold)
+
+    layout = measure(together).in_buckets(new.sparkSession.sparkContext.defaultParallelism)
+    tables = Samples(tuple((placed(rows, own), own) for rows, own in parts(together, layout))).settled()
+    closed = F.col(POSITION) < F.col(CLOSED)
+    samples = [(rows.where(closed).select(KEY, TIME, POSITION, F.col(CLOSED).alias(LENGTH), *metrics), own) for rows, own in tables.tables]
+    left = tables.each(lambda rows, _: rows.where(F.col(KEPT).isNotNull()).select(KEY, TIME, POSITION, CLOSED, *[f"{KEPT}.{m}" for m in metrics]))
+    return Step(Samples(tuple(samples)), left, spec)
 
 
 def clip_by_profile(samples: DataFrame, profile: DataFrame, z_threshold: float) -> DataFrame:

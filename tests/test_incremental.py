@@ -15,7 +15,7 @@ from gaugeworks.operators.series import SeriesLayout, measure
 from gaugeworks.operators.store import own_folder
 from gaugeworks.plans import fingerprint, incremental
 from gaugeworks.schema import KEY, METRICS, STAT_COLUMNS, WINDOW_END, WindowSpec
-from gaugeworks.streaming.cleaned import device_profile
+from gaugeworks.streaming.cleaned import device_profile, profile_of
 from test_streaming import rough_rows
 
 SPEC = WindowSpec(10, 5)
@@ -164,3 +164,32 @@ def test_devices_of_spans_are_compared(spark):
     assert tuple(row.select(*limits.compared_devices(F.col("a"), F.col("b"))).first()) == (0, 10, 50, 60)  # exact while few
     whole = limits.merged_devices(limits.device_sketches(df, "gpu_id", F.col("span")))
     assert abs(whole.select(F.expr("theta_sketch_estimate(devices)")).first()[0] - 40_000) < 1600
+
+
+def test_a_run_settles_its_samples_by_device(spark):
+    """Windows and vectors of a run read them without a shuffle; buckets go with the rows."""
+    raw = frame(spark, rough_rows(devices="ab"))
+    step = incremental.advance(incremental.empty_state(spark), raw, SPEC, profile=settled(spark, device_profile(raw)), finish=True)
+    for found in (step.windows(), step.windows(False, {m: F.col(m) for m in METRICS})):
+        assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    layout = measure(raw)
+    assert layout.rows == raw.where(F.col(KEY).isNotNull()).count()
+    assert layout.in_buckets(8).tasks == 8 and SeriesLayout(rows=36_000_000).in_buckets(8).tasks == 72
+
+
+def test_scaler_and_profile_from_samples_cleaned_once(spark):
+    raw = frame(spark, rough_rows())
+    bounded = cleaning.bounded_samples(raw, measure(raw).in_buckets(3)).settled()
+    once = bounded.clipped().each(lambda r, own: windows.window_table(r, own, SPEC)).toPandas()
+    assert_same(once, batch_windows(raw))
+    found, expected = (df.toPandas().sort_values(KEY) for df in (profile_of(bounded), device_profile(raw)))
+    for column in ("mean", "std"):
+        np.testing.assert_allclose(np.array(found[column].to_list(), float), np.array(expected[column].to_list(), float), rtol=1e-12, atol=1e-12)
+
+
+def test_open_rows_are_no_copies(spark):
+    """Open rows without a time, or from runs that did not know the order of copies, keep their place."""
+    first = frame(spark, rows_of("a", [1.0, 2.0, 3.0])).drop("seq").withColumn("timestamp", F.lit(None).cast("timestamp_ntz"))
+    state = settled(spark, incremental.advance(incremental.empty_state(spark), first, SPEC).state)
+    again = incremental.advance(state, frame(spark, rows_of("a", [4.0, 5.0], seq_from=50)), SPEC, finish=True)
+    assert sorted(r["_position"] for r in again.state.collect()) == [0, 1, 2, 3, 4]
