@@ -12,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gaugeworks.llm.common import written
+from gaugeworks.llm.common import small_batches, written
 from gaugeworks.llm.tokens import crc, default_tokenizer, encoder
 
 SCHEMA = "doc_id long, part int, ids array<int>"
@@ -46,11 +46,12 @@ def write_tokens(
     Null and blank texts have `end_id` alone; null ids come first; equal rows are kept; other columns are ignored.
     """
     rows = token_rows(docs, id_column, text_column, end_id, tokenizer or default_tokenizer())
-    (
-        rows.write.mode("errorifexists")
-        .option("compression", "zstd").option("orc.stripe.size", stripe_bytes).option("orc.row.index.stride", stride)
-        .option("orc.bloom.filter.columns", "doc_id").option("orc.bloom.filter.fpp", false_positives).orc(folder)
-    )
+    with small_batches(docs.sparkSession):
+        (
+            rows.write.mode("errorifexists")
+            .option("compression", "zstd").option("orc.stripe.size", stripe_bytes).option("orc.row.index.stride", stride)
+            .option("orc.bloom.filter.columns", "doc_id").option("orc.bloom.filter.fpp", false_positives).orc(folder)
+        )
 
 
 def read_tokens(spark: SparkSession, folder: str) -> DataFrame:
@@ -70,13 +71,15 @@ def digests(tokens: DataFrame) -> DataFrame:
             ids = batch.column("ids")
             values = ids.flatten().to_numpy().astype("<u4", copy=False)
             offsets = np.concatenate(([0], np.cumsum(ids.value_lengths().to_numpy()))).astype(np.int64)
-            sums = [crc(values[a:b].tobytes()) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+            data = memoryview(np.ascontiguousarray(values)).cast("B")
+            sums = [crc(data[a:b]) for a, b in zip((4 * offsets[:-1]).tolist(), (4 * offsets[1:]).tolist(), strict=True)]
             yield pa.record_batch(
                 [batch.column("doc_id"), batch.column("part"), pa.array(np.diff(offsets)), pa.array(sums, pa.int64())],
                 names=["doc_id", "part", "n_tokens", "ids_crc32"],
             )
 
-    found = written(tokens.mapInArrow(run, "doc_id long, part int, n_tokens long, ids_crc32 long"), "digests")
+    with small_batches(tokens.sparkSession):
+        found = written(tokens.mapInArrow(run, "doc_id long, part int, n_tokens long, ids_crc32 long"), "digests")
     totals = found.groupBy("part").agg(F.sum("n_tokens").alias("n"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     shifts = totals.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("shift"))

@@ -35,6 +35,7 @@ _GLYPHS[_BARE] = np.arange(256, 256 + len(_BARE))
 _GLYPHS[32] = 32  # between words
 _SPACE = pa.scalar(" ", pa.large_string())
 _LATIN = re.compile("[a-zA-Z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+").fullmatch
+_LATIN_LINE = re.compile("[a-zA-Z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff ]+").fullmatch  # words have no spaces
 
 
 def default_tokenizer() -> str:
@@ -92,48 +93,53 @@ class Encoder:
         data = ids.tobytes()
         return [data[a:b] for a, b in zip([0, *cuts], cuts, strict=False)] if len(cuts) == len(words) else None
 
-    def whole(self, words: list[str]) -> dict[str, bytes]:
+    def whole(self, words: list[str]) -> list[bytes]:
         """Ids of words, from the library."""
         if self.tokenizer is None:
             self.load()
-        encode = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
+        found: list[bytes | None] = []
+        for at in range(0, len(words), 2000):
+            found += self.some_whole(words[at : at + 2000])
+        return found
+
+    def some_whole(self, words: list[str]) -> list[bytes]:
+        # Mostly all words are of Latin letters, and one look tells.
+        if self.direct and _LATIN_LINE(" ".join(words)) and (ids := self.ended(self.bare, words, self.glyphs(words))):
+            return ids
         found: dict[str, bytes] = {}
-        if self.direct:
-            latin = [w for w in words if _LATIN(w)]
-            for at in range(0, len(latin), 2000):
-                part = latin[at : at + 2000]
-                if ids := self.ended(self.bare, part, self.glyphs(part)):
-                    found.update(zip(part, ids, strict=True))
-            words = [w for w in words if w not in found]
+        latin = [w for w in words if _LATIN(w)] if self.direct else []
+        if latin and (ids := self.ended(self.bare, latin, self.glyphs(latin))):
+            found.update(zip(latin, ids, strict=True))
         # Plain words end where a token does, so many of them go as one text.
-        plain = [w for w in words if w.isalpha()]
-        for at in range(0, len(plain), 2000):
-            part = plain[at : at + 2000]
-            if ids := self.ended(self.tokenizer, part, " ".join(part)):
-                found.update(zip(part, ids, strict=True))
+        plain = [w for w in words if w not in found and w.isalpha()]
+        if plain and (ids := self.ended(self.tokenizer, plain, " ".join(plain))):
+            found.update(zip(plain, ids, strict=True))
         rest = [w for w in words if w not in found]
-        for at in range(0, len(rest), 2000):
-            part = rest[at : at + 2000]
-            for word, own in zip(part, encode(part, add_special_tokens=False), strict=True):
-                found[word] = np.array(own.ids, "<u4").tobytes()
-        return found
+        encode = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
+        for word, own in zip(rest, encode(rest, add_special_tokens=False) if rest else [], strict=True):
+            found[word] = np.array(own.ids, "<u4").tobytes()
+        return [found[w] for w in words]
 
     def ids_of(self, words: list[str]) -> list[bytes]:
         """The ids of distinct words; short ones are kept."""
         found = list(map(self.known.get, words))
         missing = [i for i, x in enumerate(found) if x is None]
-        new = [words[i] for i in missing if len(words[i]) <= KEPT_LENGTH]
-        if len(self.known) + len(new) > KEPT_WORDS:
+        if not missing:
+            return found
+        asked = [words[i] for i in missing]
+        ids = list(map(self.before.get, asked))
+        made = iter(self.whole([w for w, x in zip(asked, ids, strict=True) if x is None]))
+        ids = [next(made) if x is None else x for x in ids]
+        if len(self.known) + len(asked) > KEPT_WORDS:
             # A new generation has all words of these texts.
             kept = {w: x for w, x in zip(words, found, strict=True) if x is not None}
             self.before, self.known = self.known, kept
-        again = {w: self.before[w] for w in new if w in self.before}
-        self.known.update(again)
-        self.known.update(self.whole([w for w in new if w not in again]))
-        once = self.whole([words[i] for i in missing if len(words[i]) > KEPT_LENGTH])
-        for i in missing:
-            word = words[i]
-            found[i] = once[word] if len(word) > KEPT_LENGTH else self.known[word]
+        if max(map(len, asked)) <= KEPT_LENGTH:
+            self.known.update(zip(asked, ids, strict=True))
+        else:
+            self.known.update({w: x for w, x in zip(asked, ids, strict=True) if len(w) <= KEPT_LENGTH})
+        for i, x in zip(missing, ids, strict=True):
+            found[i] = x
         return found
 
     def encode_bytes(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -164,14 +170,17 @@ class Encoder:
         starts = np.flatnonzero(opens)
         if not len(starts):
             return np.zeros(0, np.uint32), np.zeros(len(bounds), np.int64)
+        closes = inside.copy()
+        closes[:-1] &= ~inside[1:] | edge[1:-1]
+        stops = np.flatnonzero(closes) + 1
         cuts = np.flatnonzero((kind[1:] != kind[:-1]) & inside[1:] & ~opens[1:]) + 1
         whole = np.zeros(len(starts), bool)
         whole[np.searchsorted(starts, np.flatnonzero(kind == 3), "right") - 1] = True
         cuts = cuts[~whole[np.searchsorted(starts, cuts, "right") - 1]]
-        starts = np.sort(np.concatenate((starts, cuts)), kind="stable")
-        letters = np.cumsum(inside, dtype=np.int32 if len(inside) < 1 << 31 else np.int64)
-        offsets = np.append(letters[starts] - 1, letters[-1]).astype(np.int64)
-        del letters, opens, edge
+        # A cut ends one word and starts another.
+        starts, stops = (np.sort(np.concatenate((x, cuts)), kind="stable") for x in (starts, stops))
+        offsets = np.concatenate(([0], np.cumsum(stops - starts)))
+        del opens, closes, edge, stops
         words = pa.Array.from_buffers(pa.large_string(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(low.translate(None, _GAPS))])
         numbered = words.dictionary_encode()
         # Joined and split as one string: words have no spaces, and one by one Arrow takes longer to hand them over.

@@ -397,3 +397,45 @@ def test_language_is_parsed_in_small_chunks():
     assert peak < 50e6
     one = [language.predicted([t], model) for t in many[:2]]
     assert labels[:2] == [x[0][0] for x in one] and scores[:2].tolist() == [x[1][0] for x in one]
+
+
+def test_kept_words_of_the_older_generation_are_not_encoded_again(monkeypatch, encode):
+    """When a new generation began, words that only the older one had went to the tokenizer once more."""
+    from gaugeworks.llm import tokens
+
+    monkeypatch.setattr(tokens, "KEPT_WORDS", 50)
+    own = tokens.Encoder(tokens.default_tokenizer())
+    whole, asked = own.whole, []
+    own.whole = lambda words: asked.extend(words) or whole(words)
+    letters = "abcdefghij"
+    words = [f"q{a}{b}" for a in letters for b in letters]
+    texts = [" ".join(words[a:b]) for a, b in ((0, 40), (40, 80), (10, 70))]
+    for text in texts:
+        assert np.frombuffer(next(own.encode([text])), "<u4").tolist() == encode(text)
+    assert sorted(asked) == sorted(words[:80])
+
+
+def test_token_files_send_texts_and_ids_in_small_batches(spark, monkeypatch, tmp_path):
+    """By rows alone a batch had 10,000 texts or their ids: an executor came to more than 3 GB."""
+    from gaugeworks.llm import common, token_files
+    from gaugeworks.tuning import BATCH_BYTES, BATCH_SETTING
+
+    docs = spark.range(0, 2500, 1, 1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("some words "), 400).alias("text"))
+    before, settings = spark.conf.get(BATCH_SETTING), []
+    small = common.small_batches
+
+    def seen(session):
+        settings.append(session.conf.get(BATCH_SETTING))
+        return small(session)
+
+    try:
+        spark.conf.set(BATCH_SETTING, "64m")
+        monkeypatch.setattr(token_files, "small_batches", seen)
+        token_files.write_tokens(docs, str(tmp_path / "ids"))
+        tokens_read = token_files.read_tokens(spark, str(tmp_path / "ids"))
+        monkeypatch.setattr(token_files, "written", lambda df, *rest: settings.append(int(spark.conf.get(BATCH_SETTING))) or common.written(df, *rest))
+        found = token_files.digests(tokens_read)
+        assert settings == ["64m", "64m", BATCH_BYTES] and spark.conf.get(BATCH_SETTING) == "64m"
+    finally:
+        spark.conf.set(BATCH_SETTING, before)
+    assert [r.n_tokens for r in found.select("n_tokens").distinct().collect()] == [801] and found.count() == 2500
